@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import jaccard_join, line_dedup
 
 QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 
 SQL = {
     "op3_line_dedup": line_dedup.OP3_SQL,
+    "op9_jaccard_join": jaccard_join.OP9_SQL,
 }

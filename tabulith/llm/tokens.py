@@ -96,7 +96,7 @@ def windows(words: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     lo = np.arange(n)
-    return mix(_ranges(words, lo, lo + size, _WINDOW_BASE) + _U(size) * _ODD)
+    return mix(_ranges(words, lo, lo + size, _WINDOW_BASE) + _U(size * int(_ODD) % 2**64))
 
 
 def split_words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray, row: int = 0) -> Slice:
