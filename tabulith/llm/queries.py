@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import jaccard_join, line_dedup
+from . import decontaminate, jaccard_join, line_dedup
 
 QUERIES = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
 }
 
 SQL = {
+    "op1_decontamination": decontaminate.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
 }
