@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup
+from . import decontaminate, jaccard_join, line_dedup, quality
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 SQL = {
