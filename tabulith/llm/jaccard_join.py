@@ -193,10 +193,10 @@ def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(len(a), kind=np.full(len(a), 1, dtype=np.int32), id=a, other=b)
 
 
-def search(sets: list[np.ndarray], side: np.ndarray, pct: int) -> Iterator[tuple[int, np.ndarray]]:
+def search(sets: list[np.ndarray], side: np.ndarray, pct: int, crossing: bool) -> Iterator[tuple[int, np.ndarray]]:
     """T-occurrence search: for each set the places of later sets that are similar enough.
 
-    With two values in ``side`` only pairs across them count. A document's long lists are those set
+    When ``crossing`` only pairs of different ``side`` count. A document's long lists are those set
     aside so that the rest must still give a hit; short lists are merged, long ones are probed by
     binary search, or through a row of bits for lists that a quarter of the block is on.
     """
@@ -218,7 +218,6 @@ def search(sets: list[np.ndarray], side: np.ndarray, pct: int) -> Iterator[tuple
         bits[row[row >= 0], owner[row >= 0]] = 1
     keys = token[order] * n + posting  # sorted: all lists one after the other
     begin = np.concatenate([[0], np.cumsum(sizes)])
-    crossing = len(np.unique(side)) > 1
     for q in range(n):
         lists = token[begin[q] : begin[q + 1]]
         t = -(-pct * int(sizes[q]) // 100)  # the least overlap with any set that is similar enough
@@ -260,7 +259,7 @@ def _search_blocks(size: int, pct: int) -> Callable:
     """Rows sorted by (grp, i, j) -> edges of a spanning forest, and the links of each document."""
     out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
 
-    def block(ids: list[int], sets: list[np.ndarray], side: list[int], copies: list[int]) -> pa.RecordBatch:
+    def block(ids: list[int], sets: list[np.ndarray], side: list[int], copies: list[int], crossing: bool) -> pa.RecordBatch:
         n = len(ids)
         root = list(range(n))
 
@@ -273,7 +272,7 @@ def _search_blocks(size: int, pct: int) -> Callable:
         many = np.array(copies, dtype=np.int64)
         links = np.zeros(n, dtype=np.int64)
         a, b = [], []
-        for q, cand in search(sets, np.array(side), pct):
+        for q, cand in search(sets, np.array(side), pct, crossing):
             links[q] += many[cand].sum()
             links[cand] += many[q]
             for y in cand.tolist():
@@ -299,7 +298,7 @@ def _search_blocks(size: int, pct: int) -> Callable:
                     now = (cols["grp"][k], cols["i"][k], cols["j"][k])
                     if now != key:
                         if len(ids) > 1:
-                            yield block(ids, sets, side, copies)
+                            yield block(ids, sets, side, copies, key[1] != key[2])
                         key, ids, sets, side, copies = now, [], [], [], []
                     if ids and ids[-1] == cols["rep"][k]:
                         continue  # a repeated row
@@ -310,7 +309,7 @@ def _search_blocks(size: int, pct: int) -> Callable:
                         side.append(cols["b"][k])
                         copies.append(cols["copies"][k])
         if len(ids) > 1:
-            yield block(ids, sets, side, copies)
+            yield block(ids, sets, side, copies, key[1] != key[2])
 
     return run
 

@@ -25,13 +25,16 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the common lines cut out of the text, plus ``n_lines`` and ``n_dropped``."""
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text", distinct_texts: bool = False) -> DataFrame:
+    """``docs`` with the common lines cut out of the text, plus ``n_lines`` and ``n_dropped``.
+
+    With ``distinct_texts`` documents of equal texts count as one.
+    """
     slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
     keyed = slim.select("id", "t", "pos", F.btrim(lower_ascii(F.col("line")), F.lit(BLANK)).alias("key"))
     # two seeds, so 128 independent bits stand for a line
     hashed = keyed.where(F.length("key") >= max(min_chars, 1)).select("id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    common = hashed.groupBy("h1", "h2").agg(F.count_distinct(F.struct("id")).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
+    common = hashed.groupBy("h1", "h2").agg(F.count_distinct(F.col("t") if distinct_texts else F.struct("id")).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
     drops = hashed.join(common, ["h1", "h2"], "left_semi").groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("row_id"), F.xxhash64(docs[text_col]).alias("row_t"), docs[text_col].alias("row_text"))
