@@ -111,6 +111,11 @@ def _batch(rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
 
+def _dealt(ids: np.ndarray, reducers: int) -> np.ndarray:
+    """Reducers for rows that only pass through, spread over all of them."""
+    return (mix(ids.astype(np.uint64)) % _U(reducers)).astype(np.int32)
+
+
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
     """Two 64-bit hashes of a set."""
     h1 = np.sum(mix(shingles ^ _U(0x2545F4914F6CDD1D)), dtype=np.uint64)
@@ -132,7 +137,7 @@ def _scan(size: int, pct: int, reducers: int) -> Callable:
             hashes, owners, held = [], [], 0
             a, b, first = _meet(h, ids)
             if len(a):
-                yield _batch(len(a), kind=np.full(len(a), 1, dtype=np.int32), id=a, other=b)
+                yield _batch(len(a), kind=np.full(len(a), 1, dtype=np.int32), id=a, other=b, r=_dealt(a, reducers))
             h, ids = h[first], ids[first]
             to = (h % _U(reducers)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -163,9 +168,7 @@ def _scan(size: int, pct: int, reducers: int) -> Callable:
                             held += len(p)
                 if held >= FLUSH:
                     yield from flush()
-            # dealt like the part hashes, so that documents spread over all reducers
-            r = (mix(values.astype(np.uint64)) % _U(reducers)).astype(np.int32)
-            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, n=n, h1=h1, h2=h2, r=r)
+            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, n=n, h1=h1, h2=h2, r=_dealt(values, reducers))
         yield from flush()
 
     return run
