@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, mixing, quality
+from . import decontaminate, jaccard_join, line_dedup, mixing, quality, secrets
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_secret_scan": secrets.op4_secret_scan,
     "op7_source_mix": mixing.op7_source_mix,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
