@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, line_dedup, mixing, quality, secrets, warc
+from . import decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op2_pii": pii.op2_pii,
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_language_id": langid.op5_language_id,
     "op6_warc": warc.op6_warc,
