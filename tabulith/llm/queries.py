@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, line_dedup, mixing, pii, quality, secrets, warc
+from . import decontaminate, jaccard_join, langid, licenses, line_dedup, mixing, pii, quality, secrets, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_language_id": langid.op5_language_id,
     "op6_warc": warc.op6_warc,
     "op7_source_mix": mixing.op7_source_mix,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
 }
@@ -20,5 +21,6 @@ SQL = {
     "op1_decontamination": decontaminate.OP1_SQL,
     "op3_line_dedup": line_dedup.OP3_SQL,
     "op6_warc": warc.OP6_SQL,
+    "op8_license_scan": licenses.OP8_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
 }
