@@ -2,12 +2,14 @@
 
 Three steps, each linear in what it ships:
 
-1. *Routing.* A document's shingle hashes are dealt into k parts by their high bits. Two sets of the
-   same size class that reach the similarity differ in at most k - 2 shingles, so at least two parts
-   agree whole. Each part's hash goes to a reducer once per task (a hash seen before in the task
-   becomes an edge at once, so a hot group sends one entry per task, not one per row). Equal part
-   hashes make edges; their components are groups outside of which no link can be. A part that is
-   empty counts only where a document has two of them; a pair without a filled part in common has.
+1. *Routing.* A pair that reaches the similarity shares at least T = pct% of either set, so it shares
+   one of the n - T + 1 rarest shingles of either: those are a document's short lists, the rest its
+   long lists. Rare means few occurrences in a sketch of ``COUNTERS`` counters over all shingles of
+   all documents (bounded, so it may be broadcast); any order of shingles that all documents share
+   keeps the search exact, the counts only keep frequent passages out of the short lists. Entries of
+   the short lists go to a reducer once per task and list (a shingle seen before in the task becomes
+   an edge at once, so a hot group sends one entry per task, not one per row). Documents on the same
+   short list make edges; their components are groups outside of which no link can be.
 2. *T-occurrence search.* Per group, equal sets are collapsed to one representative with its number
    of copies. The shingles' inverted lists are split as DivideSkip does: the longest lists are set
    aside, the short ones are merged, and documents found often enough in them are probed in the long
@@ -22,7 +24,6 @@ a shingle is one shingle; a null id is never linked; rows that share an id are o
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,10 @@ from .common import replaced, stage, table
 from .components import connected_components
 from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 
-#: Part hashes that a task holds before it sends them on.
+#: Counters of the sketch, a power of two from 2**16 on: 2**22 (4 MB) tells shingles of a few hundred
+#: documents from rare ones in some 30 GB of text, 2**26 (64 MB) those of some thousands in 100 TB.
+COUNTERS = 1 << 22
+#: Entries of short lists that a task holds before it sends them on.
 FLUSH = 4_000_000
 #: Shingles that one block of a large group holds.
 BLOCK = 1_000_000
@@ -42,42 +46,63 @@ SPREAD = 4
 _U = np.uint64
 
 
-@lru_cache(maxsize=None)
-def _classes(pct: int) -> np.ndarray:
-    """Lower bounds of the size classes; sets two classes apart can't be similar enough."""
-    ratio, at, out = max(1.5, 100 / pct), 1, []
-    while at < 1 << 40:
-        out.append(at)
-        at = max(at + 1, int(np.ceil(ratio * at)))
-    return np.array(out, dtype=np.int64)
+def rarest(shingles: np.ndarray, pct: int, levels: np.ndarray) -> np.ndarray:
+    """Keys of the shingles of a set that must hold one in common with any set that is similar enough."""
+    n = len(shingles)
+    k = n - -(-pct * n // 100) + 1
+    rare = levels[(mix(shingles) & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
+    keys = (rare << _U(56)) | (shingles >> _U(8))
+    return np.partition(keys, k - 1)[:k] if k < n else keys
 
 
-@lru_cache(maxsize=100_000)
-def _cuts(pct: int, c: int) -> np.ndarray:
-    """Bounds on a shingle hash's high 32 bits that deal it into the parts of class c."""
-    largest = int(_classes(pct)[c + 1]) - 1
-    differing = 2 * largest * (100 - pct) // (100 + pct)
-    parts = differing + 2 if differing else 1
-    return (np.arange(parts + 1, dtype=np.float64) * (2.0**32 / parts)).astype(np.uint64)
+def _count(size: int) -> Callable:
+    """The occurrences that each counter gets from a task, in blocks of 65536 counters."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.uint32)
+        for batch in batches:
+            for s in slices(batch.column(0), NOT_BLANK):
+                words = s.hashes(lowered=True)
+                sets = [distinct_shingles(words[s.first[d] : s.first[d + 1]], size) for d in range(len(s))]
+                at = (mix(np.concatenate(sets)) & _U(COUNTERS - 1)).astype(np.int64)
+                if len(at) * 8 > COUNTERS:
+                    total += np.bincount(at, minlength=COUNTERS).astype(np.uint32)
+                else:
+                    np.add.at(total, at, 1)
+        for b in range(COUNTERS >> 16):
+            own = np.minimum(total[b << 16 : (b + 1) << 16], 65535).astype(np.uint16)
+            some = np.flatnonzero(own)
+            if len(some):
+                dense = len(some) > 32768
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([b"" if dense else some.astype(np.uint16).tobytes()]), pa.array([own.tobytes() if dense else own[some].tobytes()])], names=["block", "at", "n"])
 
-def part_hashes(shingles: np.ndarray, pct: int) -> np.ndarray:
-    """The hashes of a set's parts, for its own size class and where it can meet the next one."""
-    n = len(shingles)
-    if not n:
-        return shingles
-    bounds = _classes(pct)
-    own = int(np.searchsorted(bounds, n, side="right")) - 1
-    high = shingles >> _U(32)
-    total = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(mix(shingles ^ _U(0x5851F42D4C957F2D)), dtype=np.uint64)])
-    out = []
-    for c in (own, own + 1) if 100 * n >= pct * int(bounds[own + 1]) else (own,):
-        at = np.searchsorted(high, _cuts(pct, c))
-        empty = at[1:] == at[:-1]
-        part = np.arange(len(empty), dtype=np.uint64)
-        h = mix((total[at[1:]] - total[at[:-1]]) + mix(part * _U(0x9E3779B97F4A7C15) + _U(c)))
-        out.append(h if empty.sum() >= 2 else h[~empty])
-    return np.concatenate(out)
+    return run
+
+
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counters' sums, on a scale of 8 steps to each doubling."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for b, at, n in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = total.setdefault(b, np.zeros(65536, dtype=np.int64))
+            n = np.frombuffer(n, dtype=np.uint16)
+            if at:
+                own[np.frombuffer(at, dtype=np.uint16)] += n
+            else:
+                own += n
+    for b, own in total.items():
+        level = np.minimum(8 * np.log2(1.0 + own), 255).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([level.tobytes()])], names=["block", "level"])
+
+
+def shingle_levels(slim: DataFrame, size: int) -> np.ndarray:
+    """How frequent shingles are, by counter: one byte for each of COUNTERS, whatever the input's size."""
+    counted = slim.select("text").mapInArrow(_count(size), "block int, at binary, n binary")
+    summed = counted.repartition("block").mapInArrow(_add_up, "block int, level binary")
+    levels = np.zeros(COUNTERS, dtype=np.uint8)
+    for r in summed.collect():  # COUNTERS bytes
+        levels[r["block"] << 16 : (r["block"] + 1) << 16] = np.frombuffer(r["level"], dtype=np.uint8)
+    return levels
 
 
 def _runs(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +126,7 @@ def _meet(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return pairs[:, 0], pairs[:, 1], order[head]
 
 
-#: kind 0: a document (id, n, h1, h2); 1: an edge (id, other); 2: part hashes for reducer r.
+#: kind 0: a document (id, n, h1, h2); 1: an edge (id, other); 2: entries of short lists for reducer r.
 _SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
 _SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, r int, hashes binary, ids binary"
 
@@ -123,7 +148,7 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int(h1.astype(np.int64)), int(h2.astype(np.int64))
 
 
-def _scan(size: int, pct: int, reducers: int) -> Callable:
+def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
@@ -162,7 +187,7 @@ def _scan(size: int, pct: int, reducers: int) -> Callable:
                     if len(u):
                         h1[k], h2[k] = _set_hash(u)
                         if known[k]:
-                            p = part_hashes(u, pct)
+                            p = rarest(u, pct, levels.value)
                             hashes.append(p)
                             owners.append(np.full(len(p), values[k]))
                             held += len(p)
@@ -175,7 +200,7 @@ def _scan(size: int, pct: int, reducers: int) -> Callable:
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Equal part hashes from different tasks become edges; other rows pass through."""
+    """Entries of one list from different tasks become edges; other rows pass through."""
     found: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
         kind = batch.column(0).to_numpy(zero_copy_only=False)
@@ -326,7 +351,8 @@ def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str =
     spark = docs.sparkSession
     reducers = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    rows = stage(slim.mapInArrow(_scan(size, pct, reducers), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce, _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2"))
+    levels = spark.sparkContext.broadcast(shingle_levels(slim, size))
+    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce, _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2"))
     sets = rows.where("kind = 0").select("id", "n", "h1", "h2")
     grouped = connected_components(rows.where("kind = 1"), "id", "other").withColumnRenamed("component", "grp")
 
