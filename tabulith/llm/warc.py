@@ -228,8 +228,9 @@ def read_warc(archives: DataFrame, with_payload: bool = True) -> DataFrame:
 
     A record that fails a check keeps what could be read and says why in ``error``.
     """
-    names = archives.select("archive")
-    return names.repartition(F.col("archive")).mapInArrow(_read(with_payload), _READ)
+    # their rows are tiny: a number keeps adaptive execution from giving all archives to one task
+    tasks = max(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), archives.count() // 16)
+    return archives.select("archive").repartition(tasks, "archive").mapInArrow(_read(with_payload), _READ)
 
 
 def op6_warc(spark, sf_dir: str) -> DataFrame:
