@@ -1,0 +1 @@
+"""Operators from glyphs on pages to checked tables."""
