@@ -6,10 +6,12 @@ Three steps, each linear in what it ships:
    one of the n - T + 1 rarest shingles of either: those are a document's short lists, the rest its
    long lists. Rare means few occurrences in a sketch of ``COUNTERS`` counters over all shingles of
    all documents (bounded, so it may be broadcast); any order of shingles that all documents share
-   keeps the search exact, the counts only keep frequent passages out of the short lists. Entries of
-   the short lists go to a reducer once per task and list (a shingle seen before in the task becomes
-   an edge at once, so a hot group sends one entry per task, not one per row). Documents on the same
-   short list make edges; their components are groups outside of which no link can be.
+   keeps the search exact, the counts only keep frequent passages out of the short lists. Documents
+   on the same list make pairs, and a pair goes on if sizes and histograms of shingles allow the
+   similarity, a bound that no linked pair breaks. A list of over ``PAIRS`` entries makes edges to its
+   first entry instead, so a hot group costs one edge per row; a task ends such lists itself and sends
+   one entry on, and of equal sets in a task one stands for all. The components of pairs and edges are
+   groups outside of which no link can be.
 2. *T-occurrence search.* Per group, equal sets are collapsed to one representative with its number
    of copies. The shingles' inverted lists are split as DivideSkip does: the longest lists are set
    aside, the short ones are merged, and documents found often enough in them are probed in the long
@@ -39,6 +41,10 @@ from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 COUNTERS = 1 << 22
 #: Entries of short lists that a task holds before it sends them on.
 FLUSH = 4_000_000
+#: Lists of up to so many entries are taken apart into pairs, longer ones into edges to their first.
+PAIRS = 64
+#: Bins of a document's histogram of shingles.
+BINS = 128
 #: Shingles that one block of a large group holds.
 BLOCK = 1_000_000
 #: Reducers' keys for each shuffle partition.
@@ -105,30 +111,50 @@ def shingle_levels(slim: DataFrame, size: int) -> np.ndarray:
     return levels
 
 
-def _runs(order_by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order, and for each place in it the place where its run of equal values began."""
-    order = np.argsort(order_by, kind="stable")
-    s = order_by[order]
-    new = np.ones(len(s), dtype=bool)
-    new[1:] = s[1:] != s[:-1]
-    return order, np.flatnonzero(new)[np.cumsum(new) - 1]
-
-
-def _meet(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct edges from each id to the first one with the same hash; the places of the first ones."""
-    order, begin = _runs(hashes)
-    head = begin == np.arange(len(begin))
-    a, b = ids[order[~head]], ids[order[begin[~head]]]
-    pairs = np.stack([a, b], axis=1)[a != b]
+def _distinct(pairs: np.ndarray) -> np.ndarray:
+    """Distinct rows (a, b) with a > b, without loops."""
+    pairs = np.stack([pairs.max(axis=1), pairs.min(axis=1)], axis=1)[pairs[:, 0] != pairs[:, 1]] if len(pairs) else pairs
     if len(pairs):
         pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
         pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])]
-    return pairs[:, 0], pairs[:, 1], order[head]
+    return pairs
+
+
+def _lists(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries in the order of their lists, with the start and length of each list."""
+    order = np.argsort(hashes, kind="stable")
+    h, ids = hashes[order], ids[order]
+    start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
+    return h, ids, start, np.diff(np.append(start, len(h)))
+
 
+def _stars(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Edges from each entry of a list to its first."""
+    at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(start) else np.empty(0, dtype=np.int64)
+    return _distinct(np.stack([ids[at], ids[np.repeat(start, length)]], axis=1))
 
-#: kind 0: a document (id, n, h1, h2); 1: an edge (id, other); 2: entries of short lists for reducer r.
-_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, r int, hashes binary, ids binary"
+
+def _pairs(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """All pairs of each list; lists are short."""
+    out = [np.empty((0, 2), dtype=np.int64)]
+    for n in np.unique(length[length > 1]):
+        own = ids[start[length == n][:, None] + np.arange(n)]
+        i, j = np.triu_indices(n, 1)
+        out.append(np.stack([own[:, i].ravel(), own[:, j].ravel()], axis=1))
+    return _distinct(np.concatenate(out))
+
+
+def histogram(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles fall to each of BINS, 255 at most.
+
+    The bins of two sets differ, summed up, by no more than the sets do.
+    """
+    return np.minimum(np.bincount(((shingles >> _U(8)) % _U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
+#: kind 0: a document (id, n, h1, h2, bins); 1: an edge (id, other); 3: a pair that may link; 2: entries of short lists for reducer r.
+_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bins", pa.binary()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
+_SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, bins binary, r int, hashes binary, ids binary"
 
 
 def _batch(rows: int, **columns) -> pa.RecordBatch:
@@ -154,30 +180,41 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
         owners: list[np.ndarray] = []
         held = 0
 
+        first_of: dict[tuple[int, int], int] = {}
+        copies: list[tuple[int, int]] = []
+
+        def edges(pairs: np.ndarray) -> pa.RecordBatch:
+            return _batch(len(pairs), kind=np.full(len(pairs), 1, dtype=np.int32), id=pairs[:, 0], other=pairs[:, 1], r=_dealt(pairs[:, 0], reducers))
+
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal hashes, owners, held
-            if not held:
-                return
-            h, ids = np.concatenate(hashes), np.concatenate(owners)
-            hashes, owners, held = [], [], 0
-            a, b, first = _meet(h, ids)
-            if len(a):
-                yield _batch(len(a), kind=np.full(len(a), 1, dtype=np.int32), id=a, other=b, r=_dealt(a, reducers))
-            h, ids = h[first], ids[first]
-            to = (h % _U(reducers)).astype(np.int64)
-            order = np.argsort(to, kind="stable")
-            h, ids, to = h[order], ids[order], to[order]
-            at = np.searchsorted(to, np.arange(reducers + 1))
-            full = np.flatnonzero(at[1:] > at[:-1])
-            for some in np.array_split(full, max(1, len(full) // 256)):
-                if len(some):
+            nonlocal hashes, owners, held, copies
+            if copies:
+                yield edges(np.array(copies, dtype=np.int64))
+            if held:
+                h, ids, start, length = _lists(np.concatenate(hashes), np.concatenate(owners))
+                hot = length > PAIRS
+                if hot.any():
+                    yield edges(_stars(ids, start[hot], length[hot]))
+                    # the first one goes on often enough to make the list a hot one for its reducer too
+                    times = np.repeat(np.where(hot, 0, 1), length)
+                    times[start[hot]] = PAIRS + 1
+                    h, ids = np.repeat(h, times), np.repeat(ids, times)
+                to = (h % _U(reducers)).astype(np.int64)
+                order = np.argsort(to, kind="stable")
+                h, ids, to = h[order], ids[order], to[order]
+                at = np.searchsorted(to, np.arange(reducers + 1))
+                full = np.flatnonzero(at[1:] > at[:-1])
+                for some in np.array_split(full, max(1, len(full) // 256)):
                     yield _batch(len(some), kind=np.full(len(some), 2, dtype=np.int32), r=some.astype(np.int32), hashes=pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), ids=pa.array([ids[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()))
+            hashes, owners, held, copies = [], [], 0, []
+            first_of.clear()
 
         for batch in batches:
             ids = batch.column(0)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             values = ids.fill_null(0).to_numpy(zero_copy_only=False)
             n, h1, h2 = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
+            bins: list[bytes | None] = [None] * len(ids)
             for s in slices(batch.column(1), NOT_BLANK):
                 words = s.hashes(lowered=True)
                 for d in range(len(s)):
@@ -186,39 +223,66 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
                     n[k] = len(u)
                     if len(u):
                         h1[k], h2[k] = _set_hash(u)
-                        if known[k]:
-                            p = rarest(u, pct, levels.value)
-                            hashes.append(p)
-                            owners.append(np.full(len(p), values[k]))
-                            held += len(p)
+                        if not known[k]:
+                            continue
+                        bins[k] = histogram(u)
+                        first = first_of.setdefault((h1[k], h2[k]), values[k])
+                        if first != values[k]:  # an equal set of this task stands for it
+                            copies.append((values[k], first))
+                            continue
+                        p = rarest(u, pct, levels.value)
+                        hashes.append(p)
+                        owners.append(np.full(len(p), values[k]))
+                        held += len(p)
                 if held >= FLUSH:
                     yield from flush()
-            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, n=n, h1=h1, h2=h2, r=_dealt(values, reducers))
+            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, n=n, h1=h1, h2=h2, bins=pa.array(bins, pa.binary()), r=_dealt(values, reducers))
         yield from flush()
 
     return run
 
 
 def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of one list from different tasks become edges; other rows pass through."""
+    """Short lists become all their pairs, hot ones edges to their first entry; other rows pass through."""
     found: dict[int, list[tuple[bytes, bytes]]] = {}
     for batch in batches:
-        kind = batch.column(0).to_numpy(zero_copy_only=False)
-        part = np.flatnonzero(kind == 2)
-        if len(part):
-            own = batch.take(pa.array(part))
-            for r, h, i in zip(own.column(6).to_pylist(), own.column(7).to_pylist(), own.column(8).to_pylist(), strict=True):
+        kind = batch.column("kind").to_numpy(zero_copy_only=False)
+        entries = np.flatnonzero(kind == 2)
+        if len(entries):
+            own = batch.take(pa.array(entries))
+            for r, h, i in zip(*[own.column(c).to_pylist() for c in ("r", "hashes", "ids")], strict=True):
                 found.setdefault(r, []).append((h, i))
         rest = np.flatnonzero(kind != 2)
         if len(rest):
-            yield batch.take(pa.array(rest)) if len(part) else batch
+            yield batch.take(pa.array(rest)) if len(entries) else batch
+    pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
     while found:
         _, blobs = found.popitem()
-        h = np.frombuffer(b"".join(x[0] for x in blobs), dtype=np.uint64)
-        ids = np.frombuffer(b"".join(x[1] for x in blobs), dtype=np.int64)
-        a, b, _ = _meet(h, ids)
-        if len(a):
-            yield _batch(len(a), kind=np.full(len(a), 1, dtype=np.int32), id=a, other=b)
+        _, ids, start, length = _lists(np.frombuffer(b"".join(x[0] for x in blobs), dtype=np.uint64), np.frombuffer(b"".join(x[1] for x in blobs), dtype=np.int64))
+        hot = length > PAIRS
+        star = _stars(ids, start[hot], length[hot])
+        if len(star):
+            yield _batch(len(star), kind=np.full(len(star), 1, dtype=np.int32), id=star[:, 0], other=star[:, 1])
+        pairs.append(_pairs(ids, start[~hot], length[~hot]))
+        waiting += len(pairs[-1])
+        if waiting > FLUSH or not found:
+            p = _distinct(np.concatenate(pairs))
+            pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+            if len(p):
+                yield _batch(len(p), kind=np.full(len(p), 3, dtype=np.int32), id=p[:, 0], other=p[:, 1])
+
+
+def _possible(pct: int) -> Callable:
+    """Pairs (id, other) whose sizes and bins allow the similarity. Rows: id, other, n, m, bins, bins2."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins", "bins2"))
+            ok = (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (np.abs(a - b).sum(axis=1) * (100 + pct) <= (n + m) * (100 - pct))
+            yield batch.select(["id", "other"]).take(pa.array(np.flatnonzero(ok)))
+
+    return run
 
 
 def search(sets: list[np.ndarray], side: np.ndarray, pct: int, crossing: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -352,9 +416,14 @@ def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str =
     reducers = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(slim, size))
-    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce, _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2"))
+    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce, _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2", "bins"))
     sets = rows.where("kind = 0").select("id", "n", "h1", "h2")
-    grouped = connected_components(rows.where("kind = 1"), "id", "other").withColumnRenamed("component", "grp")
+    # rows that share an id are compared in every combination
+    bins = rows.where("kind = 0 and bins is not null").select(F.col("id").alias("k"), "n", "bins").distinct()
+    left = rows.where("kind = 3").select("id", "other").distinct().join(bins, F.col("id") == F.col("k")).drop("k")
+    both = left.join(bins.select("k", F.col("n").alias("m"), F.col("bins").alias("bins2")), F.col("other") == F.col("k")).drop("k")
+    edges = rows.where("kind = 1").select("id", "other").unionByName(both.select("id", "other", "n", "m", "bins", "bins2").mapInArrow(_possible(pct), "id long, other long"))
+    grouped = connected_components(edges, "id", "other").withColumnRenamed("component", "grp")
 
     members = sets.where("n > 0").join(grouped, sets.id == grouped.node).select("id", "n", "h1", "h2", "grp")
     reps = stage(members.groupBy("grp", "h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
