@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions import scalars as s
 
@@ -26,7 +27,7 @@ def resolve_exact(labels: DataFrame, master: DataFrame, label: str) -> DataFrame
     return keyed.join(_master(master), "key").select(label, "entity")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """The sequence similarity of two keys, the master's first: the measure is not symmetric."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
