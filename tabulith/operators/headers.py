@@ -68,7 +68,7 @@ def parse_headers(in_columns: DataFrame) -> DataFrame:
     """(col, name, unit, year) of each column from its blocks, top to bottom."""
     ordered = F.array_sort(F.collect_list(F.struct("line_top", "block", F.trim("text").alias("text"))))
     lines = in_columns.groupBy(*PAGE, "col").agg(F.transform(ordered, lambda x: x["text"]).alias("raw"))
-    clean = F.filter(F.transform("raw", s.column_name), lambda x: x != "")
+    clean = F.filter(F.transform("raw", lambda x: s.column_name(x)), lambda x: x != "")
     parts = F.transform(clean, lambda x: F.struct(x.alias("line"), s.without_years(x).alias("name"), s.only_years(x).alias("years")))
     return lines.select(*PAGE, "col", s.unit_of(F.array_join("raw", " ")).alias("unit"), parts.alias("parts")).select(*PAGE, "col", "unit", *_name_and_year(F.col("parts")))
 

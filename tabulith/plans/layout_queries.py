@@ -84,7 +84,7 @@ def _anchors(spark, d) -> DataFrame:
     from ..operators.entities import resolve_exact
 
     ln = v.lines(spark, d)
-    master = v.read(spark, d, "nation").select(F.col("n_name").alias("entity"))
+    master = v.entities(spark, d)
     return y.anchors(ln, resolve_exact(ln.select("label").distinct(), master, "label"), PHRASE)
 
 
@@ -150,11 +150,11 @@ _EDGES = {
     "edges": f"SELECT doc_id, page_no, coalesce(a.edges, b.edges) AS edges FROM ({_RULED}) a FULL JOIN ({_gutter('body', 'median(x1 - x0) * 1.5')}) b USING (doc_id, page_no)",
 }
 _TEXT = lambda c: f"array_to_string(list_transform({c}, lambda e: format('{{:.1f}}', e)), ',')"
-_ANCHORS = r"""SELECT doc_id, page_no, line_top, CASE WHEN NOT is_total THEN n_name END AS entity, is_total FROM (
-  SELECT l.*, n_name, contains(q, 'kabupaten tasikmalaya') AND NOT contains(q, 'dalam') AS is_total
+_ANCHORS = r"""SELECT doc_id, page_no, line_top, CASE WHEN NOT is_total THEN entity END AS entity, is_total FROM (
+  SELECT l.*, entity, contains(q, 'kabupaten tasikmalaya') AND NOT contains(q, 'dalam') AS is_total
   FROM (SELECT *, regexp_replace(lower(label), '[^a-z ]', ' ', 'g') AS q, lower(regexp_replace(regexp_replace(label, '^\s*[0-9]+[.)]?\s*', ''), '[^A-Za-z]', '', 'g')) AS key FROM lines) l
-  LEFT JOIN (SELECT n_name, lower(regexp_replace(n_name, '[^A-Za-z]', '', 'g')) AS nkey FROM nation) ON key = nkey AND key <> '')
-WHERE n >= 3 AND line_top >= 130 AND (is_total OR n_name IS NOT NULL)"""
+  LEFT JOIN (SELECT entity, lower(entity) AS nkey FROM entities) ON key = nkey AND key <> '')
+WHERE n >= 3 AND line_top >= 130 AND (is_total OR entity IS NOT NULL)"""
 _COLNUM = r"regexp_full_match(trim(text), '(?:\(\d+\)\s*){2,}')"
 _NOTE = r"regexp_matches(text, 'Catatan/|Sumber/|Note\s*:|Source\s*:')"
 
@@ -191,9 +191,9 @@ SQL = {
         coalesce(min(line_top) FILTER (WHERE starts_with(trim(text), '(1)') AND (stop IS NULL OR line_top < stop)) + 4, 150) AS old_top, coalesce(min(stop) - 2, 540) AS old_bottom
         FROM (SELECT *, min(CASE WHEN {_NOTE} THEN line_top END) OVER (PARTITION BY doc_id, page_no) AS stop FROM lines) GROUP BY ALL""",
     ),
-    "b19_anchors": v.with_views("lines", _ANCHORS),
+    "b19_anchors": v.with_views("lines entities", _ANCHORS),
     "b20_bands": v.with_views(
-        "lines words",
+        "lines words entities",
         """SELECT w.doc_id, w.page_no, w.seq, line_top, entity, lo, hi FROM words w JOIN (
         SELECT *, coalesce((lag(line_top) OVER p + line_top) / 2, line_top - 5) AS lo, coalesce((lead(line_top) OVER p + line_top) / 2, line_top + 6) AS hi FROM a WINDOW p AS (PARTITION BY doc_id, page_no ORDER BY line_top)) b
         ON w.doc_id = b.doc_id AND w.page_no = b.page_no AND lo < w.top * 2 AND w.top * 2 <= hi""",

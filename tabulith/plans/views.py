@@ -181,7 +181,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of pages: text with column numbers and notes among it, a label, and two cells, by key."""
     w = read(spark, sf_dir, "conversations").where("text is not null").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), F.posexplode(F.split("text", " ")).alias("i", "word"))
     m = F.col("doc_id") * 3 + F.col("page_no") + F.col("i")
-    label = F.when(m % 5 == 0, "").when(m % 13 == 0, "Kabupaten Tasikmalaya").when(m % 17 == 0, "BRAZIL").when(m % 19 == 0, "12. Peru").when(m % 23 == 0, "Ve–tnam").otherwise(F.col("word"))
+    label = F.when(m % 5 == 0, "").when(m % 13 == 0, "Kabupaten Tasikmalaya").when(m % 17 == 0, "SubCowville").when(m % 19 == 0, "12. subfjdville").when(m % 23 == 0, "Ve–tnam").otherwise(F.col("word"))
     value = F.when(m % 4 == 0, "").when(m % 6 == 1, "–").otherwise(m.cast("string"))
     return w.select(
         "doc_id", "page_no", (F.lit(100.0) + F.col("i") * 12.5).alias("line_top"), (m % 7).cast("long").alias("n"), label.alias("label"),
@@ -193,6 +193,16 @@ SQL["lines"] = """
 SELECT doc_id, page_no, 100::DOUBLE + i * 12.5 AS line_top, m % 7 AS n, label,
        CASE WHEN m % 31 = 3 THEN '(1) (2)(3)' WHEN m % 37 = 5 THEN 'Sumber/Source: BPS' WHEN m % 29 = 7 THEN 'see (4) here' ELSE word END AS text,
        [label, CASE WHEN m % 4 = 0 THEN '' WHEN m % 6 = 1 THEN '–' ELSE m::VARCHAR END, ''] AS cols
-FROM (SELECT *, CASE WHEN m % 5 = 0 THEN '' WHEN m % 13 = 0 THEN 'Kabupaten Tasikmalaya' WHEN m % 17 = 0 THEN 'BRAZIL' WHEN m % 19 = 0 THEN '12. Peru' WHEN m % 23 = 0 THEN 'Ve–tnam' ELSE word END AS label
+FROM (SELECT *, CASE WHEN m % 5 = 0 THEN '' WHEN m % 13 = 0 THEN 'Kabupaten Tasikmalaya' WHEN m % 17 = 0 THEN 'SubCowville' WHEN m % 19 = 0 THEN '12. subfjdville' WHEN m % 23 = 0 THEN 'Ve–tnam' ELSE word END AS label
       FROM (SELECT doc_id, page_no, i, p[i + 1] AS word, doc_id * 3 + page_no + i AS m
             FROM (SELECT doc_id, page_no, p, unnest(range(0, len(p))) AS i FROM (SELECT conv_id AS doc_id, turn AS page_no, string_split(text, ' ') AS p FROM conversations WHERE text IS NOT NULL))))"""
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A master list with spelt names, one a nation."""
+    k = F.col("n_nationkey")
+    name = F.concat(F.lit("Sub"), F.char(F.lit(65) + k), F.char(F.lit(97) + k * 7 % 26), F.char(F.lit(97) + k * 11 % 26), F.lit("ville"))
+    return read(spark, sf_dir, "nation").select(k.alias("entity_id"), name.alias("entity"))
+
+
+SQL["entities"] = "SELECT n_nationkey AS entity_id, 'Sub' || chr(65 + n_nationkey) || chr(97 + n_nationkey * 7 % 26) || chr(97 + n_nationkey * 11 % 26) || 'ville' AS entity FROM nation"
