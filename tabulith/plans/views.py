@@ -54,7 +54,7 @@ def long_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.concat((F.col("r_regionkey") + 1).cast("string"), F.lit("."), (F.col("n_nationkey") + 1).cast("string"), F.lit(".1"))
     indicator = F.when(ln % 4 == 0, F.when(k % 2 == 0, "Luas - Panen").otherwise("luas – panen")).when(ln % 4 == 1, "Produksi").when(ln % 4 == 2, F.when(k % 3 == 0, "Jumlah Desa / Kota").otherwise("Jumlah Desa/Kota")).otherwise("Rata  Rata")
     return j.select(
-        (k * 10 + ln).alias("_seq"),
+        (((k * 10 + ln) * 100000 + F.col("l_partkey")) * 10000 + F.col("l_suppkey")).alias("_seq"),
         F.col("r_name").alias("chapter"),
         F.when(k % 97 == 0, "  ").otherwise(number).alias("table_no"),
         F.concat(F.lit("Tabel "), F.col("n_name"), F.lit(" Menurut Kecamatan")).alias("title"),
@@ -133,7 +133,7 @@ SELECT p_partkey AS name_id, CASE p_partkey % 10 WHEN 0 THEN upper(p_name) WHEN
        WHEN 5 THEN p_name || '/Total ' || p_name WHEN 6 THEN p_name || ' 2019/2020' WHEN 7 THEN '12. ' || p_name WHEN 8 THEN 'Kota ' || p_name || ' Menurut Kecamatan' ELSE p_name END AS name, p_name AS original, p_size AS size
 FROM part""",
     "long_rows": """
-SELECT l_orderkey * 10 + l_linenumber AS _seq, r_name AS chapter,
+SELECT ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS _seq, r_name AS chapter,
        CASE WHEN l_orderkey % 97 = 0 THEN '  ' ELSE (r_regionkey + 1)::VARCHAR || '.' || (n_nationkey + 1)::VARCHAR || '.1' END AS table_no,
        'Tabel ' || n_name || ' Menurut Kecamatan' AS title, 'Table ' || n_name AS title_en,
        CASE WHEN l_orderkey % 13 = 0 THEN 'Kabupaten ' || n_name WHEN l_orderkey % 29 = 0 THEN '' ELSE s_name END AS region,
