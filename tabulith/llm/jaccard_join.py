@@ -17,7 +17,7 @@ Three steps, each linear in what it ships:
    aside, the short ones are merged, and documents found often enough in them are probed in the long
    lists. A document is kept when its overlap reaches what the similarity asks of the two sizes.
    Large groups are dealt into blocks of bounded size and every two blocks meet in one task.
-3. *Groups.* Each task sends a spanning forest of its links, not the links; components join them.
+3. *Groups.* Each task sends stars of linked documents, not the links; components join those of blocks.
 
 Defined cases: null or blank text has no shingles and links with nothing; a text of fewer words than
 a shingle is one shingle; a null id is never linked; rows that share an id are one node.
@@ -40,9 +40,9 @@ from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 #: documents from rare ones in some 30 GB of text, 2**26 (64 MB) those of some thousands in 100 TB.
 COUNTERS = 1 << 22
 #: Entries of short lists that a task holds before it sends them on.
-FLUSH = 4_000_000
+FLUSH = 1_000_000
 #: Lists of up to so many entries are taken apart into pairs, longer ones into edges to their first.
-PAIRS = 64
+PAIRS = 8
 #: Bins of a document's histogram of shingles.
 BINS = 128
 #: Shingles that one block of a large group holds.
@@ -348,49 +348,45 @@ def search(sets: list[np.ndarray], side: np.ndarray, pct: int, crossing: bool) -
 
 
 def _search_blocks(size: int, pct: int) -> Callable:
-    """Rows sorted by (grp, i, j) -> edges of a spanning forest, and the links of each document."""
-    out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64())])
-
-    def block(ids: list[int], sets: list[np.ndarray], side: list[int], copies: list[int], crossing: bool) -> pa.RecordBatch:
-        n = len(ids)
-        root = list(range(n))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
+    """Rows sorted by (grp, i, j) -> stars of linked documents, and the number of links of each."""
+    out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64()), ("whole", pa.bool_())])
 
+    def block(ids: list[int], sets: list[np.ndarray], side: list[int], copies: list[int], key: tuple) -> pa.RecordBatch:
         many = np.array(copies, dtype=np.int64)
-        links = np.zeros(n, dtype=np.int64)
-        a, b = [], []
-        for q, cand in search(sets, np.array(side), pct, crossing):
+        links = np.zeros(len(ids), dtype=np.int64)
+        label = np.arange(len(ids))
+        for q, cand in search(sets, np.array(side), pct, key[1] != key[2]):
             links[q] += many[cand].sum()
             links[cand] += many[q]
-            for y in cand.tolist():
-                r, s = find(q), find(y)
-                if r != s:
-                    root[s] = r
-                    a.append(ids[q])
-                    b.append(ids[y])
+            for other in np.unique(label[cand]):
+                if other != label[q]:
+                    label[label == other] = label[q]
         some = np.flatnonzero(links)
-        i = np.array(ids, dtype=np.int64)
+        least = dict(sorted(zip(label.tolist(), ids, strict=True), key=lambda x: -x[1]))  # the smallest id of a label stays
+        stars = [(ids[i], least[label[i]]) for i in some if ids[i] != least[label[i]]]
+        n, m = len(stars), len(some)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([np.array(a, dtype=np.int64), i[some]])), pa.array([*b, *[None] * len(some)], pa.int64()), pa.array(np.concatenate([np.zeros(len(a), dtype=np.int64), links[some]]))], schema=out
+            [
+                pa.array([x for x, _ in stars] + [ids[i] for i in some], pa.int64()),
+                pa.array([r for _, r in stars] + [None] * m, pa.int64()),
+                pa.array([0] * n + links[some].tolist(), pa.int64()),
+                pa.array([key[3] == 1] * (n + m)),
+            ],
+            schema=out,
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets, side, copies = None, [], [], [], []
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("grp", "i", "j", "b", "rep", "h1", "h2", "copies")}
+            cols = {k: batch.column(k).to_pylist() for k in ("grp", "i", "j", "g", "b", "rep", "h1", "h2", "copies")}
             for s in slices(batch.column("text"), NOT_BLANK):
                 words = s.hashes(lowered=True)
                 for d in range(len(s)):
                     k = s.row + d
-                    now = (cols["grp"][k], cols["i"][k], cols["j"][k])
+                    now = (cols["grp"][k], cols["i"][k], cols["j"][k], cols["g"][k])
                     if now != key:
                         if len(ids) > 1:
-                            yield block(ids, sets, side, copies, key[1] != key[2])
+                            yield block(ids, sets, side, copies, key)
                         key, ids, sets, side, copies = now, [], [], [], []
                     if ids and ids[-1] == cols["rep"][k]:
                         continue  # a repeated row
@@ -401,7 +397,7 @@ def _search_blocks(size: int, pct: int) -> Callable:
                         side.append(cols["b"][k])
                         copies.append(cols["copies"][k])
         if len(ids) > 1:
-            yield block(ids, sets, side, copies, key[1] != key[2])
+            yield block(ids, sets, side, copies, key)
 
     return run
 
@@ -431,11 +427,14 @@ def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str =
     blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
     dealt = reps.join(shape.select("grp", blocks.alias("g")), "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    work = pairs.select("grp", "rep", "h1", "h2", "copies", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    sent = slim.join(work, slim.id == work.rep).select("grp", "i", "j", "b", "rep", "h1", "h2", "copies", "text")
-    found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep").mapInArrow(_search_blocks(size, pct), "id long, other long, links long"))
-
-    joined = connected_components(found.where("other is not null"), "id", "other").select(F.col("node").alias("rep"), "component")
+    work = pairs.select("grp", "rep", "h1", "h2", "copies", "g", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    sent = slim.join(work, slim.id == work.rep).select("grp", "i", "j", "g", "b", "rep", "h1", "h2", "copies", "text")
+    found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep").mapInArrow(_search_blocks(size, pct), "id long, other long, links long, whole boolean"))
+
+    # stars of a group that was searched in one task are final, those of blocks are put together
+    stars = found.where("other is not null")
+    final = stars.where("whole").select(F.col("id").alias("rep"), F.col("other").alias("component"))
+    joined = final.unionByName(connected_components(stars.where("not whole"), "id", "other").select(F.col("node").alias("rep"), "component"))
     counted = found.where("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
     reached = reps.join(joined, "rep", "left").join(counted, "rep", "left")
     reached = reached.select("grp", "h1", "h2", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
