@@ -1,0 +1 @@
+"""Loading exchange rows as they arrive."""
