@@ -178,10 +178,12 @@ class Chain:
         return label
 
 
-def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3, window: int = 64) -> Chain:
+def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3, l2_move: float = 5e-2, window: int = 64) -> Chain:
     """Maximum likelihood by Adam; each sequence is (features of its lines, label of all its lines).
 
     Long sequences are cut into windows of ``window`` lines, all of which are used. Classes weigh equally.
+    Labels that are constant in a document would make moves between labels all but impossible, so their
+    weights are held back more than those of features: two odd lines must not outvote a long good one.
     """
     parts = [(x[i : i + window], y) for x, y in sequences for i in range(0, len(x), window)]
     k, m = len(parts), max(len(x) for x, _ in parts)
@@ -193,6 +195,8 @@ def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: f
     weight = np.where(y == 1, 0.5 / max(1, size[y == 1].sum()), 0.5 / max(1, size[y == 0].sum()))
     theta = np.zeros(x.shape[2] + 6)
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
+    shrink = np.full(len(theta), l2)
+    shrink[-6:] = l2_move
     for step in range(1, steps + 1):
         w, start, move = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
         e1 = x @ w
@@ -218,7 +222,7 @@ def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: f
                 pair = np.exp(alpha[:-1, :, a] + move[a, b] + b * e1[1:] + beta[1:, :, b] - z) * live[1:]
                 true = live[1:] * ((y == a) & (y == b))
                 g[len(theta) - 4 + 2 * a + b] = ((true - pair) * weight).sum()
-        g -= l2 * theta
+        g -= shrink * theta
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2))
