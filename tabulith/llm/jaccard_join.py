@@ -120,12 +120,12 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs
 
 
-def _lists(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries in the order of their lists, with the start and length of each list."""
+def _lists(hashes: np.ndarray, *entries: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start and length of each list, then hashes and entries in the order of the lists."""
     order = np.argsort(hashes, kind="stable")
-    h, ids = hashes[order], ids[order]
+    h = hashes[order]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
-    return h, ids, start, np.diff(np.append(start, len(h)))
+    return start, np.diff(np.append(start, len(h))), h, *[e[order] for e in entries]
 
 
 def _stars(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -134,13 +134,21 @@ def _stars(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray
     return _distinct(np.stack([ids[at], ids[np.repeat(start, length)]], axis=1))
 
 
-def _pairs(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """All pairs of each list; lists are short."""
+def _size_level(n: int) -> int:
+    """A set's size on a scale of steps of half a percent."""
+    return min(int(200 * np.log(n)), 65535)
+
+
+def _pairs(ids: np.ndarray, levels: np.ndarray, start: np.ndarray, length: np.ndarray, pct: int) -> np.ndarray:
+    """The pairs of each list whose sizes allow the similarity; lists are short."""
+    apart = int(200 * np.log(100 / pct)) + 1  # levels are rounded down
     out = [np.empty((0, 2), dtype=np.int64)]
     for n in np.unique(length[length > 1]):
-        own = ids[start[length == n][:, None] + np.arange(n)]
+        at = start[length == n][:, None] + np.arange(n)
         i, j = np.triu_indices(n, 1)
-        out.append(np.stack([own[:, i].ravel(), own[:, j].ravel()], axis=1))
+        a, b = at[:, i].ravel(), at[:, j].ravel()
+        near = np.abs(levels[a].astype(np.int64) - levels[b].astype(np.int64)) <= apart
+        out.append(np.stack([ids[a[near]], ids[b[near]]], axis=1))
     return _distinct(np.concatenate(out))
 
 
@@ -153,8 +161,8 @@ def histogram(shingles: np.ndarray) -> bytes:
 
 
 #: kind 0: a document (id, n, h1, h2, bins); 1: an edge (id, other); 3: a pair that may link; 2: entries of short lists for reducer r.
-_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bins", pa.binary()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
-_SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, bins binary, r int, hashes binary, ids binary"
+_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bins", pa.binary()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("levels", pa.binary())])
+_SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, bins binary, r int, hashes binary, ids binary, levels binary"
 
 
 def _batch(rows: int, **columns) -> pa.RecordBatch:
@@ -178,6 +186,7 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         held = 0
 
         first_of: dict[tuple[int, int], int] = {}
@@ -187,26 +196,27 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
             return _batch(len(pairs), kind=np.full(len(pairs), 1, dtype=np.int32), id=pairs[:, 0], other=pairs[:, 1], r=_dealt(pairs[:, 0], reducers))
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal hashes, owners, held, copies
+            nonlocal hashes, owners, sizes, held, copies
             if copies:
                 yield edges(np.array(copies, dtype=np.int64))
             if held:
-                h, ids, start, length = _lists(np.concatenate(hashes), np.concatenate(owners))
+                start, length, h, ids, level = _lists(np.concatenate(hashes), np.concatenate(owners), np.concatenate(sizes))
                 hot = length > PAIRS
                 if hot.any():
                     yield edges(_stars(ids, start[hot], length[hot]))
                     # the first one goes on often enough to make the list a hot one for its reducer too
                     times = np.repeat(np.where(hot, 0, 1), length)
                     times[start[hot]] = PAIRS + 1
-                    h, ids = np.repeat(h, times), np.repeat(ids, times)
+                    h, ids, level = (np.repeat(x, times) for x in (h, ids, level))
                 to = (h % _U(reducers)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                h, ids, to = h[order], ids[order], to[order]
+                h, ids, level, to = h[order], ids[order], level[order], to[order]
                 at = np.searchsorted(to, np.arange(reducers + 1))
                 full = np.flatnonzero(at[1:] > at[:-1])
                 for some in np.array_split(full, max(1, len(full) // 256)):
-                    yield _batch(len(some), kind=np.full(len(some), 2, dtype=np.int32), r=some.astype(np.int32), hashes=pa.array([h[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()), ids=pa.array([ids[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()))
-            hashes, owners, held, copies = [], [], 0, []
+                    blobs = {k: pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for k, x in (("hashes", h), ("ids", ids), ("levels", level))}
+                    yield _batch(len(some), kind=np.full(len(some), 2, dtype=np.int32), r=some.astype(np.int32), **blobs)
+            hashes, owners, sizes, held, copies = [], [], [], 0, []
             first_of.clear()
 
         for batch in batches:
@@ -233,6 +243,7 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
                         p = rarest(u, pct, levels.value)
                         hashes.append(p)
                         owners.append(np.full(len(p), values[k]))
+                        sizes.append(np.full(len(p), _size_level(len(u)), dtype=np.uint16))
                         held += len(p)
                 if held >= FLUSH:
                     yield from flush()
@@ -242,34 +253,38 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
     return run
 
 
-def _reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Short lists become all their pairs, hot ones edges to their first entry; other rows pass through."""
-    found: dict[int, list[tuple[bytes, bytes]]] = {}
-    for batch in batches:
-        kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        entries = np.flatnonzero(kind == 2)
-        if len(entries):
-            own = batch.take(pa.array(entries))
-            for r, h, i in zip(*[own.column(c).to_pylist() for c in ("r", "hashes", "ids")], strict=True):
-                found.setdefault(r, []).append((h, i))
-        rest = np.flatnonzero(kind != 2)
-        if len(rest):
-            yield batch.take(pa.array(rest)) if len(entries) else batch
-    pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
-    while found:
-        _, blobs = found.popitem()
-        _, ids, start, length = _lists(np.frombuffer(b"".join(x[0] for x in blobs), dtype=np.uint64), np.frombuffer(b"".join(x[1] for x in blobs), dtype=np.int64))
-        hot = length > PAIRS
-        star = _stars(ids, start[hot], length[hot])
-        if len(star):
-            yield _batch(len(star), kind=np.full(len(star), 1, dtype=np.int32), id=star[:, 0], other=star[:, 1])
-        pairs.append(_pairs(ids, start[~hot], length[~hot]))
-        waiting += len(pairs[-1])
-        if waiting > FLUSH or not found:
-            p = _distinct(np.concatenate(pairs))
-            pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
-            if len(p):
-                yield _batch(len(p), kind=np.full(len(p), 3, dtype=np.int32), id=p[:, 0], other=p[:, 1])
+def _reduce(pct: int) -> Callable:
+    """Short lists become their pairs, hot ones edges to their first entry; other rows pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
+        for batch in batches:
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            entries = np.flatnonzero(kind == 2)
+            if len(entries):
+                own = batch.take(pa.array(entries))
+                for r, *blobs in zip(*[own.column(c).to_pylist() for c in ("r", "hashes", "ids", "levels")], strict=True):
+                    found.setdefault(r, []).append(tuple(blobs))
+            rest = np.flatnonzero(kind != 2)
+            if len(rest):
+                yield batch.take(pa.array(rest)) if len(entries) else batch
+        pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+        while found:
+            _, blobs = found.popitem()
+            start, length, _, ids, level = _lists(*[np.frombuffer(b"".join(x[i] for x in blobs), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.uint16))])
+            hot = length > PAIRS
+            star = _stars(ids, start[hot], length[hot])
+            if len(star):
+                yield _batch(len(star), kind=np.full(len(star), 1, dtype=np.int32), id=star[:, 0], other=star[:, 1])
+            pairs.append(_pairs(ids, level, start[~hot], length[~hot], pct))
+            waiting += len(pairs[-1])
+            if waiting > FLUSH or not found:
+                p = _distinct(np.concatenate(pairs))
+                pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+                if len(p):
+                    yield _batch(len(p), kind=np.full(len(p), 3, dtype=np.int32), id=p[:, 0], other=p[:, 1])
+
+    return run
 
 
 def _possible(pct: int) -> Callable:
@@ -412,7 +427,7 @@ def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str =
     reducers = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(slim, size))
-    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce, _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2", "bins"))
+    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce(pct), _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2", "bins"))
     sets = rows.where("kind = 0").select("id", "n", "h1", "h2")
     # rows that share an id are compared in every combination
     bins = rows.where("kind = 0 and bins is not null").select(F.col("id").alias("k"), "n", "bins").distinct()
