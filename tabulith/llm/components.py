@@ -7,9 +7,6 @@ that adaptive execution splits. A round ends with a checkpoint, so lost executor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,21 +44,13 @@ def local_roots(a: list[int], b: list[int]) -> dict[int, int]:
     return {x: find(x) for x in root}
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of each batch as stars around the smallest nodes: fewer edges, and fewer rounds after."""
-    for batch in batches:
-        roots = local_roots(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-        stars = [(x, r) for x, r in roots.items() if x != r]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["u", "v"])
-
-
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its smallest node.
 
     Null ends and loops are left out; repeated edges count once; no edges give no rows.
     """
     given = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = stage(given.mapInArrow(_contract, "u long, v long").distinct())
+    now = stage(given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

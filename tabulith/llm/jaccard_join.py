@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import replaced, stage, table
-from .components import connected_components
+from .components import connected_components, local_roots
 from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 
 #: Counters of the sketch, a power of two from 2**16 on: 2**22 (4 MB) tells shingles of a few hundred
@@ -288,14 +288,17 @@ def _reduce(pct: int) -> Callable:
 
 
 def _possible(pct: int) -> Callable:
-    """Pairs (id, other) whose sizes and bins allow the similarity. Rows: id, other, n, m, bins, bins2."""
+    """Edges of the pairs (id, other) whose sizes and bins allow the similarity. Rows: id, other, n, m, bins, bins2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins", "bins2"))
             ok = (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (np.abs(a - b).sum(axis=1) * (100 + pct) <= (n + m) * (100 - pct))
-            yield batch.select(["id", "other"]).take(pa.array(np.flatnonzero(ok)))
+            left = batch.select(["id", "other"]).take(pa.array(np.flatnonzero(ok)))
+            # what a batch holds together is sent as stars: fewer edges, and fewer rounds after
+            stars = [(x, r) for x, r in local_roots(left.column(0).to_pylist(), left.column(1).to_pylist()).items() if x != r]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["id", "other"])
 
     return run
 
