@@ -2,7 +2,10 @@
 
 A text is cut into sentences, a sentence is normalised (lower case, everything but letters and digits
 one blank), and known sentences get identifiers by patterns on the normalised form, so that names,
-years and versions may vary. A document's identifiers in order are then matched against ordered
+years and versions may vary. Lines are joined: a sentence ends at a closing mark that a blank follows
+or at a line without letters and digits, and a line break, a colon or a semicolon ends it only where
+a known opening follows. An SPDX tag is a sentence of its own up to the end of its line, one for each
+licence of its expression. A document's identifiers in order are then matched against ordered
 licence rules, sequences of identifiers that must occur one after the other with nothing known in
 between; a rule that matches uses its identifiers up, and later rules see what is left. Rules for
 longer texts come before rules for their parts.
@@ -20,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, lower_ascii, replaced, table
+from .common import lower_ascii, replaced, table
 
 # Openings and whole sentences of public licences, normalised, as patterns that must
 # match from the start of a sentence. The first that matches names the sentence.
@@ -100,21 +103,68 @@ RULES = (
     ("other", ("other_license",)),
     ("all-rights-reserved", ("reserved",)),
 )
-#: A sentence ends at a line break, or at a closing mark that a blank follows.
-_END = r"\n|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+"
+_SPDX = "spdx license identifier "
+# Licences of SPDX tags, by patterns of the normalised tag.
+SPDX = (
+    ("Apache-2.0", "apache 2 0"),
+    ("MIT", "mit(?! (?:0|advertising|click|cmu|enna|feh|festival|khronos|modern|open|testregex|wu)(?![a-z0-9]))"),
+    ("BSD-3-Clause", "bsd 3 clause"),
+    ("BSD-2-Clause", "bsd 2 clause"),
+    ("BSD", "bsd"),
+    ("AGPL", "agpl"),
+    ("LGPL", "lgpl"),
+    ("GPL-3.0", "gpl 3(?: 0)?"),
+    ("GPL-2.0", "gpl 2(?: 0)?"),
+    ("GPL", "gpl"),
+    ("ISC", "isc"),
+    ("MPL-2.0", "mpl 2 0"),
+    ("CC-BY-NC-ND", "cc by nc nd"),
+    ("CC-BY-NC-SA", "cc by nc sa"),
+    ("CC-BY-NC", "cc by nc"),
+    ("CC-BY-ND", "cc by nd"),
+    ("CC-BY-SA", "cc by sa"),
+    ("CC-BY", "cc by"),
+    ("CC0", "cc0"),
+    ("Unlicense", "unlicense"),
+)
+
+
+def _open_end(pattern: str) -> str:
+    """A pattern of ``SENTENCES`` whose last blank may as well be the sentence's end."""
+    p = pattern.replace(",?", "")
+    return f"{p[:-1]}(?![a-z0-9])" if p.endswith(" ") else p
+
+
+_OPENINGS = tuple((name, _open_end(p)) for name, p in SENTENCES)
+#: What sentences are matched against: tags of known licences, then SENTENCES, "spdx" being any other tag.
+_KNOWN = (*((f"spdx_{name.lower()}", f"{_SPDX}{p}(?![a-z0-9])") for name, p in SPDX), *_OPENINGS)
+_ORDERED = (*((name, (f"spdx_{name.lower()}",)) for name, _ in SPDX), *RULES, ("other", ("spdx",)))
+# Marks in lowered text, which has no other capitals: C cuts, W (a wrapped line, ':' or ';') may cut.
+_TAG = r"((?:spdx[^a-z0-9\n]+)?spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[^a-z0-9\n][^\n]*)"
+_LEADER = r"(^|\n)[^a-z0-9\n]*(?:dnl|rem)(?![a-z0-9])"
+_CUT = r"[.!?][\x20\x09-\x0D]|\n[^a-z0-9\n]*\n"
+_WRAP = r"\n|[:;][\x20\x09\x0B-\x0D]"
+_WIDE = {"[a-z0-9 ]*": "[a-z0-9 W]*", ".*": "[^C]*", " ?": "[ W]*", " ": "[ W]+"}
+_SPLIT = "C|W(?=[ W]*(?:" + "|".join(re.sub(r"\[a-z0-9 \]\*|\.\*| \?| ", lambda m: _WIDE[m[0]], p) for _, p in _OPENINGS) + "))"
 
 
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text that aren't blank, in order."""
-    plain = lambda s: F.btrim(F.regexp_replace(lower_ascii(s), "[^a-z0-9]+", " "), F.lit(BLANK))
-    return F.filter(F.transform(F.split(text, _END), plain), lambda s: s != "")
+    marked = F.regexp_replace(F.regexp_replace(lower_ascii(text), _LEADER, "$1"), _TAG, "C$1C")
+    marked = F.regexp_replace(F.regexp_replace(marked, _CUT, "C"), _WRAP, "W")
+    parts = F.split(F.regexp_replace(marked, "[^a-z0-9CW]+", " "), _SPLIT)
+    plain = lambda s: F.btrim(F.regexp_replace(s, "[ W]+", " "))
+    known = F.transform(parts, plain)
+    each = lambda s: F.transform(F.split(F.regexp_replace(s, f"^(?:spdx )?{_SPDX}", ""), " (?:or|and) (?!later)"), lambda x: F.concat(F.lit(_SPDX), x))
+    tags = F.flatten(F.transform(known, lambda s: F.when(s.rlike(f"^(?:spdx )?{_SPDX}"), each(s)).otherwise(F.array(s))))
+    return F.filter(F.when(F.exists(known, lambda s: s.contains("spdx")), tags).otherwise(known), lambda s: s != "")
 
 
 def identifier(sentence: Column) -> Column:
     """The identifier of a known sentence, null for others. The sentence itself is normalised."""
     out = None
-    for name, pattern in SENTENCES:
-        hit = sentence.rlike(f"^{pattern.replace(',?', '')}")
+    for name, pattern in _KNOWN:
+        hit = sentence.rlike(f"^{pattern}")
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     any_word = sentence.rlike("|".join(re.sub(" ", "[ ]", c) for c in CUES) + "|spdx")
     return F.when(any_word, out)
@@ -127,7 +177,7 @@ def match_rules(ids: Column) -> Column:
     keeps apart what stood on its two sides.
     """
     state = F.struct(F.concat(F.lit(";"), F.array_join(ids, ";;"), F.lit(";")).alias("left"), F.array().cast("array<string>").alias("found"))
-    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("".join(f";{k};" for k in seq)).alias("piece")) for n, seq in RULES])
+    rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit("".join(f";{k};" for k in seq)).alias("piece")) for n, seq in _ORDERED])
 
     def use(s: Column, r: Column) -> Column:
         hit = F.contains(s["left"], r["piece"])

@@ -62,3 +62,48 @@ def test_every_sentence_has_a_cue():
         fixed = re.sub(r"\([^)]*\)\??|\.\*|[\\,?|]", " ", p.replace("(?:", "("))
         words = p.replace("licen[sc]e", "license").replace(",?", "")
         assert any(c in words or c in fixed for c in (*lic.CUES, "spdx")), name
+
+
+WRAPPED = {
+    "mit": ("""# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction, subject to the following conditions:
+#
+# The above copyright notice and this permission notice shall be included in
+# all copies or substantial portions of the Software.
+#
+# THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+# IMPLIED.""", ["MIT"], []),
+    "bsd": ("""/*
+ * Copyright (c) 2024 Someone
+ * All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ * 1. Redistributions of source code must retain the above
+ *    copyright notice, this list of conditions and the following disclaimer.
+ * 2. Redistributions in binary form must reproduce the above copyright
+ *    notice in the documentation.
+ * 3. Neither the name of X nor the names of its contributors
+ *    may be used to endorse or promote products.
+ *
+ * THIS SOFTWARE IS PROVIDED BY THE AUTHORS "AS IS" AND ANY EXPRESS
+ * OR IMPLIED WARRANTIES ARE DISCLAIMED.
+ */""", ["BSD-3-Clause", "all-rights-reserved"], []),
+    "isc": ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", ["ISC"], []),
+    "mpl": ("dnl This Source Code Form is subject to the terms of the Mozilla Public\ndnl License, v. 2.0. If a copy of the MPL was not distributed with this\ndnl file, You can obtain one at\nhttps://mozilla.org/MPL/2.0/.", ["MPL-2.0"], []),
+    "gpl": ("x\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, version 3.\n\nThis program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty.", ["GPL"], []),
+    "gpl, one line": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.", ["GPL"], []),
+    "after a colon": ("The terms: Redistribution and use in source and binary forms, with or without modification, are permitted; Redistributions of source code must retain the above copyright notice; Redistributions in binary form must reproduce the above copyright notice.", ["BSD-2-Clause"], []),
+    "line end": ("You may obtain a copy of the License at\n\nhttp://x", [], ["apache2_obtain"]),
+    "spdx": ("// SPDX-License-Identifier: MIT\nint main", ["MIT"], []),
+    "spdx expression": ("# (c) SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR Apache-2.0", ["Apache-2.0", "GPL-2.0"], []),
+    "spdx, other": ("SPDX-License-Identifier: MIT-0", ["other"], []),
+}
+
+
+def test_wrapped_texts_and_tags(spark):
+    docs = spark.createDataFrame([(k, t.replace("\n", e)) for k, (t, _, _) in WRAPPED.items() for e in ("\n", "\r\n")], "name string, text string")
+    for r in lic.scan_licenses(docs).collect():
+        assert (r.licenses, r.rest_ids) == WRAPPED[r.name][1:], (r.name, r.sentence_ids)
