@@ -17,6 +17,11 @@ phone     7 to 15 digits in a phone's form                the last ten digits at
 card      12 to 19 digits with a right Luhn digit         all but the Luhn digit, which follows
 ========  ==============================================  =====================================
 
+Cards and IBANs are found in the forms they are usually written in, and where other groups of digits or
+letters stand beside them, by testing the runs of groups. Beside such groups a run may become valid by
+chance when another is replaced (one in ten for cards that have no usual form or groups of four before
+them), and is then not turned back by the key.
+
 Documents without an ``@`` and without a digit have no candidates and pass unchanged, no shuffle is
 made. Defined cases: null text stays null with zero counts; candidates that fail their check stay as
 they are; columns of the input that carry an output's name are replaced; rows are independent.
@@ -39,8 +44,19 @@ _DAY = r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?!\d|[./]\d)"
 _IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|(?<![\d.-])\d{3}[.-]\d{3}[.-]\d{4})(?![\d-])"
-_CARD = r"(?<!\d)\d(?:[ -]?\d){11,18}(?!\d)"
-_PATTERN = "|".join([_EMAIL, _IP, _ISO, _DAY, _IBAN, _SSN, _PHONE, _CARD])
+# IBAN lengths by country, as registered.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL FK SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_USUAL = r"(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in _IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+_CARD_USUAL = r"(?<!\d)\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{4}|\d{6}[ -]\d{4,5})(?!\d)"
+# Cards in the usual groups with the groups beside them, but for those that begin another kind; then any other run.
+_NEXT = r"(?!\d|[./-]\d)"
+_CARD_FOURS = rf"(?<!\d)\d{{4}}(?:[ -]\d{{4}}(?!\d|-\d{{2}}-\d{{2}}(?!\d)|[./]\d)){{3,}}+(?:[ -]\d{{1,3}}{_NEXT})?"
+_CARD_SIXES = rf"(?<!\d)\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}(?!\d)(?:[ -]\d{{1,4}}{_NEXT})?"
+_CARD = "|".join([_CARD_FOURS, _CARD_SIXES, rf"(?<!\d)\d(?:[ -]?(?!{_CARD_USUAL}|{_IP}|{_ISO}|{_DAY}|{_SSN}|{_PHONE})\d){{11,18}}(?!\d)"])
+_PATTERN = "|".join([_EMAIL, _IP, _ISO, _DAY, _IBAN_USUAL, _IBAN, _SSN, _PHONE, _CARD])
 KINDS = ("email", "ip", "date", "iban", "ssn", "phone", "card")
 _FIRST_DAY, _HALF_DAYS = "1900-01-01", 272
 
@@ -199,18 +215,73 @@ def kind_of(m: Column) -> Column:
     whole = lambda p: m.rlike(f"^(?:{p})$")
     d = _digits(m)
     area, group, serial = _ssn_parts(m)
-    right_luhn = (_luhn_sum(F.substr(d, F.lit(1), F.length(d) - 1)) + F.substr(d, F.length(d)).cast("int")) % 10 == 0
     return (
         F.when(F.contains(m, F.lit("@")), F.lit("email"))
         .when(whole(_IP), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip"))
         .when(m.rlike(rf"^(?:\d{{4}}-\d\d-\d\d|\d\d[./]\d\d[./]\d{{4}})$"), F.when(_day_number(m).between(0, _HALF_DAYS**2 - 1), "date"))
-        .when(m.rlike("^[A-Z]"), F.when(_mod97(F.concat(_iban_rest(m), F.substr(m, F.lit(1), F.lit(4)))) == 1, "iban"))
+        .when(m.rlike("^[A-Z]"), F.when(_right_iban(m), "iban"))
         .when(whole(_SSN), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), "ssn"))
         .when(whole(_PHONE), F.when(F.length(d).between(7, 15), "phone"))
-        .when(F.length(d).between(12, 19), F.when(right_luhn, "card"))
+        .when(F.length(d).between(12, 19), F.when(_right_luhn(d), "card"))
     )
 
 
+def _right_iban(m: Column) -> Column:
+    return _mod97(F.concat(_iban_rest(m), F.substr(m, F.lit(1), F.lit(4)))) == 1
+
+
+def _right_luhn(d: Column) -> Column:
+    return (_luhn_sum(F.substr(d, F.lit(1), F.length(d) - 1)) + F.substr(d, F.length(d)).cast("int")) % 10 == 0
+
+
+def _inside(m: Column, kind: str) -> Column:
+    """A candidate for ``kind`` cut at its groups into pieces, array of struct(m, kind): all runs of groups
+    that are valid and don't overlap, usual forms first, then the whole, then longer and earlier ones.
+
+    Other runs than the whole have only groups of four and more but for the last, so lists of short
+    numbers, some run of which is always valid, stay.
+    """
+    sep, char, most = ("[ -]", "[0-9]", 19) if kind == "card" else (" ", "[A-Z0-9]", 34)
+    tokens = F.regexp_extract_all(m, F.lit(f"{sep}?{char}+"), F.lit(0))
+    n = F.size(tokens)
+    bare = lambda s: F.regexp_replace(s, f"^{sep}", "")
+
+    def run(i: Column, size: Column) -> Column:
+        r = bare(F.array_join(F.slice(tokens, i, size), ""))
+        if kind == "card":
+            usual = r.rlike(f"^(?:{_CARD_USUAL}|[0-9]{{12,19}})$")
+            right = F.when(F.length(_digits(r)).between(12, 19), _right_luhn(_digits(r)))
+        else:
+            usual = r.rlike(f"^{_IBAN_USUAL}$")
+            right = F.when(r.rlike("^[A-Z]{2}[0-9]{2}") & F.length(F.regexp_replace(r, " ", "")).between(12, most), _right_iban(r))
+        whole = size == n
+        formed = usual | whole | r.rlike(f"^(?:{char}{{4,}}{sep})*{char}+$")
+        return F.when(formed & right, F.struct((~usual).alias("odd"), (~whole).alias("part"), (-size).alias("size"), i.alias("i"), r.alias("r")))
+
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(most))), lambda size: run(i, size))))
+    valid = F.array_sort(F.filter(runs, lambda r: r.isNotNull()))
+    apart = lambda a, b: (a["i"] >= b["i"] - b["size"]) | (b["i"] >= a["i"] - a["size"])
+    chosen = F.aggregate(valid, F.slice(valid, 1, 0), lambda got, r: F.when(F.forall(got, lambda g: apart(g, r)), F.array_append(got, r)).otherwise(got))
+
+    def piece(t: Column, k: Column, got: Column) -> Column:
+        here = F.get(F.filter(got, lambda g: g["i"] == k + 1), F.lit(0))
+        inside = F.exists(got, lambda g: (k + 1 > g["i"]) & (k + 1 < g["i"] - g["size"]))
+        as_is = lambda x: F.struct(x.alias("m"), F.lit(None).cast("string").alias("kind"))
+        first = F.array(as_is(F.regexp_extract(t, f"^{sep}?", 0)), F.struct(here["r"].alias("m"), F.lit(kind).alias("kind")))
+        return F.when(here.isNotNull(), first).when(inside, F.slice(first, 1, 0)).otherwise(F.array(as_is(t)))
+
+    # bound once: a column used twice in lambdas would be computed for each token
+    return F.flatten(F.flatten(F.transform(F.array(chosen), lambda got: F.transform(tokens, lambda t, k: piece(t, k, got)))))
+
+
+def pieces(m: Column) -> Column:
+    """A candidate as array of struct(m, kind); one piece but for groups of numbers beside one another."""
+    one = F.array(F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    card = m.rlike(r"^[0-9](?:[0-9]|[ -](?=[0-9]))*+$") & ~m.rlike(rf"^(?:{_ISO}|{_SSN}|{_PHONE}|{_CARD_USUAL}|[0-9]+)$")
+    iban = m.rlike("^[A-Z]") & ~F.contains(m, F.lit("@")) & F.contains(m, F.lit(" ")) & ~_right_iban(m)
+    return F.when(card, _inside(m, "card")).when(iban, _inside(m, "iban")).otherwise(one)
+
+
 _BY_KIND: dict[str, Callable[[str, Column, bool], Column]] = {"email": _email, "ip": _ip, "date": _date, "iban": _iban, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
@@ -218,7 +289,7 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False, text_col: str
     """``docs`` with pseudonyms in the text, and a count ``n_<kind>`` of each kind; ``inverse`` undoes it."""
     text = docs[text_col]
     some = text.contains("@") | text.rlike("[0-9]")
-    found = F.transform(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), lambda m: F.struct(m.alias("m"), kind_of(m).alias("kind")))
+    found = F.transform(F.regexp_extract_all(text, F.lit(_PATTERN), F.lit(0)), pieces)
 
     def changed(x: Column) -> Column:
         out = F.when(x["kind"].isNull(), x["m"])
@@ -227,9 +298,9 @@ def pseudonymise(docs: DataFrame, key: str, inverse: bool = False, text_col: str
         return out
 
     split = docs.select(*[docs[c].alias(f"c{i}") for i, c in enumerate(docs.columns)], text.alias("text"), F.when(some, found).alias("found"))
-    parts = F.concat(F.transform("found", changed), F.array(F.lit("")))
+    parts = F.concat(F.transform("found", lambda x: F.array_join(F.transform(x, changed), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split("text", _PATTERN, -1), parts, lambda a, b: F.concat(a, b)), "")
-    count = lambda k: F.coalesce(F.size(F.filter("found", lambda x: x["kind"] == k)), F.lit(0)).cast("long")
+    count = lambda k: F.coalesce(F.size(F.filter(F.flatten("found"), lambda x: x["kind"] == k)), F.lit(0)).cast("long")
     new = F.when(F.size("found") > 0, joined).otherwise(F.col("text"))
     flat = split.select(*[F.col(f"c{i}") for i in range(len(docs.columns))], new.alias("new"), *[F.when(F.col("found").isNull(), F.lit(0).cast("long")).otherwise(count(k)).alias(f"k{k}") for k in KINDS])
     taken = {text_col.lower(), *[f"n_{k}" for k in KINDS]}

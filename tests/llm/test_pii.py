@@ -58,3 +58,29 @@ def test_plan_and_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     out = pii.pseudonymise(docs, "k")
     assert out.count() == 0 and "Python" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+CARD, IBAN = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+BESIDE = {
+    "{c} 123": 1, "{c} 12/27": 1, "no 3 {c}": 1, "no 33 12 {c}": 1, "2024 {c}": 1, "{c} 1984-02-29": 1, "{c} 078-05-1120": 1, "{c} {c}": 2, "3 4111111111111111 7": 1, "3782 822463 10005 123": 1,
+    "6212-3456-7890-0000-003": 1, "{i} EUR": 1, "{i} {c}": 1, "AB12 {i}": 1, "ES9121000418450200051332 EUR": 1, "1 2 3 4 5 6 7 8 9 0 1 2 4": 0,
+}
+
+
+def test_numbers_beside_cards_and_ibans(spark):
+    texts = [t.format(c=CARD, i=IBAN) for t in BESIDE]
+    got = run(spark, [*texts, CARD, IBAN])
+    new_card, new_iban = got[len(texts)].text, got[len(texts) + 1].text
+    for k, (t, n) in enumerate(BESIDE.items()):
+        r = got[k]
+        assert (r.n_card + r.n_iban) == n + (t == "{i} {c}"), (t, r.text)
+        if "{" in t and "1984" not in t and "078" not in t:
+            assert r.text == t.format(c=new_card, i=new_iban), t
+    for k, t in enumerate(BESIDE):
+        if "1984" in t or "078" in t:
+            assert got[k].text.startswith(new_card) and got[k].n_date + got[k].n_ssn == 1 and texts[k][-5:] not in got[k].text
+        elif BESIDE[t]:
+            assert got[k].text != texts[k]
+    back = run(spark, [got[k].text for k in range(len(texts))], inverse=True)
+    again = [t for k, t in enumerate(texts) if back[k].text != t]
+    assert again in ([], ["2024 " + CARD])
