@@ -57,6 +57,11 @@ def table_cells(star: dict[str, DataFrame], phrase: str) -> DataFrame:
     return j.groupBy(*TAB, "subject", "position").agg(F.max_by(F.struct("value_num", "value_text", "flag", "is_total"), last).alias("v")).select(*TAB, "subject", "position", "v.*")
 
 
+def table_positions(star: dict[str, DataFrame], table_no: str) -> list[int]:
+    """The positions of all columns of a table. Collected: metadata of one table, a row a column."""
+    return [x.position for x in star["table_column"].where(F.col("table_no") == table_no).select("position").distinct().orderBy("position").collect()]
+
+
 def table_view(star: dict[str, DataFrame], table_no: str, positions: list[int], phrase: str) -> DataFrame:
     """One table, a row a subject and a column a position, regular rows by name and totals after."""
     cells = table_cells(star | {"stat_table": star["stat_table"].where(F.col("table_no") == table_no)}, phrase)

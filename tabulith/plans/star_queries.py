@@ -204,7 +204,7 @@ def h04_h05_cells(spark, d) -> DataFrame:
 def h04_table_view(spark, d) -> DataFrame:
     star = _star(spark, d)
     first = star["stat_table"].agg(F.min("table_no")).first()[0] or ""
-    return r.table_view(star, first, list(range(1, 9)), PHRASE)
+    return r.table_view(star, first, r.table_positions(star, first), PHRASE)
 
 
 def h06_grid(spark, d) -> DataFrame:

@@ -8,6 +8,7 @@ from tabulith.operators import entities as e
 from tabulith.operators import validate as k
 from tabulith.plans import ingest as g
 from tabulith.plans import reads as r
+from tabulith.plans import star_queries
 from tabulith.sources import long_csv
 
 
@@ -79,3 +80,14 @@ def test_similar_entities(spark):
     assert got == {"1. cipatujah": "Cipatujah", "Cipatuja": "Cipatujah", "Karangnungal": "Karangnunggal", "Salop": "Salopa"}
     with pytest.raises(ValueError, match="more than"):
         e.resolve(labels, master, "label", max_master=2)
+
+
+def test_view_has_all_columns(spark):
+    rows = spark.createDataFrame(long(*[("1.1", "a", f"i{k}", "2025", str(k)) for k in range(12)], ("1.2", "a", "x", "2025", "1")), SCHEMA)
+    star, _ = g.load(g.empty(spark), rows, "P", 2024)
+    assert r.table_positions(star, "1.1") == list(range(1, 13)) and r.table_positions(star, "none") == []
+    view = star_queries.h04_table_view
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(star_queries, "_star", lambda spark, d: star)
+        row = view(spark, "").first()
+    assert [row[f"c{p}"] for p in range(1, 13)] == [str(k) for k in range(12)]
