@@ -80,7 +80,8 @@ def c09_c10_header_names(spark, d) -> DataFrame:
 def c11_padded_headers(spark, d) -> DataFrame:
     n = v.names(spark, d)
     heads = n.select((F.col("name_id") % 300).alias("t"), (F.floor(F.col("name_id") / 300) + 1).cast("int").alias("position"), F.when(F.col("size") % 4 > 0, F.col("original")).otherwise("").alias("name"), F.lit("ton").alias("unit"), F.lit("2020").alias("year"))
-    widths = n.where("name_id < 400").select((F.col("name_id") % 300).alias("t"), (F.col("name_id") % 9).alias("n")).groupBy("t").agg(F.max("n").alias("n"))
+    # as wide as the headers that there are, or up to two columns wider
+    widths = heads.groupBy("t").agg((F.max("position") + F.first("t") % 3).alias("n"))
     return h.pad_headers(heads, widths, ["t"])
 
 
