@@ -3,24 +3,25 @@
 Three steps, each linear in what it ships:
 
 1. *Routing.* A pair that reaches the similarity shares at least T = pct% of either set, so it shares
-   one of the n - T + 1 rarest shingles of either: those are a document's short lists, the rest its
-   long lists. Rare means few occurrences in a sketch of ``COUNTERS`` counters over all shingles of
-   all documents (bounded, so it may be broadcast); any order of shingles that all documents share
-   keeps the search exact, the counts only keep frequent passages out of the short lists. Documents
-   on the same list make pairs, and a pair goes on if sizes and histograms of shingles allow the
-   similarity, a bound that no linked pair breaks. A list of over ``PAIRS`` entries makes edges to its
-   first entry instead, so a hot group costs one edge per row; a task ends such lists itself and sends
-   one entry on, and of equal sets in a task one stands for all. The components of pairs and edges are
-   groups outside of which no link can be.
-2. *T-occurrence search.* Per group, equal sets are collapsed to one representative with its number
-   of copies. The shingles' inverted lists are split as DivideSkip does: the longest lists are set
-   aside, the short ones are merged, and documents found often enough in them are probed in the long
-   lists. A document is kept when its overlap reaches what the similarity asks of the two sizes.
-   Large groups are dealt into blocks of bounded size and every two blocks meet in one task.
-3. *Groups.* Each task sends stars of linked documents, not the links; components join those of blocks.
+   one of the n - T + 1 rarest shingles of either: those are a set's short lists, the rest its long
+   lists. Rare means few occurrences in a sketch of ``COUNTERS`` counters over all shingles of all
+   documents (bounded, so it may be broadcast); any order of shingles that all documents share keeps
+   the search exact, the counts only keep frequent passages out of the short lists. Equal sets are one
+   node, so exact copies cost nothing here. Sets on the same list make pairs, and a pair goes on if
+   sizes and histograms of shingles allow the similarity, a bound that no linked pair breaks. A list
+   of over ``PAIRS`` sets makes edges to its smallest instead, so a hot group costs one edge per set; a
+   task ends such lists itself and sends one entry on. The components of pairs and edges are groups
+   outside of which no link can be.
+2. *T-occurrence search.* Per group, one document stands for all of an equal set. The shingles' inverted
+   lists are split as DivideSkip does: the longest lists are set aside, the short ones are merged, and
+   sets found often enough in them are probed in the long lists. A set is kept when its overlap reaches
+   what the similarity asks of the two sizes. Large groups are dealt into blocks of bounded size and
+   every two blocks meet in one task.
+3. *Groups.* Each task sends stars of linked documents, not the links; components join them.
 
 Defined cases: null or blank text has no shingles and links with nothing; a text of fewer words than
-a shingle is one shingle; a null id is never linked; rows that share an id are one node.
+a shingle is one shingle; a null id is never linked; each row is a document, also where rows share an
+id: a row's component is that of its own text, and texts whose smallest id is the same are in one.
 """
 
 from __future__ import annotations
@@ -120,26 +121,31 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
     return pairs
 
 
-def _lists(hashes: np.ndarray, *entries: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Start and length of each list, then hashes and entries in the order of the lists."""
-    order = np.argsort(hashes, kind="stable")
-    h = hashes[order]
+def _lists(hashes: np.ndarray, nodes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Start, length and whether it is long of each list; then hashes, nodes and levels by list and node, each node once."""
+    order = np.lexsort((levels, nodes, hashes))
+    h, v, level = hashes[order], nodes[order], levels[order]
+    last = np.ones(len(h), dtype=bool)
+    last[:-1] = (h[1:] != h[:-1]) | (v[1:] != v[:-1])
+    h, v, level = h[last], v[last], level[last]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
-    return start, np.diff(np.append(start, len(h))), h, *[e[order] for e in entries]
+    length = np.diff(np.append(start, len(h)))
+    long = (length > PAIRS) | (np.maximum.reduceat(level, start) == _LONG) if len(h) else np.empty(0, dtype=bool)
+    return start, length, long, h, v, level
 
 
-def _stars(ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+def _stars(nodes: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Edges from each entry of a list to its first."""
     at = np.repeat(start - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(length.sum()) if len(start) else np.empty(0, dtype=np.int64)
-    return _distinct(np.stack([ids[at], ids[np.repeat(start, length)]], axis=1))
+    return _distinct(np.stack([nodes[at], nodes[np.repeat(start, length)]], axis=1))
 
 
 def _size_level(n: int) -> int:
     """A set's size on a scale of steps of half a percent."""
-    return min(int(200 * np.log(n)), 65535)
+    return min(int(200 * np.log(n)), _LONG - 1)
 
 
-def _pairs(ids: np.ndarray, levels: np.ndarray, start: np.ndarray, length: np.ndarray, pct: int) -> np.ndarray:
+def _pairs(nodes: np.ndarray, levels: np.ndarray, start: np.ndarray, length: np.ndarray, pct: int) -> np.ndarray:
     """The pairs of each list whose sizes allow the similarity; lists are short."""
     apart = int(200 * np.log(100 / pct)) + 1  # levels are rounded down
     out = [np.empty((0, 2), dtype=np.int64)]
@@ -148,7 +154,7 @@ def _pairs(ids: np.ndarray, levels: np.ndarray, start: np.ndarray, length: np.nd
         i, j = np.triu_indices(n, 1)
         a, b = at[:, i].ravel(), at[:, j].ravel()
         near = np.abs(levels[a].astype(np.int64) - levels[b].astype(np.int64)) <= apart
-        out.append(np.stack([ids[a[near]], ids[b[near]]], axis=1))
+        out.append(np.stack([nodes[a[near]], nodes[b[near]]], axis=1))
     return _distinct(np.concatenate(out))
 
 
@@ -160,9 +166,11 @@ def histogram(shingles: np.ndarray) -> bytes:
     return np.minimum(np.bincount(((shingles >> _U(8)) % _U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
-#: kind 0: a document (id, n, h1, h2, bins); 1: an edge (id, other); 3: a pair that may link; 2: entries of short lists for reducer r.
-_SCHEMA = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("bins", pa.binary()), ("r", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary()), ("levels", pa.binary())])
-_SQL_SCHEMA = "kind int, id long, other long, n long, h1 long, h2 long, bins binary, r int, hashes binary, ids binary, levels binary"
+#: Of an entry's size level: the list that the entry is on is a long one, whatever else is there.
+_LONG = 65535
+#: kind 0: a document (id, t, n, h1, h2, bins); 1: an edge (h1, other); 3: a pair that may link; 2: entries of short lists for reducer r.
+_SQL_SCHEMA = "kind int, id long, t long, n long, h1 long, h2 long, other long, bins binary, r int, hashes binary, nodes binary, levels binary"
+_SCHEMA = pa.schema([(k, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for k, t in (c.split() for c in _SQL_SCHEMA.split(", "))])
 
 
 def _batch(rows: int, **columns) -> pa.RecordBatch:
@@ -170,9 +178,9 @@ def _batch(rows: int, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=_SCHEMA)
 
 
-def _dealt(ids: np.ndarray, reducers: int) -> np.ndarray:
+def _dealt(keys: np.ndarray, reducers: int) -> np.ndarray:
     """Reducers for rows that only pass through, spread over all of them."""
-    return (mix(ids.astype(np.uint64)) % _U(reducers)).astype(np.int32)
+    return (mix(keys.astype(np.uint64)) % _U(reducers)).astype(np.int32)
 
 
 def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
@@ -182,79 +190,74 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
     return int(h1.astype(np.int64)), int(h2.astype(np.int64))
 
 
+def _edges(kind: int, ends: np.ndarray, reducers: int = 1) -> pa.RecordBatch:
+    return _batch(len(ends), kind=np.full(len(ends), kind, dtype=np.int32), h1=ends[:, 0], other=ends[:, 1], r=_dealt(ends[:, 0], reducers))
+
+
 def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
+    """Rows (id, t, text) -> documents, entries of their sets' short lists, and edges of long lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
         held = 0
-
-        first_of: dict[tuple[int, int], int] = {}
-        copies: list[tuple[int, int]] = []
-
-        def edges(pairs: np.ndarray) -> pa.RecordBatch:
-            return _batch(len(pairs), kind=np.full(len(pairs), 1, dtype=np.int32), id=pairs[:, 0], other=pairs[:, 1], r=_dealt(pairs[:, 0], reducers))
+        sent: set[tuple[int, int]] = set()
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal hashes, owners, sizes, held, copies
-            if copies:
-                yield edges(np.array(copies, dtype=np.int64))
+            nonlocal hashes, owners, sizes, held
             if held:
-                start, length, h, ids, level = _lists(np.concatenate(hashes), np.concatenate(owners), np.concatenate(sizes))
-                hot = length > PAIRS
-                if hot.any():
-                    yield edges(_stars(ids, start[hot], length[hot]))
-                    # the first one goes on often enough to make the list a hot one for its reducer too
-                    times = np.repeat(np.where(hot, 0, 1), length)
-                    times[start[hot]] = PAIRS + 1
-                    h, ids, level = (np.repeat(x, times) for x in (h, ids, level))
+                start, length, long, h, nodes, level = _lists(np.concatenate(hashes), np.concatenate(owners), np.concatenate(sizes))
+                if long.any():
+                    yield _edges(1, _stars(nodes, start[long], length[long]), reducers)
+                    level[start[long]] = _LONG  # the first one goes on, and makes the list a long one for its reducer too
+                    left = np.repeat(~long, length)
+                    left[start[long]] = True
+                    h, nodes, level = h[left], nodes[left], level[left]
                 to = (h % _U(reducers)).astype(np.int64)
                 order = np.argsort(to, kind="stable")
-                h, ids, level, to = h[order], ids[order], level[order], to[order]
+                h, nodes, level, to = h[order], nodes[order], level[order], to[order]
                 at = np.searchsorted(to, np.arange(reducers + 1))
                 full = np.flatnonzero(at[1:] > at[:-1])
                 for some in np.array_split(full, max(1, len(full) // 256)):
-                    blobs = {k: pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for k, x in (("hashes", h), ("ids", ids), ("levels", level))}
+                    blobs = {k: pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for k, x in (("hashes", h), ("nodes", nodes), ("levels", level))}
                     yield _batch(len(some), kind=np.full(len(some), 2, dtype=np.int32), r=some.astype(np.int32), **blobs)
-            hashes, owners, sizes, held, copies = [], [], [], 0, []
-            first_of.clear()
+            hashes, owners, sizes, held = [], [], [], 0
+            sent.clear()
 
         for batch in batches:
-            ids = batch.column(0)
+            ids, texts = batch.column(0), batch.column(1)
             known = ids.is_valid().to_numpy(zero_copy_only=False)
-            values = ids.fill_null(0).to_numpy(zero_copy_only=False)
             n, h1, h2 = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
             bins: list[bytes | None] = [None] * len(ids)
-            for s in slices(batch.column(1), NOT_BLANK):
+            for s in slices(batch.column(2), NOT_BLANK):
                 words = s.hashes(lowered=True)
                 for d in range(len(s)):
                     u = distinct_shingles(words[s.first[d] : s.first[d + 1]], size)
                     k = s.row + d
                     n[k] = len(u)
                     if len(u):
-                        h1[k], h2[k] = _set_hash(u)
-                        if not known[k]:
+                        h1[k], h2[k] = own = _set_hash(u)
+                        if not known[k] or own in sent:
                             continue
+                        sent.add(own)
                         bins[k] = histogram(u)
-                        first = first_of.setdefault((h1[k], h2[k]), values[k])
-                        if first != values[k]:  # an equal set of this task stands for it
-                            copies.append((values[k], first))
-                            continue
                         p = rarest(u, pct, levels.value)
                         hashes.append(p)
-                        owners.append(np.full(len(p), values[k]))
+                        owners.append(np.full(len(p), h1[k]))
                         sizes.append(np.full(len(p), _size_level(len(u)), dtype=np.uint16))
                         held += len(p)
                 if held >= FLUSH:
                     yield from flush()
-            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, n=n, h1=h1, h2=h2, bins=pa.array(bins, pa.binary()), r=_dealt(values, reducers))
+            to = _dealt(h1 ^ mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint64)).astype(np.int64), reducers)
+            yield _batch(len(ids), kind=np.zeros(len(ids), dtype=np.int32), id=ids, t=texts, n=n, h1=h1, h2=h2, bins=pa.array(bins, pa.binary()), r=to)
         yield from flush()
 
     return run
 
 
 def _reduce(pct: int) -> Callable:
-    """Short lists become their pairs, hot ones edges to their first entry; other rows pass through."""
+    """Short lists become their pairs, long ones edges to their smallest node; other rows pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -263,7 +266,7 @@ def _reduce(pct: int) -> Callable:
             entries = np.flatnonzero(kind == 2)
             if len(entries):
                 own = batch.take(pa.array(entries))
-                for r, *blobs in zip(*[own.column(c).to_pylist() for c in ("r", "hashes", "ids", "levels")], strict=True):
+                for r, *blobs in zip(*[own.column(c).to_pylist() for c in ("r", "hashes", "nodes", "levels")], strict=True):
                     found.setdefault(r, []).append(tuple(blobs))
             rest = np.flatnonzero(kind != 2)
             if len(rest):
@@ -271,34 +274,30 @@ def _reduce(pct: int) -> Callable:
         pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
         while found:
             _, blobs = found.popitem()
-            start, length, _, ids, level = _lists(*[np.frombuffer(b"".join(x[i] for x in blobs), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.uint16))])
-            hot = length > PAIRS
-            star = _stars(ids, start[hot], length[hot])
+            start, length, long, _, nodes, level = _lists(*[np.frombuffer(b"".join(x[i] for x in blobs), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.uint16))])
+            star = _stars(nodes, start[long], length[long])
             if len(star):
-                yield _batch(len(star), kind=np.full(len(star), 1, dtype=np.int32), id=star[:, 0], other=star[:, 1])
-            pairs.append(_pairs(ids, level, start[~hot], length[~hot], pct))
+                yield _edges(1, star)
+            pairs.append(_pairs(nodes, level, start[~long], length[~long], pct))
             waiting += len(pairs[-1])
             if waiting > FLUSH or not found:
                 p = _distinct(np.concatenate(pairs))
                 pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
                 if len(p):
-                    yield _batch(len(p), kind=np.full(len(p), 3, dtype=np.int32), id=p[:, 0], other=p[:, 1])
+                    yield _edges(3, p)
 
     return run
 
 
 def _possible(pct: int) -> Callable:
-    """Edges of the pairs (id, other) whose sizes and bins allow the similarity. Rows: id, other, n, m, bins, bins2."""
+    """Edges of the pairs (h1, other) whose sizes and bins allow the similarity. Rows: h1, other, n, m, bins, bins2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins", "bins2"))
             ok = (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (np.abs(a - b).sum(axis=1) * (100 + pct) <= (n + m) * (100 - pct))
-            left = batch.select(["id", "other"]).take(pa.array(np.flatnonzero(ok)))
-            # what a batch holds together is sent as stars: fewer edges, and fewer rounds after
-            stars = [(x, r) for x, r in local_roots(left.column(0).to_pylist(), left.column(1).to_pylist()).items() if x != r]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["id", "other"])
+            yield batch.select(["h1", "other"]).take(pa.array(np.flatnonzero(ok)))
 
     return run
 
@@ -366,14 +365,14 @@ def search(sets: list[np.ndarray], side: np.ndarray, pct: int, crossing: bool) -
 
 
 def _search_blocks(size: int, pct: int) -> Callable:
-    """Rows sorted by (grp, i, j) -> stars of linked documents, and the number of links of each."""
-    out = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("links", pa.int64()), ("whole", pa.bool_())])
+    """Rows sorted by (grp, i, j) -> stars of linked documents (id, other), and the links of each set (h1, h2)."""
+    out = pa.schema([(k, pa.int64()) for k in ("id", "other", "h1", "h2", "links")])
 
-    def block(ids: list[int], sets: list[np.ndarray], side: list[int], copies: list[int], key: tuple) -> pa.RecordBatch:
+    def block(ids: list[int], keys: list[tuple[int, int]], sets: list[np.ndarray], side: list[int], copies: list[int], crossing: bool) -> pa.RecordBatch:
         many = np.array(copies, dtype=np.int64)
         links = np.zeros(len(ids), dtype=np.int64)
         label = np.arange(len(ids))
-        for q, cand in search(sets, np.array(side), pct, key[1] != key[2]):
+        for q, cand in search(sets, np.array(side), pct, crossing):
             links[q] += many[cand].sum()
             links[cand] += many[q]
             for other in np.unique(label[cand]):
@@ -383,91 +382,97 @@ def _search_blocks(size: int, pct: int) -> Callable:
         least = dict(sorted(zip(label.tolist(), ids, strict=True), key=lambda x: -x[1]))  # the smallest id of a label stays
         stars = [(ids[i], least[label[i]]) for i in some if ids[i] != least[label[i]]]
         n, m = len(stars), len(some)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([x for x, _ in stars] + [ids[i] for i in some], pa.int64()),
-                pa.array([r for _, r in stars] + [None] * m, pa.int64()),
-                pa.array([0] * n + links[some].tolist(), pa.int64()),
-                pa.array([key[3] == 1] * (n + m)),
-            ],
-            schema=out,
+        columns = (
+            [x for x, _ in stars] + [None] * m,
+            [r for _, r in stars] + [None] * m,
+            [None] * n + [keys[i][0] for i in some],
+            [None] * n + [keys[i][1] for i in some],
+            [None] * n + links[some].tolist(),
         )
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, sets, side, copies = None, [], [], [], []
+        key, ids, keys, sets, side, copies = None, [], [], [], [], []
         for batch in batches:
-            cols = {k: batch.column(k).to_pylist() for k in ("grp", "i", "j", "g", "b", "rep", "h1", "h2", "copies")}
+            cols = {k: batch.column(k).to_pylist() for k in ("grp", "i", "j", "b", "rep", "h1", "h2", "copies")}
             for s in slices(batch.column("text"), NOT_BLANK):
                 words = s.hashes(lowered=True)
                 for d in range(len(s)):
                     k = s.row + d
-                    now = (cols["grp"][k], cols["i"][k], cols["j"][k], cols["g"][k])
+                    now = (cols["grp"][k], cols["i"][k], cols["j"][k])
                     if now != key:
                         if len(ids) > 1:
-                            yield block(ids, sets, side, copies, key)
-                        key, ids, sets, side, copies = now, [], [], [], []
-                    if ids and ids[-1] == cols["rep"][k]:
+                            yield block(ids, keys, sets, side, copies, key[1] != key[2])
+                        key, ids, keys, sets, side, copies = now, [], [], [], [], []
+                    own = (cols["h1"][k], cols["h2"][k])
+                    if keys and keys[-1] == own:
                         continue  # a repeated row
                     u = distinct_shingles(words[s.first[d] : s.first[d + 1]], size)
-                    if _set_hash(u) == (cols["h1"][k], cols["h2"][k]):
+                    if _set_hash(u) == own:
                         ids.append(cols["rep"][k])
+                        keys.append(own)
                         sets.append(u)
                         side.append(cols["b"][k])
                         copies.append(cols["copies"][k])
         if len(ids) > 1:
-            yield block(ids, sets, side, copies, key)
+            yield block(ids, keys, sets, side, copies, key[1] != key[2])
 
     return run
 
 
-def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, n_links) of each row; ``size`` words a shingle, ``pct`` percent.
+def _candidates(rows: DataFrame, pct: int) -> DataFrame:
+    """(node, grp) of the sets that may link with others; a set's node is its h1."""
+    bins = rows.where("kind = 0 and bins is not null").select(F.col("h1").alias("k"), "n", "bins").repartition("k").distinct()
+    pairs = rows.where("kind = 3").select("h1", "other").repartition("h1").distinct()
+    left = pairs.join(bins, pairs.h1 == bins.k).drop("k")
+    both = left.join(bins.select("k", F.col("n").alias("m"), F.col("bins").alias("bins2")), F.col("other") == F.col("k"))
+    near = both.select("h1", "other", "n", "m", "bins", "bins2").mapInArrow(_possible(pct), "h1 long, other long")
+    return connected_components(rows.where("kind = 1").select("h1", "other").unionByName(near), "h1", "other").withColumnRenamed("component", "grp")
 
-    Two documents link when 100 * intersection >= pct * union. ``component_id`` is the smallest id
-    that links reach, ``n_links`` the number of other documents that a document links with.
-    """
+
+def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, n, component, links) of each row; t is a hash of its text."""
     spark = docs.sparkSession
     reducers = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slim = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
+    slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(slim, size))
-    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce(pct), _SQL_SCHEMA).select("kind", "id", "other", "n", "h1", "h2", "bins"))
-    sets = rows.where("kind = 0").select("id", "n", "h1", "h2")
-    # rows that share an id are compared in every combination
-    bins = rows.where("kind = 0 and bins is not null").select(F.col("id").alias("k"), "n", "bins").distinct()
-    left = rows.where("kind = 3").select("id", "other").distinct().join(bins, F.col("id") == F.col("k")).drop("k")
-    both = left.join(bins.select("k", F.col("n").alias("m"), F.col("bins").alias("bins2")), F.col("other") == F.col("k")).drop("k")
-    edges = rows.where("kind = 1").select("id", "other").unionByName(both.select("id", "other", "n", "m", "bins", "bins2").mapInArrow(_possible(pct), "id long, other long"))
-    grouped = connected_components(edges, "id", "other").withColumnRenamed("component", "grp")
-
-    members = sets.where("n > 0").join(grouped, sets.id == grouped.node).select("id", "n", "h1", "h2", "grp")
-    reps = stage(members.groupBy("grp", "h1", "h2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
-    shape = reps.groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("weight")).where("k > 1")
+    rows = stage(slim.mapInArrow(_scan(size, pct, reducers, levels), _SQL_SCHEMA).repartition("r").mapInArrow(_reduce(pct), _SQL_SCHEMA).drop("r", "hashes", "nodes", "levels"))
+    levels.unpersist()
+    grouped = _candidates(rows, pct)
+
+    # one document stands for each set
+    own = rows.where("kind = 0 and n > 0 and id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies"))
+    reps = stage(own.join(grouped, own.h1 == grouped.node, "left").select("h1", "h2", "n", "rep.*", "copies", "grp"))
+    shape = reps.where("grp is not null").groupBy("grp").agg(F.count("*").alias("k"), F.sum("n").alias("weight")).where("k > 1")
     blocks = F.ceil(F.col("weight") / BLOCK).cast("int")
-    dealt = reps.join(shape.select("grp", blocks.alias("g")), "grp").withColumn("b", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
+    dealt = reps.join(shape.select("grp", blocks.alias("g")), "grp").withColumn("b", F.pmod(F.xxhash64("h1", "h2"), F.col("g")).cast("int"))
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    work = pairs.select("grp", "rep", "h1", "h2", "copies", "g", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    sent = slim.join(work, slim.id == work.rep).select("grp", "i", "j", "g", "b", "rep", "h1", "h2", "copies", "text")
-    found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep").mapInArrow(_search_blocks(size, pct), "id long, other long, links long, whole boolean"))
-
-    # stars of a group that was searched in one task are final, those of blocks are put together
-    stars = found.where("other is not null")
-    final = stars.where("whole").select(F.col("id").alias("rep"), F.col("other").alias("component"))
-    joined = final.unionByName(connected_components(stars.where("not whole"), "id", "other").select(F.col("node").alias("rep"), "component"))
-    counted = found.where("other is null").groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    reached = reps.join(joined, "rep", "left").join(counted, "rep", "left")
-    reached = reached.select("grp", "h1", "h2", "n", F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    per_id = members.join(reached, ["grp", "h1", "h2", "n"]).groupBy("id").agg(F.min("component").alias("component"), F.max("links").alias("links"))
-    per_id = per_id.withColumnRenamed("id", "node")
-    return sets.join(per_id, sets.id == per_id.node, "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links")
-    )
+    work = pairs.select("grp", F.col("id").alias("rep"), F.col("t").alias("rep_t"), "h1", "h2", "copies", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
+    sent = slim.join(work, (slim.id == work.rep) & (slim.t == work.rep_t)).select("grp", "i", "j", "b", "rep", "h1", "h2", "copies", "text")
+    found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep", "h1", "h2").mapInArrow(_search_blocks(size, pct), "id long, other long, h1 long, h2 long, links long"))
+
+    linked = connected_components(found.where("other is not null"), "id", "other")
+    counted = found.where("links is not null").groupBy("h1", "h2").agg(F.sum("links").alias("found"))
+    known = reps.select("h1", "h2", "id", "copies").join(linked, F.col("id") == F.col("node"), "left").join(counted, ["h1", "h2"], "left")
+    reached = stage(known.select("h1", "h2", F.coalesce("component", "id").alias("component"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links")))
+    members = rows.where("kind = 0").select("id", "t", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("h1")).alias("h1"), "h2")
+    return members.join(reached, ["h1", "h2"], "left").select("id", "t", "n", F.coalesce("component", "id").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def jaccard_groups(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, n_links) of each row; ``size`` words a shingle, ``pct`` percent.
+
+    Two documents link when 100 * intersection >= pct * union. ``component_id`` is the smallest id
+    that links reach, ``n_links`` the number of other documents that a document links with. Ids are
+    numbers.
+    """
+    return _row_groups(docs, size, pct, id_col, text_col).select("id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("links").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, pct: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that are in a group with a smaller id."""
-    groups = jaccard_groups(docs, size, pct, id_col, text_col)
-    gone = groups.where("component_id <> id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = _row_groups(docs, size, pct, id_col, text_col).where("component <> id").select(F.col("id").alias("__gone"), F.col("t").alias("__gone_t")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__gone_t"]), "left_anti")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -16,23 +16,29 @@ def shingles(text, size):
 
 
 def brute(rows, size, pct):
+    """Each row is a document; texts whose smallest id is the same are in one component."""
     sets = [(d, shingles(t, size)) for d, t in rows]
+    least = {}
+    for d, x in sets:
+        if d is not None and x:
+            least[frozenset(x)] = min(d, least.get(frozenset(x), d))
     root = {d: d for d, _ in sets}
 
     def find(x):
         while root[x] != x:
+            root[x] = root[root[x]]
             x = root[x]
         return x
 
-    links = {d: 0 for d, _ in sets}
+    links = [0] * len(sets)
     for i, (a, x) in enumerate(sets):
-        for b, y in sets[:i]:
-            if x and y and 100 * len(x & y) >= pct * len(x | y):
-                links[a] += 1
-                links[b] += 1
-                r, s = sorted((find(a), find(b)))
+        for k, (b, y) in enumerate(sets[:i]):
+            if None not in (a, b) and x and y and 100 * len(x & y) >= pct * len(x | y):
+                links[i] += 1
+                links[k] += 1
+                r, s = sorted((find(least[frozenset(x)]), find(least[frozenset(y)])))
                 root[s] = r
-    return sorted((d, len(s), find(d), links[d]) for d, s in sets)
+    return sorted([(d, len(s), find(least[frozenset(s)]) if s and d is not None else d, n) for (d, s), n in zip(sets, links, strict=True)], key=str)
 
 
 def corpus(seed=0):
@@ -57,7 +63,7 @@ def test_is_brute_force(spark, monkeypatch, size, pct, block):
     monkeypatch.setattr(j, "BLOCK", block)
     rows = corpus(size)
     got = j.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), size, pct)
-    assert sorted(tuple(r) for r in got.collect()) == brute(rows, size, pct)
+    assert sorted([tuple(r) for r in got.collect()], key=str) == brute(rows, size, pct)
 
 
 @pytest.mark.parametrize("pct", [60, 80, 90])
@@ -85,6 +91,45 @@ def test_odd_rows(spark):
     assert j.jaccard_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1_000_000, 60])
+def test_rows_that_share_an_id(spark, monkeypatch, block):
+    monkeypatch.setattr(j, "BLOCK", block)
+    rng = random.Random(1)
+    texts = [" ".join(f"g{g}w{rng.randrange(99)}" for _ in range(40)) for g in range(12)]
+    rows = []
+    for g in range(0, 12, 2):
+        a, b, k = texts[g], texts[g + 1], 10 * g
+        rows += [(k + 1, a), (k + 1, b), (k + 2, b + " more"), (k + 3, a + " more"), (k + 1, a), (None, a)]
+    got = j.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 90)
+    got = sorted([tuple(r) for r in got.collect()], key=str)
+    assert got == brute(rows, 3, 90)
+    assert all(c == i // 10 * 10 + 1 and n >= 1 for i, _, c, n in got if i is not None)
+    kept = j.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90)
+    assert sorted([r.doc_id for r in kept.collect()], key=str) == sorted([k for g in range(0, 12, 2) for k in [10 * g + 1] * 3 + [None]], key=str)
+
+
+def test_hub_of_largest_id(spark):
+    rng = random.Random(3)
+    edges = [(9999, 7000 + i) for i in range(400)] + [(5000 + i, 5001 + i) for i in range(300)] + [(rng.randrange(3000), rng.randrange(3000)) for _ in range(1400)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6), "a", "b").collect()}
+    real = [(a, b) for a, b in edges if a != b]
+    root = {}
+    for a, b in real:
+        root.setdefault(a, {a}).add(b)
+        root.setdefault(b, {b}).add(a)
+    want = {}
+    for x in sorted(root):
+        if x not in want:
+            todo = [x]
+            while todo:
+                y = todo.pop()
+                if y not in want:
+                    want[y] = x
+                    todo += root[y]
+    assert got == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150), (200, 151), (151, 160)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
