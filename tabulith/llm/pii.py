@@ -10,10 +10,10 @@ kind      check                                           what is permuted
 ========  ==============================================  =====================================
 email     name@host.tld                                   letters and digits of the name
 ip        four numbers to 255                             the 32-bit address
-date      a day of 1900-01-01 to 2102-07-24               the day, written in the same form
+date      a day from 1900-01-01 on, to 2100-05-10          the day, written in the same form
 iban      remainder 1 modulo 97                           digits of the account; check digits follow
 ssn       area, group and serial that are issued          the number among those
-phone     7 to 15 digits in a phone's form                the last ten digits at most
+phone     7 to 15 digits in a phone's form                all but the country code after a plus
 card      12 to 19 digits with a right Luhn digit         all but the Luhn digit, which follows
 ========  ==============================================  =====================================
 
@@ -22,6 +22,11 @@ letters stand beside them, by testing the runs of groups. Beside such groups a r
 chance when another is replaced (one in ten for cards that have no usual form or groups of four before
 them), and is then not turned back by the key.
 
+Days to the 12th are permuted among themselves, and so are the others: a date that can only be read month
+first stays one. Forms that are not looked for: dates without leading zeros or with month names, phones
+without a country code but those of ten digits, IPv6. The key is part of the query's plan, so event logs
+that show plans have to be kept as safe as the key.
+
 Documents without an ``@`` and without a digit have no candidates and pass unchanged, no shuffle is
 made. Defined cases: null text stays null with zero counts; candidates that fail their check stay as
 they are; columns of the input that carry an output's name are replaced; rows are independent.
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 ROUNDS = 10
-_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"  # possessive: long hosts take no stack
 _IP = r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\d|\.\d)"
 _ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 _DAY = r"(?<![\d./])\d{2}[./]\d{2}[./]\d{4}(?!\d|[./]\d)"
@@ -58,7 +63,18 @@ _CARD_SIXES = rf"(?<!\d)\d{{4}}[ -]\d{{6}}[ -]\d{{4,5}}(?!\d)(?:[ -]\d{{1,4}}{_N
 _CARD = "|".join([_CARD_FOURS, _CARD_SIXES, rf"(?<!\d)\d(?:[ -]?(?!{_CARD_USUAL}|{_IP}|{_ISO}|{_DAY}|{_SSN}|{_PHONE})\d){{11,18}}(?!\d)"])
 _PATTERN = "|".join([_EMAIL, _IP, _ISO, _DAY, _IBAN_USUAL, _IBAN, _SSN, _PHONE, _CARD])
 KINDS = ("email", "ip", "date", "iban", "ssn", "phone", "card")
-_FIRST_DAY, _HALF_DAYS = "1900-01-01", 272
+# Country codes of phones with one or two digits; others have three.
+_COUNTRY = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}"
+_FIRST_DAY = "1900-01-01"
+#: Sides of the squares of days to the 12th of their months, and of later days; both end in 2100 or 2101.
+_EARLY, _LATE = 170, 211
+#: Days after the 12th that a month has on average.
+_LATE_DAYS = 365.2425 / 12 - 12
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def _f(key: str, tweak: Column, i: Column, x: Column) -> Column:
@@ -88,11 +104,14 @@ def _power10(n: Column) -> Column:
 
 def permuted_digits(key: str, tweak: Column, digits: Column, inverse: bool = False) -> Column:
     """A permutation of digit strings of one length (36 digits at most)."""
-    n = F.length(digits)
-    h = F.floor(n / 2).cast("int")
-    out = feistel(key, F.concat_ws(":", tweak, n.cast("string")), F.coalesce(F.nullif(F.substr(digits, F.lit(1), h), F.lit("")).cast("long"), F.lit(0)), F.substr(digits, h + 1).cast("long"), _power10(h), _power10(n - h), inverse)
-    padded = F.concat(F.when(h > 0, F.lpad(out["l"].cast("string"), h, F.lit("0"))).otherwise(""), F.lpad(out["r"].cast("string"), (n - h).cast("int"), F.lit("0")))
-    return F.when(n > 0, padded).otherwise("")
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        h = F.floor(n / 2).cast("int")
+        moved = feistel(key, F.concat_ws(":", tweak, n.cast("string")), F.coalesce(F.nullif(F.substr(d, F.lit(1), h), F.lit("")).cast("long"), F.lit(0)), F.substr(d, h + 1).cast("long"), _power10(h), _power10(n - h), inverse)
+        padded = lambda out: F.concat(F.when(h > 0, F.lpad(out["l"].cast("string"), h, F.lit("0"))).otherwise(""), F.lpad(out["r"].cast("string"), (n - h).cast("int"), F.lit("0")))
+        return F.when(n > 0, let(moved, padded)).otherwise("")
+
+    return let(digits, of)
 
 
 def _into(form: Column, digits: Column) -> Column:
@@ -146,14 +165,14 @@ def _email(key: str, m: Column, inverse: bool) -> Column:
         odd = F.struct(s["l"].alias("l"), shifted(s["r"], s["l"], i).alias("r"))
         return F.when(i % 2 == 0, even).otherwise(odd)
 
-    out = F.aggregate(_rounds(inverse), F.struct(F.substr(name, F.lit(1), h).alias("l"), F.substr(name, h + 1).alias("r")), turn)
-    return F.concat(out["l"], out["r"], F.substr(m, n + 1))
+    moved = F.aggregate(_rounds(inverse), F.struct(F.substr(name, F.lit(1), h).alias("l"), F.substr(name, h + 1).alias("r")), turn)
+    return let(moved, lambda out: F.concat(out["l"], out["r"], F.substr(m, n + 1)))
 
 
 def _ip(key: str, m: Column, inverse: bool) -> Column:
     q = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    out = feistel(key, F.lit("ip"), q[0] * 256 + q[1], q[2] * 256 + q[3], F.lit(65536), F.lit(65536), inverse)
-    return F.concat_ws(".", *[x.cast("string") for h in (out["l"], out["r"]) for x in (F.floor(h / 256), h % 256)])
+    moved = feistel(key, F.lit("ip"), q[0] * 256 + q[1], q[2] * 256 + q[3], F.lit(65536), F.lit(65536), inverse)
+    return let(moved, lambda out: F.concat_ws(".", *[x.cast("string") for h in (out["l"], out["r"]) for x in (F.floor(h / 256), h % 256)]))
 
 
 def _iso_day(m: Column) -> Column:
@@ -162,17 +181,52 @@ def _iso_day(m: Column) -> Column:
     return F.when(m.rlike(r"^\d{4}-"), m).when(x2 <= "12", F.concat_ws("-", y, x2, x1)).otherwise(F.concat_ws("-", y, x1, x2))
 
 
-def _day_number(m: Column) -> Column:
-    return F.date_diff(_iso_day(m).try_cast("date"), F.lit(_FIRST_DAY).cast("date"))
+def _month_start(month: Column) -> Column:
+    return F.add_months(F.lit(_FIRST_DAY).cast("date"), month.cast("int"))
+
+
+def _late_before(month: Column) -> Column:
+    """Days after the 12th in the months before."""
+    return F.date_diff(_month_start(month), F.lit(_FIRST_DAY).cast("date")) - 12 * month
+
+
+def _day_place(m: Column) -> Column:
+    """struct(late, at): a date's place among the days to the 12th or among the later ones; null if it is none."""
+
+    def of(d: Column) -> Column:
+        month = (F.year(d) - 1900) * 12 + F.month(d) - 1
+        late = F.dayofmonth(d) > 12
+        at = F.when(late, _late_before(month) + F.dayofmonth(d) - 13).otherwise(12 * month + F.dayofmonth(d) - 1)
+        return F.when((F.year(d) >= 1900) & (at < F.when(late, _LATE**2).otherwise(_EARLY**2)), F.struct(late.alias("late"), at.cast("long").alias("at")))
+
+    return let(_iso_day(m).try_cast("date"), of)
+
+
+def _day_at(late: Column, at: Column) -> Column:
+    """The day of a place."""
+
+    def later(guess: Column) -> Column:
+        month = guess + F.when(_late_before(guess + 1) <= at, 1).when(_late_before(guess) > at, -1).otherwise(0)
+        return let(month, lambda k: F.date_add(_month_start(k), (at - _late_before(k) + 12).cast("int")))
+
+    early = F.date_add(_month_start(F.floor(at / 12)), (at % 12).cast("int"))
+    return F.when(late, let(F.floor(at / _LATE_DAYS).cast("long"), later)).otherwise(early)
 
 
 def _date(key: str, m: Column, inverse: bool) -> Column:
-    n = _day_number(m)
-    out = feistel(key, F.lit("date"), F.floor(n / _HALF_DAYS), n % _HALF_DAYS, F.lit(_HALF_DAYS), F.lit(_HALF_DAYS), inverse)
-    day = F.date_add(F.lit(_FIRST_DAY).cast("date"), (out["l"] * _HALF_DAYS + out["r"]).cast("int")).cast("string")
-    sep = F.substr(m, F.lit(3), F.lit(1))
-    # written day first again: month first would not be told apart once the day is 12 or less
-    return F.when(m.rlike(r"^\d{4}-"), day).otherwise(F.concat(F.substr(day, F.lit(9), F.lit(2)), sep, F.substr(day, F.lit(6), F.lit(2)), sep, F.substr(day, F.lit(1), F.lit(4))))
+    def written(day: Column) -> Column:
+        y, x1, x2 = F.substr(day, F.lit(1), F.lit(4)), F.substr(day, F.lit(9), F.lit(2)), F.substr(day, F.lit(6), F.lit(2))
+        sep = F.substr(m, F.lit(3), F.lit(1))
+        month_first = F.substr(m, F.lit(4), F.lit(2)) > "12"
+        return F.when(m.rlike(r"^\d{4}-"), day).when(month_first, F.concat(x2, sep, x1, sep, y)).otherwise(F.concat(x1, sep, x2, sep, y))
+
+    def moved(p: Column) -> Column:
+        side = F.when(p["late"], _LATE).otherwise(_EARLY)
+        tweak = F.when(p["late"], "late day").otherwise("day")
+        out = feistel(key, tweak, F.floor(p["at"] / side), p["at"] % side, side, side, inverse)
+        return let(let(out, lambda o: _day_at(p["late"], o["l"] * side + o["r"])).cast("string"), written)
+
+    return let(_day_place(m), moved)
 
 
 def _iban_rest(m: Column) -> Column:
@@ -180,11 +234,14 @@ def _iban_rest(m: Column) -> Column:
 
 
 def _iban(key: str, m: Column, inverse: bool) -> Column:
-    rest = _iban_rest(m)
-    moved = _into(rest, permuted_digits(key, F.concat(F.lit("iban"), F.regexp_replace(rest, "[0-9]", "")), _digits(rest), inverse))
     country = F.substr(m, F.lit(1), F.lit(2))
-    check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
-    return F.concat(country, _into(F.substr(m, F.lit(3)), F.concat(check, _digits(moved))))
+
+    def checked(moved: Column) -> Column:
+        check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, _into(F.substr(m, F.lit(3)), F.concat(check, _digits(moved))))
+
+    account = lambda rest: _into(rest, permuted_digits(key, F.concat(F.lit("iban"), F.regexp_replace(rest, "[0-9]", "")), _digits(rest), inverse))
+    return let(let(_iban_rest(m), account), checked)
 
 
 def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
@@ -193,36 +250,45 @@ def _ssn_parts(m: Column) -> tuple[Column, Column, Column]:
 
 def _ssn(key: str, m: Column, inverse: bool) -> Column:
     area, group, serial = _ssn_parts(m)
-    out = feistel(key, F.lit("ssn"), area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), inverse)
-    a = out["l"] + 1 + F.when(out["l"] >= 665, 1).otherwise(0)
-    return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(out["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((out["r"] % 9999 + 1).cast("string"), 4, "0"))
+    moved = feistel(key, F.lit("ssn"), area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), inverse)
+
+    def written(out: Column) -> Column:
+        a = out["l"] + 1 + F.when(out["l"] >= 665, 1).otherwise(0)
+        return F.concat_ws("-", F.lpad(a.cast("string"), 3, "0"), F.lpad((F.floor(out["r"] / 9999) + 1).cast("string"), 2, "0"), F.lpad((out["r"] % 9999 + 1).cast("string"), 4, "0"))
+
+    return let(moved, written)
 
 
 def _phone(key: str, m: Column, inverse: bool) -> Column:
-    d = _digits(m)
-    kept = F.greatest(F.length(d) - 10, F.lit(0))
-    return _into(m, F.concat(F.substr(d, F.lit(1), kept), permuted_digits(key, F.lit("phone"), F.substr(d, kept + 1), inverse)))
+    def of(d: Column) -> Column:
+        kept = F.when(m.startswith("+"), F.length(F.regexp_extract(d, f"^(?:{_COUNTRY})", 0))).otherwise(0)
+        return _into(m, F.concat(F.substr(d, F.lit(1), kept), permuted_digits(key, F.lit("phone"), F.substr(d, kept + 1), inverse)))
+
+    return let(_digits(m), of)
 
 
 def _card(key: str, m: Column, inverse: bool) -> Column:
-    d = _digits(m)
-    payload = permuted_digits(key, F.lit("card"), F.substr(d, F.lit(1), F.length(d) - 1), inverse)
-    return _into(m, F.concat(payload, ((10 - _luhn_sum(payload) % 10) % 10).cast("string")))
+    moved = permuted_digits(key, F.lit("card"), _payload(m), inverse)
+    return let(moved, lambda payload: _into(m, F.concat(payload, ((10 - _luhn_sum(payload) % 10) % 10).cast("string"))))
+
+
+def _payload(m: Column) -> Column:
+    """A card's digits without the last."""
+    return F.regexp_replace(_digits(m), "[0-9]$", "")
 
 
 def kind_of(m: Column) -> Column:
     """The kind of a candidate that passes its check, else null."""
     whole = lambda p: m.rlike(f"^(?:{p})$")
-    d = _digits(m)
     area, group, serial = _ssn_parts(m)
     return (
         F.when(F.contains(m, F.lit("@")), F.lit("email"))
         .when(whole(_IP), F.when(F.forall(F.split(m, r"\."), lambda x: x.cast("int") <= 255), "ip"))
-        .when(m.rlike(rf"^(?:\d{{4}}-\d\d-\d\d|\d\d[./]\d\d[./]\d{{4}})$"), F.when(_day_number(m).between(0, _HALF_DAYS**2 - 1), "date"))
+        .when(m.rlike(rf"^(?:\d{{4}}-\d\d-\d\d|\d\d[./]\d\d[./]\d{{4}})$"), F.when(_day_place(m).isNotNull(), "date"))
         .when(m.rlike("^[A-Z]"), F.when(_right_iban(m), "iban"))
         .when(whole(_SSN), F.when((area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0), "ssn"))
-        .when(whole(_PHONE), F.when(F.length(d).between(7, 15), "phone"))
-        .when(F.length(d).between(12, 19), F.when(_right_luhn(d), "card"))
+        .when(whole(_PHONE), F.when(F.length(_digits(m)).between(7, 15), "phone"))
+        .otherwise(let(_digits(m), lambda d: F.when(F.length(d).between(12, 19) & _right_luhn(d), "card")))
     )
 
 
@@ -235,43 +301,61 @@ def _right_luhn(d: Column) -> Column:
 
 
 def _inside(m: Column, kind: str) -> Column:
-    """A candidate for ``kind`` cut at its groups into pieces, array of struct(m, kind): all runs of groups
-    that are valid and don't overlap, usual forms first, then the whole, then longer and earlier ones.
+    """A candidate for ``kind`` cut at its groups into pieces, array of struct(m, kind): runs of groups
+    that are valid and don't overlap. Usual forms come first, without them the whole, then other runs in
+    between; of two that overlap the earlier one is taken, of those that begin together the longer.
 
     Other runs than the whole have only groups of four and more but for the last, so lists of short
     numbers, some run of which is always valid, stay.
     """
     sep, char, most = ("[ -]", "[0-9]", 19) if kind == "card" else (" ", "[A-Z0-9]", 34)
-    tokens = F.regexp_extract_all(m, F.lit(f"{sep}?{char}+"), F.lit(0))
-    n = F.size(tokens)
     bare = lambda s: F.regexp_replace(s, f"^{sep}", "")
 
-    def run(i: Column, size: Column) -> Column:
-        r = bare(F.array_join(F.slice(tokens, i, size), ""))
-        if kind == "card":
-            usual = r.rlike(f"^(?:{_CARD_USUAL}|[0-9]{{12,19}})$")
-            right = F.when(F.length(_digits(r)).between(12, 19), _right_luhn(_digits(r)))
-        else:
-            usual = r.rlike(f"^{_IBAN_USUAL}$")
-            right = F.when(r.rlike("^[A-Z]{2}[0-9]{2}") & F.length(F.regexp_replace(r, " ", "")).between(12, most), _right_iban(r))
-        whole = size == n
-        formed = usual | whole | r.rlike(f"^(?:{char}{{4,}}{sep})*{char}+$")
-        return F.when(formed & right, F.struct((~usual).alias("odd"), (~whole).alias("part"), (-size).alias("size"), i.alias("i"), r.alias("r")))
-
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(most))), lambda size: run(i, size))))
-    valid = F.array_sort(F.filter(runs, lambda r: r.isNotNull()))
-    apart = lambda a, b: (a["i"] >= b["i"] - b["size"]) | (b["i"] >= a["i"] - a["size"])
-    chosen = F.aggregate(valid, F.slice(valid, 1, 0), lambda got, r: F.when(F.forall(got, lambda g: apart(g, r)), F.array_append(got, r)).otherwise(got))
-
-    def piece(t: Column, k: Column, got: Column) -> Column:
-        here = F.get(F.filter(got, lambda g: g["i"] == k + 1), F.lit(0))
-        inside = F.exists(got, lambda g: (k + 1 > g["i"]) & (k + 1 < g["i"] - g["size"]))
+    def run(tokens: Column, i: Column, size: Column) -> Column:
+        def of(r: Column) -> Column:
+            if kind == "card":
+                usual = r.rlike(f"^(?:{_CARD_USUAL}|[0-9]{{12,19}})$")
+                right = let(_digits(r), lambda d: F.when(F.length(d).between(12, 19), _right_luhn(d)))
+            else:
+                usual = r.rlike(f"^{_IBAN_USUAL}$")
+                right = F.when(r.rlike("^[A-Z]{2}[0-9]{2}") & F.length(F.regexp_replace(r, " ", "")).between(12, most), _right_iban(r))
+            whole = size == F.size(tokens)
+            formed = usual | whole | r.rlike(f"^(?:{char}{{4,}}{sep})*{char}+$")
+            return F.when(formed & right, F.struct(i.alias("i"), (-size).alias("size"), usual.alias("usual"), whole.alias("whole"), r.alias("r")))
+
+        return let(bare(F.array_join(F.slice(tokens, i, size), "")), of)
+
+    def chosen(valid: Column, taken: Column) -> Column:
+        """Of runs in order those that begin after the last one's end and end before the next one taken."""
+        room = lambda got, r: F.coalesce(F.try_element_at(got, F.lit(-1))["i"] - F.try_element_at(got, F.lit(-1))["size"] <= r["i"], F.lit(True))
+        apart = lambda r: ~F.exists(taken, lambda g: (r["i"] < g["i"] - g["size"]) & (g["i"] < r["i"] - r["size"]))
+        return F.aggregate(F.filter(valid, apart), F.slice(valid, 1, 0), lambda got, r: F.when(room(got, r), F.array_append(got, r)).otherwise(got))
+
+    def cut(tokens: Column, got: Column) -> Column:
         as_is = lambda x: F.struct(x.alias("m"), F.lit(None).cast("string").alias("kind"))
-        first = F.array(as_is(F.regexp_extract(t, f"^{sep}?", 0)), F.struct(here["r"].alias("m"), F.lit(kind).alias("kind")))
-        return F.when(here.isNotNull(), first).when(inside, F.slice(first, 1, 0)).otherwise(F.array(as_is(t)))
 
-    # bound once: a column used twice in lambdas would be computed for each token
-    return F.flatten(F.flatten(F.transform(F.array(chosen), lambda got: F.transform(tokens, lambda t, k: piece(t, k, got)))))
+        def before(r: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(got, k - 1)["i"] - F.get(got, k - 1)["size"], F.lit(1))
+            return F.array(as_is(F.concat(F.array_join(F.slice(tokens, end, r["i"] - end), ""), F.regexp_extract(F.get(tokens, r["i"] - 1), f"^{sep}?", 0))), F.struct(r["r"].alias("m"), F.lit(kind).alias("kind")))
+
+        end = F.coalesce(F.try_element_at(got, F.lit(-1))["i"] - F.try_element_at(got, F.lit(-1))["size"], F.lit(1))
+        rest = F.array_join(F.slice(tokens, end, F.size(tokens) - end + 1), "")
+        return F.concat(F.flatten(F.transform(got, before)), F.array(as_is(rest)))
+
+    def of(tokens: Column) -> Column:
+        n = F.size(tokens)
+        runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(most))), lambda size: run(tokens, i, size))))
+        none = lambda valid: F.slice(valid, 1, 0)
+
+        def both(valid: Column) -> Column:
+            usual = chosen(F.filter(valid, lambda r: r["usual"]), none(valid))
+            whole = F.filter(valid, lambda r: r["whole"])
+            others = lambda taken: F.array_sort(F.concat(taken, chosen(F.filter(valid, lambda r: ~r["usual"] & ~r["whole"]), taken)))
+            return let(usual, lambda taken: F.when((F.size(taken) == 0) & (F.size(whole) > 0), whole).otherwise(others(taken)))
+
+        return let(let(F.array_sort(F.filter(runs, lambda r: r.isNotNull())), both), lambda got: cut(tokens, got))
+
+    return let(F.regexp_extract_all(m, F.lit(f"{sep}?{char}+"), F.lit(0)), of)
 
 
 def pieces(m: Column) -> Column:
