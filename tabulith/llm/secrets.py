@@ -10,7 +10,8 @@ before theirs, and their join back is a plain shuffled join that adaptive execut
 value is in a third of all documents. Values never leave the scan, only 128 bits of their SHA-256.
 
 Defined cases: null text is empty; a null owner or repository counts as one of its own; repeated rows
-get equal spans and count once as repository (by id); offsets are code points, ends exclusive.
+get equal spans and count once as repository (by id); ids are numbers; offsets are code points, ends
+exclusive.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -72,12 +74,27 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out)
 
 
+def _apart(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of spans in order, those that overlap made one."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted(spans):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def more_spans(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Further candidates that don't overlap base spans or earlier ones."""
     out: list[tuple[int, int, int, str]] = []
     for k, (kind, pattern) in enumerate(MORE, len(BASE)):
+        starts, ends = _apart([(a, b) for a, _, b, _ in [*taken, *out]])
         for m in pattern.finditer(text):
-            if (kind != "mixed" or _live_like(m[0])) and not any(a < m.end() and m.start() < b for a, _, b, _ in [*taken, *out]):
+            before = bisect_left(starts, m.end()) - 1  # the last span that begins before the end
+            if (before < 0 or ends[before] <= m.start()) and (kind != "mixed" or _live_like(m[0])):
                 out.append((m.start(), k, m.end(), m[0]))
     return out
 
