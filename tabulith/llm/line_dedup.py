@@ -4,9 +4,9 @@ Lines are exploded, normalised and hashed; a hash found in ``min_docs`` distinct
 its lines. Only hashes and positions go through the counting shuffles, the texts are shuffled once:
 the positions to drop meet them by document.
 
-Hot lines: the count combines before each of its two shuffles, and the semi join with the frequent
-hashes is a plain shuffled join that adaptive execution splits when a line is in a third of all
-documents (or broadcasts when the frequent hashes turn out small).
+Hot lines: the count combines before each of its two shuffles. The frequent hashes are a table of their
+own, so the semi join with them is one of two plain shuffles, which adaptive execution splits when a
+line is in a third of all documents (or replaces by a broadcast when that table turns out small).
 
 Defined cases: null text is one empty line and stays null in the operator's text; the empty key is
 never counted; rows with the same id are one document for the count; a null id is one document of its
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK, lower_ascii, replaced, table
+from .common import BLANK, lower_ascii, replaced, stage, table
 
 
 def _lines(text: Column) -> Column:
@@ -35,7 +35,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, id_col:
     # two seeds, so 128 independent bits stand for a line
     hashed = keyed.where(F.length("key") >= max(min_chars, 1)).select("id", "t", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
     common = hashed.groupBy("h1", "h2").agg(F.count_distinct(F.col("t") if distinct_texts else F.struct("id")).alias("n")).where(F.col("n") >= min_docs).select("h1", "h2")
-    drops = hashed.join(common, ["h1", "h2"], "left_semi").groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
+    drops = hashed.join(stage(common), ["h1", "h2"], "left_semi").groupBy("id", "t").agg(F.collect_set("pos").alias("drop"))
 
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("row_id"), F.xxhash64(docs[text_col]).alias("row_t"), docs[text_col].alias("row_text"))
     met = rows.join(drops.hint("shuffle_hash"), rows.row_id.eqNullSafe(drops.id) & (rows.row_t == drops.t), "left")

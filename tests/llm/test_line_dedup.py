@@ -44,3 +44,12 @@ def test_copies_and_empty(spark):
     assert dedup_lines(docs.limit(0)).count() == 0
     plan = dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_near_copies_by_texts(spark):
+    """A line of ten or more versions of a text goes under either count, and no other line of them."""
+    rows = [(i, f"shared by all\nown of {i}") for i in range(12)] + [(100 + i, "whole copy") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for by_text, copies in ((False, ""), (True, "whole copy")):
+        got = {r.doc_id: r.text for r in dedup_lines(docs, 10, distinct_texts=by_text).collect()}
+        assert got == {i: f"own of {i}" for i in range(12)} | {100 + i: copies for i in range(12)}
