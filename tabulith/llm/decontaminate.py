@@ -1,13 +1,14 @@
 """Benchmark decontamination: find, and remove, passages of benchmark items in documents.
 
-A window is ``size`` consecutive words of an item; a shorter item with words is one window. The hash
-set of all windows is broadcast in blocks of at most ``block`` windows: a benchmark within the bound
-takes one scan of the documents, a larger one a scan per block, and the hits are put together by
-document. A hash hit counts only after its words equal those of the window. Documents are not
-shuffled for the scan.
-
-Defined cases: null text has no words; an item with a null id or no words has no windows; items of
-equal ids are one item; a document without words is not contaminated; repeated rows are scanned each.
+A window is ``size`` consecutive words of an item; a shorter item with words is one window. The windows
+are made once; their hash set, with words and items in packed arrays, is broadcast in blocks of at most
+about ``block`` bytes: a benchmark within the bound takes one scan of the documents, a larger one a scan
+per block, and the hits are put together by document. The driver holds one block at a time. A hash hit
+counts only after its words equal those of the window. Documents are not shuffled for the scan.
+
+Defined cases: null text has no words; the windows of an item with a null id are hit like others, but
+the id is not listed; an item without words has no windows; items of equal ids are one item; a document
+without words is not contaminated; repeated rows are scanned each.
 """
 
 from __future__ import annotations
@@ -17,14 +18,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, table
-from .tokens import LOWERED, WORD_LIKE, Slice, slices, windows
+from .common import replaced, stage, table
+from .tokens import LOWERED, WORD_LIKE, Slice, buffers, slices, windows
 
-#: Windows that one broadcast holds at most (about 100 bytes each).
-BLOCK = 1_000_000
+#: Bytes that one broadcast holds at most, by this count: words and ids as they are, and for each window and id so many more.
+BLOCK = 128 << 20
+_EXTRA = 24
 
 _SPANS = "array<struct<word:bigint,word_end:bigint,start:bigint,end:bigint>>"
 _SCAN = f"n_words long, n_hit long, items array<string>, spans {_SPANS}"
@@ -32,7 +35,7 @@ _SPAN = pa.struct([(k, pa.int64()) for k in ("word", "word_end", "start", "end")
 
 
 def benchmark_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """(words, n, items): each distinct window of the benchmark with the ids of its items."""
+    """(words, n, items): each distinct window of the benchmark with the ids of its items that aren't null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -49,26 +52,34 @@ def benchmark_windows(benchmark: DataFrame, size: int, id_col: str, text_col: st
                         n.append(k)
             yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int32())], names=["item", "words", "n"])
 
-    slim = benchmark.where(benchmark[id_col].isNotNull()).select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text"))
+    slim = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text"))
     return slim.mapInArrow(run, "item string, words string, n int").groupBy("words", "n").agg(F.collect_set("item").alias("items"))
 
 
 class _Windows:
-    """A block of windows, ready to be looked up: per length the sorted hashes, with their words and items."""
-
-    def __init__(self, rows: list):
-        self.by_size: dict[int, tuple[np.ndarray, list]] = {}
+    """A block of windows, ready to be looked up: by length the sorted hashes with their words and items, packed."""
+
+    def __init__(self, block: pa.Table):
+        items = block.column("items").combine_chunks()
+        self.names, place = np.unique(items.flatten().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64))])
+        sizes = block.column("n").to_numpy()
+        words = block.column("words").combine_chunks()
         self.bits = np.zeros(1 << 20, dtype=bool)
-        of: dict[int, list] = {}
-        for r in rows:
-            of.setdefault(r["n"], []).append(r)
-        for n, own in of.items():
-            data = "\n".join(r["words"] for r in own)
-            s = next(slices(pa.array([data])))
-            h = windows(s.hashes(lowered=False), n)[::n]
+        self.by_size: dict[int, tuple[np.ndarray, ...]] = {}
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            data, at = buffers(words.take(pa.array(own)))
+            h = np.empty(len(own), dtype=np.uint64)
+            for s in slices(words.take(pa.array(own))):
+                h[s.row : s.row + len(s)] = windows(s.hashes(lowered=False), n)[s.first[:-1]]
             order = np.argsort(h, kind="stable")
             self.bits[(h >> np.uint64(44)).astype(np.int64)] = True
-            self.by_size[n] = (h[order], [(own[i]["words"].encode(), own[i]["items"]) for i in order])
+            self.by_size[n] = (h[order], at[:-1][order], at[1:][order], data, own[order])
+        self.first, self.place = first, place.astype(np.int32)
+
+    def items(self, window: int) -> list[str]:
+        return self.names[self.place[self.first[window] : self.first[window + 1]]].tolist()
 
 
 def _find(s: Slice, known: _Windows) -> tuple[np.ndarray, dict[int, set[str]]]:
@@ -77,7 +88,7 @@ def _find(s: Slice, known: _Windows) -> tuple[np.ndarray, dict[int, set[str]]]:
     lowered = LOWERED[s.data].tobytes()
     depth = np.zeros(len(words) + 1, dtype=np.int64)
     items: dict[int, set[str]] = {}
-    for n, (hashes, meant) in known.by_size.items():
+    for n, (hashes, begin, end, data, window) in known.by_size.items():
         w = windows(words, n)
         at = np.flatnonzero(known.bits[(w >> np.uint64(44)).astype(np.int64)])
         lo, hi = np.searchsorted(hashes, w[at]), np.searchsorted(hashes, w[at], side="right")
@@ -86,25 +97,21 @@ def _find(s: Slice, known: _Windows) -> tuple[np.ndarray, dict[int, set[str]]]:
         inside = at[found] + n <= s.first[doc + 1]
         for i, a, b, d in zip(at[found][inside].tolist(), lo[found][inside].tolist(), hi[found][inside].tolist(), doc[inside].tolist(), strict=True):
             text = b" ".join(lowered[s.starts[j] : s.ends[j]] for j in range(i, i + n))
-            for words_of, owners in meant[a:b]:
-                if words_of == text:
+            for k in range(a, b):
+                if data[begin[k] : end[k]].tobytes() == text:
                     depth[i] += 1
                     depth[i + n] -= 1
-                    items.setdefault(d, set()).update(owners)
+                    items.setdefault(d, set()).update(known.items(window[k]))
     return np.cumsum(depth[:-1]) > 0, items
 
 
 def _scan(known, keep: list[str]) -> Callable:
     """Adds n_words, n_hit, items and spans (code points) to each row of (text, then others)."""
-    ready: list[_Windows] = []
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not ready:
-                ready.append(_Windows(known.value))
             n_words, n_hit, items, spans = [], [], [], []
             for s in slices(batch.column("text"), WORD_LIKE):
-                hit, found = _find(s, ready[0])
+                hit, found = _find(s, known.value)
                 n_words += np.diff(s.first).tolist()
                 total = np.concatenate([[0], np.cumsum(hit)])
                 hits = total[s.first[1:]] - total[s.first[:-1]]
@@ -136,9 +143,9 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_c
     """The columns ``keep`` of ``docs``, with n_words, n_hit, items (sorted ids) and spans."""
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
-    meant = benchmark_windows(benchmark, size, item_col, item_text)
-    n = meant.count()
-    blocks = max(1, -(-n // block))
+    meant = stage(benchmark_windows(benchmark, size, item_col, item_text))
+    weight = F.octet_length("words") + F.lit(_EXTRA) + F.aggregate("items", F.lit(0), lambda t, x: t + F.octet_length(x) + _EXTRA)
+    blocks = max(1, -(-int(meant.agg(F.sum(weight)).first()[0] or 0) // block))
     slim = docs.select(docs[text_col].alias("text"), *[docs[k] for k in keep if k != "text"])
     if blocks > 1:  # rows of equal ids but other texts stay apart
         slim = slim.withColumn("__t", F.xxhash64("text"))
@@ -148,7 +155,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_c
     parts = []
     for b in range(blocks):
         own = meant if blocks == 1 else meant.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
-        known = spark.sparkContext.broadcast([r.asDict() for r in own.collect()])  # bounded by ``block``
+        known = spark.sparkContext.broadcast(_Windows(own.toArrow()))  # bounded by ``block``; it is kept in a file from here on
         parts.append(slim.mapInArrow(_scan(known, keep), schema))
     if blocks == 1:
         return parts[0]
@@ -189,7 +196,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, mode: s
     row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
     scanned = scan_documents(row, benchmark, size, keep=["row", "text"], **names)
     if mode == "documents":
-        return scanned.where(F.size("items") == 0 if least_hit <= 1 else F.col("n_hit") < least_hit).select("row.*")
+        return scanned.where(F.col("n_hit") < max(least_hit, 1)).select("row.*")
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["end"]))
     starts = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length("text").cast("long")))
     cut = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
@@ -222,7 +229,7 @@ WITH d AS (
 ), hit_words AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM hits) GROUP BY doc_id
 ), hit_items AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
+  SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated

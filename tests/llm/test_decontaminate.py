@@ -15,9 +15,8 @@ def brute(docs, items, size):
     for item, text in items:
         w = words(text)
         k = min(size, len(w))
-        if item is not None and k:
-            for i in range(len(w) - k + 1):
-                wins.setdefault(tuple(w[i : i + k]), set()).add(str(item))
+        for i in range(len(w) - k + 1 if k else 0):
+            wins.setdefault(tuple(w[i : i + k]), set()).update([] if item is None else [str(item)])
     out = []
     for d, text in docs:
         w, hit, found = words(text), set(), set()
@@ -43,7 +42,7 @@ def corpus():
 def test_scan_is_brute_force(spark):
     docs, items = corpus()
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for block in (1_000_000, 7):
+    for block in (1 << 20, 400):
         got = dc.scan_documents(d, b, size=4, block=block)
         assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got.collect()], key=str) == brute(docs, items, 4), block
 
@@ -56,6 +55,13 @@ def test_modes(spark):
     assert cut == {1: ("Ünd: . rest", "z"), 2: ("one two three", "y"), 3: (None, None)}
 
 
+def test_items_without_an_id(spark):
+    b = spark.createDataFrame([(None, "one two three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x one two three four"), (2, "one two three")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_hit, r["items"]) for r in dc.scan_documents(docs, b, size=4).collect()) == [(1, 4, []), (2, 0, [])]
+    assert [r.doc_id for r in dc.decontaminate(docs, b, size=4).collect()] == [2]
+
+
 def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
