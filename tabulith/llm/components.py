@@ -69,15 +69,18 @@ def _unions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows], pa.int64()), pa.array([r for _, r in rows], pa.int64()), pa.array([x in own for x, _ in rows], pa.bool_())], names=["u", "v", "own"])
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, starred: bool = False) -> DataFrame:
     """(node, component) of every node that has an edge; the component is its smallest node.
 
-    Null ends and loops are left out; repeated edges count once; no edges give no rows.
+    ``starred`` says that tasks have made stars to smallest nodes of their edges, so the first step is
+    left out. Null ends and loops are left out; repeated edges count once; no edges give no rows.
     """
     # a fixed number, for both sides of the join must see the same partitions
     n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     given = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    now = given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).mapInArrow(_stars, "u long, v long")
+    now = given.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    if not starred:
+        now = now.mapInArrow(_stars, "u long, v long")
     while True:
         met = now.repartition(n, "u").sortWithinPartitions("u").mapInArrow(_unions, "u long, v long, own boolean")
         parents = met.where("own").select(F.col("u").alias("p"), F.col("v").alias("pp"))

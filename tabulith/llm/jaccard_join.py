@@ -297,7 +297,10 @@ def _possible(pct: int) -> Callable:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins", "bins2"))
             ok = (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (np.abs(a - b).sum(axis=1) * (100 + pct) <= (n + m) * (100 - pct))
-            yield batch.select(["h1", "other"]).take(pa.array(np.flatnonzero(ok)))
+            left = batch.select(["h1", "other"]).take(pa.array(np.flatnonzero(ok)))
+            # what a batch holds together is sent as stars: fewer edges, and fewer rounds after
+            stars = [(x, r) for x, r in local_roots(left.column(0).to_pylist(), left.column(1).to_pylist()).items() if x != r]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["h1", "other"])
 
     return run
 
@@ -427,7 +430,7 @@ def _candidates(rows: DataFrame, pct: int) -> DataFrame:
     left = pairs.join(bins, pairs.h1 == bins.k).drop("k")
     both = left.join(bins.select("k", F.col("n").alias("m"), F.col("bins").alias("bins2")), F.col("other") == F.col("k"))
     near = both.select("h1", "other", "n", "m", "bins", "bins2").mapInArrow(_possible(pct), "h1 long, other long")
-    return connected_components(rows.where("kind = 1").select("h1", "other").unionByName(near), "h1", "other").withColumnRenamed("component", "grp")
+    return connected_components(rows.where("kind = 1").select("h1", "other").unionByName(near), "h1", "other", starred=True).withColumnRenamed("component", "grp")
 
 
 def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str) -> DataFrame:
@@ -451,7 +454,7 @@ def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str
     sent = slim.join(work, (slim.id == work.rep) & (slim.t == work.rep_t)).select("grp", "i", "j", "b", "rep", "h1", "h2", "copies", "text")
     found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep", "h1", "h2").mapInArrow(_search_blocks(size, pct), "id long, other long, h1 long, h2 long, links long"))
 
-    linked = connected_components(found.where("other is not null"), "id", "other")
+    linked = connected_components(found.where("other is not null"), "id", "other", starred=True)
     counted = found.where("links is not null").groupBy("h1", "h2").agg(F.sum("links").alias("found"))
     known = reps.select("h1", "h2", "id", "copies").join(linked, F.col("id") == F.col("node"), "left").join(counted, ["h1", "h2"], "left")
     reached = stage(known.select("h1", "h2", F.coalesce("component", "id").alias("component"), (F.coalesce("found", F.lit(0)) + F.col("copies") - 1).alias("links")))
