@@ -41,6 +41,8 @@ _CLASSES = {
 _END = np.zeros(256, dtype=bool)
 _END[[ord(c) for c in ".!?\"')"]] = True
 FEATURES = 24
+#: So many sequences of a slice that are longer than all others are decoded one by one.
+FEW = 4
 
 
 def _per(flags: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -161,7 +163,8 @@ class Chain:
         v0 = np.full(len(n), self.start[0])
         v1 = self.start[1] + (score[begin] if len(begin) else np.empty(0))
         longest = int(sizes[0]) if len(sizes) else 0
-        for t in range(1, longest):
+        side = int(sizes[FEW]) if len(sizes) > FEW else 0  # from here on at most FEW go on, one by one
+        for t in range(1, min(longest, max(side, 1))):
             k = int(np.searchsorted(-sizes, -t))  # sequences with more than t lines
             at = begin[:k] + t
             a0, a1 = v0[:k] + self.move[0, 0], v1[:k] + self.move[1, 0]
@@ -169,7 +172,13 @@ class Chain:
             back[at, 0], back[at, 1] = a1 > a0, b1 > b0
             v0[:k], v1[:k] = np.maximum(a0, a1), np.maximum(b0, b1) + score[at]
         label = np.zeros(len(score), dtype=bool)
+        shared = np.minimum(sizes, max(side, 1))
         now = v1 >= v0
+        for d in range(int(np.searchsorted(-sizes, -max(side, 1)))):
+            lo, hi = int(begin[d]) + max(side, 1), int(begin[d]) + int(sizes[d])
+            label[lo:hi], now[d] = self._alone(float(v0[d]), float(v1[d]), score[lo:hi].tolist())
+        longest = int(shared[0]) if len(shared) else 0
+        sizes = shared
         for t in range(longest - 1, -1, -1):
             k = int(np.searchsorted(-sizes, -t))
             at = begin[:k] + t
@@ -178,6 +187,21 @@ class Chain:
         return label
 
 
+    def _alone(self, v0: float, v1: float, score: list[float]) -> tuple[list[bool], bool]:
+        """The rest of one sequence from the values of its line before: its labels, and that line's."""
+        (m00, m01), (m10, m11) = self.move.tolist()
+        back = []
+        for s in score:
+            a0, a1, b0, b1 = v0 + m00, v1 + m10, v0 + m01, v1 + m11
+            back.append((a1 > a0, b1 > b0))
+            v0, v1 = max(a0, a1), max(b0, b1) + s
+        now, label = v1 >= v0, []
+        for b in reversed(back):
+            label.append(now)
+            now = b[now]
+        return label[::-1], now
+
+
 def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: float = 0.15, l2: float = 1e-3, l2_move: float = 5e-2, window: int = 64) -> Chain:
     """Maximum likelihood by Adam; each sequence is (features of its lines, label of all its lines).
 
@@ -186,48 +210,62 @@ def fit_chain(sequences: list[tuple[np.ndarray, int]], steps: int = 150, rate: f
     weights are held back more than those of features: two odd lines must not outvote a long good one.
     """
     parts = [(x[i : i + window], y) for x, y in sequences for i in range(0, len(x), window)]
-    k, m = len(parts), max(len(x) for x, _ in parts)
-    x = np.zeros((m, k, parts[0][0].shape[1]))
-    size, y = np.array([len(p) for p, _ in parts]), np.array([v for _, v in parts])
-    for i, (p, _) in enumerate(parts):
-        x[: len(p), i] = p
-    live = np.arange(m)[:, None] < size[None, :]
-    weight = np.where(y == 1, 0.5 / max(1, size[y == 1].sum()), 0.5 / max(1, size[y == 0].sum()))
+    x, size, y = padded(parts)
     theta = np.zeros(x.shape[2] + 6)
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
     shrink = np.full(len(theta), l2)
     shrink[-6:] = l2_move
     for step in range(1, steps + 1):
-        w, start, move = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
-        e1 = x @ w
-        alpha, beta = np.zeros((m, k, 2)), np.zeros((m, k, 2))
-        alpha[0] = start + np.stack([np.zeros(k), e1[0]], axis=1)
-        for t in range(1, m):
-            into = np.logaddexp(alpha[t - 1][:, 0, None] + move[0], alpha[t - 1][:, 1, None] + move[1])
-            into[:, 1] += e1[t]
-            alpha[t] = np.where(live[t][:, None], into, alpha[t - 1])
-        for t in range(m - 2, -1, -1):
-            nxt = beta[t + 1].copy()
-            nxt[:, 1] += e1[t + 1]
-            out = np.logaddexp(move[:, 0] + nxt[:, 0, None], move[:, 1] + nxt[:, 1, None])
-            beta[t] = np.where(live[t + 1][:, None], out, beta[t + 1])
-        z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
-        p1 = np.where(live, np.exp(alpha[:, :, 1] + beta[:, :, 1] - z), 0.0)
-        g = np.zeros_like(theta)
-        g[:-6] = np.einsum("tk,tkf->f", (live * y - p1) * weight, x)
-        g[-5] = ((y - p1[0]) * weight).sum()
-        g[-6] = ((p1[0] - y) * weight).sum()
-        for a in (0, 1):
-            for b in (0, 1):
-                pair = np.exp(alpha[:-1, :, a] + move[a, b] + b * e1[1:] + beta[1:, :, b] - z) * live[1:]
-                true = live[1:] * ((y == a) & (y == b))
-                g[len(theta) - 4 + 2 * a + b] = ((true - pair) * weight).sum()
-        g -= shrink * theta
+        g = likelihood(theta, x, size, y)[1] - shrink * theta
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         theta = theta + rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.999**step)) + 1e-8)
     return Chain(theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2))
 
 
+def padded(parts: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sequences side by side: features (line, sequence, feature), numbers of lines, labels."""
+    x = np.zeros((max(len(p) for p, _ in parts), len(parts), parts[0][0].shape[1]))
+    for i, (p, _) in enumerate(parts):
+        x[: len(p), i] = p
+    return x, np.array([len(p) for p, _ in parts]), np.array([v for _, v in parts])
+
+
+def likelihood(theta: np.ndarray, x: np.ndarray, size: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """The weighted mean log likelihood of labels, and its gradient, by forward and backward sums.
+
+    ``theta`` has weights of features, of the first label and of moves.
+    """
+    m, k = x.shape[:2]
+    live = np.arange(m)[:, None] < size[None, :]
+    weight = np.where(y == 1, 0.5 / max(1, size[y == 1].sum()), 0.5 / max(1, size[y == 0].sum()))
+    w, start, move = theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2)
+    e1 = x @ w
+    alpha, beta = np.zeros((m, k, 2)), np.zeros((m, k, 2))
+    alpha[0] = start + np.stack([np.zeros(k), e1[0]], axis=1)
+    for t in range(1, m):
+        into = np.logaddexp(alpha[t - 1][:, 0, None] + move[0], alpha[t - 1][:, 1, None] + move[1])
+        into[:, 1] += e1[t]
+        alpha[t] = np.where(live[t][:, None], into, alpha[t - 1])
+    for t in range(m - 2, -1, -1):
+        nxt = beta[t + 1].copy()
+        nxt[:, 1] += e1[t + 1]
+        out = np.logaddexp(move[:, 0] + nxt[:, 0, None], move[:, 1] + nxt[:, 1, None])
+        beta[t] = np.where(live[t + 1][:, None], out, beta[t + 1])
+    z = np.logaddexp(alpha[-1][:, 0], alpha[-1][:, 1])
+    p1 = np.where(live, np.exp(alpha[:, :, 1] + beta[:, :, 1] - z), 0.0)
+    own = start[y] + y * (e1 * live).sum(axis=0) + move[y, y] * (size - 1)
+    g = np.zeros_like(theta)
+    g[:-6] = np.einsum("tk,tkf->f", (live * y - p1) * weight, x)
+    g[-5] = ((y - p1[0]) * weight).sum()
+    g[-6] = ((p1[0] - y) * weight).sum()
+    for a in (0, 1):
+        for b in (0, 1):
+            pair = np.exp(alpha[:-1, :, a] + move[a, b] + b * e1[1:] + beta[1:, :, b] - z) * live[1:]
+            true = live[1:] * ((y == a) & (y == b))
+            g[len(theta) - 4 + 2 * a + b] = ((true - pair) * weight).sum()
+    return float(((own - z) * weight).sum()), g
+
+
 def train_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Chain | None:
     """A chain from documents with labels, at most ``max_docs`` of each class; None without both classes."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("id is not null and y is not null")

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from itertools import product
 
 import numpy as np
@@ -50,6 +51,41 @@ def test_viterbi_is_brute_force():
         assert abs(score([int(v) for v in got[first[d] : first[d + 1]]]) - score(best)) < 1e-9
 
 
+def test_long_sequences_are_decoded_alike(monkeypatch):
+    rng = np.random.default_rng(2)
+    chain = q.Chain(rng.normal(size=4), rng.normal(size=2), rng.normal(size=(2, 2)))
+    for sizes in ([700, 3, 1, 650, 9, 9, 2, 700, 30, 5], [5], [1, 1], [2000, 1], []):
+        first = np.concatenate([[0], np.cumsum(sizes)]).astype(int)
+        x = rng.integers(0, 2, (sum(sizes), 4)).astype(float)
+        got = {}
+        for few in (0, 1, 4, 100):
+            monkeypatch.setattr(q, "FEW", few)
+            got[few] = chain.viterbi(x, first).tolist()
+        assert got[0] == got[1] == got[4] == got[100]
+    x = rng.integers(0, 2, (400_000, 4)).astype(float)
+    began = time.process_time()
+    chain.viterbi(x, np.array([0, 3, 400_000]))
+    assert time.process_time() - began < 10
+
+
+def test_gradient_is_that_of_finite_differences():
+    rng = np.random.default_rng(5)
+    x, size, y = q.padded([(rng.integers(0, 2, (n, 3)).astype(float), v) for n, v in ((1, 0), (4, 1), (6, 0), (2, 1), (1, 1))])
+    theta = rng.normal(size=9)
+    value, g = q.likelihood(theta, x, size, y)
+    for i in range(9):
+        step = np.eye(9)[i] * 1e-6
+        assert abs((q.likelihood(theta + step, x, size, y)[0] - q.likelihood(theta - step, x, size, y)[0]) / 2e-6 - g[i]) < 1e-6
+    # the value itself, over all labellings
+    w, start, move = theta[:3], theta[3:5], theta[5:].reshape(2, 2)
+    total = 0.0
+    for d, n in enumerate(size):
+        score = lambda lab: start[lab[0]] + sum(move[a, b] for a, b in zip(lab, lab[1:])) + sum(v * (x[t, d] @ w) for t, v in enumerate(lab))  # noqa: B023, E731
+        z = np.log(sum(np.exp(score(lab)) for lab in product((0, 1), repeat=int(n))))
+        total += (score([y[d]] * n) - z) * 0.5 / size[y == y[d]].sum()
+    assert abs(total - value) < 1e-9
+
+
 def test_training_separates(spark):
     good = " ".join(f"word{i} goes{i * 7} on{i % 9} with sense{i}." for i in range(30))
     bad = " ".join(f"BUY{i}!! NOW{i}!! ###" for i in range(40))
