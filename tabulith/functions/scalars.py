@@ -6,6 +6,8 @@ has a flag beside it, not just a null: present, nil (a dash), unavailable (dots
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,11 +15,13 @@ from pyspark.sql import functions as F
 PRESENT, NIL, UNAVAILABLE, TO_CHECK, CORRECTED = "ada", "nihil", "tidak_tersedia", "perlu_cek", "auto_corrected"
 DASHES = "-–—"
 DECIMAL = "decimal(24,4)"
+# The characters that Unicode calls white space.
+WHITE = "".join(map(chr, [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(s: Column) -> Column:
     """Without white space of any kind at both ends; null stays null."""
-    return F.regexp_replace(s, r"(?U)^\s+|\s+$", "")
+    return F.btrim(s, F.lit(WHITE))
 
 
 def strip0(s: Column) -> Column:
@@ -41,14 +45,14 @@ def clean_num(raw: Column) -> Column:
     A leading minus is not a sign here (dashes are dropped), brackets are.
     """
     text = strip0(raw)
-    keep = F.regexp_replace(text, "[^0-9,.\\-–—]", "")
-    plain = F.replace(F.replace(F.regexp_replace(keep, "[\\-–—]", ""), F.lit("."), F.lit("")), F.lit(","), F.lit("."))
-    number = _as_decimal(plain)
+    # each is used as few times as can be, for what stands in branches is computed wherever it is used
+    number = F.replace(F.regexp_replace(text, "[^0-9,]", ""), F.lit(","), F.lit(".")).try_cast(DECIMAL)
     dots = F.contains(text, F.lit("...")) | text.isin("..", "…")
-    digit = keep.rlike("[0-9]")
-    signed = F.when(text.rlike(r"(?s)^\(.*\)$"), -number).otherwise(number).cast(DECIMAL)
-    flag = F.when(dots, UNAVAILABLE).when(~digit & keep.rlike("[\\-–—]"), NIL).when(~digit, UNAVAILABLE).when(number.isNull(), TO_CHECK).otherwise(PRESENT)
-    return F.struct(F.when(flag == PRESENT, signed).alias("num"), text.alias("text"), flag.alias("flag"))
+    digit = text.rlike("[0-9]")
+    dash = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in DASHES])
+    signed = F.when(F.startswith(text, F.lit("(")) & F.endswith(text, F.lit(")")), -number).otherwise(number).cast(DECIMAL)
+    flag = F.when(dots, UNAVAILABLE).when(~digit, F.when(dash, NIL).otherwise(UNAVAILABLE)).when(number.isNull(), TO_CHECK).otherwise(PRESENT)
+    return F.struct(F.when(~dots & digit, signed).alias("num"), text.alias("text"), flag.alias("flag"))
 
 
 def cell_number(raw: Column) -> Column:

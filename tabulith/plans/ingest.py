@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as s
+from ..functions.stages import stage
 
 PUB = ["publication", "pub_year"]
 TAB = [*PUB, "table_no"]
@@ -88,8 +89,11 @@ def quarantined(prepared: DataFrame) -> DataFrame:
 
 
 def load(star: dict[str, DataFrame], rows: DataFrame, publication: str, pub_year: int) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The schema after a load of ``rows``, and one row of counters."""
-    r = prepare(rows, publication, pub_year).where("chapter_no is not null")
+    """The schema after a load of ``rows``, and one row of counters.
+
+    The prepared rows are written to the shared folder once, and all dimensions are found from them.
+    """
+    r = stage(prepare(rows, publication, pub_year).where("chapter_no is not null"))
     first = lambda *c: F.min_by(F.struct(*c), "_seq")
     kind = lambda c: F.when(c.isNotNull(), "numerik").otherwise("teks")
 
@@ -136,8 +140,7 @@ def upsert(facts: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = f.join(n, on, "full")
     take = F.coalesce("is_new", F.lit(False))
     merged = met.select(*[F.when(take, F.col(f"n_{c}")).otherwise(F.col(c)).alias(c) for c in [*FACT, *values]])
-    fresh = n.select(*[F.col(f"n_{k}").alias(k) for k in FACT])
-    new = not_in(fresh, facts, FACT).agg(F.count("*").alias("new_facts"))
+    new = met.agg(F.count_if(take & F.col("is_old").isNull()).alias("new_facts"))
     counts = rows.agg(F.count("*").alias("n")).join(F.broadcast(new)).select("new_facts", (F.col("n") - F.col("new_facts")).alias("updated_facts"))
     return merged, counts
 
