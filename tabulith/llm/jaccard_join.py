@@ -41,7 +41,7 @@ from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 #: documents from rare ones in some 30 GB of text, 2**26 (64 MB) those of some thousands in 100 TB.
 COUNTERS = 1 << 22
 #: Entries of short lists that a task holds before it sends them on.
-FLUSH = 1_000_000
+FLUSH = 250_000
 #: Lists of up to so many entries are taken apart into pairs, longer ones into edges to their first.
 PAIRS = 8
 #: Bins of a document's histogram of shingles.
@@ -323,7 +323,7 @@ def search(sets: list[np.ndarray], side: np.ndarray, pct: int, crossing: bool) -
     length = np.diff(at)
     dense = np.flatnonzero(length * 4 >= n)
     bits_of = np.full(len(length), -1, dtype=np.int64)
-    if n > 16 and len(dense) * n <= 64_000_000:
+    if n > 16 and len(dense) * n <= 16_000_000:
         bits_of[dense] = np.arange(len(dense))
         bits = np.zeros((len(dense), n), dtype=np.uint8)
         row = bits_of[token]

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: A slice of a batch holds about so many bytes, which bounds the arrays made from it; a longer single text makes a slice of its own.
-SLICE_BYTES = 512 << 10
+SLICE_BYTES = 256 << 10
 _U = np.uint64
 _ODD = _U(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
