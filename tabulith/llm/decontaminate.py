@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, stage, table
+from .common import stage, table
 from .tokens import LOWERED, WORD_LIKE, Slice, buffers, slices, windows
 
 #: Bytes that one broadcast holds at most, by this count: words and ids as they are, and for each window and id so many more.
@@ -105,12 +105,12 @@ def _find(s: Slice, known: _Windows) -> tuple[np.ndarray, dict[int, set[str]]]:
     return np.cumsum(depth[:-1]) > 0, items
 
 
-def _scan(known, keep: list[str]) -> Callable:
-    """Adds n_words, n_hit, items and spans (code points) to each row of (text, then others)."""
+def _scan(known, text: str, keep: list[str]) -> Callable:
+    """The columns ``keep`` of each row with n_words, n_hit, items and spans (code points) of its ``text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_hit, items, spans = [], [], [], []
-            for s in slices(batch.column("text"), WORD_LIKE):
+            for s in slices(batch.column(text), WORD_LIKE):
                 hit, found = _find(s, known.value)
                 n_words += np.diff(s.first).tolist()
                 total = np.concatenate([[0], np.cumsum(hit)])
@@ -146,9 +146,9 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_c
     meant = stage(benchmark_windows(benchmark, size, item_col, item_text))
     weight = F.octet_length("words") + F.lit(_EXTRA) + F.aggregate("items", F.lit(0), lambda t, x: t + F.octet_length(x) + _EXTRA)
     blocks = max(1, -(-int(meant.agg(F.sum(weight)).first()[0] or 0) // block))
-    slim = docs.select(docs[text_col].alias("text"), *[docs[k] for k in keep if k != "text"])
+    slim = docs.select(*dict.fromkeys([text_col, *keep]))  # the text goes to the tasks once
     if blocks > 1:  # rows of equal ids but other texts stay apart
-        slim = slim.withColumn("__t", F.xxhash64("text"))
+        slim = slim.withColumn("__t", F.xxhash64(text_col))
         keep = [*keep, "__t"]
     types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keep], _SCAN])
@@ -156,7 +156,7 @@ def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_c
     for b in range(blocks):
         own = meant if blocks == 1 else meant.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b)
         known = spark.sparkContext.broadcast(_Windows(own.toArrow()))  # bounded by ``block``; it is kept in a file from here on
-        parts.append(slim.mapInArrow(_scan(known, keep), schema))
+        parts.append(slim.mapInArrow(_scan(known, text_col, keep), schema))
     if blocks == 1:
         return parts[0]
     return _put_together(parts, keep).drop("__t")
@@ -193,15 +193,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, mode: s
     """
     if mode not in ("documents", "spans"):
         raise ValueError(f"mode: {mode}")
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    scanned = scan_documents(row, benchmark, size, keep=["row", "text"], **names)
+    # other names, so that those of the results can't clash
+    named = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text = next(k for k, c in named.items() if c.lower() == text_col.lower())
+    scanned = scan_documents(docs.select(*[docs[c].alias(k) for k, c in named.items()]), benchmark, size, text_col=text, keep=list(named), **names)
     if mode == "documents":
-        return scanned.where(F.col("n_hit") < max(least_hit, 1)).select("row.*")
+        return scanned.where(F.col("n_hit") < max(least_hit, 1)).select(*[F.col(k).alias(c) for k, c in named.items()])
     ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("spans", lambda x: x["end"]))
-    starts = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length("text").cast("long")))
-    cut = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
-    flat = scanned.select("row.*", F.when((F.size("spans") > 0) & (F.col("n_hit") >= least_hit), cut).otherwise(F.col("text")).alias("__cut"))
-    return replaced(flat, **{text_col: F.col("__cut")}).drop("__cut")
+    starts = F.concat(F.transform("spans", lambda x: x["start"]), F.array(F.length(text).cast("long")))
+    cut = F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col(text), (a + 1).cast("int"), (b - a).cast("int"))), "")
+    left = F.when((F.size("spans") > 0) & (F.col("n_hit") >= least_hit), cut).otherwise(F.col(text))
+    return scanned.select(*[(left if k == text else F.col(k)).alias(c) for k, c in named.items()])
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:

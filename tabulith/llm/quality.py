@@ -296,11 +296,11 @@ def train_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, id_col
 _FIGURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def _judge(chain: Chain | None, keep: list[str], min_words: int, max_repeat_pct: int, min_share: float) -> Callable:
+def _judge(chain: Chain | None, text: str, keep: list[str], min_words: int, max_repeat_pct: int, min_share: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             figures: dict[str, list] = {k: [] for k in [*_FIGURES, "base_failed", "content_share", "kept"]}
-            for s in slices(batch.column("text"), NOT_BLANK):
+            for s in slices(batch.column(text), NOT_BLANK):
                 m = measure(s)
                 n = m.base["n_words"]
                 failed = (n < min_words) | (100 * m.base["n_repeat_words"] > max_repeat_pct * n)
@@ -323,16 +323,19 @@ def _judge(chain: Chain | None, keep: list[str], min_words: int, max_repeat_pct:
 
 def judge(docs: DataFrame, chain: Chain | None, keep: list[str], min_words: int = 50, max_repeat_pct: int = 50, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with the base figures, base_failed, content_share and kept."""
-    slim = docs.select(docs[text_col].alias("text"), *[docs[k] for k in keep if k != "text"])
+    slim = docs.select(*dict.fromkeys([text_col, *keep]))  # the text goes to the tasks once
     types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keep], *[f"{k} long" for k in _FIGURES], "base_failed boolean, content_share double, kept boolean"])
-    return slim.mapInArrow(_judge(chain, keep, min_words, max_repeat_pct, min_share), schema)
+    return slim.mapInArrow(_judge(chain, text_col, keep, min_words, max_repeat_pct, min_share), schema)
 
 
 def keep_good(docs: DataFrame, chain: Chain | None, text_col: str = "text", **limits) -> DataFrame:
     """``docs`` without the rejected documents; columns stay as they are."""
-    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
-    return judge(row, chain, ["row"], **limits).where("kept").select("row.*")
+    # other names, so that those of the results can't clash
+    named = {f"c{i}": c for i, c in enumerate(docs.columns)}
+    text = next(k for k, c in named.items() if c.lower() == text_col.lower())
+    judged = judge(docs.select(*[docs[c].alias(k) for k, c in named.items()]), chain, list(named), text_col=text, **limits)
+    return judged.where("kept").select(*[F.col(k).alias(c) for k, c in named.items()])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
