@@ -9,7 +9,7 @@ from __future__ import annotations
 import difflib
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -33,26 +33,31 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-def resolve(labels: DataFrame, master: DataFrame, label: str, cutoff: float = 0.82, max_master: int = 10_000) -> DataFrame:
+def resolve(labels: DataFrame, master: DataFrame, label: str, cutoff: float = 0.82) -> DataFrame:
     """(label, entity, ratio): exact matches, and for other labels the most similar entity from ``cutoff`` on.
 
-    Ties go to the greater key. The master list is a stated query set of at most ``max_master`` names,
-    which is checked; distinct unmatched keys meet it by length first.
+    Ties go to the greater key. Distinct unmatched keys and master keys meet by length; of these pairs
+    only those with letters enough in common, counted by letter, are compared in sequence.
     """
     m = _master(master)
-    if m.limit(max_master + 1).count() > max_master:
-        raise ValueError(f"more than {max_master} entities")
     exact = resolve_exact(labels, master, label).withColumn("ratio", F.lit(1.0))
     keyed = labels.select(label, s.entity_key(F.col(label)).alias("key")).where("key <> ''")
     rest = keyed.join(m.select("key"), "key", "left_anti")
-    names = m.select(F.col("key").alias("mkey"), "entity", F.explode(F.sequence(F.ceil(F.length("key") * cutoff / (2 - cutoff)).cast("int"), F.floor(F.length("key") * (2 - cutoff) / cutoff).cast("int"))).alias("size"))
+    names = m.select(F.col("key").alias("mkey"), "entity", _letters(F.col("key")).alias("mine"), F.explode(F.sequence(F.ceil(F.length("key") * cutoff / (2 - cutoff)).cast("int"), F.floor(F.length("key") * (2 - cutoff) / cutoff).cast("int"))).alias("size"))
     # only keys of a length that can reach the cutoff meet: an equi join, not a cross join
-    pairs = rest.select("key", F.length("key").alias("size")).distinct().join(F.broadcast(names), "size")
-    best = pairs.withColumn("ratio", _ratio("mkey", "key")).where(F.col("ratio") >= cutoff).groupBy("key").agg(F.max_by(F.struct("entity", "ratio"), F.struct("ratio", "mkey")).alias("m"))
+    pairs = rest.select("key", F.length("key").alias("size"), _letters(F.col("key")).alias("own")).distinct().join(names, "size")
+    common = F.aggregate(F.zip_with("own", "mine", lambda a, b: F.least(a, b)), F.lit(0), lambda t, x: t + x)
+    near = pairs.where(2 * common >= cutoff * (F.length("key") + F.length("mkey")))
+    best = near.withColumn("ratio", _ratio("mkey", "key")).where(F.col("ratio") >= cutoff).groupBy("key").agg(F.max_by(F.struct("entity", "ratio"), F.struct("ratio", "mkey")).alias("m"))
     fuzzy = rest.join(best, "key").select(label, "m.entity", "m.ratio")
     return exact.select(label, "entity", "ratio").unionByName(fuzzy)
 
 
+def _letters(key: Column) -> Column:
+    """How often each letter from a to z is in a key, which has no others."""
+    return F.array(*[F.length(key) - F.length(F.replace(key, F.lit(c), F.lit(""))) for c in "abcdefghijklmnopqrstuvwxyz"])
+
+
 def resolve_by_edits(labels: DataFrame, master: DataFrame, label: str, edits: int = 2) -> DataFrame:
     """(label, entity, edits): the entity of fewest single-letter edits, at most ``edits``; ties to the greater name."""
     names = _master(master).select(F.col("key").alias("mkey"), "entity", F.explode(F.sequence(F.greatest(F.length("key") - edits, F.lit(1)), F.length("key") + edits)).alias("size"))
@@ -71,7 +76,7 @@ def completeness(rows: DataFrame, master: DataFrame, table: list[str]) -> DataFr
 
 def missing_entities(rows: DataFrame, master: DataFrame, table: list[str]) -> DataFrame:
     """(table, entity) of master entities that a table lacks."""
-    wanted = rows.select(*table).distinct().join(F.broadcast(master.select("entity").distinct()))
+    wanted = rows.select(*table).distinct().join(master.select("entity").distinct())
     return wanted.join(rows.select(*table, "entity").distinct(), [*table, "entity"], "left_anti")
 
 

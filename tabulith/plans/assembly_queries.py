@@ -257,7 +257,7 @@ SQL = {
     "c03_c05_header_columns": v.with_views("words rule_cells", "SELECT doc_id, page_no, line_top, block, span_x0, span_x1, col FROM cols", **_CL),
     "c06_upright": v.with_views("words rule_cells", "SELECT doc_id, page_no, line_top, block, col FROM (SELECT *, bool_or(NOT italic) OVER (PARTITION BY doc_id, page_no, col) AS up FROM cols) WHERE NOT (up AND italic)", **_CL),
     "c11_padded_headers": v.with_views("names", """SELECT t, position, coalesce(nullif(name, ''), 'Kolom ' || position::VARCHAR) AS name, coalesce(unit, '') AS unit, coalesce(year, '') AS year
-      FROM (SELECT t, unnest(range(1, n + 1)) AS position FROM (SELECT name_id % 300 AS t, max(name_id % 9) AS n FROM names WHERE name_id < 400 GROUP BY ALL))
+      FROM (SELECT t, unnest(range(1, n + 1)) AS position FROM (SELECT t, max(position) + t % 3 AS n FROM (SELECT name_id % 300 AS t, name_id // 300 + 1 AS position FROM names) GROUP BY t))
       LEFT JOIN (SELECT name_id % 300 AS t, name_id // 300 + 1 AS position, CASE WHEN size % 4 > 0 THEN original ELSE '' END AS name, 'ton' AS unit, '2020' AS year FROM names) USING (t, position)"""),
     "d01_d02_d05_identity": v.with_views("page_seq", r"""SELECT doc_id, page_no, regexp_matches(text, 'Lanjutan|Continued') AS continued,
       coalesce(nullif(regexp_extract(text, '(?:Lanjutan\s+Tabel|Continued\s+Table)[^0-9]*([0-9]+(?:\.[0-9]+){1,3})', 1), ''), nullif(regexp_extract(text, '(?m)^\s*([0-9]+(?:\.[0-9]+){1,3})\s*$', 1), '')) AS table_no,

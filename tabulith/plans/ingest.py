@@ -46,6 +46,15 @@ def same(a: DataFrame, b: DataFrame, key: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in key])
 
 
+def with_publication(publications: DataFrame, title: str, pub_year: int, by_title: bool = False) -> DataFrame:
+    """``publications`` with the one that is meant, added where it is missing.
+
+    It is known by title and year; ``by_title`` by its title alone, so the year is only for a new one.
+    """
+    meant = publications.sparkSession.createDataFrame([(title, pub_year)], SCHEMAS["publication"])
+    return publications.unionByName(not_in(meant, publications, PUB[:1] if by_title else PUB))
+
+
 def not_in(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks."""
     return new.join(old, same(new, old, key), "left_anti")

@@ -71,13 +71,22 @@ def table_view(star: dict[str, DataFrame], table_no: str, positions: list[int],
     return wide.join(totals, "subject").select("subject", "is_total", *[F.coalesce(F.col(f"`{p}`"), F.lit("·")).alias(f"c{p}") for p in positions]).orderBy("is_total", "subject")
 
 
-def entry_grid(cells: DataFrame, columns: DataFrame, master: DataFrame, total: str) -> DataFrame:
+def entry_grid(cells: DataFrame, columns: DataFrame, master: DataFrame, total: str, tables: DataFrame | None = None) -> DataFrame:
     """All master entities and the total row times a table's columns, with the text or number there is.
 
-    ``columns``: TAB, position; both lists are small, the grid is as large as the table can get.
+    ``columns``: TAB, position. Of ``tables`` (TAB, row_kind) those by category have the labels that are
+    there instead of the master list. The grid is as large as its tables can get, so nothing is broadcast
+    but what adaptive execution finds small.
     """
     names = master.select(F.col("entity").alias("subject"), F.lit(False).alias("is_total")).unionByName(master.sparkSession.range(1).select(F.lit(total).alias("subject"), F.lit(True).alias("is_total")))
-    grid = columns.select(*TAB, "position").join(F.broadcast(names))
+    wide = columns.select(*TAB, "position")
+    if tables is None:
+        grid = wide.join(names)
+    else:
+        kinds = tables.select(*TAB, (F.col("row_kind") == "kategori").alias("by_category"))
+        wide = wide.join(kinds, TAB)
+        labels = cells.groupBy(*TAB, "subject").agg(F.bool_or("is_total").alias("is_total"))
+        grid = wide.where("not by_category").drop("by_category").join(names).unionByName(wide.where("by_category").drop("by_category").join(labels, TAB))
     have = cells.select(*TAB, "subject", "position", F.coalesce(F.nullif("value_text", F.lit("")), s.format_id(F.col("value_num"))).alias("text"))
     return grid.join(have, [*TAB, "subject", "position"], "left").select(*TAB, "subject", "is_total", "position", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
+from ..functions.stages import shared_dir
 from ..operators import validate as k
 from ..sources import long_csv
 from . import ingest as g
@@ -72,6 +73,25 @@ def f07_audit(spark, d) -> DataFrame:
     return bad.unionByName(lost)
 
 
+def _faulty(spark, d) -> dict[str, DataFrame]:
+    """The schema with faults by key: repeated dimension rows, values outside choices, lost parents."""
+    star = _star(spark, d)
+    twice = lambda t, when: star[t].unionByName(star[t].where(when))
+    out = {k: twice(k, when) for k, when in {"publication": "pub_year = 2024", "chapter": "chapter_no % 2 = 0", "indicator": "length(indicator_key) < 10", "table_column": "year = 1995", "region": "region_kind = 'kabupaten'", "category": "category = 'A'"}.items()}
+    tables = star["stat_table"].withColumn("status", F.when(F.col("chapter_no") == 2, "lain").otherwise(F.col("status"))).where("chapter_no <> 4")
+    columns = star["table_column"].where("year is null or year <> 1996")
+    facts = star["fact"].withColumn("flag", F.when(F.col("year") == 1994, "?").otherwise(F.col("flag")))
+    return star | out | {"stat_table": tables, "table_column": columns.unionByName(columns.where("year = 1995")), "fact": facts, "region": out["region"].where("region not like '%7'"), "category": out["category"].where("category <> 'N'")}
+
+
+def f06_unique_keys(spark, d) -> DataFrame:
+    return k.audit_keys(_faulty(spark, d))
+
+
+def f07_schema_audit(spark, d) -> DataFrame:
+    return k.audit_values(_faulty(spark, d))
+
+
 # --- loading --------------------------------------------------------------------------------------
 def _star(spark, d) -> dict[str, DataFrame]:
     return g.load(g.empty(spark), v.long_rows(spark, d), NAME, YEAR)[0]
@@ -92,6 +112,14 @@ def g01_g03_catalog(spark, d) -> DataFrame:
     return star["stat_table"].join(star["chapter"], [*g.PUB, "chapter_no"]).join(star["publication"], g.PUB)
 
 
+def g01_publications(spark, d) -> DataFrame:
+    """Publications met by title and year, and by title alone, as the customers' segments name them."""
+    have = v.read(spark, d, "customer").select(F.col("c_mktsegment").alias("publication"), (F.lit(2000) + F.col("c_nationkey")).alias("pub_year")).distinct()
+    for title, year, by_title in (("BUILDING", 1990, False), ("BUILDING", 1991, True), ("STATISTIK", 2024, True), ("STATISTIK", 2025, True)):
+        have = g.with_publication(have, title, year, by_title)
+    return have
+
+
 def g04_g05_indicators(spark, d) -> DataFrame:
     return _loaded(spark, d)[0]["indicator"]
 
@@ -123,7 +151,7 @@ def _wide(spark, d) -> tuple[DataFrame, DataFrame]:
     key = F.col("o_orderkey")
     cells = F.array(F.col("o_totalprice").cast("int").cast("string"), F.when(key % 5 == 0, "-").otherwise(F.concat(F.lit("a "), F.col("o_orderpriority"))), F.col("o_orderstatus"))
     rows = o.select((key % 4).cast("string").alias("table_no"), key.alias("row"), F.col("o_orderstatus").alias("label"), (key % 50 == 0).alias("is_total"), (key % 4 == 1).alias("by_category"), F.when(key % 3 == 0, F.slice(cells, 1, 2)).otherwise(cells).alias("cells"))
-    c = v.read(spark, d, "nation").where("n_nationkey < 12").select((F.col("n_nationkey") % 4).cast("string").alias("table_no"), (F.floor(F.col("n_nationkey") / 4) + 1).cast("int").alias("position"), F.concat((F.lit(2000) + F.col("n_nationkey")).cast("string"), F.lit(" x")).alias("name"), F.lit("u").alias("unit"), F.lit(2019).alias("year"),
+    c = v.read(spark, d, "nation").select((F.col("n_nationkey") % 4).cast("string").alias("table_no"), (F.floor(F.col("n_nationkey") / 4) + 1).cast("int").alias("position"), F.concat((F.lit(2000) + F.col("n_nationkey")).cast("string"), F.lit(" x")).alias("name"), F.lit("u").alias("unit"), F.lit(2019).alias("year"),
         F.when(F.col("n_nationkey") / 4 >= 1, F.when(F.col("n_nationkey") < 8, "teks").otherwise("numerik")).otherwise("numerik").alias("value_type"), F.when(F.col("n_nationkey") % 4 == 2, "year").when(F.col("n_nationkey") % 4 == 3, "kategori").alias("mode"), F.lit("Basis").alias("base"))
     return rows, c
 
@@ -210,7 +238,7 @@ def h04_table_view(spark, d) -> DataFrame:
 def h06_grid(spark, d) -> DataFrame:
     star = _star(spark, d)
     master = v.read(spark, d, "supplier").select(F.col("s_name").alias("entity"))
-    return r.entry_grid(r.table_cells(star, PHRASE), star["table_column"], master, "Kabupaten")
+    return r.entry_grid(r.table_cells(star, PHRASE), star["table_column"], master, "Kabupaten", star["stat_table"])
 
 
 def h07_dashboard(spark, d) -> DataFrame:
@@ -241,6 +269,19 @@ def h12_facets(spark, d) -> DataFrame:
     return r.filter_facets(f, flag=["nihil", "perlu_cek"], value_type="teks").select("fact_id", "flag")
 
 
+def h12_dimensions(spark, d) -> DataFrame:
+    """Tables, regions, indicators and categories by their own facets."""
+    star = _star(spark, d)
+    found = {
+        "stat_table": r.filter_facets(star["stat_table"], row_kind="kategori", status=["ekstrak", "draft"], publication=NAME).select(F.col("table_no").alias("name")),
+        "region": r.filter_facets(star["region"], region_kind="kabupaten").select(F.col("region").alias("name")),
+        "indicator": r.filter_facets(star["indicator"], value_type="numerik").select(F.col("indicator_key").alias("name")),
+        "category": r.filter_facets(star["category"], category_group=["Status", "Jenis"]).select(F.col("category").alias("name")),
+    }
+    out = [df.select(F.lit(t).alias("dim"), "name") for t, df in found.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def h13_fields(spark, d) -> DataFrame:
     return r.search_fields(v.read(spark, d, "part"), ["p_name", "p_brand", "p_type"], "ECONOMY 1 ").select("p_partkey")
 
@@ -269,14 +310,14 @@ def h18_order(spark, d) -> DataFrame:
 
 def a08_a10_round_trip(spark, d) -> DataFrame:
     """Exported rows written to CSV, read back and loaded again: the facts of the second load."""
-    path = f"{long_csv.shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     long_csv.write_long_csv(r.export_rows(_star(spark, d)), path)
     again = long_csv.read_long_csv(spark, path)
     return g.load(g.empty(spark), again, NAME, YEAR)[0]["fact"].drop("category_group")
 
 
 def a01_a09_legacy(spark, d) -> DataFrame:
-    path = f"{long_csv.shared_dir(spark)}/legacy-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/legacy-{uuid.uuid4().hex}"
     long_csv.write_legacy_csv(v.long_rows(spark, d), path)
     old = {c: n for c, n in long_csv.COLUMNS.items() if c in long_csv.LEGACY}
     return long_csv.read_long_csv(spark, path, old).drop("_seq").groupBy("table_no", "indicator", "flag").agg(F.count("*").alias("n"))
@@ -328,6 +369,17 @@ _IND = "SELECT indicator_key, arg_min(indicator, src * 1000000000000000000::HUGE
 _EXPORT = """SELECT t.chapter, f.table_no, t.title, coalesce(region, '') AS region, coalesce(category, '') AS category, i.indicator, coalesce(nullif(c.unit, ''), i.unit) AS unit, coalesce(f.year::VARCHAR, '') AS year, coalesce(value_num::VARCHAR, '') AS value_num, coalesce(value_text, '') AS value_text, flag, t.source
   FROM f1 f JOIN tabs t USING (table_no) JOIN cols c ON c.table_no = f.table_no AND c.indicator_key = f.indicator_key AND c.year IS NOT DISTINCT FROM f.year JOIN ind i ON i.indicator_key = f.indicator_key"""
 _EXP = _STAR | {"ind": _IND.replace("{src}", _ONE)}
+_TWICE = lambda src, when: f"SELECT * FROM ({src}) UNION ALL SELECT * FROM ({src}) WHERE {when}"
+_FAULTY = _EXP | {
+    "x_publication": "SELECT 'Dalam Angka' AS publication, 2024 AS pub_year FROM range(2)",
+    "x_chapter": _TWICE("SELECT DISTINCT publication, pub_year, chapter_no FROM p", "chapter_no % 2 = 0"),
+    "x_stat_table": "SELECT * REPLACE (CASE WHEN chapter_no = 2 THEN 'lain' ELSE status END AS status) FROM tabs WHERE chapter_no <> 4",
+    "x_indicator": _TWICE("SELECT * FROM ind", "length(indicator_key) < 10"),
+    "x_table_column": _TWICE("SELECT * FROM cols WHERE year IS NULL OR year <> 1996", "year = 1995"),
+    "x_region": "SELECT * FROM (" + _TWICE("SELECT DISTINCT region, region_kind FROM p WHERE region IS NOT NULL", "region_kind = 'kabupaten'") + ") WHERE region NOT LIKE '%7'",
+    "x_category": "SELECT * FROM (" + _TWICE("SELECT DISTINCT category, category_group FROM p WHERE category IS NOT NULL", "category = 'A'") + ") WHERE category <> 'N'",
+    "x_fact": "SELECT * REPLACE (CASE WHEN year = 1994 THEN '?' ELSE flag END AS flag) FROM f1",
+}
 _FBI = {"p": _P["p"], "fi": "SELECT _seq AS fact_id, table_no, value_num, value_text, flag, CASE WHEN _seq % 2 = 0 THEN 'teks' ELSE 'numerik' END AS value_type FROM p"}
 _shown = f"CASE WHEN flag = 'nihil' THEN '–' WHEN flag = 'tidak_tersedia' THEN '…' WHEN value_num IS NOT NULL THEN {sql_format_id('value_num')} ELSE value_text END"
 w = v.with_views
@@ -342,6 +394,13 @@ SQL = {
     "f04_flags": w("raw_cells", "SELECT flag, count(*) AS n FROM cells GROUP BY flag", **_CELLS),
     "f06_duplicates": w("long_rows", "SELECT table_no, region, year, category, count(*) AS n FROM long_rows GROUP BY ALL HAVING count(*) > 1"),
     "f07_audit": w("long_rows", "SELECT _seq, 'flag' AS fault FROM p WHERE _seq % 37 = 0 UNION ALL SELECT _seq, 'chapter' FROM p WHERE chapter_no > 4", p=_P["p"]),
+    "f06_unique_keys": w("long_rows", " UNION ALL ".join(f"SELECT '{t}' AS table, count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM x_{t} GROUP BY {', '.join(key)} HAVING count(*) > 1)" for t, key in k.UNIQUE.items()), **_FAULTY),
+    "f07_schema_audit": w("long_rows", " UNION ALL ".join(
+        [f"SELECT '{t}' AS table, '{c}' AS rule, count(*) AS rows FROM x_{t} WHERE {c} IS NULL OR {c} NOT IN ({', '.join(repr(x) for x in k.CHOICES[c])})" for t, c in k.CHOSEN]
+        + [f"SELECT '{t}', 'in {parent}', count(*) FROM x_{t} a WHERE ({' OR '.join(f'a.{c} IS NOT NULL' for c in key)}) AND NOT EXISTS (SELECT 1 FROM x_{parent} b WHERE {' AND '.join(f'a.{c} IS NOT DISTINCT FROM b.{c}' for c in key)})" for t, key, parent in k.REFERENCES]), **_FAULTY),
+    "g01_publications": "SELECT DISTINCT c_mktsegment AS publication, 2000 + c_nationkey AS pub_year FROM customer UNION ALL SELECT 'BUILDING', 1990 UNION ALL SELECT 'STATISTIK', 2024",
+    "h12_dimensions": w("long_rows", """SELECT 'stat_table' AS dim, table_no AS name FROM tabs WHERE row_kind = 'kategori' UNION ALL SELECT DISTINCT 'region', region FROM p WHERE region_kind = 'kabupaten'
+      UNION ALL SELECT 'indicator', indicator_key FROM ind WHERE value_type = 'numerik' UNION ALL SELECT DISTINCT 'category', category FROM p WHERE category IS NOT NULL""", **_EXP),
     "g01_g03_catalog": w("long_rows", _TABLES, **_P),
     "g04_g05_indicators": w("long_rows", _IND.replace("{src}", _ALL), **_P),
     "g06_columns": w("long_rows", _COLS.replace("{src}", _ALL), **_P),
@@ -353,9 +412,9 @@ SQL = {
     "g12_g13_long": f"""SELECT table_no, row, position, CASE WHEN is_total OR by_category THEN 'Kabupaten X' ELSE label END AS region, CASE WHEN by_category AND NOT is_total THEN label ELSE '' END AS category,
       CASE m WHEN 2 THEN 'Basis' WHEN 3 THEN 'Basis - ' || name ELSE name END AS indicator, 'u' AS unit, CASE WHEN m = 2 THEN left(name, 4)::INT ELSE 2019 END AS year, CASE WHEN NOT tx THEN num END AS value_num,
       CASE WHEN tx THEN CASE WHEN len(list_filter(string_split(text, ' '), lambda x: length(x) > 1)) = 0 THEN text ELSE array_to_string(list_filter(string_split(text, ' '), lambda x: length(x) > 1), ' ') END ELSE text END AS value_text, CASE WHEN tx THEN CASE WHEN text = '' THEN 'kosong' ELSE 'ada' END ELSE flag END AS flag
-      FROM (SELECT *, {sql_clean('raw')} FROM (SELECT o.*, n.position, n.name, n.m, n.tx, coalesce(CASE n.position WHEN 1 THEN c1 WHEN 2 THEN c2 ELSE CASE WHEN row % 3 = 0 THEN NULL ELSE label END END, '') AS raw FROM (
+      FROM (SELECT *, {sql_clean('raw')} FROM (SELECT o.*, n.position, n.name, n.m, n.tx, coalesce(CASE n.position WHEN 1 THEN c1 WHEN 2 THEN c2 WHEN 3 THEN CASE WHEN row % 3 = 0 THEN NULL ELSE label END END, '') AS raw FROM (
       SELECT (o_orderkey % 4)::VARCHAR AS table_no, o_orderkey AS row, o_orderstatus AS label, o_orderkey % 50 = 0 AS is_total, o_orderkey % 4 = 1 AS by_category, trunc(o_totalprice)::INT::VARCHAR AS c1, CASE WHEN o_orderkey % 5 = 0 THEN '-' ELSE 'a ' || o_orderpriority END AS c2 FROM orders) o
-      JOIN (SELECT (n_nationkey % 4)::VARCHAR AS table_no, n_nationkey // 4 + 1 AS position, (2000 + n_nationkey)::VARCHAR || ' x' AS name, n_nationkey % 4 AS m, n_nationkey BETWEEN 4 AND 7 AS tx FROM nation WHERE n_nationkey < 12) n USING (table_no)))""",
+      JOIN (SELECT (n_nationkey % 4)::VARCHAR AS table_no, n_nationkey // 4 + 1 AS position, (2000 + n_nationkey)::VARCHAR || ' x' AS name, n_nationkey % 4 AS m, n_nationkey BETWEEN 4 AND 7 AS tx FROM nation) n USING (table_no)))""",
     "g14_edits": w("long_rows", r"""SELECT fact_id, CASE WHEN changed AND value_type = 'numerik' THEN num ELSE value_num END AS value_num, CASE WHEN changed THEN e ELSE value_text END AS value_text, CASE WHEN changed AND filled THEN 'ada' ELSE flag END AS flag, changed FROM (
       SELECT *, e IS NOT NULL AND CASE WHEN value_type = 'teks' THEN e IS DISTINCT FROM value_text ELSE num IS DISTINCT FROM value_num END AS changed, CASE WHEN value_type = 'teks' THEN e <> '' ELSE num IS NOT NULL END AS filled FROM (
       SELECT *, try_cast(replace(replace(e, '.', ''), ',', '.') AS DECIMAL(24,4)) AS num FROM (SELECT *, CASE fact_id % 5 WHEN 0 THEN '' WHEN 1 THEN value_text WHEN 2 THEN '1.234,5' WHEN 3 THEN '-7' END AS e FROM fi)))""", **_FBI),
@@ -369,8 +428,9 @@ SQL = {
     "h02_chapters": w("long_rows", "SELECT 'Dalam Angka' AS publication, 2024 AS pub_year, chapter_no, min(chapter) AS chapter, count(DISTINCT table_no) AS tables FROM p GROUP BY chapter_no UNION ALL SELECT 'Dalam Angka', 2024, n_nationkey + 100, n_name, 0 FROM nation", p=_P["p"]),
     "h03_tables": w("long_rows", "SELECT t.publication, t.pub_year, table_no, t.title, t.status, count(*) AS facts FROM tabs t JOIN f1 USING (table_no) GROUP BY ALL", **_STAR),
     "h04_h05_cells": w("long_rows", "SELECT * FROM subj", **_STAR),
-    "h04_table_view": w("long_rows", "SELECT subject, bool_or(is_total) AS is_total, " + ", ".join(f"coalesce(max({_shown}) FILTER (WHERE position = {i}), '·') AS c{i}" for i in range(1, 9)) + " FROM subj WHERE table_no = (SELECT min(table_no) FROM p) GROUP BY subject", **_STAR),
-    "h06_grid": w("long_rows", f"SELECT c.publication, c.pub_year, c.table_no, n.subject, n.is_total, c.position, coalesce(CASE WHEN s.subject IS NOT NULL THEN coalesce(nullif(value_text, ''), {sql_format_id('value_num')}) END, '') AS text FROM cols c, (SELECT s_name AS subject, false AS is_total FROM supplier UNION ALL SELECT 'Kabupaten', true) n LEFT JOIN subj s ON s.table_no = c.table_no AND s.subject = n.subject AND s.position = c.position", **_STAR),
+    "h04_table_view": w("long_rows", "SELECT subject, is_total, coalesce(COLUMNS('^c[0-9]+$'), '·') FROM (PIVOT one ON c USING max(shown) GROUP BY subject, is_total)", **_STAR,
+      one=f"SELECT subject, bool_or(is_total) OVER (PARTITION BY subject) AS is_total, 'c' || position AS c, {_shown} AS shown FROM subj WHERE table_no = (SELECT min(table_no) FROM p)"),
+    "h06_grid": w("long_rows", f"SELECT c.publication, c.pub_year, c.table_no, n.subject, n.is_total, c.position, coalesce(CASE WHEN s.subject IS NOT NULL THEN coalesce(nullif(value_text, ''), {sql_format_id('value_num')}) END, '') AS text FROM cols c JOIN (SELECT table_no, s_name AS subject, false AS is_total FROM tabs, supplier WHERE row_kind <> 'kategori' UNION ALL SELECT table_no, 'Kabupaten', true FROM tabs WHERE row_kind <> 'kategori' UNION ALL SELECT s.table_no, s.subject, bool_or(s.is_total) FROM subj s JOIN tabs USING (table_no) WHERE row_kind = 'kategori' GROUP BY ALL) n USING (table_no) LEFT JOIN subj s ON s.table_no = c.table_no AND s.subject = n.subject AND s.position = c.position", **_STAR),
     "h07_dashboard": w("long_rows", "SELECT 1 AS publications, (SELECT count(*) FROM tabs) AS tables, count(*) AS facts, count(*) FILTER (WHERE flag = 'perlu_cek') AS to_check FROM f1", **_STAR),
     "h08_anomalies": w("long_rows", "SELECT fact_id, fact_id % 1009 AS created, table_no, title FROM fi JOIN (SELECT table_no, min(title) AS title FROM p GROUP BY ALL) USING (table_no) WHERE flag = 'perlu_cek' ORDER BY fact_id % 1009 DESC, fact_id DESC LIMIT 10", **_FBI),
     "h09_activity": w("long_rows", "SELECT table_no, length(title) * 10 + chapter_no AS modified, status FROM tabs WHERE chapter_no <> 3 ORDER BY modified DESC, table_no LIMIT 5", **_STAR),

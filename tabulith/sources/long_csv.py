@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The columns of the exchange format, and their names in this library.
@@ -15,20 +13,20 @@ COLUMNS = {
 LEGACY = [c for c in COLUMNS if c not in ("rincian", "tahun")]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; a new one on a single machine."""
-    sc = spark.sparkContext
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+def file_order() -> Column:
+    """Struct that sorts rows of whole files by file name and then as they stand in it."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def read_long_csv(spark: SparkSession, path: str, columns: dict[str, str] = COLUMNS) -> DataFrame:
-    """Exchange rows as text, with ``_seq`` in file order. A missing path is an error.
+    """Exchange rows as text, with ``_seq`` in the order of file names and of rows in a file. A missing path is an error.
 
-    A byte order mark is part of the header line, which the schema replaces.
+    A byte order mark is part of the header line, which the schema replaces. Values may hold line breaks,
+    so a file is read by one task: large exports come in many files.
     """
     schema = ", ".join(f"{c} string" for c in columns)
     raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", enforceSchema=True)
-    return raw.select(F.monotonically_increasing_id().alias("_seq"), *[F.col(c).alias(n) for c, n in columns.items()])
+    return raw.select(file_order().alias("_seq"), *[F.col(c).alias(n) for c, n in columns.items()])
 
 
 def write_long_csv(rows: DataFrame, path: str, columns: list[str] | None = None, bom: bool = False) -> None:
