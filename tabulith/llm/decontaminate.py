@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, text_batches
 from .tokens import LOWERED, WORD_LIKE, Slice, buffers, slices, windows
 
 #: Bytes that one broadcast holds at most, by this count: words and ids as they are, and for each window and id so many more.
@@ -142,6 +142,7 @@ def _spans(s: Slice, hit: np.ndarray, d: int) -> list[dict[str, int]]:
 def scan_documents(docs: DataFrame, benchmark: DataFrame, size: int = 10, item_col: str = "item_id", item_text: str = "text", text_col: str = "text", keep: list[str] | None = None, block: int = BLOCK) -> DataFrame:
     """The columns ``keep`` of ``docs``, with n_words, n_hit, items (sorted ids) and spans."""
     spark = docs.sparkSession
+    text_batches(spark)
     keep = keep or ["doc_id"]
     meant = stage(benchmark_windows(benchmark, size, item_col, item_text))
     weight = F.octet_length("words") + F.lit(_EXTRA) + F.aggregate("items", F.lit(0), lambda t, x: t + F.octet_length(x) + _EXTRA)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, stage, table
+from .common import stage, table, text_batches
 from .components import connected_components, local_roots
 from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 
@@ -436,6 +436,7 @@ def _candidates(rows: DataFrame, pct: int) -> DataFrame:
 def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str) -> DataFrame:
     """(id, t, n, component, links) of each row; t is a hash of its text."""
     spark = docs.sparkSession
+    text_batches(spark)
     reducers = SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("t"), docs[text_col].alias("text"))
     levels = spark.sparkContext.broadcast(shingle_levels(slim, size))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stage, table
+from .common import stage, table, text_batches
 from .tokens import LOWERED, slices
 
 LENGTHS = (1, 2, 3)
@@ -169,6 +169,7 @@ def _kernel_of(known) -> Callable:
 
 def train(docs: DataFrame, per_lang: int = 300, max_rows: int = 6000, max_langs: int = 1000, landmarks: int = 128, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """A model from rows that are not held out and have a language; see the module's text for the bounds."""
+    text_batches(docs.sparkSession)
     known = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), docs[lang_col].cast("string").alias("lang")).where(~held_out(docs[id_col]) & docs[lang_col].isNotNull() & docs[text_col].isNotNull() & (F.length(docs[text_col]) > 0))
     order = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 40))
     sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
@@ -222,6 +223,7 @@ def _predict(known, langs: list[str], bias: np.ndarray | None) -> Callable:
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, lang_pred, score) of each row, from its text alone."""
     slim = docs.select(docs[id_col].cast("long").alias("id"), held_out(docs[id_col]).alias("held_out"), docs[text_col].cast("string").alias("text"))
+    text_batches(docs.sparkSession)
     known = model and docs.sparkSession.sparkContext.broadcast(model.folded())
     return slim.mapInArrow(_predict(known, model.langs if model else [], model and model.bias), "id long, held_out boolean, lang_pred string, score double")
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, text_batches
 from .tokens import _BASE, _BYTE, NOT_BLANK, Slice, _ranges, mix, slices, windows
 
 _U = np.uint64
@@ -268,6 +268,7 @@ def likelihood(theta: np.ndarray, x: np.ndarray, size: np.ndarray, y: np.ndarray
 
 def train_chain(docs: DataFrame, labels: DataFrame, max_docs: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Chain | None:
     """A chain from documents with labels, at most ``max_docs`` of each class; None without both classes."""
+    text_batches(docs.sparkSession)
     known = labels.select(labels[id_col].alias("id"), labels[label_col].alias("y")).where("id is not null and y is not null")
     chosen = None
     for v in (0, 1):
@@ -323,6 +324,7 @@ def _judge(chain: Chain | None, text: str, keep: list[str], min_words: int, max_
 
 def judge(docs: DataFrame, chain: Chain | None, keep: list[str], min_words: int = 50, max_repeat_pct: int = 50, min_share: float = 0.5, text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of ``docs`` with the base figures, base_failed, content_share and kept."""
+    text_batches(docs.sparkSession)
     slim = docs.select(*dict.fromkeys([text_col, *keep]))  # the text goes to the tasks once
     types = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([*[f"`{k}` {types[k]}" for k in keep], *[f"{k} long" for k in _FIGURES], "base_failed boolean, content_share double, kept boolean"])

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, text_batches
 
 # Fixed values of the base kinds, in their listed order: pattern, group, least length of the group.
 BASE = (
@@ -140,6 +140,7 @@ def scan_secrets(docs: DataFrame, max_owners: int = 1, max_repos: int = 20, id_c
     candidates whose value at most ``max_owners`` owners and ``max_repos`` repositories hold. ``n_live``
     and ``n_copied`` count all candidates of a row, base ones too, on either side of that line.
     """
+    text_batches(docs.sparkSession)
     slim = docs.select(
         docs[id_col].cast("long").alias("id"), docs[owner_col].cast("string").alias("owner"), docs[repo_col].cast("string").alias("repo"), F.xxhash64(docs[id_col], docs[repo_col], docs[text_col]).alias("row_key"), docs[text_col].alias("text")
     )

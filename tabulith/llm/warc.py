@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, table
+from .common import shared_dir, stage, table, text_batches
 
 #: An archive is closed when it holds so many payload bytes.
 ARCHIVE_BYTES = 16 << 20
@@ -118,6 +118,7 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
     others revisit it; all other payloads are responses.
     """
     spark = pages.sparkSession
+    text_batches(spark)
     if folder is None:
         folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
