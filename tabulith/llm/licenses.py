@@ -2,7 +2,8 @@
 
 A text is cut into sentences, a sentence is normalised (lower case, everything but letters and digits
 one blank), and known sentences get identifiers by patterns on the normalised form, so that names,
-years and versions may vary. Lines are joined: a sentence ends at a closing mark that a blank follows
+years and versions may vary. Sentences of licence texts are known by how they begin; others by what they
+say of a licence ("... under the terms of ...", its title, its full name), wherever in them it stands. Lines are joined: a sentence ends at a closing mark that a blank follows
 or at a line without letters and digits, and a line break, a colon or a semicolon ends it only where
 a known opening follows. An SPDX tag is a sentence of its own up to the end of its line, one for each
 licence of its expression. A document's identifiers in order are then matched against ordered
@@ -38,8 +39,10 @@ SENTENCES = (
     ("gpl3_header", r"(?:this (?:work|program|file|code|software|project) is )?licensed under the gnu general public license (?:v|version )?3"),
     ("gpl2_header", r"(?:this (?:work|program|file|code|software|project) is )?licensed under the gnu general public license (?:v|version )?2"),
     ("gpl_header", r"(?:this (?:work|program|file|code|software|project) is )?licensed under the gnu general public license"),
-    ("gpl_free", r"(?:this program|this file|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("gpl_hope", r"this program is distributed in the hope that it will be useful but without any warranty"),
+    ("agpl_free", r"(?:this program|this file|this software|it) is free software you can redistribute it and or modify it under the terms of the gnu affero general public license"),
+    ("lgpl_free", r"(?:this library|this program|this file|this software|it) is free software you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
+    ("gpl_free", r"(?:this program|this file|this software|it) is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl_hope", r"this (?:program|library|file|software) is distributed in the hope that it will be useful but without any warranty"),
     ("mit_header", r"(?:this (?:work|file|code|software|project) is )?(?:released|licensed|distributed) under the mit license"),
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in "),
@@ -62,11 +65,57 @@ SENTENCES = (
     ("cc0", r"(?:this (?:work|text|page) is )?(?:licensed under (?:a |the )?cc0|dedicated to the public domain)"),
     ("unlicense", r"this is free and unencumbered software released into the public domain"),
     ("reserved", r"(?:copyright .* )?all rights reserved"),
+    ("zlib_asis", r"this software is provided as is without any express or implied warranty"),
+    ("zlib_grant", r"permission is granted to anyone to use this software for any purpose"),
+    ("boost_grant", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("see_license", r"see (?:the )?(?:file )?(?:license|copying)(?: md| txt| file)? for "),
-    ("other_license", r"(?:this (?:work|file|code|software|project) is )?(?:released|licensed|distributed) under (?:the )?[a-z0-9 ]*licen[sc]e"),
+    ("other_license", r"(?:this (?:work|file|code|software|project) is )?(?:released|licensed|distributed) under (?:the |a |an )?(?:[a-z0-9]+ ){1,5}licen[sc]e"),
 )
+# Names of public licences, normalised, as patterns. Short ones count after "under" and the like
+# only; full ones wherever they stand. Narrower names come first.
+NAMES = (
+    ("apache2", r"apache (?:software )?(?:licen[sc]e )?(?:version |v )?2", r"apache (?:software )?licen[sc]e (?:version |v )?2"),
+    ("agpl", r"agpl|affero general public licen[sc]e", r"affero general public licen[sc]e"),
+    ("lgpl", r"lgpl|(?:lesser|library) general public licen[sc]e", r"gnu (?:lesser|library) general public licen[sc]e"),
+    ("gpl3", r"(?:gpl|general public licen[sc]e) ?(?:version |v ?)?3", r"gnu general public licen[sc]e (?:version |v ?)3"),
+    ("gpl2", r"(?:gpl|general public licen[sc]e) ?(?:version |v ?)?2", r"gnu general public licen[sc]e (?:version |v ?)2"),
+    ("gpl", r"gpl|general public licen[sc]e", r"gnu general public licen[sc]e"),
+    ("mit", r"(?:mit|expat)(?![a-z0-9])", None),
+    ("bsd", r"(?:(?:new|modified|simplified|revised|[234] clause) )*bsd", None),
+    ("isc", r"isc(?![a-z0-9])", None),
+    ("mpl", r"mpl|mozilla public licen[sc]e", r"mozilla public licen[sc]e"),
+    ("epl", r"epl|eclipse public licen[sc]e", r"eclipse public licen[sc]e"),
+    ("eupl", r"eupl|european union public licen[sc]e", r"european union public licen[sc]e"),
+    ("cddl", r"cddl|common development and distribution licen[sc]e", r"common development and distribution licen[sc]e"),
+    ("bsl", r"boost software licen[sc]e", r"boost software licen[sc]e"),
+    ("zlib", r"zlib", None),
+    ("artistic", r"artistic licen[sc]e", r"artistic licen[sc]e (?:version )?[12] 0"),
+    ("cc_by_nc_nd", r"cc by nc nd|creative commons attribution non ?commercial no ?deriv", r"creative commons attribution non ?commercial no ?deriv"),
+    ("cc_by_nc_sa", r"cc by nc sa|creative commons attribution non ?commercial share ?alike", r"creative commons attribution non ?commercial share ?alike"),
+    ("cc_by_nc", r"cc by nc|creative commons attribution non ?commercial", r"creative commons attribution non ?commercial"),
+    ("cc_by_nd", r"cc by nd|creative commons attribution no ?deriv", r"creative commons attribution no ?deriv"),
+    ("cc_by_sa", r"cc by sa|creative commons attribution share ?alike", r"creative commons attribution share ?alike"),
+    ("cc_by", r"cc by|creative commons attribution", r"creative commons attribution"),
+    ("unlicense", r"unlicense", None),
+)
+_UNDER = r"(?:licensed|released|distributed|available|provided|covered|published|redistributed|used|licen[sc]e) under (?:the |a |an )?(?:terms (?:and conditions )?(?:of )?(?:the |a |an )?)?(?:gnu )?"
+# Titles, which are sentences of their own.
+_TITLES = (
+    ("mit_title", r"^(?:the )?mit licen[sc]e(?: mit)?$"),
+    ("isc_title", r"^(?:the )?isc licen[sc]e$"),
+    ("bsd3_title", r"^(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[sc]e$"),
+    ("bsd2_title", r"^(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[sc]e$"),
+    ("zlib_title", r"^(?:the )?zlib licen[sc]e$"),
+    ("unlicense_title", r"^(?:the )?unlicense$"),
+)
+#: What a sentence may say anywhere, by identifier.
+INSIDE = (*_TITLES, *((f"{n}_under", rf"(?:^| ){_UNDER}(?:{short})") for n, short, _ in NAMES), *((f"{n}_named", rf"(?:^| ){full}") for n, _, full in NAMES if full))
 #: Each known sentence holds one of these, in any case.
-CUES = ("licen", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying")
+CUES = ("licen", "under", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying")
+_LICENSES = {
+    "apache2": "Apache-2.0", "agpl": "AGPL", "lgpl": "LGPL", "gpl3": "GPL-3.0", "gpl2": "GPL-2.0", "gpl": "GPL", "mit": "MIT", "bsd": "BSD", "isc": "ISC", "mpl": "MPL-2.0", "epl": "EPL-2.0", "eupl": "EUPL", "cddl": "CDDL", "bsl": "BSL-1.0", "zlib": "Zlib", "artistic": "Artistic",
+    "cc_by_nc_nd": "CC-BY-NC-ND", "cc_by_nc_sa": "CC-BY-NC-SA", "cc_by_nc": "CC-BY-NC", "cc_by_nd": "CC-BY-ND", "cc_by_sa": "CC-BY-SA", "cc_by": "CC-BY", "unlicense": "Unlicense",
+}
 # Ordered rules, a licence and the identifiers it is recognised by.
 RULES = (
     ("Apache-2.0", ("apache2_header", "apache2_obtain", "apache2_asis", "apache2_limits")),
@@ -76,6 +125,8 @@ RULES = (
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_asis")),
     ("BSD-2-Clause", ("bsd_grant", "bsd_source", "bsd_binary")),
+    ("AGPL", ("agpl_free", "gpl_hope")),
+    ("LGPL", ("lgpl_free", "gpl_hope")),
     ("GPL", ("gpl_free", "gpl_hope")),
     ("MPL-2.0", ("mpl_header", "mpl_copy")),
     ("Apache-2.0", ("apache2_header",)),
@@ -99,6 +150,18 @@ RULES = (
     ("CC-BY", ("cc_by",)),
     ("CC0", ("cc0",)),
     ("Unlicense", ("unlicense",)),
+    ("AGPL", ("agpl_free",)),
+    ("LGPL", ("lgpl_free",)),
+    ("Zlib", ("zlib_asis", "zlib_grant")),
+    ("Zlib", ("zlib_grant",)),
+    ("BSL-1.0", ("boost_grant",)),
+    ("MIT", ("mit_title",)),
+    ("ISC", ("isc_title",)),
+    ("BSD-3-Clause", ("bsd3_title",)),
+    ("BSD-2-Clause", ("bsd2_title",)),
+    ("Zlib", ("zlib_title",)),
+    ("Unlicense", ("unlicense_title",)),
+    *((_LICENSES[n], (f"{n}_{how}",)) for how in ("under", "named") for n, _, full in NAMES if how == "under" or full),
     ("see-file", ("see_license",)),
     ("other", ("other_license",)),
     ("all-rights-reserved", ("reserved",)),
@@ -126,6 +189,12 @@ SPDX = (
     ("CC-BY", "cc by"),
     ("CC0", "cc0"),
     ("Unlicense", "unlicense"),
+    ("EPL-2.0", "epl"),
+    ("EUPL", "eupl"),
+    ("CDDL", "cddl"),
+    ("BSL-1.0", "bsl 1 0"),
+    ("Zlib", "zlib"),
+    ("Artistic", "artistic"),
 )
 
 
@@ -137,7 +206,7 @@ def _open_end(pattern: str) -> str:
 
 _OPENINGS = tuple((name, _open_end(p)) for name, p in SENTENCES)
 #: What sentences are matched against: tags of known licences, then SENTENCES, "spdx" being any other tag.
-_KNOWN = (*((f"spdx_{name.lower()}", f"{_SPDX}{p}(?![a-z0-9])") for name, p in SPDX), *_OPENINGS)
+_KNOWN = (*((f"spdx_{name.lower()}", f"^{_SPDX}{p}(?![a-z0-9])") for name, p in SPDX), *((n, f"^{p}") for n, p in _OPENINGS[:-1]), *INSIDE, *((n, f"^{p}") for n, p in _OPENINGS[-1:]))
 _ORDERED = (*((name, (f"spdx_{name.lower()}",)) for name, _ in SPDX), *RULES, ("other", ("spdx",)))
 # Marks in lowered text, which has no other capitals: C cuts, W (a wrapped line, ':' or ';') may cut.
 _TAG = r"((?:spdx[^a-z0-9\n]+)?spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[^a-z0-9\n][^\n]*)"
@@ -164,7 +233,7 @@ def identifier(sentence: Column) -> Column:
     """The identifier of a known sentence, null for others. The sentence itself is normalised."""
     out = None
     for name, pattern in _KNOWN:
-        hit = sentence.rlike(f"^{pattern}")
+        hit = sentence.rlike(pattern)
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     any_word = sentence.rlike("|".join(re.sub(" ", "[ ]", c) for c in CUES) + "|spdx")
     return F.when(any_word, out)
@@ -209,7 +278,8 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     """The query in DuckDB's SQL, from the same tables of sentences and rules."""
-    case = " ".join(f"WHEN regexp_matches(s, '^{p.replace(',?', '')}') THEN '{n}'" for n, p in SENTENCES)
+    openings = [(n, "^" + p.replace(",?", "")) for n, p in SENTENCES]
+    case = " ".join(f"WHEN regexp_matches(s, '{p.replace('(?![a-z0-9])', '( |$)')}') THEN '{n}'" for n, p in [*openings[:-1], *INSIDE, *openings[-1:]])
     cues = "|".join(re.sub(" ", "[ ]", c) for c in CUES) + "|spdx"
     left = "';' || array_to_string(ids, ';;') || ';'"
     steps = [f"m0 AS (SELECT doc_id, ids, CASE WHEN len(ids) = 0 THEN '' ELSE {left} END AS l, []::VARCHAR[] AS found FROM seq)"]

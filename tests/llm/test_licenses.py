@@ -30,7 +30,8 @@ def brute(text):
     ids = []
     for s in re.split(r"\n|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+", text or ""):
         s = re.sub("[^a-z0-9]+", " ", low(s)).strip()
-        ids += [n for n, p in lic.SENTENCES if re.match(p.replace(",?", ""), s)][:1]
+        opening = [(n, "^" + p.replace(",?", "")) for n, p in lic.SENTENCES]
+        ids += [n for n, p in [*opening[:-1], *lic.INSIDE, *opening[-1:]] if re.search(p, s)][:1]
     left, found = list(ids), []
     for name, seq in lic.RULES:
         i, hit = 0, False
@@ -107,3 +108,46 @@ def test_wrapped_texts_and_tags(spark):
     docs = spark.createDataFrame([(k, t.replace("\n", e)) for k, (t, _, _) in WRAPPED.items() for e in ("\n", "\r\n")], "name string, text string")
     for r in lic.scan_licenses(docs).collect():
         assert (r.licenses, r.rest_ids) == WRAPPED[r.name][1:], (r.name, r.sentence_ids)
+
+
+# Texts as they are found in files, written down from the licences themselves, not from the library's tables.
+FOUND = [
+    ("MIT License", "MIT"),
+    ("The MIT License (MIT)\n\nCopyright (c) 2019 A. Author", "MIT"),
+    ("ISC License\n\nCopyright (c) 2020, Someone\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice appears.", "ISC"),
+    ("This library is licensed under LGPL-2.1.", "LGPL"),
+    ("Eclipse Public License - v 2.0 applies.", "EPL-2.0"),
+    ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0"),
+    ("/* SPDX-License-Identifier: GPL-3.0-only */", "GPL-3.0"),
+    ("# SPDX-License-Identifier: EPL-2.0", "EPL-2.0"),
+    ("# SPDX-License-Identifier: BSL-1.0", "BSL-1.0"),
+    ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.\n\nThis library is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY", "LGPL"),
+    ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU Affero General Public License as published\nby the Free Software Foundation.", "AGPL"),
+    ("You should have received a copy of the GNU General Public License\nalong with this program.", "GPL"),
+    ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file LICENSE_1_0.txt)", "BSL-1.0"),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications", "Zlib"),
+    ("Code is released under the MIT license, docs are not.", "MIT"),
+    ("All modules are available under the terms of the GNU GPL v2.", "GPL-2.0"),
+    ("The package may be used under the terms of the Apache License 2.0.", "Apache-2.0"),
+    ("Apache License, Version 2.0, January 2004", "Apache-2.0"),
+    ("Our data are published under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA"),
+    ("Text is available under CC BY-NC-ND 4.0", "CC-BY-NC-ND"),
+    ("It is covered under the 3-clause BSD license.", "BSD"),
+    ("BSD 2-Clause License\n\nCopyright (c) 2021, X", "BSD-2-Clause"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+    ("Mozilla Public License Version 2.0\n==================================", "MPL-2.0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Licensed under the EUPL, Version 1.2 only.", "EUPL"),
+    ("This file may be redistributed under the Artistic License 2.0.", "Artistic"),
+    ("The tool is licensed under the Common Development and Distribution License.", "CDDL"),
+    ("The contents are dedicated to nobody in particular; permission to enter was denied.", None),
+    ("He submitted the licence application under the old rules.", None),
+    ("Released under water, the admit card smelled of license.", None),
+]
+
+
+def test_texts_as_found(spark):
+    docs = spark.createDataFrame(list(enumerate(t for t, _ in FOUND)), "doc_id int, text string")
+    got = {r.doc_id: r.licenses for r in lic.scan_licenses(docs).collect()}
+    for i, (text, name) in enumerate(FOUND):
+        assert (name in got[i]) if name else not got[i], (text, got[i])
