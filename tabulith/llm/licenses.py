@@ -111,7 +111,7 @@ _TITLES = (
 #: What a sentence may say anywhere, by identifier.
 INSIDE = (*_TITLES, *((f"{n}_under", rf"(?:^| ){_UNDER}(?:{short})") for n, short, _ in NAMES), *((f"{n}_named", rf"(?:^| ){full}") for n, _, full in NAMES if full))
 #: Each known sentence holds one of these, in any case.
-CUES = ("licen", "under", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying")
+CUES = ("licen", r"\bunder\b", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying")
 _LICENSES = {
     "apache2": "Apache-2.0", "agpl": "AGPL", "lgpl": "LGPL", "gpl3": "GPL-3.0", "gpl2": "GPL-2.0", "gpl": "GPL", "mit": "MIT", "bsd": "BSD", "isc": "ISC", "mpl": "MPL-2.0", "epl": "EPL-2.0", "eupl": "EUPL", "cddl": "CDDL", "bsl": "BSL-1.0", "zlib": "Zlib", "artistic": "Artistic",
     "cc_by_nc_nd": "CC-BY-NC-ND", "cc_by_nc_sa": "CC-BY-NC-SA", "cc_by_nc": "CC-BY-NC", "cc_by_nd": "CC-BY-ND", "cc_by_sa": "CC-BY-SA", "cc_by": "CC-BY", "unlicense": "Unlicense",
