@@ -27,13 +27,36 @@ def a04_model_json(spark, d) -> DataFrame:
     return _fenced(spark, d).select("event_id", j["k"].alias("k"), j["k"].isNull().alias("bad"))
 
 
+def _answers(spark, d) -> DataFrame:
+    """A model's answer for each page: its words as headers and as a row, in fences, blank or broken by key."""
+    p = v.page_seq(spark, d)
+    words, m = F.split("text", " "), (F.col("doc_id") + F.col("page_no")) % 8
+    row = lambda label: F.struct(label.alias("label"), words.alias("values"))
+    page = F.struct(
+        "table_no", "continued", F.col("text").alias("title_id"), F.lit("").alias("title_en"), F.lit("BPS").alias("source"), F.lit(None).cast("string").alias("chapter"), F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("u").alias("unit"), F.col("page_no").cast("string").alias("year"))).alias("headers"),
+        F.lit("x").alias("label_column"), F.array(row(F.lit("a")), row(F.col("table_no"))).alias("rows"), F.when(F.col("page_no") % 3 == 0, row(F.lit("total"))).alias("total_row"),
+    )
+    text = F.to_json(page)
+    text = F.when(m == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(m == 1, F.concat(F.lit(" \n"), text)).when(m == 2, "").when(m == 3, F.concat(F.lit("Here: "), text)).when(m == 4, F.lit(None)).otherwise(text)
+    return p.where("text is not null").select("doc_id", "page_no", text.alias("answer"))
+
+
+def a04_model_pages(spark, d) -> DataFrame:
+    j = F.col("j")
+    cells = lambda x: F.array_join(x["values"], "|")
+    return _answers(spark, d).withColumn("j", a.parse_page_json(F.col("answer"))).select(
+        "doc_id", "page_no", j.isNull().alias("bad"), j["table_no"].alias("table_no"), j["continued"].alias("continued"), j["title_id"].alias("title"), F.array_join(F.transform(j["headers"], lambda h: F.concat_ws("/", h["name"], h["unit"], h["year"])), "|").alias("headers"),
+        F.array_join(F.transform(j["rows"], lambda r: F.concat_ws(":", r["label"], cells(r))), ";").alias("rows"), cells(j["total_row"]).alias("total"), j["chapter"].isNull().alias("no_chapter"),
+    )
+
+
 def a05_recognised_words(spark, d) -> DataFrame:
     return a.recognised_words(v.words(spark, d), dpi=144.0).select("doc_id", "page_no", "seq", "conf", "x0", "x1", "top", "bottom")
 
 
 def _kinds(spark, d) -> DataFrame:
     pages = v.page_seq(spark, d).select("doc_id", "page_no", (F.col("doc_id") % 5 != 0).alias("readable"))
-    return a.classify_pages(pages, v.words(spark, d).where("seq < 60 or page_no % 2 = 0").where("seq % 9 = 0"))
+    return a.classify_pages(pages, v.words(spark, d), least=60)
 
 
 def a06_page_kinds(spark, d) -> DataFrame:
@@ -42,7 +65,8 @@ def a06_page_kinds(spark, d) -> DataFrame:
 
 def a07_page_sources(spark, d) -> DataFrame:
     w = v.words(spark, d).select("doc_id", "page_no", "seq")
-    return a.choose_source(_kinds(spark, d), w, w.where("doc_id % 3 <> 0").withColumn("seq", F.col("seq") + 100_000)).select("doc_id", "page_no", "seq", "is_ocr")
+    recognised = a.recognised_words(v.words(spark, d), dpi=144.0).select("doc_id", "page_no", (F.col("seq") + 100_000).alias("seq"))
+    return a.choose_source(_kinds(spark, d), w, recognised).select("doc_id", "page_no", "seq", "is_ocr")
 
 
 def _bounds(spark, d) -> DataFrame:
@@ -152,8 +176,8 @@ def d18_first_tables(spark, d) -> DataFrame:
 
 def _model_pages(spark, d) -> DataFrame:
     p = a.segment_model_pages(v.page_seq(spark, d).where("text is not null"))
-    row = F.array(F.struct(F.col("page_no").cast("string").alias("label"), F.slice(F.split("text", " "), 1, 3).alias("values")))
-    heads = F.when(F.col("page_no") % 2 == 1, F.transform(F.slice(F.split("text", " "), 1, 2), lambda x: F.substring(x, 1, 4))).otherwise(F.array().cast("array<string>"))
+    row = F.array(F.struct(F.col("page_no").cast("string").alias("label"), F.split("text", " ").alias("values")))
+    heads = F.when(F.col("page_no") % 2 == 1, F.transform(F.split("text", " "), lambda x: F.concat(x, F.lit("'")))).otherwise(F.array().cast("array<string>"))
     return p.select("doc_id", "table_idx", "page_no", row.alias("rows"), heads.alias("headers"), F.when(F.col("page_no") % 3 == 0, F.concat(F.lit("total "), F.col("page_no").cast("string"))).alias("total"))
 
 
@@ -249,13 +273,27 @@ _TITLE = """SELECT doc_id, page_no, seq, x0, top, CASE WHEN seq = 13 AND doc_id
 SQL = {
     "a04_model_json": """SELECT event_id, try_cast(json_extract_string(j, '$.k') AS BIGINT) AS k, try_cast(json_extract_string(j, '$.k') AS BIGINT) IS NULL AS bad
       FROM (SELECT event_id, CASE event_id % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE props END AS j FROM events)""",
+    "a04_model_pages": v.with_views("page_seq", r"""SELECT doc_id, page_no, bad, CASE WHEN NOT bad THEN table_no END AS table_no, CASE WHEN NOT bad THEN continued END AS continued, CASE WHEN NOT bad THEN text END AS title,
+      CASE WHEN NOT bad THEN array_to_string(list_transform(w, lambda x: x || '/u/' || page_no::VARCHAR), '|') END AS headers, CASE WHEN NOT bad THEN 'a:' || array_to_string(w, '|') || ';' || table_no || ':' || array_to_string(w, '|') END AS rows,
+      CASE WHEN NOT bad AND page_no % 3 = 0 THEN array_to_string(w, '|') END AS total, true AS no_chapter FROM (SELECT *, string_split(text, ' ') AS w, (doc_id + page_no) % 8 IN (2, 3, 4) AS bad FROM page_seq WHERE text IS NOT NULL)"""),
     "a05_recognised_words": v.with_views("words", "SELECT doc_id, page_no, seq, c AS conf, x0 / 2 AS x0, x1 / 2 AS x1, top / 2 AS top, bottom / 2 AS bottom FROM (SELECT *, coalesce(try_cast(conf AS DOUBLE), -1) AS c FROM words) WHERE NOT (c >= 0 AND c < 30)"),
-    "a06_page_kinds": v.with_views("words", "SELECT * FROM kinds", kinds=(_KINDS := r"""SELECT p.doc_id, p.page_no, CASE WHEN p.doc_id % 5 = 0 OR coalesce(n, 0) >= 8 THEN 'digital' ELSE 'scan' END AS kind FROM (SELECT conv_id AS doc_id, turn AS page_no FROM conversations) p
-      LEFT JOIN (SELECT doc_id, page_no, count(*) FILTER (WHERE regexp_matches(text, '[\pL\pN_]')) AS n FROM words WHERE (seq < 60 OR page_no % 2 = 0) AND seq % 9 = 0 GROUP BY ALL) w USING (doc_id, page_no)""")),
-    "a07_page_sources": v.with_views("words", """SELECT w.doc_id, w.page_no, CASE WHEN kind = 'scan' AND w.doc_id % 3 <> 0 THEN seq + 100000 ELSE seq END AS seq, kind = 'scan' AND w.doc_id % 3 <> 0 AS is_ocr FROM words w JOIN kinds USING (doc_id, page_no)""", kinds=_KINDS),
+    "a06_page_kinds": v.with_views("words", "SELECT * FROM kinds", kinds=(_KINDS := r"""SELECT p.doc_id, p.page_no, CASE WHEN p.doc_id % 5 = 0 OR coalesce(n, 0) >= 60 THEN 'digital' ELSE 'scan' END AS kind FROM (SELECT conv_id AS doc_id, turn AS page_no FROM conversations) p
+      LEFT JOIN (SELECT doc_id, page_no, count(*) FILTER (WHERE regexp_matches(text, '[\pL\pN_]')) AS n FROM words GROUP BY ALL) w USING (doc_id, page_no)""")),
+    "a07_page_sources": v.with_views("words", """SELECT doc_id, page_no, seq, false AS is_ocr FROM words JOIN kinds USING (doc_id, page_no) WHERE NOT (kind = 'scan' AND (doc_id, page_no) IN (SELECT (doc_id, page_no) FROM rec))
+      UNION ALL SELECT doc_id, page_no, seq + 100000, true FROM rec JOIN kinds USING (doc_id, page_no) WHERE kind = 'scan'""", kinds=_KINDS, rec="SELECT doc_id, page_no, seq FROM words WHERE NOT coalesce(try_cast(conf AS DOUBLE) >= 0 AND try_cast(conf AS DOUBLE) < 30, false)"),
     "c01_c02_word_blocks": v.with_views("words rule_cells", "SELECT * FROM blocks", **_CL),
     "c03_c05_header_columns": v.with_views("words rule_cells", "SELECT doc_id, page_no, line_top, block, span_x0, span_x1, col FROM cols", **_CL),
     "c06_upright": v.with_views("words rule_cells", "SELECT doc_id, page_no, line_top, block, col FROM (SELECT *, bool_or(NOT italic) OVER (PARTITION BY doc_id, page_no, col) AS up FROM cols) WHERE NOT (up AND italic)", **_CL),
+    "c09_c10_header_names": v.with_views("names", r"""SELECT doc_id, col, trim(CASE WHEN year <> '' AND NOT regexp_matches(name, '[A-Za-z]') THEN '' ELSE name END) AS name, unit, year FROM (
+      SELECT *, coalesce(at_end, CASE WHEN regexp_matches(whole, '^(19|20)[0-9]{2}') THEN whole END, CASE WHEN regexp_matches(digits, '^(19|20)[0-9]{2}') THEN digits END, '') AS year FROM (
+      SELECT *, left(regexp_replace(name, '[^0-9]', '', 'g'), 4) AS digits FROM (
+      SELECT doc_id, col, unit, CASE WHEN len(named) > 1 THEN '[' || named[1].name || '] ' || array_to_string(list_transform(named[2:], lambda p: p.name), ' ') ELSE coalesce(named[1].name, '') END AS name,
+        list_filter(list_transform(named, lambda p: regexp_extract(substr(p.line, length(p.name) + 1), '(19|20)[0-9]{2}')), lambda y: y <> '')[1] AS at_end, left(regexp_replace(pure[1].line, '[^0-9]', '', 'g'), 4) AS whole FROM (
+      SELECT *, list_filter(parts, lambda p: NOT (p.years OR p.name = '')) AS named, list_filter(parts, lambda p: p.years OR p.name = '') AS pure FROM (
+      SELECT doc_id, col, list_transform(clean, lambda x: {'line': x, 'name': trim(regexp_replace(x, '\s+((19|20)[0-9]{2}([/\-–—](19|20)[0-9]{2})?\s*)+$', '')), 'years': regexp_matches(regexp_replace(x, '[\s/\-–—]', '', 'g'), '^((19|20)[0-9]{2})+$')}) AS parts,
+        coalesce(list_filter(list_transform(list_filter(list_reverse(list_transform(regexp_extract_all(array_to_string(raw, ' '), '\(([^)]*)\)', 1), lambda p: trim(p))), lambda p: p NOT IN ('', '1', '2', '3', '4', '5', '6')), lambda p: trim(regexp_replace(trim(split_part(p, '/', 1)), '[a-z]\.[a-z].*', ''))), lambda p: p <> '')[1], '') AS unit FROM (
+      SELECT doc_id, col, raw, list_filter(list_transform(raw, lambda x: trim(trim(trim(regexp_replace(regexp_replace(regexp_replace(x, '\([^)]*\)', '', 'g'), '(?i)/\s*(?:ENGLISH).*$', ''), '\s+', ' ', 'g')), ' /'))), lambda x: x <> '') AS clean FROM (
+      SELECT name_id % 500 AS doc_id, name_id % 3 AS col, list(trim(CASE WHEN size % 6 = 0 THEN '2024/2025' ELSE name END) ORDER BY name_id) AS raw FROM names GROUP BY ALL)))))))""".replace("ENGLISH", "|".join(s.ENGLISH_HEADERS))),
     "c11_padded_headers": v.with_views("names", """SELECT t, position, coalesce(nullif(name, ''), 'Kolom ' || position::VARCHAR) AS name, coalesce(unit, '') AS unit, coalesce(year, '') AS year
       FROM (SELECT t, unnest(range(1, n + 1)) AS position FROM (SELECT t, max(position) + t % 3 AS n FROM (SELECT name_id % 300 AS t, name_id // 300 + 1 AS position FROM names) GROUP BY t))
       LEFT JOIN (SELECT name_id % 300 AS t, name_id // 300 + 1 AS position, CASE WHEN size % 4 > 0 THEN original ELSE '' END AS name, 'ton' AS unit, '2020' AS year FROM names) USING (t, position)"""),
@@ -282,7 +320,7 @@ SQL = {
     "d14_d15_model_merge": v.with_views("page_seq", """SELECT doc_id, table_idx, n, total, heads AS headers, list_aggregate(list_transform(vals, lambda r: array_to_string(list_concat(r, list_transform(range(0, greatest(n - len(r), 0)), lambda i: '')), '|')), 'string_agg', ';') AS rows FROM (
       SELECT doc_id, table_idx, list(vals ORDER BY page_no) AS vals, arg_max(total, page_no) FILTER (WHERE total IS NOT NULL) AS total, array_to_string(arg_min(heads, page_no) FILTER (WHERE len(heads) > 0), '|') AS heads,
         greatest(max(len(vals)), coalesce(len(arg_min(heads, page_no) FILTER (WHERE len(heads) > 0)), 0)) AS n
-      FROM (SELECT *, string_split(text, ' ')[1:3] AS vals, CASE WHEN page_no % 2 = 1 THEN list_transform(string_split(text, ' ')[1:2], lambda x: left(x, 4)) ELSE [] END AS heads, CASE WHEN page_no % 3 = 0 THEN 'total ' || page_no::VARCHAR END AS total FROM m) GROUP BY ALL)""",
+      FROM (SELECT *, string_split(text, ' ') AS vals, CASE WHEN page_no % 2 = 1 THEN list_transform(string_split(text, ' '), lambda x: x || chr(39)) ELSE [] END AS heads, CASE WHEN page_no % 3 = 0 THEN 'total ' || page_no::VARCHAR END AS total FROM m) GROUP BY ALL)""",
       m=_MSEG.replace("FROM page_seq", "FROM page_seq WHERE text IS NOT NULL")),
     "d16_already_loaded": v.with_views("page_seq", "SELECT DISTINCT doc_id % 20 AS publication, table_no, (doc_id % 20) % 2 = 0 AND table_no <> '' AS loaded FROM page_seq"),
     "e06_exact_entities": v.with_views("entities", f"SELECT c_custkey, label, entity FROM (SELECT *, {sql_key('label')} AS key FROM labels_) LEFT JOIN entities ON key <> '' AND key = {sql_key('entity')}", labels_=_LABELS),
@@ -292,4 +330,4 @@ SQL = {
     "f05_completeness": v.with_views("entities", "SELECT t, count(DISTINCT entity) AS found, (SELECT count(*) FROM entities) AS expected, bool_or(is_total) AS has_total, count(DISTINCT entity) = (SELECT count(*) FROM entities) AS complete FROM r GROUP BY t", labels_=_LABELS, r=_ROWS),
     "f05_missing": v.with_views("entities", "SELECT t, entity FROM (SELECT DISTINCT t FROM r), entities WHERE (t, entity) NOT IN (SELECT (t, entity) FROM r WHERE entity IS NOT NULL)", labels_=_LABELS, r=_ROWS),
 }
-QUERIES = {k: globals()[k] for k in [*SQL, "c09_c10_header_names", "e07_similar_entities"]}
+QUERIES = {k: globals()[k] for k in [*SQL, "e07_similar_entities"]}

@@ -13,9 +13,9 @@ COLUMNS = {
 LEGACY = [c for c in COLUMNS if c not in ("rincian", "tahun")]
 
 
-def file_order() -> Column:
-    """Struct that sorts rows of whole files by file name and then as they stand in it."""
-    return F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+def file_order(file: Column) -> Column:
+    """Struct that sorts rows of whole files by the file's name and then as they stand in it."""
+    return F.struct(file.alias("file"), F.monotonically_increasing_id().alias("at"))
 
 
 def read_long_csv(spark: SparkSession, path: str, columns: dict[str, str] = COLUMNS) -> DataFrame:
@@ -26,7 +26,7 @@ def read_long_csv(spark: SparkSession, path: str, columns: dict[str, str] = COLU
     """
     schema = ", ".join(f"{c} string" for c in columns)
     raw = spark.read.csv(path, schema=schema, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8", enforceSchema=True)
-    return raw.select(file_order().alias("_seq"), *[F.col(c).alias(n) for c, n in columns.items()])
+    return raw.select(file_order(F.col("_metadata.file_path")).alias("_seq"), *[F.col(c).alias(n) for c, n in columns.items()])
 
 
 def write_long_csv(rows: DataFrame, path: str, columns: list[str] | None = None, bom: bool = False) -> None:

@@ -67,10 +67,10 @@ def stream_long_rows(spark: SparkSession, source: str, target: str, publication:
     """
     schema = ", ".join(f"{c} string" for c in COLUMNS)
     files = spark.readStream.csv(source, schema=schema, header=True, quote='"', escape='"', multiLine=True)
-    rows = files.select(file_order().alias("_seq"), *[F.col(c).alias(n) for c, n in COLUMNS.items()])
+    rows = files.select(F.col("_metadata.file_path").alias("file"), *[F.col(c).alias(n) for c, n in COLUMNS.items()])
 
     def load(batch: DataFrame, version: int) -> None:
-        batch = stage(batch)
+        batch = stage(batch.select(file_order(F.col("file")).alias("_seq"), *COLUMNS.values()))
         prepared = ingest.prepare(batch, publication, pub_year).where("chapter_no is not null")
         buckets = {r["b"] for r in prepared.select(_bucket().alias("b")).distinct().collect()}  # BUCKETS at most
         star, _ = ingest.load(read_star(batch.sparkSession, target, version - 1, buckets), batch, publication, pub_year)

@@ -78,8 +78,6 @@ def test_similar_entities(spark):
     labels = spark.createDataFrame([("1. cipatujah",), ("Cipatuja",), ("Karangnungal",), ("Salop",), ("Elsewhere",), ("12",)], "label string")
     got = {x.label: x.entity for x in e.resolve(labels, master, "label").collect()}
     assert got == {"1. cipatujah": "Cipatujah", "Cipatuja": "Cipatujah", "Karangnungal": "Karangnunggal", "Salop": "Salopa"}
-    with pytest.raises(ValueError, match="more than"):
-        e.resolve(labels, master, "label", max_master=2)
 
 
 def test_view_has_all_columns(spark):
@@ -91,3 +89,23 @@ def test_view_has_all_columns(spark):
         m.setattr(star_queries, "_star", lambda spark, d: star)
         row = view(spark, "").first()
     assert [row[f"c{p}"] for p in range(1, 13)] == [str(k) for k in range(12)]
+
+
+def test_publication_by_title(spark):
+    have = spark.createDataFrame([("P", 2020)], g.SCHEMAS["publication"])
+    both = lambda df: sorted(tuple(r) for r in df.collect())
+    assert both(g.with_publication(have, "P", 2021)) == [("P", 2020), ("P", 2021)]
+    assert both(g.with_publication(have, "P", 2021, by_title=True)) == [("P", 2020)]
+    assert both(g.with_publication(have, "Q", 2021, by_title=True)) == [("P", 2020), ("Q", 2021)]
+
+
+def test_grid_of_category_tables(spark):
+    tab = "publication string, pub_year int, table_no string"
+    cells = spark.createDataFrame([("P", 1, "1.1", "X", 1, None, "x", "ada", False), ("P", 1, "1.2", "A", 2, None, "a", "ada", False)], f"{tab}, subject string, position int, value_num decimal(24,4), value_text string, flag string, is_total boolean")
+    columns = spark.createDataFrame([("P", 1, t, k) for t in ("1.1", "1.2") for k in (1, 2)], f"{tab}, position int")
+    tables = spark.createDataFrame([("P", 1, "1.1", "kategori"), ("P", 1, "1.2", "kecamatan")], f"{tab}, row_kind string")
+    got = r.entry_grid(cells, columns, spark.createDataFrame([("A",), ("B",)], "entity string"), "All", tables).collect()
+    assert sorted((x.table_no, x.subject, x.position, x.is_total, x.text) for x in got) == [
+        ("1.1", "X", 1, False, "x"), ("1.1", "X", 2, False, ""),
+        ("1.2", "A", 1, False, ""), ("1.2", "A", 2, False, "a"), ("1.2", "All", 1, True, ""), ("1.2", "All", 2, True, ""), ("1.2", "B", 1, False, ""), ("1.2", "B", 2, False, ""),
+    ]
