@@ -65,10 +65,12 @@ def prepare(rows: DataFrame, publication: str, pub_year: int, text_limit: int =
 
     The chapter's number is the leading part of the table's; ``chapter_no`` is null where it is none.
     """
-    t = {c: s.strip0(F.col(c)) for c in rows.columns if c != "_seq"}
+    # two steps, so that values are stripped once and neither is too much for one compiled method
+    bare = rows.select("_seq", *[s.strip0(F.col(c)).alias(c) for c in rows.columns if c != "_seq"])
+    t = {c: F.col(c) for c in bare.columns}
     lead = F.split(t["table_no"], r"\.")[0]
     name = s.cut(t["category"], 500)
-    return rows.where(t["table_no"] != "").select(
+    return bare.where(t["table_no"] != "").select(
         "_seq",
         F.lit(publication).alias("publication"),
         F.lit(pub_year).cast("int").alias("pub_year"),
