@@ -10,10 +10,10 @@ taken words differ from its target by less than one document, and each document
 own probability.
 
 A source that holds a third of all rows has more groups, not larger ones. Random numbers depend on
-the seed, the group and the order by id and size only: reruns agree.
+the seed, the group and the order by id, size and text only: reruns agree.
 
 Defined cases: null text has size 0; null is a source like others, last in order; documents of size 0
-are taken no word of; repeated rows are rounded each; no source is taken above ``cap`` times its size.
+are taken no word of; repeated rows are rounded each, in one group; ids are numbers and may be null; no source is taken above ``cap`` times its size.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ GROUP = 8192
 FAN_IN = 256
 #: Runs of sources, ordered by name, that are numbered side by side.
 RANGES = 64
-_ROW = "id long, size long, source string, copies long, p double, node long"
+_ROW = "id long, t long, size long, source string, copies long, p double, node long"
 
 
 def n_words(text: Column) -> Column:
@@ -114,7 +114,7 @@ def pivot(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> tuple[n
 
 def _round_groups(level: int, seed: int):
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "size"], kind="stable", na_position="last")
+        rows = rows.sort_values(["id", "size", "t"], kind="stable", na_position="last")
         name = [0] if key[0] is None else [1, *str(key[0]).encode()]
         rng = np.random.default_rng([seed, level, int(key[1]), *name])
         p, left = pivot(rows["size"].to_numpy(dtype=float), rows["p"].to_numpy(dtype=float), rng)
@@ -129,7 +129,7 @@ def _round_groups(level: int, seed: int):
 
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: float = 3.0, share: float = 1.0, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, source, size, source_size, target, copies, taken) of each row of ``docs``."""
-    sized = stage(docs.select(docs[id_col].cast("long").alias("id"), n_words(docs[text_col]).alias("size"), docs[source_col].cast("string").alias("source")))
+    sized = stage(docs.select(docs[id_col].cast("long").alias("id"), F.xxhash64(docs[text_col]).alias("t"), n_words(docs[text_col]).alias("size"), docs[source_col].cast("string").alias("source")))
     targets = stage(source_targets(sized, weights, cap, share).join(sized.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
     meant = targets.withColumnRenamed("source", "s")
     # every document of a source has the same expected copies; targets is one row per source
@@ -137,7 +137,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), cap: fl
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     groups = F.ceil(F.col("n") / GROUP).cast("long")
     start = rows.select(
-        "id", "size", "source", F.floor(expected).cast("long").alias("copies"), F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(0.0).alias("p"), F.pmod(F.xxhash64("id", "size"), groups).alias("node")
+        "id", "t", "size", "source", F.floor(expected).cast("long").alias("copies"), F.when(F.col("size") > 0, expected - F.floor(expected)).otherwise(0.0).alias("p"), F.pmod(F.xxhash64("id", "size", "t"), groups).alias("node")
     )
     # groups of one source that hold the most rows set the height of the tree
     most = targets.agg(F.max("n")).first()[0] or 0
