@@ -65,9 +65,11 @@ def prepare(rows: DataFrame, publication: str, pub_year: int, text_limit: int =
 
     The chapter's number is the leading part of the table's; ``chapter_no`` is null where it is none.
     """
-    # two steps, so that values are stripped once and neither is too much for one compiled method
-    bare = rows.select("_seq", *[s.strip0(F.col(c)).alias(c) for c in rows.columns if c != "_seq"])
-    t = {c: F.col(c) for c in bare.columns}
+    # values are stripped once, as members of an array: spelt out by column, twice over, they are more than
+    # one compiled method can be
+    texts = [c for c in rows.columns if c not in ("_seq", "table_no")]
+    bare = rows.select("_seq", s.strip0(F.col("table_no")).alias("table_no"), F.transform(F.array(*[F.col(c).cast("string") for c in texts]), s.strip0).alias("bare"))
+    t = {c: F.get(F.col("bare"), F.lit(i)) for i, c in enumerate(texts)} | {"table_no": F.col("table_no")}
     lead = F.split(t["table_no"], r"\.")[0]
     name = s.cut(t["category"], 500)
     return bare.where(t["table_no"] != "").select(
@@ -88,7 +90,7 @@ def prepare(rows: DataFrame, publication: str, pub_year: int, text_limit: int =
         F.when(t["region"] != "", s.region_kind(t["region"])).alias("region_kind"),
         F.nullif(name, F.lit("")).alias("category"),
         F.when(name != "", s.cut(t.get("category_group", F.lit("")), 80)).alias("category_group"),
-        s.to_decimal(t["value_num"]).alias("value_num"),
+        F.get(F.transform(F.array(t["value_num"]), s.to_decimal), F.lit(0)).alias("value_num"),
         s.cut(t["value_text"], text_limit).alias("value_text"),
         F.coalesce(F.nullif(t["flag"], F.lit("")), F.lit(s.PRESENT)).alias("flag"),
     )
