@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stages import shared_dir, stage
+
+__all__ = ["BLANK", "LOWER", "TEXT_ROWS", "UPPER", "lower_ascii", "replaced", "shared_dir", "stage", "table", "text_batches"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The characters that count as blank: space and U+0009 to U+000D.
@@ -20,23 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Where none is named, a session on one machine gets a temporary folder, and a cluster an error, for a
-    folder of one machine would lose data there.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="spark-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named)
-    return named
-
-
 def text_batches(spark: SparkSession) -> None:
     """Let Arrow batches hold TEXT_ROWS rows, unless the session has a number of its own.
 
@@ -47,15 +32,6 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared checkpoint folder and cut its lineage.
-
-    The copy survives lost executors; Spark drops it when the frame is collected.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def lower_ascii(s: Column) -> Column:
     """Lower-case A-Z and nothing else.
 
