@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stages import shared_dir, stage
 
-__all__ = ["BLANK", "LOWER", "TEXT_ROWS", "UPPER", "lower_ascii", "replaced", "shared_dir", "stage", "table", "text_batches"]
+__all__ = ["BLANK", "CRC32_SQL", "LOWER", "TEXT_ROWS", "UPPER", "crc32_sql", "lower_ascii", "replaced", "shared_dir", "stage", "table", "text_batches"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -44,3 +44,15 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     """``df`` with columns put in place of those of the same name in any case, else appended."""
     taken = {c.lower() for c in columns}
     return df.select(*[df[c] for c in df.columns if c.lower() not in taken], *[v.alias(k) for k, v in columns.items()])
+
+
+#: Opens a WITH of DuckDB SQL: the table that ``crc32_sql`` looks up.
+CRC32_SQL = """crc32_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+)"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of an ASCII text, FROM ``crc32_table`` beside the text's table."""
+    codes = f"list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda c, b: xor(c >> 8, crc32_table.t[xor(c, b) % 256 + 1])), 4294967295)"

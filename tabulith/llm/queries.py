@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, licenses, line_dedup, mixing, pii, quality, secrets, warc
+from . import decontaminate, jaccard_join, langid, licenses, line_dedup, mixing, pii, prefix_trie, quality, secrets, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_url_filter": url_filter.op11_url_filter,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op6_warc": warc.OP6_SQL,
     "op8_license_scan": licenses.OP8_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
+    "op11_url_filter": url_filter.OP11_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
