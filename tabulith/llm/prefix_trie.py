@@ -48,8 +48,8 @@ def _power(base: int, exponent: Column) -> Column:
     out = None
     for byte in range(4):
         step = pow(base, 256**byte, PRIME)
-        powers = F.lit([pow(step, i, PRIME) for i in range(256)])
-        factor = F.get(powers.cast("array<long>"), F.shiftright(exponent, 8 * byte).bitwiseAND(255).cast("int"))
+        powers = F.expr(f"array({', '.join(f'{pow(step, i, PRIME)}L' for i in range(256))})")
+        factor = F.get(powers, F.shiftright(exponent, 8 * byte).bitwiseAND(255).cast("int"))
         out = factor if out is None else out * factor % PRIME
     return out
 
@@ -60,18 +60,36 @@ def _dealt(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return stage(df.repartitionByRange(n, F.col(key), *order).withColumn("pid", F.spark_partition_id()))
 
 
-def running_sums(df: DataFrame, key: str, order: list[Column], sums: dict[str, Column]) -> DataFrame:
-    """``df``, dealt by ``_dealt``, with the running sums of non-negative terms over each key in the order given."""
-    part = Window.partitionBy("pid", key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = df.select("*", *[F.sum(c).over(part).alias(k) for k, c in sums.items()])
-    totals = df.groupBy("pid", key).agg(*[F.sum(c).alias(f"{k}_all") for k, c in sums.items()])
-    ends = df.groupBy("pid").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+def running_sums(dealt: DataFrame, key: str, order: list[Column], terms: dict[str, Column], bases: tuple[int, ...] = ()) -> DataFrame:
+    """``dealt`` (from ``_dealt``) with ``pos``, a row's number in its key, and the running sums of some terms over each key.
+
+    With ``bases``, one for each term, terms are weights below PRIME that use ``pos`` as if the range were
+    the whole key; what earlier ranges hold moves them by a power of the base. ``<name>_term`` is the row's own term.
+    """
+    part = Window.partitionBy("pid", key).orderBy(*order)
+
+    def local(df: DataFrame) -> DataFrame:
+        placed = df.withColumn("pos", F.row_number().over(part).cast("long"))
+        own = placed.select("*", *[c.alias(f"{k}_term") for k, c in terms.items()])
+        return own.select("*", *[F.sum(f"{k}_term").over(part.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k in terms])
+
+    def prime(c: Column) -> Column:
+        return F.pmod(c, F.lit(PRIME)) if bases else c
+
     # a key of several ranges is the first or the last of each: two rows a range at most
-    border = totals.join(F.broadcast(ends), "pid").where((F.col(key) == F.col("lo")) | (F.col(key) == F.col("hi")))
+    ends = dealt.groupBy("pid").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    border = dealt.join(F.broadcast(ends), "pid").where((F.col(key) == F.col("lo")) | (F.col(key) == F.col("hi"))).drop("lo", "hi")
+    totals = local(border).groupBy("pid", key).agg(F.max("pos").alias("n"), *[F.sum(f"{k}_term").alias(k) for k in terms])
     before = Window.partitionBy(key).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = border.select(F.col("pid").alias("o_pid"), F.col(key).alias("o_key"), *[F.coalesce(F.sum(f"{k}_all").over(before), F.lit(0)).alias(f"{k}_off") for k in sums])
-    met = local.join(F.broadcast(offsets), (F.col("pid") == F.col("o_pid")) & (F.col(key) == F.col("o_key")), "left")
-    return met.select(*df.columns, *[(F.col(k) + F.coalesce(F.col(f"{k}_off"), F.lit(0))).alias(k) for k in sums])
+    moved = totals.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    powers = [_power(b, F.col("off")) for b in bases] or [F.lit(1).cast("long")] * len(terms)
+    moved = moved.select("*", *[p.alias(f"{k}_by") for k, p in zip(terms, powers, strict=True)])
+    moved = moved.select("*", *[F.coalesce(F.sum(prime(prime(F.col(k)) * F.col(f"{k}_by"))).over(before), F.lit(0)).alias(f"{k}_off") for k in terms])
+    offsets = moved.select(F.col("pid").alias("o_pid"), F.col(key).alias("o_key"), "off", *[F.col(f"{k}_{x}") for k in terms for x in ("by", "off")])
+
+    met = local(dealt).join(F.broadcast(offsets), (F.col("pid") == F.col("o_pid")) & (F.col(key) == F.col("o_key")), "left").fillna(0, ["off", *[f"{k}_off" for k in terms]]).fillna(1, [f"{k}_by" for k in terms])
+    place = {f"{k}{x}": prime(prime(F.col(f"{k}{x}")) * F.col(f"{k}_by") + (F.col(f"{k}_off") if not x else F.lit(0))) for k in terms for x in ("", "_term")}
+    return met.select(*dealt.columns, (F.col("pos") + F.col("off")).alias("pos"), *[c.alias(k) for k, c in place.items()])
 
 
 def hash_turns(conversations: DataFrame) -> tuple[DataFrame, int]:
@@ -98,11 +116,10 @@ def _terms(h1: Column, h2: Column, at: Column) -> list[Column]:
 def memberships(turns: DataFrame, group: int, heads: int) -> tuple[DataFrame, DataFrame]:
     """(conv, depth, f0-f3, p0-p3, h1, h2, words, ends) of every turn of every rebuilt conversation, and (conv, size) of these."""
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.col("h1"), F.col("h2")]
-    placed = running_sums(_dealt(turns, "conv", order), "conv", order, {"pos": F.lit(1)})
-    own = running_sums(placed, "conv", [F.col("pos")], dict(zip(_sums("s"), _terms(F.col("h1"), F.col("h2"), F.col("pos")), strict=True)))
-    own = stage(own.select("conv", "pos", "h1", "h2", "words", *[F.pmod(s, F.lit(PRIME)).alias(s) for s in _sums("s")]))
+    terms = dict(zip(_sums("s"), _terms(F.col("h1"), F.col("h2"), F.col("pos")), strict=True))
+    own = stage(running_sums(_dealt(turns, "conv", order), "conv", order, terms, BASES).drop("pid", "turn", "role"))
 
-    first = F.when(F.col("pos") < heads, F.struct("pos", "h1", "h2", "words", *_sums("s")))
+    first = F.when(F.col("pos") < heads, F.struct("pos", "h1", "h2", "words", *_sums("s"), *[f"{k}_term" for k in _sums("s")]))
     short = own.groupBy("conv").agg(F.max("pos").alias("n"), F.array_sort(F.collect_list(first)).alias("top"))
     base = short.select(F.col("conv").alias("base"), F.col("n").alias("base_n"), F.col("top").alias("base_top"))
     h = F.pmod(F.crc32(F.col("conv").cast("string")), F.lit(heads))
@@ -113,15 +130,14 @@ def memberships(turns: DataFrame, group: int, heads: int) -> tuple[DataFrame, Da
         *[at(F.col("base_top"), F.col("hb"), j).alias(f"b{j}") for j in range(4)], *[at(F.col("top"), F.least("h", "n"), j).alias(f"o{j}") for j in range(4)],
     ))
 
-    in_head = convs.select("conv", "size", F.explode("head").alias("t")).select("conv", F.col("t.pos").alias("depth"), *[F.col(f"t.s{j}").alias(f"f{j}") for j in range(4)], "t.h1", "t.h2", "t.words", "size")
+    in_head = convs.select("conv", "size", F.explode("head").alias("t")).select("conv", F.col("t.pos").alias("depth"), *[F.col(f"t.s{j}").alias(f"f{j}") for j in range(4)], *[F.pmod(F.col(f"t.s{j}") - F.col(f"t.s{j}_term"), F.lit(PRIME)).alias(f"p{j}") for j in range(4)], "t.h1", "t.h2", "t.words", "size")
     # the own turns move by hb - h places, which is 0 unless the base is short
     later = own.join(convs.drop("head").withColumnRenamed("conv", "c"), (F.col("conv") == F.col("c")) & (F.col("pos") > F.col("h")))
     shift = [F.get(F.lit([pow(b, -k, PRIME) for k in range(heads)]).cast("array<long>"), (F.col("h") - F.col("hb")).cast("int")) for b in BASES]
-    moved = [F.pmod(F.col(f"b{j}") + F.pmod(F.col(f"s{j}") - F.col(f"o{j}"), F.lit(PRIME)) * shift[j], F.lit(PRIME)).alias(f"f{j}") for j in range(4)]
+    moved = [F.pmod(F.col(f"b{j}") + F.pmod(s - F.col(f"o{j}"), F.lit(PRIME)) * shift[j], F.lit(PRIME)).alias(f"{k}{j}") for k in "fp" for j in range(4) for s in [F.col(f"s{j}") - F.col(f"s{j}_term") if k == "p" else F.col(f"s{j}")]]
     after = later.select("conv", (F.col("pos") - F.col("h") + F.col("hb")).alias("depth"), *moved, "h1", "h2", "words", "size")
     rows = in_head.unionByName(after)
-    parents = [F.pmod(F.col(f"f{j}") - t, F.lit(PRIME)).alias(f"p{j}") for j, t in enumerate(_terms(F.col("h1"), F.col("h2"), F.col("depth")))]
-    return rows.select("conv", "depth", *_sums("f"), *parents, "h1", "h2", "words", (F.col("depth") == F.col("size")).alias("ends")), convs.select("conv", "size")
+    return rows.select("conv", "depth", *_sums("f"), *_sums("p"), "h1", "h2", "words", (F.col("depth") == F.col("size")).alias("ends")), convs.select("conv", "size")
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
