@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, langid, licenses, line_dedup, mixing, pii, prefix_trie, quality, secrets, url_filter, warc
+from . import decontaminate, jaccard_join, langid, licenses, line_dedup, mixing, pii, prefix_trie, quality, secrets, turn_repair, url_filter, warc
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_quality_rules": quality.op10_quality_rules,
     "op11_url_filter": url_filter.op11_url_filter,
+    "op12_turn_repair": turn_repair.op12_turn_repair,
     "op13_prefix_trie": prefix_trie.op13_prefix_trie,
 }
 
@@ -26,5 +27,6 @@ SQL = {
     "op8_license_scan": licenses.OP8_SQL,
     "op9_jaccard_join": jaccard_join.OP9_SQL,
     "op11_url_filter": url_filter.OP11_SQL,
+    "op12_turn_repair": turn_repair.OP12_SQL,
     "op13_prefix_trie": prefix_trie.OP13_SQL,
 }

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, table, text_batches
+from .common import CRC32_SQL, crc32_sql, stage, table, text_batches
 
 # The grammar's LR table:  Conv = "" | Body;  Body = Head Pair | Body Pair;  Pair = u a;  Head = "" | s.
 SHIFT = {("0", "s"): "S", ("H", "u"): "U", ("B", "u"): "U", ("U", "a"): "A"}
@@ -368,3 +368,74 @@ def op12_turn_repair(spark, sf_dir: str) -> DataFrame:
     met = ids.join(found, F.col("conv_id").eqNullSafe(F.col("c")), "left")
     nothing: Column = F.lit(hashlib.sha256(b"").hexdigest())
     return met.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in DIGEST], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256"))
+
+
+def _more(way: str, cost: str, edit: str) -> str:
+    """SQL: a way (its cost in ten digits, then its audit, so that text order is that of ways) and one more edit."""
+    return f"lpad((left({way}, 10)::BIGINT + {cost})::VARCHAR, 10, '0') || substr({way}, 11) || '{edit}'"
+
+
+def _role(way: str, role: str) -> str:
+    return f"CASE WHEN code <> '-' THEN {_more(way, f'extra + (code <> {role!r})::INT', '')} || CASE WHEN code = '{role}' THEN 'K' ELSE 'R' END END"
+
+
+#: A search over what the last role was (n none, s, u, a), a row a step.
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC32_SQL}, keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations
+), kinds AS (
+  SELECT conv_id, turn, role, text, {crc32_sql("key")} % 20 AS kind FROM keyed, crc32_table
+), hit AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM kinds
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+         regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last_char, left(role, 1) AS initial
+  FROM hit
+), faults AS (
+  SELECT *, CASE WHEN last_char = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate' WHEN last_char NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         lag(initial) OVER (PARTITION BY conv_id ORDER BY pos) || initial AS step
+  FROM placed
+), codes AS (
+  SELECT conv_id, pos, CASE WHEN fault IN ('blank', 'duplicate') THEN '-' WHEN initial IN ('s', 'u', 'a') THEN initial ELSE 'x' END AS code,
+         CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra
+  FROM faults
+), ways AS (
+  SELECT conv_id, 0::BIGINT AS pos, '0000000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a FROM (SELECT DISTINCT conv_id FROM codes)
+  UNION ALL
+  SELECT conv_id, pos, {_more("n", "2", "D")} AS n,
+         least({_more("s", "2", "D")}, CASE WHEN code = 's' THEN {_more("n", "extra", "K")} END) AS s,
+         least({_more("u", "2", "D")}, {_role("n", "u")}, {_role("s", "u")}, {_role("a", "u")}) AS u,
+         least({_more("a", "2", "D")}, {_role("u", "a")}) AS a
+  FROM (
+    SELECT w.conv_id, c.pos, c.code, c.extra, n, s, least(u, {_more("n", "5", "I")}, {_more("s", "5", "I")}, {_more("a", "5", "I")}) AS u,
+           least(a, {_more("u", "5", "I")}, {_more("n", "10", "II")}, {_more("s", "10", "II")}) AS a
+    FROM ways w JOIN codes c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND c.pos = w.pos + 1
+  )
+), best AS (
+  SELECT conv_id, least(n, a, {_more("u", "5", "I")}, {_more("s", "10", "II")}) AS way FROM ways
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1
+), edits AS (
+  SELECT conv_id, unnest(range(1, length(way) - 9)) AS i, way FROM best
+), consumed AS (
+  SELECT conv_id, i, way[10 + i] AS edit, count(*) FILTER (WHERE way[10 + i] <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM edits
+), kept AS (
+  SELECT e.conv_id, e.i, e.edit, f.role, f.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.i) AS nth
+  FROM consumed e LEFT JOIN faults f ON e.edit <> 'I' AND e.conv_id IS NOT DISTINCT FROM f.conv_id AND e.pos = f.pos WHERE e.edit <> 'D'
+), shaped AS (
+  SELECT *, nth - bool_or(nth = 1 AND edit = 'K' AND left(role, 1) = 's') OVER (PARTITION BY conv_id)::INT AS place FROM kept
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i) AS body
+  FROM shaped GROUP BY conv_id
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE step NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT o.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal,
+       coalesce(left(b.way, 10)::BIGINT, 0) AS cost, coalesce(substr(b.way, 11), '') AS audit, sha256(coalesce(r.body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN figures f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN repaired r ON o.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
