@@ -14,7 +14,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions.stages import stage
 from ..plans import ingest
-from ..sources.long_csv import COLUMNS, file_order
+from ..sources.long_csv import parse_long_csv
 
 
 #: Buckets of each table that is keyed by tables or facts; the others are small and have one.
@@ -65,15 +65,13 @@ def stream_long_rows(spark: SparkSession, source: str, target: str, publication:
 
     Start it with a trigger and a checkpoint location; the caller owns both.
     """
-    schema = ", ".join(f"{c} string" for c in COLUMNS)
-    files = spark.readStream.csv(source, schema=schema, header=True, quote='"', escape='"', multiLine=True)
-    rows = files.select(F.col("_metadata.file_path").alias("file"), *[F.col(c).alias(n) for c, n in COLUMNS.items()])
+    lines = spark.readStream.text(source, lineSep="\n").select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
     def load(batch: DataFrame, version: int) -> None:
-        batch = stage(batch.select(file_order(F.col("file")).alias("_seq"), *COLUMNS.values()))
+        batch = stage(parse_long_csv(batch))
         prepared = ingest.prepare(batch, publication, pub_year).where("chapter_no is not null")
         buckets = {r["b"] for r in prepared.select(_bucket().alias("b")).distinct().collect()}  # BUCKETS at most
         star, _ = ingest.load(read_star(batch.sparkSession, target, version - 1, buckets), batch, publication, pub_year)
         write_star(star, target, version, buckets)
 
-    return rows.writeStream.foreachBatch(load)
+    return lines.writeStream.foreachBatch(load)
