@@ -10,14 +10,36 @@ from ..functions import scalars as s
 from .headers import is_italic
 from .layout import PAGE
 
-#: What a model says about a page.
-PAGE_JSON = "struct<table_no:string,continued:boolean,title_id:string,title_en:string,source:string,chapter:string,headers:array<struct<name:string,unit:string,year:string>>,label_column:string,rows:array<struct<label:string,values:array<string>>>,total_row:struct<label:string,values:array<string>>>"
+# The keys of a model's answer about a page, and their names in this library.
+_HEADER_KEYS = {"nama": "name", "satuan": "unit", "tahun": "year"}
+_PAGE_KEYS = {
+    "nomor_tabel": "table_no", "lanjutan": "continued", "judul_id": "title_id", "judul_en": "title_en", "sumber": "source", "bab": "chapter",
+    "headers": "headers", "label_kolom": "label_column", "rows": "rows", "total_row": "total_row",
+}
+_ROW = "struct<label:string,values:array<string>>"
+_PAGE_TYPES = {"lanjutan": "boolean", "headers": f"array<struct<{','.join(f'{k}:string' for k in _HEADER_KEYS)}>>", "rows": f"array<{_ROW}>", "total_row": _ROW}
+PAGE_JSON = f"struct<{','.join(f'{k}:{_PAGE_TYPES.get(k, "string")}' for k in _PAGE_KEYS)}>"
+
+
+def parse_json(text: Column, schema: str) -> Column:
+    """A model's answer without code fences as a struct; null where it is blank or isn't one whole JSON object."""
+    bare = s.strip(F.regexp_replace(F.regexp_replace(s.strip0(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
+    # in brackets: what follows the object is an error, or a second member
+    whole = F.concat(F.lit("["), bare, F.lit("]"))
+    single = F.try_parse_json(whole).isNotNull() & (F.size(F.from_json(whole, "array<string>")) == 1)
+    return F.when(bare.startswith("{") & single, F.from_json(bare, schema))
 
 
-def parse_page_json(text: Column, schema: str = PAGE_JSON) -> Column:
-    """A model's answer without code fences as a struct; null where it is blank or no JSON."""
-    bare = s.strip(F.regexp_replace(F.regexp_replace(s.strip0(text), r"^```(?:json)?\s*", ""), r"\s*```$", ""))
-    return F.when(bare.rlike(r"^\{(?s:.*)\}$"), F.from_json(bare, schema, {"mode": "PERMISSIVE"}))
+def parse_page_json(text: Column) -> Column:
+    """A model's answer about a page, under this library's names; null where it can't be read, so the page can be set aside."""
+    j = parse_json(text, PAGE_JSON)
+    headers = F.transform(j["headers"], lambda h: F.struct(*[h[k].alias(n) for k, n in _HEADER_KEYS.items()]))
+    return F.when(j.isNotNull(), F.struct(*[(headers if k == "headers" else j[k]).alias(n) for k, n in _PAGE_KEYS.items()]))
+
+
+def unreadable_pages(answers: DataFrame, column: str) -> DataFrame:
+    """Rows whose answer can't be read, to be asked for again."""
+    return answers.where(parse_page_json(F.col(column)).isNull())
 
 
 def recognised_words(words: DataFrame, dpi: float, least: float = 30.0) -> DataFrame:

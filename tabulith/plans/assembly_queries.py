@@ -23,7 +23,7 @@ def _fenced(spark, d) -> DataFrame:
 
 
 def a04_model_json(spark, d) -> DataFrame:
-    j = a.parse_page_json(F.col("text"), EVENT_JSON)
+    j = a.parse_json(F.col("text"), EVENT_JSON)
     return _fenced(spark, d).select("event_id", j["k"].alias("k"), j["k"].isNull().alias("bad"))
 
 
@@ -33,11 +33,12 @@ def _answers(spark, d) -> DataFrame:
     words, m = F.split("text", " "), (F.col("doc_id") + F.col("page_no")) % 8
     row = lambda label: F.struct(label.alias("label"), words.alias("values"))
     page = F.struct(
-        "table_no", "continued", F.col("text").alias("title_id"), F.lit("").alias("title_en"), F.lit("BPS").alias("source"), F.lit(None).cast("string").alias("chapter"), F.transform(words, lambda w: F.struct(w.alias("name"), F.lit("u").alias("unit"), F.col("page_no").cast("string").alias("year"))).alias("headers"),
-        F.lit("x").alias("label_column"), F.array(row(F.lit("a")), row(F.col("table_no"))).alias("rows"), F.when(F.col("page_no") % 3 == 0, row(F.lit("total"))).alias("total_row"),
+        F.col("table_no").alias("nomor_tabel"), F.col("continued").alias("lanjutan"), F.col("text").alias("judul_id"), F.lit("").alias("judul_en"), F.lit("BPS").alias("sumber"), F.lit(None).cast("string").alias("bab"), F.transform(words, lambda w: F.struct(w.alias("nama"), F.lit("u").alias("satuan"), F.col("page_no").cast("string").alias("tahun"))).alias("headers"),
+        F.lit("x").alias("label_kolom"), F.array(row(F.lit("a")), row(F.col("table_no"))).alias("rows"), F.when(F.col("page_no") % 3 == 0, row(F.lit("total"))).alias("total_row"),
     )
-    text = F.to_json(page)
-    text = F.when(m == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(m == 1, F.concat(F.lit(" \n"), text)).when(m == 2, "").when(m == 3, F.concat(F.lit("Here: "), text)).when(m == 4, F.lit(None)).otherwise(text)
+    p = p.withColumn("answer", F.to_json(page))
+    text = F.col("answer")
+    text = F.when(m == 0, F.concat(F.lit("```json\n"), text, F.lit("\n```"))).when(m == 1, F.concat(F.lit(" \n"), text)).when(m == 2, "").when(m == 3, F.concat(F.lit("Here: "), text)).when(m == 4, F.lit(None)).when(m == 5, F.expr("left(answer, length(answer) - 1)")).when(m == 6, F.replace("answer", F.lit('"rows":'), F.lit('"rows":,'))).otherwise(text)
     return p.where("text is not null").select("doc_id", "page_no", text.alias("answer"))
 
 
@@ -275,7 +276,7 @@ SQL = {
       FROM (SELECT event_id, CASE event_id % 7 WHEN 2 THEN NULL WHEN 3 THEN NULL ELSE props END AS j FROM events)""",
     "a04_model_pages": v.with_views("page_seq", r"""SELECT doc_id, page_no, bad, CASE WHEN NOT bad THEN table_no END AS table_no, CASE WHEN NOT bad THEN continued END AS continued, CASE WHEN NOT bad THEN text END AS title,
       CASE WHEN NOT bad THEN array_to_string(list_transform(w, lambda x: x || '/u/' || page_no::VARCHAR), '|') END AS headers, CASE WHEN NOT bad THEN 'a:' || array_to_string(w, '|') || ';' || table_no || ':' || array_to_string(w, '|') END AS rows,
-      CASE WHEN NOT bad AND page_no % 3 = 0 THEN array_to_string(w, '|') END AS total, true AS no_chapter FROM (SELECT *, string_split(text, ' ') AS w, (doc_id + page_no) % 8 IN (2, 3, 4) AS bad FROM page_seq WHERE text IS NOT NULL)"""),
+      CASE WHEN NOT bad AND page_no % 3 = 0 THEN array_to_string(w, '|') END AS total, true AS no_chapter FROM (SELECT *, string_split(text, ' ') AS w, (doc_id + page_no) % 8 IN (2, 3, 4, 5, 6) AS bad FROM page_seq WHERE text IS NOT NULL)"""),
     "a05_recognised_words": v.with_views("words", "SELECT doc_id, page_no, seq, c AS conf, x0 / 2 AS x0, x1 / 2 AS x1, top / 2 AS top, bottom / 2 AS bottom FROM (SELECT *, coalesce(try_cast(conf AS DOUBLE), -1) AS c FROM words) WHERE NOT (c >= 0 AND c < 30)"),
     "a06_page_kinds": v.with_views("words", "SELECT * FROM kinds", kinds=(_KINDS := r"""SELECT p.doc_id, p.page_no, CASE WHEN p.doc_id % 5 = 0 OR coalesce(n, 0) >= 60 THEN 'digital' ELSE 'scan' END AS kind FROM (SELECT conv_id AS doc_id, turn AS page_no FROM conversations) p
       LEFT JOIN (SELECT doc_id, page_no, count(*) FILTER (WHERE regexp_matches(text, '[\pL\pN_]')) AS n FROM words GROUP BY ALL) w USING (doc_id, page_no)""")),

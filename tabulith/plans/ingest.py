@@ -26,7 +26,7 @@ COL = [*TAB, "indicator_key", "year"]
 FACT = [*COL, "region", "region_kind", "category", "category_group"]
 
 SCHEMAS = {
-    "publication": "publication string, pub_year int",
+    "publication": "publication string, pub_year int, coverage string, kind string, file string, note string",
     "chapter": "publication string, pub_year int, chapter_no int, chapter string",
     "stat_table": "publication string, pub_year int, chapter_no int, table_no string, title string, title_en string, source string, row_kind string, status string",
     "indicator": "indicator_key string, indicator string, unit string, value_type string",
@@ -51,10 +51,15 @@ def with_publication(publications: DataFrame, title: str, pub_year: int, by_titl
 
     It is known by title and year; ``by_title`` by its title alone, so the year is only for a new one.
     """
-    meant = publications.sparkSession.createDataFrame([(title, pub_year)], SCHEMAS["publication"])
+    meant = described(publications.sparkSession.createDataFrame([(title, pub_year)], "publication string, pub_year int")).select(*publications.columns)
     return publications.unionByName(not_in(meant, publications, PUB[:1] if by_title else PUB))
 
 
+def described(publications: DataFrame, coverage: str = "", kind: str = "digital") -> DataFrame:
+    """New publications (PUB) with all their columns: no file and no note yet."""
+    return publications.select(*PUB, F.lit(coverage).alias("coverage"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("file"), F.lit("").alias("note"))
+
+
 def not_in(new: DataFrame, old: DataFrame, key: list[str]) -> DataFrame:
     """Rows of ``new`` whose key ``old`` lacks."""
     return new.join(old, same(new, old, key), "left_anti")
@@ -110,7 +115,7 @@ def load(star: dict[str, DataFrame], rows: DataFrame, publication: str, pub_year
     first = lambda *c: F.min_by(F.struct(*c), "_seq")
     kind = lambda c: F.when(c.isNotNull(), "numerik").otherwise("teks")
 
-    pubs = not_in(r.select(*PUB).distinct(), star["publication"], PUB)
+    pubs = not_in(described(r.select(*PUB).distinct()), star["publication"], PUB)
     chapters = r.groupBy(*PUB, "chapter_no").agg(F.min_by(F.struct("chapter"), "_seq").alias("f")).select(*PUB, "chapter_no", F.coalesce("f.chapter", F.concat(F.lit("Bab "), F.col("chapter_no").cast("string"))).alias("chapter"))
     chapters = not_in(chapters, star["chapter"], [*PUB, "chapter_no"])
 
@@ -206,9 +211,9 @@ def mark_safe(facts: DataFrame, keys: DataFrame, key: str = "fact_id") -> DataFr
     return met.select(*[F.when(F.col("hit"), s.PRESENT).otherwise(F.col("flag")).alias("flag") if c == "flag" else F.col(c) for c in facts.columns])
 
 
-def verify_tables(tables: DataFrame, keys: DataFrame, key: str = "table_no") -> DataFrame:
-    """``tables`` with the status of those in ``keys`` set to verified."""
-    met = tables.join(keys.select(key).distinct().withColumn("hit", F.lit(True)), key, "left")
+def verify_tables(tables: DataFrame, keys: DataFrame) -> DataFrame:
+    """``tables`` with the status of those in ``keys`` (TAB) set to verified."""
+    met = tables.join(keys.select(*TAB).distinct().withColumn("hit", F.lit(True)), TAB, "left")
     return met.select(*[F.when(F.col("hit"), "verifikasi").otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in tables.columns])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as s
-from .ingest import COL, PUB, TAB, same
+from .ingest import COL, PUB, TAB
 
 
 def fact_order() -> list[Column]:
@@ -35,6 +35,11 @@ def table_list(star: dict[str, DataFrame]) -> DataFrame:
     return star["stat_table"].join(n, TAB, "left").select(*TAB, "title", "status", F.coalesce("facts", F.lit(0)).alias("facts")).orderBy(*PUB, "table_no")
 
 
+def on_column(a: DataFrame, b: DataFrame) -> Column:
+    """Facts or columns of one column: only the year can be null, so the rest stay plain keys by which tables are stored."""
+    return reduce(lambda x, y: x & y, [a[k] == b[k] for k in COL if k != "year"]) & a["year"].eqNullSafe(b["year"])
+
+
 def is_total_subject(phrase: str) -> Column:
     return F.coalesce(F.col("region_kind") != "kecamatan", F.lit(False)) | F.coalesce(F.lower("category").contains(phrase), F.lit(False))
 
@@ -51,26 +56,41 @@ def table_cells(star: dict[str, DataFrame], phrase: str) -> DataFrame:
     subject = F.when(by_category, F.col("category")).otherwise(F.col("region"))
     f = f.withColumn("subject", subject).where("subject is not null").withColumn("is_total", F.when(by_category, F.coalesce(F.lower("category").contains(phrase), F.lit(False))).otherwise(F.col("region_kind") != "kecamatan"))
     c = star["table_column"].select(*COL, "position")
-    j = f.join(c, same(f, c, COL)).select(*[f[k] for k in [*TAB, "subject", "is_total", "region", "region_kind", "category", "category_group", "value_num", "value_text", "flag"]], c["position"])
+    j = f.join(c, on_column(f, c)).select(*[f[k] for k in [*TAB, "subject", "is_total", "region", "region_kind", "category", "category_group", "value_num", "value_text", "flag"]], c["position"])
     blank = lambda k: F.coalesce(F.col(k), F.lit("")).alias(k)
     last = F.struct(blank("region_kind"), blank("region"), blank("category_group"), blank("category"))
     return j.groupBy(*TAB, "subject", "position").agg(F.max_by(F.struct("value_num", "value_text", "flag", "is_total"), last).alias("v")).select(*TAB, "subject", "position", "v.*")
 
 
-def table_positions(star: dict[str, DataFrame], table_no: str) -> list[int]:
-    """The positions of all columns of a table. Collected: metadata of one table, a row a column."""
-    return [x.position for x in star["table_column"].where(F.col("table_no") == table_no).select("position").distinct().orderBy("position").collect()]
+def table_positions(star: dict[str, DataFrame], table: tuple[str, int, str]) -> list[int]:
+    """The positions of all columns of a table (TAB's values). Collected: metadata of one table, a row a column."""
+    return [x.position for x in _one(star["table_column"], table).select("position").distinct().orderBy("position").collect()]
+
+
+def _one(df: DataFrame, table: tuple[str, int, str]) -> DataFrame:
+    return df.where(reduce(lambda a, b: a & b, [F.col(c) == v for c, v in zip(TAB, table, strict=True)]))
 
 
-def table_view(star: dict[str, DataFrame], table_no: str, positions: list[int], phrase: str) -> DataFrame:
-    """One table, a row a subject and a column a position, regular rows by name and totals after."""
-    cells = table_cells(star | {"stat_table": star["stat_table"].where(F.col("table_no") == table_no)}, phrase)
-    shown = cells.withColumn("shown", s.display_cell(F.col("value_num"), F.col("value_text"), F.col("flag")))
+def _shown(cells: DataFrame) -> DataFrame:
+    return cells.withColumn("shown", s.display_cell(F.col("value_num"), F.col("value_text"), F.col("flag")))
+
+
+def table_view(star: dict[str, DataFrame], table: tuple[str, int, str], positions: list[int], phrase: str) -> DataFrame:
+    """One table, known by TAB's values, a row a subject and a column a position, regular rows by name and totals after."""
+    shown = _shown(table_cells(star | {k: _one(star[k], table) for k in ("stat_table", "table_column", "fact")}, phrase))
     wide = shown.groupBy("subject").pivot("position", positions).agg(F.first("shown"))
     totals = shown.groupBy("subject").agg(F.bool_or("is_total").alias("is_total"))
     return wide.join(totals, "subject").select("subject", "is_total", *[F.coalesce(F.col(f"`{p}`"), F.lit("·")).alias(f"c{p}") for p in positions]).orderBy("is_total", "subject")
 
 
+def table_rows(star: dict[str, DataFrame], phrase: str) -> DataFrame:
+    """The rows of all tables' pages at once: ``cells`` holds what is shown, one for each of the table's positions."""
+    width = star["table_column"].groupBy(*TAB).agg(F.max("position").alias("width"))
+    rows = _shown(table_cells(star, phrase)).groupBy(*TAB, "subject").agg(F.bool_or("is_total").alias("is_total"), F.map_from_entries(F.collect_list(F.struct("position", "shown"))).alias("at"))
+    cells = F.transform(F.sequence(F.lit(1), F.col("width")), lambda p: F.coalesce(F.try_element_at("at", p), F.lit("·")))
+    return rows.join(width, TAB).select(*TAB, "subject", "is_total", cells.alias("cells"))
+
+
 def entry_grid(cells: DataFrame, columns: DataFrame, master: DataFrame, total: str, tables: DataFrame | None = None) -> DataFrame:
     """All master entities and the total row times a table's columns, with the text or number there is.
 
@@ -143,7 +163,7 @@ def export_rows(star: dict[str, DataFrame], scope: DataFrame | None = None) -> D
     t = star["stat_table"].join(star["chapter"], [*PUB, "chapter_no"]).select(*TAB, "chapter", "title", "source")
     j = f.join(t, TAB)
     c = star["table_column"].select(*COL, "unit").withColumnRenamed("unit", "column_unit")
-    j = j.join(c, same(j, c, COL), "left").select(*[j[k] for k in j.columns], "column_unit")
+    j = j.join(c, on_column(j, c), "left").select(*[j[k] for k in j.columns], "column_unit")
     i = star["indicator"].select("indicator_key", "indicator", "unit")
     j = j.join(i, "indicator_key", "left")
     blank = lambda x: F.coalesce(x, F.lit(""))

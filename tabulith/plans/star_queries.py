@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s
@@ -13,6 +13,7 @@ from ..operators import validate as k
 from ..sources import long_csv
 from . import ingest as g
 from . import reads as r
+from . import store
 from . import views as v
 from .scalar_queries import sql_clean, sql_format_id, sql_norm_indicator, sql_region_kind
 
@@ -78,10 +79,12 @@ def _faulty(spark, d) -> dict[str, DataFrame]:
     star = _star(spark, d)
     twice = lambda t, when: star[t].unionByName(star[t].where(when))
     out = {k: twice(k, when) for k, when in {"publication": "pub_year = 2024", "chapter": "chapter_no % 2 = 0", "indicator": "length(indicator_key) < 10", "table_column": "year = 1995", "region": "region_kind = 'kabupaten'", "category": "category = 'A'"}.items()}
-    tables = star["stat_table"].withColumn("status", F.when(F.col("chapter_no") == 2, "lain").otherwise(F.col("status"))).where("chapter_no <> 4")
+    out["publication"] = out["publication"].withColumn("kind", F.lit("kertas"))
+    tables = star["stat_table"].unionByName(star["stat_table"].where("chapter_no = 3")).withColumn("status", F.when(F.col("chapter_no") == 2, "lain").otherwise(F.col("status"))).where("chapter_no <> 4")
     columns = star["table_column"].where("year is null or year <> 1996")
+    placed = columns.where("year = 1997").withColumn("indicator_key", F.concat("indicator_key", F.lit(" lagi")))
     facts = star["fact"].withColumn("flag", F.when(F.col("year") == 1994, "?").otherwise(F.col("flag")))
-    return star | out | {"stat_table": tables, "table_column": columns.unionByName(columns.where("year = 1995")), "fact": facts, "region": out["region"].where("region not like '%7'"), "category": out["category"].where("category <> 'N'")}
+    return star | out | {"stat_table": tables, "table_column": columns.unionByName(columns.where("year = 1995")).unionByName(placed), "fact": facts, "region": out["region"].where("region not like '%7'"), "category": out["category"].where("category <> 'N'")}
 
 
 def f06_unique_keys(spark, d) -> DataFrame:
@@ -103,6 +106,10 @@ def _batch(spark, d) -> DataFrame:
     return rows.withColumns({"region": F.when(even, F.concat(F.lit("Kota "), F.col("region"))).otherwise(F.col("region")), "value_text": F.concat("value_text", F.lit("b")), "indicator": F.when(F.col("_seq") % 9 == 0, "Baru").otherwise(F.col("indicator"))})
 
 
+def _two_publications(spark, d) -> dict[str, DataFrame]:
+    return g.load(_star(spark, d), _batch(spark, d), NAME, YEAR + 1)[0]
+
+
 def _loaded(spark, d):
     return g.load(_star(spark, d), _batch(spark, d), NAME, YEAR)
 
@@ -178,8 +185,8 @@ def g15_marks(spark, d) -> DataFrame:
 
 
 def g15_verified(spark, d) -> DataFrame:
-    star = _star(spark, d)
-    return g.verify_tables(star["stat_table"], star["stat_table"].where("chapter_no % 2 = 0").select("table_no")).select("table_no", "status")
+    star = _two_publications(spark, d)
+    return g.verify_tables(star["stat_table"], star["stat_table"].where(f"chapter_no % 2 = 0 AND pub_year = {YEAR}").select(*g.TAB)).select("pub_year", "table_no", "status")
 
 
 def _definitions(spark, d) -> DataFrame:
@@ -211,7 +218,7 @@ def g17_deletes(spark, d) -> DataFrame:
 # --- reading --------------------------------------------------------------------------------------
 def h01_publications(spark, d) -> DataFrame:
     star = _star(spark, d)
-    more = v.read(spark, d, "orders").select(F.lit("Statistik").alias("publication"), F.year("o_orderdate").alias("pub_year")).distinct()
+    more = g.described(v.read(spark, d, "orders").select(F.lit("Statistik").alias("publication"), F.year("o_orderdate").alias("pub_year")).distinct())
     return r.publication_list(star | {"publication": star["publication"].unionByName(more)})
 
 
@@ -230,9 +237,8 @@ def h04_h05_cells(spark, d) -> DataFrame:
 
 
 def h04_table_view(spark, d) -> DataFrame:
-    star = _star(spark, d)
-    first = star["stat_table"].agg(F.min("table_no")).first()[0] or ""
-    return r.table_view(star, first, r.table_positions(star, first), PHRASE)
+    """The pages of all tables of two publications whose tables have the same numbers."""
+    return r.table_rows(_two_publications(spark, d), PHRASE).withColumn("cells", F.array_join("cells", "|"))
 
 
 def h06_grid(spark, d) -> DataFrame:
@@ -308,6 +314,27 @@ def h18_order(spark, d) -> DataFrame:
     return r.ranked(_star(spark, d)["fact"], ["table_no"], r.fact_order()).select("table_no", "region", "category", "year", "indicator_key", "place")
 
 
+def _stored(spark, d, both: bool = True) -> tuple[SparkSession, str]:
+    """One or two publications of one title in a store of their own, each published by a load of its year."""
+    name = f"store_{uuid.uuid4().hex}"
+    own = store.open_store(spark, name, f"{shared_dir(spark)}/{name}", buckets=8)
+    store.publish_load(own, name, v.long_rows(own, d), NAME, YEAR)
+    if both:
+        store.publish_load(own, name, _batch(own, d), NAME, YEAR + 1)
+    return own, name
+
+
+def g09_stored_facts(spark, d) -> DataFrame:
+    own, name = _stored(spark, d)
+    return store.read_store(own, name)["fact"]
+
+
+def h14_stored_export(spark, d) -> DataFrame:
+    """The export of the publication of 2024, joined from stored tables as they lie."""
+    own, name = _stored(spark, d, both=False)
+    return r.export_rows(store.read_store(own, name, YEAR))
+
+
 def a08_a10_round_trip(spark, d) -> DataFrame:
     """Exported rows written to CSV, read back and loaded again: the facts of the second load."""
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
@@ -355,15 +382,15 @@ _P = {
 }
 _FACTS2 = f"""SELECT {_KEY}, value_num, value_text, flag FROM (SELECT 1 AS src, * FROM p UNION ALL SELECT 2 AS src, * FROM q) QUALIFY row_number() OVER (PARTITION BY {_KEY} ORDER BY src DESC, _seq DESC) = 1"""
 _ALL = "SELECT 1 AS src, * FROM p UNION ALL SELECT 2, * FROM q"
-_COLS = """SELECT publication, pub_year, table_no, indicator_key, year, row_number() OVER (PARTITION BY table_no ORDER BY src, seq0) AS position, unit, value_type FROM (
+_COLS = """SELECT publication, pub_year, table_no, indicator_key, year, row_number() OVER (PARTITION BY publication, pub_year, table_no ORDER BY src, seq0) AS position, unit, value_type FROM (
   SELECT publication, pub_year, table_no, indicator_key, year, min(src) AS src, arg_min(_seq, src * 1000000000000000000::HUGEINT + _seq) AS seq0, arg_min(unit, src * 1000000000000000000::HUGEINT + _seq) AS unit, arg_min(CASE WHEN value_num IS NULL THEN 'teks' ELSE 'numerik' END, src * 1000000000000000000::HUGEINT + _seq) AS value_type FROM ({src}) GROUP BY ALL)"""
 _ONE = "SELECT 1 AS src, * FROM p"
 _TABLES = "SELECT publication, pub_year, table_no, arg_min(chapter_no, _seq) AS chapter_no, arg_min(chapter, _seq) AS chapter, arg_min(title, _seq) AS title, arg_min(title_en, _seq) AS title_en, arg_min(source, _seq) AS source, CASE WHEN arg_min(coalesce(category, ''), _seq) <> '' THEN 'kategori' ELSE 'kecamatan' END AS row_kind, 'ekstrak' AS status FROM p GROUP BY ALL"
 _SUBJ = f"""SELECT f.publication, f.pub_year, f.table_no, CASE WHEN row_kind = 'kategori' THEN category ELSE region END AS subject, position, value_num, value_text, flag,
   CASE WHEN row_kind = 'kategori' THEN contains(lower(category), 'kabupaten') ELSE region_kind <> 'kecamatan' END AS is_total
-  FROM f1 f JOIN tabs t USING (table_no) JOIN cols c ON c.table_no = f.table_no AND c.indicator_key = f.indicator_key AND c.year IS NOT DISTINCT FROM f.year
+  FROM f1 f JOIN tabs t USING (publication, pub_year, table_no) JOIN cols c ON c.publication = f.publication AND c.pub_year = f.pub_year AND c.table_no = f.table_no AND c.indicator_key = f.indicator_key AND c.year IS NOT DISTINCT FROM f.year
   WHERE CASE WHEN row_kind = 'kategori' THEN category ELSE region END IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY f.table_no, subject, position ORDER BY coalesce(region_kind, '') DESC, coalesce(region, '') DESC, coalesce(category_group, '') DESC, coalesce(category, '') DESC) = 1"""
+  QUALIFY row_number() OVER (PARTITION BY f.publication, f.pub_year, f.table_no, subject, position ORDER BY coalesce(region_kind, '') DESC, coalesce(region, '') DESC, coalesce(category_group, '') DESC, coalesce(category, '') DESC) = 1"""
 _STAR = {"p": _P["p"], "f1": _P["f1"], "tabs": _TABLES, "cols": _COLS.replace("{src}", _ONE), "subj": _SUBJ}
 _IND = "SELECT indicator_key, arg_min(indicator, src * 1000000000000000000::HUGEINT + _seq) AS indicator, arg_min(unit, src * 1000000000000000000::HUGEINT + _seq) AS unit, CASE WHEN bool_or(value_num IS NOT NULL) THEN 'numerik' ELSE 'teks' END AS value_type FROM ({src}) GROUP BY ALL"
 _EXPORT = """SELECT t.chapter, f.table_no, t.title, coalesce(region, '') AS region, coalesce(category, '') AS category, i.indicator, coalesce(nullif(c.unit, ''), i.unit) AS unit, coalesce(f.year::VARCHAR, '') AS year, coalesce(value_num::VARCHAR, '') AS value_num, coalesce(value_text, '') AS value_text, flag, t.source
@@ -371,15 +398,17 @@ _EXPORT = """SELECT t.chapter, f.table_no, t.title, coalesce(region, '') AS regi
 _EXP = _STAR | {"ind": _IND.replace("{src}", _ONE)}
 _TWICE = lambda src, when: f"SELECT * FROM ({src}) UNION ALL SELECT * FROM ({src}) WHERE {when}"
 _FAULTY = _EXP | {
-    "x_publication": "SELECT 'Dalam Angka' AS publication, 2024 AS pub_year FROM range(2)",
+    "x_publication": "SELECT 'Dalam Angka' AS publication, 2024 AS pub_year, 'kertas' AS kind FROM range(2)",
     "x_chapter": _TWICE("SELECT DISTINCT publication, pub_year, chapter_no FROM p", "chapter_no % 2 = 0"),
-    "x_stat_table": "SELECT * REPLACE (CASE WHEN chapter_no = 2 THEN 'lain' ELSE status END AS status) FROM tabs WHERE chapter_no <> 4",
+    "x_stat_table": "SELECT * REPLACE (CASE WHEN chapter_no = 2 THEN 'lain' ELSE status END AS status) FROM (" + _TWICE("SELECT * FROM tabs", "chapter_no = 3") + ") WHERE chapter_no <> 4",
     "x_indicator": _TWICE("SELECT * FROM ind", "length(indicator_key) < 10"),
-    "x_table_column": _TWICE("SELECT * FROM cols WHERE year IS NULL OR year <> 1996", "year = 1995"),
+    "x_table_column": _TWICE("SELECT * FROM cols WHERE year IS NULL OR year <> 1996", "year = 1995") + " UNION ALL SELECT * REPLACE (indicator_key || ' lagi' AS indicator_key) FROM cols WHERE year = 1997",
     "x_region": "SELECT * FROM (" + _TWICE("SELECT DISTINCT region, region_kind FROM p WHERE region IS NOT NULL", "region_kind = 'kabupaten'") + ") WHERE region NOT LIKE '%7'",
     "x_category": "SELECT * FROM (" + _TWICE("SELECT DISTINCT category, category_group FROM p WHERE category IS NOT NULL", "category = 'A'") + ") WHERE category <> 'N'",
     "x_fact": "SELECT * REPLACE (CASE WHEN year = 1994 THEN '?' ELSE flag END AS flag) FROM f1",
 }
+_P2 = "SELECT * FROM p UNION ALL SELECT * REPLACE (2025 AS pub_year) FROM q"
+_TWO = {"p1": _P["p"], "batch": _P["batch"], "q": _P["q"], "p": _P2.replace("FROM p ", "FROM p1 "), "f1": _P["f1"], "tabs": _TABLES, "cols": _COLS.replace("{src}", _ONE), "subj": _SUBJ}
 _FBI = {"p": _P["p"], "fi": "SELECT _seq AS fact_id, table_no, value_num, value_text, flag, CASE WHEN _seq % 2 = 0 THEN 'teks' ELSE 'numerik' END AS value_type FROM p"}
 _shown = f"CASE WHEN flag = 'nihil' THEN '–' WHEN flag = 'tidak_tersedia' THEN '…' WHEN value_num IS NOT NULL THEN {sql_format_id('value_num')} ELSE value_text END"
 w = v.with_views
@@ -394,14 +423,14 @@ SQL = {
     "f04_flags": w("raw_cells", "SELECT flag, count(*) AS n FROM cells GROUP BY flag", **_CELLS),
     "f06_duplicates": w("long_rows", "SELECT table_no, region, year, category, count(*) AS n FROM long_rows GROUP BY ALL HAVING count(*) > 1"),
     "f07_audit": w("long_rows", "SELECT _seq, 'flag' AS fault FROM p WHERE _seq % 37 = 0 UNION ALL SELECT _seq, 'chapter' FROM p WHERE chapter_no > 4", p=_P["p"]),
-    "f06_unique_keys": w("long_rows", " UNION ALL ".join(f"SELECT '{t}' AS table, count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM x_{t} GROUP BY {', '.join(key)} HAVING count(*) > 1)" for t, key in k.UNIQUE.items()), **_FAULTY),
+    "f06_unique_keys": w("long_rows", " UNION ALL ".join(f"SELECT '{t}' AS table, '{', '.join(key)}' AS key, count(*) AS keys, coalesce(sum(n), 0)::BIGINT AS rows FROM (SELECT count(*) AS n FROM x_{t} GROUP BY {', '.join(key)} HAVING count(*) > 1)" for t, key in k.UNIQUE), **_FAULTY),
     "f07_schema_audit": w("long_rows", " UNION ALL ".join(
         [f"SELECT '{t}' AS table, '{c}' AS rule, count(*) AS rows FROM x_{t} WHERE {c} IS NULL OR {c} NOT IN ({', '.join(repr(x) for x in k.CHOICES[c])})" for t, c in k.CHOSEN]
         + [f"SELECT '{t}', 'in {parent}', count(*) FROM x_{t} a WHERE ({' OR '.join(f'a.{c} IS NOT NULL' for c in key)}) AND NOT EXISTS (SELECT 1 FROM x_{parent} b WHERE {' AND '.join(f'a.{c} IS NOT DISTINCT FROM b.{c}' for c in key)})" for t, key, parent in k.REFERENCES]), **_FAULTY),
     "g01_publications": "SELECT DISTINCT c_mktsegment AS publication, 2000 + c_nationkey AS pub_year FROM customer UNION ALL SELECT 'BUILDING', 1990 UNION ALL SELECT 'STATISTIK', 2024",
     "h12_dimensions": w("long_rows", """SELECT 'stat_table' AS dim, table_no AS name FROM tabs WHERE row_kind = 'kategori' UNION ALL SELECT DISTINCT 'region', region FROM p WHERE region_kind = 'kabupaten'
       UNION ALL SELECT 'indicator', indicator_key FROM ind WHERE value_type = 'numerik' UNION ALL SELECT DISTINCT 'category', category FROM p WHERE category IS NOT NULL""", **_EXP),
-    "g01_g03_catalog": w("long_rows", _TABLES, **_P),
+    "g01_g03_catalog": w("long_rows", f"SELECT *, '' AS coverage, 'digital' AS kind, NULL::VARCHAR AS file, '' AS note FROM ({_TABLES})", **_P),
     "g04_g05_indicators": w("long_rows", _IND.replace("{src}", _ALL), **_P),
     "g06_columns": w("long_rows", _COLS.replace("{src}", _ALL), **_P),
     "g07_g08_dimensions": w("long_rows", f"SELECT DISTINCT 'region' AS dim, region AS name, region_kind AS grp FROM ({_ALL}) WHERE region IS NOT NULL UNION ALL SELECT DISTINCT 'category', category, category_group FROM ({_ALL}) WHERE category IS NOT NULL", **_P),
@@ -419,7 +448,7 @@ SQL = {
       SELECT *, e IS NOT NULL AND CASE WHEN value_type = 'teks' THEN e IS DISTINCT FROM value_text ELSE num IS DISTINCT FROM value_num END AS changed, CASE WHEN value_type = 'teks' THEN e <> '' ELSE num IS NOT NULL END AS filled FROM (
       SELECT *, try_cast(replace(replace(e, '.', ''), ',', '.') AS DECIMAL(24,4)) AS num FROM (SELECT *, CASE fact_id % 5 WHEN 0 THEN '' WHEN 1 THEN value_text WHEN 2 THEN '1.234,5' WHEN 3 THEN '-7' END AS e FROM fi)))""", **_FBI),
     "g15_marks": w("long_rows", "SELECT CASE WHEN flag = 'perlu_cek' THEN 'ada' ELSE flag END AS flag, count(*) AS n FROM fi GROUP BY ALL", **_FBI),
-    "g15_verified": w("long_rows", "SELECT DISTINCT table_no, CASE WHEN chapter_no % 2 = 0 THEN 'verifikasi' ELSE 'ekstrak' END AS status FROM p", p=_P["p"]),
+    "g15_verified": w("long_rows", "SELECT pub_year, table_no, CASE WHEN chapter_no % 2 = 0 AND pub_year = 2024 THEN 'verifikasi' ELSE 'ekstrak' END AS status FROM tabs", **_TWO),
     "g16_columns": """SELECT table_no, position, CASE WHEN position = 1 THEN 'Baru' ELSE p_type END AS indicator, CASE WHEN position <= 3 THEN 'ha' ELSE p_brand END AS unit, CASE WHEN position <= 3 THEN 1999 ELSE 2000 + p_size END AS year, CASE WHEN position <= 3 THEN 'teks' ELSE 'numerik' END AS value_type
       FROM (SELECT *, (p_partkey % 100)::VARCHAR AS table_no, row_number() OVER (PARTITION BY p_partkey % 100 ORDER BY p_partkey) AS position FROM part WHERE p_size % 5 <> 0)""",
     "g16_new_indicators": "SELECT p_type AS indicator, arg_min(p_brand, (p_partkey % 100)::VARCHAR || '/' || lpad(p_partkey::VARCHAR, 12, '0')) AS unit, 'numerik' AS value_type FROM (SELECT * FROM part WHERE p_size % 5 <> 0) WHERE p_type NOT IN (SELECT p_type FROM part WHERE p_partkey <= 2) GROUP BY p_type",
@@ -428,8 +457,9 @@ SQL = {
     "h02_chapters": w("long_rows", "SELECT 'Dalam Angka' AS publication, 2024 AS pub_year, chapter_no, min(chapter) AS chapter, count(DISTINCT table_no) AS tables FROM p GROUP BY chapter_no UNION ALL SELECT 'Dalam Angka', 2024, n_nationkey + 100, n_name, 0 FROM nation", p=_P["p"]),
     "h03_tables": w("long_rows", "SELECT t.publication, t.pub_year, table_no, t.title, t.status, count(*) AS facts FROM tabs t JOIN f1 USING (table_no) GROUP BY ALL", **_STAR),
     "h04_h05_cells": w("long_rows", "SELECT * FROM subj", **_STAR),
-    "h04_table_view": w("long_rows", "SELECT subject, is_total, coalesce(COLUMNS('^c[0-9]+$'), '·') FROM (PIVOT one ON c USING max(shown) GROUP BY subject, is_total)", **_STAR,
-      one=f"SELECT subject, bool_or(is_total) OVER (PARTITION BY subject) AS is_total, 'c' || position AS c, {_shown} AS shown FROM subj WHERE table_no = (SELECT min(table_no) FROM p)"),
+    "h04_table_view": w("long_rows", """SELECT publication, pub_year, table_no, subject, is_total, array_to_string(list_transform(range(1, width + 1), lambda i: coalesce(texts[i][1], '·')), '|') AS cells FROM (
+      SELECT publication, pub_year, table_no, subject, bool_or(is_total) AS is_total, map(list(position), list([shown])) AS texts FROM one GROUP BY ALL) JOIN (SELECT publication, pub_year, table_no, max(position) AS width FROM cols GROUP BY ALL) USING (publication, pub_year, table_no)""", **_TWO,
+      one=f"SELECT *, {_shown} AS shown FROM subj"),
     "h06_grid": w("long_rows", f"SELECT c.publication, c.pub_year, c.table_no, n.subject, n.is_total, c.position, coalesce(CASE WHEN s.subject IS NOT NULL THEN coalesce(nullif(value_text, ''), {sql_format_id('value_num')}) END, '') AS text FROM cols c JOIN (SELECT table_no, s_name AS subject, false AS is_total FROM tabs, supplier WHERE row_kind <> 'kategori' UNION ALL SELECT table_no, 'Kabupaten', true FROM tabs WHERE row_kind <> 'kategori' UNION ALL SELECT s.table_no, s.subject, bool_or(s.is_total) FROM subj s JOIN tabs USING (table_no) WHERE row_kind = 'kategori' GROUP BY ALL) n USING (table_no) LEFT JOIN subj s ON s.table_no = c.table_no AND s.subject = n.subject AND s.position = c.position", **_STAR),
     "h07_dashboard": w("long_rows", "SELECT 1 AS publications, (SELECT count(*) FROM tabs) AS tables, count(*) AS facts, count(*) FILTER (WHERE flag = 'perlu_cek') AS to_check FROM f1", **_STAR),
     "h08_anomalies": w("long_rows", "SELECT fact_id, fact_id % 1009 AS created, table_no, title FROM fi JOIN (SELECT table_no, min(title) AS title FROM p GROUP BY ALL) USING (table_no) WHERE flag = 'perlu_cek' ORDER BY fact_id % 1009 DESC, fact_id DESC LIMIT 10", **_FBI),
@@ -439,6 +469,8 @@ SQL = {
     "h12_facets": w("long_rows", "SELECT fact_id, flag FROM fi WHERE flag IN ('nihil', 'perlu_cek') AND value_type = 'teks'", **_FBI),
     "h13_fields": "SELECT p_partkey FROM part WHERE " + " AND ".join("(" + " OR ".join(f"contains(lower({c}), '{x}')" for c in ("p_name", "p_brand", "p_type")) + ")" for x in ("economy", "1")),
     "h14_export": w("long_rows", _EXPORT, **_EXP),
+    "h14_stored_export": w("long_rows", _EXPORT, **_EXP),
+    "g09_stored_facts": w("long_rows", f"SELECT {_KEY}, value_num, value_text, flag FROM f1", **_TWO),
     "h15_scope": w("long_rows", f"SELECT table_no, count(*) AS n FROM ({_EXPORT}) WHERE table_no LIKE '1.%' GROUP BY ALL", **_EXP),
     "h16_picker": """SELECT '{"publication":"' || c_name || '","pub_year":' || (1990 + c_nationkey)::VARCHAR || ',"has_file":' || CASE WHEN c_custkey % 3 = 1 THEN 'true' ELSE 'false' END || '}' AS entry FROM customer""",
     "h17_indicators": w("long_rows", f"SELECT indicator FROM ({_IND.replace('{src}', _ONE)})", **_STAR),

@@ -64,6 +64,12 @@ def test_identity(spark):
 
 
 def test_model_json(spark):
-    df = spark.createDataFrame([('```json\n{"table_no": "1.1", "rows": [{"label": "a", "values": ["1"]}]}\n```',), ("{",), ("",), (None,)], "t string")
-    got = [r[0] for r in df.select(a.parse_page_json(F.col("t"))).collect()]
-    assert got[0].table_no == "1.1" and got[0].rows[0]["values"] == ["1"] and got[1:] == [None, None, None]
+    """Answers under the model's keys are read; cut and broken ones are null, so their pages are set aside."""
+    good = '{"nomor_tabel":"1.1","lanjutan":true,"headers":[{"nama":"Luas","satuan":"ha","tahun":"2024"}],"label_kolom":"Kecamatan","rows":[{"label":"a","values":["1"]}],"total_row":null}'
+    texts = [f"```json\n{good}\n```", f"```\n{good} ```", '{"table_no": , "rows": [}', '{"nomor_tabel":"1","rows":[{"label":"a"}', good[:-1], good + "}", f"Here: {good}", "[1]", "{", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(a.parse_page_json(F.col("t"))).collect()]
+    for x in got[:2]:
+        assert (x.table_no, x.continued, x.label_column, x.total_row) == ("1.1", True, "Kecamatan", None)
+        assert x.headers[0].asDict() == {"name": "Luas", "unit": "ha", "year": "2024"} and x.rows[0]["values"] == ["1"]
+    assert got[2:] == [None] * 9 and {r.i for r in a.unreadable_pages(df, "t").collect()} == set(range(2, 11))

@@ -8,7 +8,6 @@ from tabulith.operators import entities as e
 from tabulith.operators import validate as k
 from tabulith.plans import ingest as g
 from tabulith.plans import reads as r
-from tabulith.plans import star_queries
 from tabulith.sources import long_csv
 
 
@@ -83,16 +82,18 @@ def test_similar_entities(spark):
 def test_view_has_all_columns(spark):
     rows = spark.createDataFrame(long(*[("1.1", "a", f"i{k}", "2025", str(k)) for k in range(12)], ("1.2", "a", "x", "2025", "1")), SCHEMA)
     star, _ = g.load(g.empty(spark), rows, "P", 2024)
-    assert r.table_positions(star, "1.1") == list(range(1, 13)) and r.table_positions(star, "none") == []
-    view = star_queries.h04_table_view
-    with pytest.MonkeyPatch.context() as m:
-        m.setattr(star_queries, "_star", lambda spark, d: star)
-        row = view(spark, "").first()
+    assert r.table_positions(star, ("P", 2024, "1.1")) == list(range(1, 13)) and r.table_positions(star, ("P", 2024, "none")) == []
+    # another publication has a table of the same number: the pages stay apart
+    star, _ = g.load(star, spark.createDataFrame(long(("1.1", "a", "other", "2025", "99")), SCHEMA), "P", 2025)
+    row = r.table_view(star, ("P", 2024, "1.1"), r.table_positions(star, ("P", 2024, "1.1")), "kabupaten").first()
+    pages = {(x.pub_year, x.table_no): x.cells for x in r.table_rows(star, "kabupaten").collect()}
+    assert pages == {(2024, "1.1"): [str(k) for k in range(12)], (2024, "1.2"): ["1"], (2025, "1.1"): ["99"]}
+    assert {(x.pub_year, x.table_no): x.status for x in g.verify_tables(star["stat_table"], star["stat_table"].where("pub_year = 2024 AND table_no = '1.1'")).collect()} == {(2024, "1.1"): "verifikasi", (2024, "1.2"): "ekstrak", (2025, "1.1"): "ekstrak"}
     assert [row[f"c{p}"] for p in range(1, 13)] == [str(k) for k in range(12)]
 
 
 def test_publication_by_title(spark):
-    have = spark.createDataFrame([("P", 2020)], g.SCHEMAS["publication"])
+    have = spark.createDataFrame([("P", 2020)], "publication string, pub_year int")
     both = lambda df: sorted(tuple(r) for r in df.collect())
     assert both(g.with_publication(have, "P", 2021)) == [("P", 2020), ("P", 2021)]
     assert both(g.with_publication(have, "P", 2021, by_title=True)) == [("P", 2020)]
@@ -109,3 +110,14 @@ def test_grid_of_category_tables(spark):
         ("1.1", "X", 1, False, "x"), ("1.1", "X", 2, False, ""),
         ("1.2", "A", 1, False, ""), ("1.2", "A", 2, False, "a"), ("1.2", "All", 1, True, ""), ("1.2", "All", 2, True, ""), ("1.2", "B", 1, False, ""), ("1.2", "B", 2, False, ""),
     ]
+
+
+def test_audit_finds_faults_of_every_key(spark):
+    star, _ = g.load(g.empty(spark), spark.createDataFrame(long(("1.1", "a", "i", "2025", "1"), ("1.1", "a", "j", "2025", "1")), SCHEMA), "P", 2024)
+    assert {r["keys"] for r in k.audit_keys(star).collect()} == {0} and {x.rows for x in k.audit_values(star).collect()} == {0}
+    twice = star | {t: star[t].unionByName(star[t]) for t in ("publication", "chapter", "stat_table", "indicator")}
+    moved = star["table_column"].selectExpr("publication", "pub_year", "table_no", "indicator_key", "year", "1 AS position", "unit", "value_type")
+    found = {(r.table, r.key.rsplit(", ", 1)[-1]): r["keys"] for r in k.audit_keys(twice | {"table_column": moved}).collect()}
+    assert found == {("publication", "pub_year"): 1, ("chapter", "chapter_no"): 1, ("stat_table", "table_no"): 1, ("indicator", "indicator_key"): 2, ("table_column", "position"): 1, ("table_column", "year"): 0, ("region", "region_kind"): 0, ("category", "category_group"): 0}
+    paper = star["publication"].selectExpr("publication", "pub_year", "coverage", "'paper' AS kind", "file", "note")
+    assert [(r.table, r.rule) for r in k.audit_values(star | {"publication": paper}).collect() if r.rows] == [("publication", "kind")]
