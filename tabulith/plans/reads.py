@@ -29,9 +29,16 @@ def chapter_list(star: dict[str, DataFrame]) -> DataFrame:
     return star["chapter"].join(n, [*PUB, "chapter_no"], "left").withColumn("tables", F.coalesce("tables", F.lit(0))).orderBy(*PUB, "chapter_no")
 
 
+def facts_per_table(star: dict[str, DataFrame]) -> DataFrame:
+    """(TAB, facts, to_check): the counts that are stored, else counted."""
+    if "table_count" in star:
+        return star["table_count"]
+    return star["fact"].groupBy(*TAB).agg(F.count("*").alias("facts"), F.count_if(F.col("flag") == s.TO_CHECK).alias("to_check"))
+
+
 def table_list(star: dict[str, DataFrame]) -> DataFrame:
     """Tables with their facts, by number as text."""
-    n = star["fact"].groupBy(*TAB).agg(F.count("*").alias("facts"))
+    n = facts_per_table(star).select(*TAB, "facts")
     return star["stat_table"].join(n, TAB, "left").select(*TAB, "title", "status", F.coalesce("facts", F.lit(0)).alias("facts")).orderBy(*PUB, "table_no")
 
 
@@ -115,7 +122,7 @@ def dashboard(star: dict[str, DataFrame]) -> DataFrame:
     """Counts of publications, tables, facts, and facts to check."""
     one = lambda df, *a: df.agg(*a)
     p, t = one(star["publication"], F.count("*").alias("publications")), one(star["stat_table"], F.count("*").alias("tables"))
-    f = one(star["fact"], F.count("*").alias("facts"), F.count_if(F.col("flag") == s.TO_CHECK).alias("to_check"))
+    f = one(facts_per_table(star), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("facts", "to_check")])
     return p.join(F.broadcast(t)).join(F.broadcast(f))
 
 
@@ -133,7 +140,7 @@ def recent_activity(tables: DataFrame, n: int = 5) -> DataFrame:
 def facts_by_chapter(star: dict[str, DataFrame], n: int = 10) -> DataFrame:
     """The chapter names with the most facts; names are one over publications, blank ones are others."""
     t = star["stat_table"].select(*TAB, "chapter_no")
-    j = star["fact"].groupBy(*TAB).agg(F.count("*").alias("k")).join(t, TAB).join(star["chapter"], [*PUB, "chapter_no"], "left")
+    j = facts_per_table(star).select(*TAB, F.col("facts").alias("k")).join(t, TAB).join(star["chapter"], [*PUB, "chapter_no"], "left")
     name = F.coalesce(F.nullif(F.trim("chapter"), F.lit("")), F.lit("Lainnya"))
     return j.groupBy(name.alias("chapter")).agg(F.sum("k").alias("facts")).orderBy(F.desc("facts"), "chapter").limit(n)
 

@@ -335,6 +335,16 @@ def h14_stored_export(spark, d) -> DataFrame:
     return r.export_rows(store.read_store(own, name, YEAR))
 
 
+def h03_h07_stored_counts(spark, d) -> DataFrame:
+    """Counts by table as they are kept through loads, edits and deletes, without a look at the facts."""
+    own, name = _stored(spark, d)
+    asked = store.read_store(own, name, YEAR)["fact"].where("flag = 'perlu_cek' AND region_kind = 'kabupaten'")
+    store.publish_edits(own, name, asked.select(*g.FACT, F.lit("987654").alias("new_text")), YEAR)
+    star = store.read_store(own, name, YEAR + 1)
+    store.publish_deletes(own, name, star["stat_table"].where("chapter_no = 2").select(*g.TAB), YEAR + 1)
+    return store.read_store(own, name)["table_count"]
+
+
 def a08_a10_round_trip(spark, d) -> DataFrame:
     """Exported rows written to CSV, read back and loaded again: the facts of the second load."""
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
@@ -471,6 +481,7 @@ SQL = {
     "h14_export": w("long_rows", _EXPORT, **_EXP),
     "h14_stored_export": w("long_rows", _EXPORT, **_EXP),
     "g09_stored_facts": w("long_rows", f"SELECT {_KEY}, value_num, value_text, flag FROM f1", **_TWO),
+    "h03_h07_stored_counts": w("long_rows", "SELECT f.publication, f.pub_year, table_no, count(*) AS facts, count(*) FILTER (WHERE flag = 'perlu_cek' AND NOT (f.pub_year = 2024 AND region_kind IS NOT DISTINCT FROM 'kabupaten')) AS to_check FROM f1 f JOIN tabs t USING (publication, pub_year, table_no) WHERE NOT (f.pub_year = 2025 AND chapter_no = 2) GROUP BY ALL", **_TWO),
     "h15_scope": w("long_rows", f"SELECT table_no, count(*) AS n FROM ({_EXPORT}) WHERE table_no LIKE '1.%' GROUP BY ALL", **_EXP),
     "h16_picker": """SELECT '{"publication":"' || c_name || '","pub_year":' || (1990 + c_nationkey)::VARCHAR || ',"has_file":' || CASE WHEN c_custkey % 3 = 1 THEN 'true' ELSE 'false' END || '}' AS entry FROM customer""",
     "h17_indicators": w("long_rows", f"SELECT indicator FROM ({_IND.replace('{src}', _ONE)})", **_STAR),
