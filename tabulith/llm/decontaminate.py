@@ -29,6 +29,9 @@ from .tokens import LOWERED, WORD_LIKE, Slice, buffers, slices, windows
 BLOCK = 128 << 20
 _EXTRA = 24
 
+#: Windows of items that a task hands on together.
+WINDOWS = 20_000
+
 _SPANS = "array<struct<word:bigint,word_end:bigint,start:bigint,end:bigint>>"
 _SCAN = f"n_words long, n_hit long, items array<string>, spans {_SPANS}"
 _SPAN = pa.struct([(k, pa.int64()) for k in ("word", "word_end", "start", "end")])
@@ -37,10 +40,13 @@ _SPAN = pa.struct([(k, pa.int64()) for k in ("word", "word_end", "start", "end")
 def benchmark_windows(benchmark: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """(words, n, items): each distinct window of the benchmark with the ids of its items that aren't null."""
 
+    def made(item: list, text: list, n: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int32())], names=["item", "words", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            item, text, n = [], [], []
             for s in slices(batch.column(1), WORD_LIKE):
+                item, text, n = [], [], []
                 data = LOWERED[s.data].tobytes()
                 for d in range(len(s)):
                     lo, hi = s.first[d], s.first[d + 1]
@@ -50,7 +56,10 @@ def benchmark_windows(benchmark: DataFrame, size: int, id_col: str, text_col: st
                         item.append(batch.column(0)[s.row + d].as_py())
                         text.append(" ".join(words[i : i + k]))
                         n.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array(item, pa.string()), pa.array(text, pa.string()), pa.array(n, pa.int32())], names=["item", "words", "n"])
+                        if len(n) >= WINDOWS:
+                            yield made(item, text, n)
+                            item, text, n = [], [], []
+                yield made(item, text, n)
 
     slim = benchmark.select(benchmark[id_col].cast("string").alias("item"), benchmark[text_col].alias("text"))
     return slim.mapInArrow(run, "item string, words string, n int").groupBy("words", "n").agg(F.collect_set("item").alias("items"))
@@ -61,7 +70,8 @@ class _Windows:
 
     def __init__(self, block: pa.Table):
         items = block.column("items").combine_chunks()
-        self.names, place = np.unique(items.flatten().to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        named = items.flatten().dictionary_encode()  # as wide as the ids are, not as the widest
+        self.names, place = named.dictionary, named.indices.to_numpy()
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(items).to_numpy(zero_copy_only=False).astype(np.int64))])
         sizes = block.column("n").to_numpy()
         words = block.column("words").combine_chunks()
@@ -79,7 +89,7 @@ class _Windows:
         self.first, self.place = first, place.astype(np.int32)
 
     def items(self, window: int) -> list[str]:
-        return self.names[self.place[self.first[window] : self.first[window + 1]]].tolist()
+        return self.names.take(pa.array(self.place[self.first[window] : self.first[window + 1]])).to_pylist()
 
 
 def _find(s: Slice, known: _Windows) -> tuple[np.ndarray, dict[int, set[str]]]:

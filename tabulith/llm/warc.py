@@ -126,10 +126,15 @@ def write_warc(pages: DataFrame, folder: str | None = None, least_bytes: int = 1
     store.create_dir(path, recursive=True)
     html = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].cast("long").alias("page"), pages[url_col].cast("string").alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("size"))
-    first = rows.where(F.col("size") >= least_bytes).groupBy("sha", "size").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    met = rows.join(first, ["sha", "size"], "left")
+    large = rows.where(F.col("size") >= least_bytes)
+    first = large.groupBy("sha", "size").agg(F.max("page").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # a table of its own, so the join is one of two plain shuffles, which adaptive execution splits at a hot payload
+    met = large.join(stage(first), ["sha", "size"], "left")
     revisit = F.col("first").isNotNull() & ~F.col("page").eqNullSafe(F.col("first"))
     ready = met.select("page", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
+    # small payloads, empty ones above all, revisit nothing and meet no one
+    small = rows.where(F.col("size") < least_bytes).select("page", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("revisit"))
+    ready = ready.unionByName(small)
     return stage(ready.mapInArrow(_write(folder, date), "archive string, records long, bytes long"))
 
 

@@ -67,3 +67,13 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert [tuple(r)[1:4] for r in dc.scan_documents(docs, b).collect()] == [(2, 0, [])]
     assert dc.decontaminate(docs.limit(0), b).count() == 0
+
+
+def test_one_long_id_and_many_windows(spark):
+    """An id of 2000 characters among many costs its own length, not everybody's; windows come in bounded batches."""
+    items = [("x" * 2000 if i == 7 else str(i), " ".join(f"w{i}_{j}" for j in range(40))) for i in range(3000)]
+    b = spark.createDataFrame(items, "item_id string, text string")
+    docs = spark.createDataFrame([(1, " ".join(f"w7_{j}" for j in range(12))), (2, " ".join(f"w9_{j}" for j in range(10)))], "doc_id long, text string")
+    assert {r.doc_id: r["items"] for r in dc.scan_documents(docs, b).collect()} == {1: ["x" * 2000], 2: ["9"]}
+    known = dc._Windows(dc.benchmark_windows(b, 10, "item_id", "text").toArrow())
+    assert len(known.names) == 3000 and known.names.nbytes < 100_000

@@ -73,3 +73,12 @@ def test_many_candidates_in_one_text():
     began = time.process_time()
     assert len(secrets.more_spans(text, secrets.base_spans(text))) > 190_000
     assert time.process_time() - began < 60
+
+
+def test_encrypted_key_block():
+    """A key block whose head has dashes of its own is one candidate; one without an end is none."""
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F-A9\n\naZ9+bY8/cX7\n-----END RSA PRIVATE KEY-----"
+    spans = secrets.more_spans(f"see {block} there", [])
+    assert [(a, b) for a, k, b, _ in spans if (len(secrets.BASE) + 2) == k] == [(4, 4 + len(block))]
+    cut = "-----BEGIN RSA PRIVATE KEY-----\nDEK-Info: a-b " * 3000
+    assert not [s for s in secrets.more_spans(cut, []) if s[1] == len(secrets.BASE) + 2]

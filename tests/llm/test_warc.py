@@ -62,3 +62,12 @@ def test_damage(spark, tmp_path):
 def test_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.read_warc(warc.write_warc(pages)).count() == 0
+
+
+def test_empty_pages_pass_by(spark):
+    """Empty pages are one payload, and still in many archives of many tasks: they meet in no join."""
+    pages = spark.range(0, 100_000, 1, 6).selectExpr("id AS page_id", "'u' AS url", "if(id % 3 = 0, '', NULL) AS html")
+    archives = warc.write_warc(pages)
+    assert archives.count() >= 6 and archives.agg({"records": "max"}).first()[0] < 30_000
+    got = warc.read_warc(archives, with_payload=False)
+    assert got.where("record_type = 'response' AND payload_bytes = 0 AND error IS NULL").count() == 100_000
