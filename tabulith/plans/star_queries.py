@@ -11,6 +11,7 @@ from ..functions import scalars as s
 from ..functions.stages import shared_dir
 from ..operators import validate as k
 from ..sources import long_csv
+from . import extract
 from . import ingest as g
 from . import reads as r
 from . import store
@@ -335,6 +336,17 @@ def h14_stored_export(spark, d) -> DataFrame:
     return r.export_rows(store.read_store(own, name, YEAR))
 
 
+def b01_g09_pages_to_facts(spark, d) -> DataFrame:
+    """Facts of printed pages: glyphs to lines, columns, headers, tables over two pages, checks and the load."""
+    glyphs, words, cells, edges = v.printed_pages(spark, d)
+    master = v.read(spark, d, "region").select(F.col("r_name").alias("entity"))
+    rows = extract.exchange_rows(glyphs, words, cells, edges, master, area="Wilayah", phrase=PHRASE)
+    star = g.load(g.empty(spark), rows, NAME, YEAR)[0]
+    f, t, c = star["fact"], star["stat_table"].select(*g.TAB, "title", "source", "row_kind"), star["table_column"].select(*g.COL, "position", "unit")
+    found = f.join(t, g.TAB)
+    return found.join(c, r.on_column(found, c)).select(found["table_no"], "title", "source", "row_kind", "position", "unit", found["indicator_key"], "region", "category", "value_num", "value_text", "flag")
+
+
 def h03_h07_stored_counts(spark, d) -> DataFrame:
     """Counts by table as they are kept through loads, edits and deletes, without a look at the facts."""
     own, name = _stored(spark, d)
@@ -482,6 +494,10 @@ SQL = {
     "h14_stored_export": w("long_rows", _EXPORT, **_EXP),
     "g09_stored_facts": w("long_rows", f"SELECT {_KEY}, value_num, value_text, flag FROM f1", **_TWO),
     "h03_h07_stored_counts": w("long_rows", "SELECT f.publication, f.pub_year, table_no, count(*) AS facts, count(*) FILTER (WHERE flag = 'perlu_cek' AND NOT (f.pub_year = 2024 AND region_kind IS NOT DISTINCT FROM 'kabupaten')) AS to_check FROM f1 f JOIN tabs t USING (publication, pub_year, table_no) WHERE NOT (f.pub_year = 2025 AND chapter_no = 2) GROUP BY ALL", **_TWO),
+    "b01_g09_pages_to_facts": """WITH r AS (SELECT (n_regionkey + 1)::VARCHAR || '.' || (n_nationkey + 1)::VARCHAR AS table_no, 'Jumlah Pemasok ' || n_name AS title, s_name AS category, abs(round(s_acctbal * 100))::BIGINT AS v1, s_suppkey + 1 AS v2 FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+      every AS (SELECT * FROM r UNION ALL SELECT table_no, title, NULL, sum(v1)::BIGINT, sum(v2)::BIGINT FROM r GROUP BY ALL),
+      two AS (SELECT table_no, title, category, 1 AS position, 'juta' AS unit, 'saldo' AS indicator_key, (v1::DECIMAL(24,4) / 100)::DECIMAL(24,4) AS value_num, """ + v._PRINTED.replace("(c ", "(v1 ") + """ AS value_text FROM every UNION ALL SELECT table_no, title, category, 2, '', 'kode', v2::DECIMAL(24,4), v2::VARCHAR FROM every)
+      SELECT table_no, title, 'BPS' AS source, 'kategori' AS row_kind, position, unit, indicator_key, 'Wilayah' AS region, category, value_num, value_text, 'ada' AS flag FROM two""",
     "h15_scope": w("long_rows", f"SELECT table_no, count(*) AS n FROM ({_EXPORT}) WHERE table_no LIKE '1.%' GROUP BY ALL", **_EXP),
     "h16_picker": """SELECT '{"publication":"' || c_name || '","pub_year":' || (1990 + c_nationkey)::VARCHAR || ',"has_file":' || CASE WHEN c_custkey % 3 = 1 THEN 'true' ELSE 'false' END || '}' AS entry FROM customer""",
     "h17_indicators": w("long_rows", f"SELECT indicator FROM ({_IND.replace('{src}', _ONE)})", **_STAR),

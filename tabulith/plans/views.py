@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,6 +121,39 @@ def rules(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return cells, edges
 
 
+def printed_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(glyphs, words, rule cells, rule edges) of a table a nation, of two columns, with a row a supplier.
+
+    Rows of odd suppliers and the total are on a second page, which continues the first.
+    """
+    nation, supplier = read(spark, sf_dir, "nation"), read(spark, sf_dir, "supplier")
+    pages = nation.join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    key = [F.col("n_regionkey").cast("long").alias("doc_id"), (F.col("n_nationkey") * 2 + F.col("part")).cast("long").alias("page_no")]
+    number = F.concat((F.col("n_regionkey") + 1).cast("string"), F.lit("."), (F.col("n_nationkey") + 1).cast("string"))
+    cents = F.abs(F.round(F.col("s_acctbal") * 100)).cast("long")
+    rows = supplier.select(F.col("s_nationkey").alias("n"), (F.col("s_suppkey") % 2).cast("int").alias("odd"), F.col("s_suppkey").alias("order"), F.col("s_name").alias("label"), cents.alias("v1"), (F.col("s_suppkey") + 1).alias("v2"))
+    sums = rows.groupBy("n").agg(F.lit(1).alias("odd"), F.lit(1 << 60).alias("order"), F.lit("Kabupaten").alias("label"), F.sum("v1").alias("v1"), F.sum("v2").alias("v2"))
+    at = F.row_number().over(Window.partitionBy("n", "odd").orderBy("order"))
+    lines = rows.unionByName(sums).withColumn("line", at)
+    heights = lines.groupBy(F.col("n").alias("hn"), F.col("odd").alias("hodd")).agg(F.max("line").alias("last"))
+
+    word = lambda text, x, top: F.struct((text if not isinstance(text, str) else F.lit(text)).alias("text"), F.lit(float(x)).alias("x0"), (top if not isinstance(top, (int, float)) else F.lit(float(top))).cast("double").alias("top"))
+    foot = F.lit(146.0) + F.coalesce("last", F.lit(0)) * 12
+    fixed = [word(F.col("r_name"), 40, 20), word("Tabel", 60, 60), word("Jumlah", 110, 60), word("Pemasok", 150, 60), word(F.col("n_name"), 190, 60), word("Nama", 60, 96), word("Saldo", 230, 96), word("(juta)", 256, 96), word("Kode", 400, 96), word("(1)", 100, 114), word("(2)", 260, 114), word("(3)", 420, 114), word("Sumber/Source:", 45, foot), word("BPS", 120, foot)]
+    opening = F.when(F.col("part") == 0, F.array(word(number, 80, 45))).otherwise(F.array(word("Lanjutan", 60, 45), word("Tabel", 105, 45), word(number, 140, 45)))
+    said = pages.join(heights, (F.col("n_nationkey") == F.col("hn")) & (F.col("part") == F.col("hodd")), "left").select(*key, F.explode(F.concat(F.array(*fixed), opening)).alias("w"))
+    top = F.lit(122.0) + F.col("line") * 12
+    told = lines.join(nation, F.col("n") == F.col("n_nationkey")).withColumn("part", F.col("odd")).select(*key, F.explode(F.array(word(F.col("label"), 45, top), word(_printed(F.col("v1")), 210, top), word(F.col("v2").cast("string"), 370, top))).alias("w"))
+    words = said.unionByName(told).select("doc_id", "page_no", (F.col("w.top") * 1000 + F.col("w.x0")).cast("long").alias("seq"), "w.text", "w.x0", (F.col("w.x0") + F.length("w.text") * 4.5 - 0.25).alias("x1"), "w.top", (F.col("w.top") + 9).alias("bottom"), F.lit("Myriad-Regular").alias("fontname"))
+    each = words.select("doc_id", "page_no", "seq", "x0", "top", "bottom", "fontname", F.posexplode(F.split("text", "")).alias("k", "text")).where("text <> ''")
+    leaning = F.array(F.lit(1.0), F.lit(0.0), F.lit(0.0), F.lit(1.0))
+    glyphs = each.select("doc_id", "page_no", (F.col("seq") * 1000 + F.col("k")).alias("seq"), "text", (F.col("x0") + F.col("k") * 4.5).alias("x0"), (F.col("x0") + F.col("k") * 4.5 + 4.25).alias("x1"), "top", "bottom", F.lit(8.0).alias("size"), "fontname", leaning.alias("matrix"))
+    every = pages.select(*key)
+    cells = every.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(2)))).select("doc_id", "page_no", F.lit(0).alias("table_id"), "ordinal", (F.lit(40.0) + F.col("ordinal") * 160.0).alias("x0"), F.lit(90.0).alias("top"), (F.lit(200.0) + F.col("ordinal") * 160.0).alias("x1"), F.lit(110.0).alias("bottom"))
+    edges = every.select("doc_id", "page_no", F.lit(40.0).alias("x0"), F.lit(520.0).alias("x1"), F.lit(90.0).alias("top"), F.lit(90.0).alias("bottom"))
+    return glyphs, words, cells, edges
+
+
 _PRINTED = "replace(format('{:,}', (c // 100)::BIGINT), ',', '.') || ',' || lpad((c % 100)::VARCHAR, 2, '0')"
 
 SQL = {
