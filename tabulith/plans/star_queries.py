@@ -14,7 +14,7 @@ from ..sources import long_csv
 from . import extract
 from . import ingest as g
 from . import reads as r
-from . import store
+from . import search_index, store
 from . import views as v
 from .scalar_queries import sql_clean, sql_format_id, sql_norm_indicator, sql_region_kind
 
@@ -271,6 +271,18 @@ def h11_search(spark, d) -> DataFrame:
     return r.search_text(v.read(spark, d, "documents"), "text", " LICENSE ", [F.col("doc_id")]).select("doc_id")
 
 
+def _index(spark, rows: DataFrame, columns: list[str], key: str) -> str:
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    search_index.build(rows, path, columns, [key], slots=32)
+    return path
+
+
+def h11_indexed_search(spark, d) -> DataFrame:
+    """All documents with a phrase, through postings of trigrams."""
+    docs = v.read(spark, d, "documents").select("doc_id", "text")
+    return search_index.search(spark, _index(spark, docs, ["text"], "doc_id"), "text", " Apache LICENSE ").select("doc_id")
+
+
 def h12_facets(spark, d) -> DataFrame:
     f = _facts_by_id(spark, d)
     return r.filter_facets(f, flag=["nihil", "perlu_cek"], value_type="teks").select("fact_id", "flag")
@@ -293,6 +305,13 @@ def h13_fields(spark, d) -> DataFrame:
     return r.search_fields(v.read(spark, d, "part"), ["p_name", "p_brand", "p_type"], "ECONOMY 1 ").select("p_partkey")
 
 
+def h13_indexed_fields(spark, d) -> DataFrame:
+    """Parts with each word in some column, through postings of trigrams; the second word is too short for one."""
+    parts = v.read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    columns = ["p_name", "p_brand", "p_type"]
+    return search_index.search_words(spark, _index(spark, parts, columns, "p_partkey"), columns, "ECONOMY 1 ").select("p_partkey")
+
+
 def h14_export(spark, d) -> DataFrame:
     return r.export_rows(_star(spark, d))
 
@@ -435,6 +454,7 @@ _FBI = {"p": _P["p"], "fi": "SELECT _seq AS fact_id, table_no, value_num, value_
 _shown = f"CASE WHEN flag = 'nihil' THEN '–' WHEN flag = 'tidak_tersedia' THEN '…' WHEN value_num IS NOT NULL THEN {sql_format_id('value_num')} ELSE value_text END"
 w = v.with_views
 
+_FIELDS = "SELECT p_partkey FROM part WHERE " + " AND ".join("(" + " OR ".join(f"contains(lower({c}), '{x}')" for c in ("p_name", "p_brand", "p_type")) + ")" for x in ("economy", "1"))
 SQL = {
     "f01_totals": w("raw_cells", _check("cells", _TOL), **_CELLS),
     "f01_tables": w("raw_cells", f"SELECT t, bool_or(is_total) AS has_total, NOT bool_or(is_total) OR coalesce(bool_and(coalesce(matches, true)), true) AS all_match FROM cells LEFT JOIN ({_check('cells', _TOL)}) USING (t, position) GROUP BY t", **_CELLS),
@@ -489,7 +509,9 @@ SQL = {
     "h10_by_chapter": w("long_rows", "SELECT chapter, count(*) AS facts FROM f1 JOIN tabs USING (table_no) GROUP BY chapter ORDER BY facts DESC, chapter LIMIT 10", **_STAR),
     "h11_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'license') ORDER BY doc_id LIMIT 100",
     "h12_facets": w("long_rows", "SELECT fact_id, flag FROM fi WHERE flag IN ('nihil', 'perlu_cek') AND value_type = 'teks'", **_FBI),
-    "h13_fields": "SELECT p_partkey FROM part WHERE " + " AND ".join("(" + " OR ".join(f"contains(lower({c}), '{x}')" for c in ("p_name", "p_brand", "p_type")) + ")" for x in ("economy", "1")),
+    "h11_indexed_search": "SELECT doc_id FROM documents WHERE contains(lower(text), 'apache license')",
+    "h13_indexed_fields": _FIELDS,
+    "h13_fields": _FIELDS,
     "h14_export": w("long_rows", _EXPORT, **_EXP),
     "h14_stored_export": w("long_rows", _EXPORT, **_EXP),
     "g09_stored_facts": w("long_rows", f"SELECT {_KEY}, value_num, value_text, flag FROM f1", **_TWO),
