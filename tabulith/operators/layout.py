@@ -6,6 +6,8 @@ can be a window or an aggregate is one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -43,15 +45,31 @@ def drop_black_ink(glyphs: DataFrame) -> DataFrame:
     return glyphs.where(~F.coalesce((F.size(c) > 0) & F.forall(c, lambda x: F.abs(x) < 0.04), F.lit(False)))
 
 
-def _kept(run: Column) -> Column:
-    """Members of a run of equal texts that are 2 or more away from the last one kept."""
+#: Items that one fold goes over: a fold copies what it has kept at each step.
+BLOCK = 1000
+
+
+def _keep_first(items: Column, near: Callable[[Column, Column], Column]) -> Column:
+    """Members of a sorted array that aren't ``near`` (member, last kept one); the first is always kept.
+
+    A fold of blocks, each of them a fold of its members, so that n items cost n * BLOCK + n^2 / BLOCK copies at most.
+    """
+    rest = F.size(items) - 1
+    starts = F.slice(F.sequence(F.lit(0), F.floor(rest / BLOCK)), F.lit(1), F.ceil(rest / BLOCK).cast("int"))
+
+    def add_block(kept: Column, i: Column) -> Column:
+        block = F.transform(F.sequence(i * BLOCK + 1, F.least(rest, (i + 1) * BLOCK)), lambda k: F.get(items, k.cast("int")))
+        own = F.aggregate(block, kept["last"], lambda done, x: F.when(near(x, F.element_at(done, -1)), done).otherwise(F.concat(done, F.array(x))))
+        # the last one before the block leads the block's own
+        ends = lambda o: F.struct(F.concat(kept["done"], F.array(F.slice(o, F.lit(2), F.size(o)))).alias("done"), F.slice(o, -1, 1).alias("last"))
+        return F.get(F.transform(F.array(own), ends), F.lit(0))
+
+    first = F.slice(items, 1, 1)
+    return F.aggregate(starts, F.struct(F.array(first).alias("done"), first.alias("last")), add_block, lambda kept: F.flatten(kept["done"]))
 
-    def add(done: Column, g: Column) -> Column:
-        last = F.element_at(done, -1)
-        near = (F.abs(g["x0"] - last["x0"]) < 2) & (F.abs(g["top"] - last["top"]) < 2)
-        return F.when(F.size(done) == 0, F.array(g)).when(near, done).otherwise(F.concat(done, F.array(g)))
 
-    return F.aggregate(F.slice(run, 2, F.size(run)), F.slice(run, 1, 1), add)
+def _overprint(g: Column, last: Column) -> Column:
+    return (F.abs(g["x0"] - last["x0"]) < 2) & (F.abs(g["top"] - last["top"]) < 2)
 
 
 def dedup_bold(glyphs: DataFrame, line: list[str] | None = None) -> DataFrame:
@@ -70,7 +88,7 @@ def dedup_bold(glyphs: DataFrame, line: list[str] | None = None) -> DataFrame:
     first = ["x0", "seq"] if line else ["top", "x0", "seq"]
     rest = [c for c in glyphs.columns if c not in [*first, *keys]]
     runs = marked.where("changed = 0 or again").groupBy(*keys, "run").agg(F.array_sort(F.collect_list(F.struct(*first, *rest))).alias("g"))
-    folded = runs.select(*keys, F.inline(_kept(F.col("g"))))
+    folded = runs.select(*keys, F.inline(_keep_first(F.col("g"), _overprint)))
     return alone.select(*glyphs.columns).unionByName(folded.select(*glyphs.columns))
 
 
@@ -83,13 +101,18 @@ def cluster_lines(items: DataFrame, tol: DataFrame | float) -> DataFrame:
     """``items`` with ``line_top``, the top of the first item of their line.
 
     In order of tops, an item joins the newest line if its top is within the tolerance of the line's
-    first; only distinct tops are folded.
+    first. A top that is further than the tolerance from the one before begins a line whatever came before,
+    so only runs of distinct tops between such gaps are folded. Items find their line by a running maximum.
     """
-    tops = items.select(*PAGE, "top").distinct().groupBy(*PAGE).agg(F.array_sort(F.collect_list("top")).alias("tops"))
+    w = Window.partitionBy(*PAGE).orderBy("top")
+    tops = items.select(*PAGE, "top").where("top is not null").distinct()
     tops = tops.join(tol, PAGE) if isinstance(tol, DataFrame) else tops.withColumn("tol", F.lit(float(tol)))
-    anchors = F.aggregate("tops", F.array().cast("array<double>"), lambda a, x: F.when((F.size(a) > 0) & (x - F.try_element_at(a, F.lit(-1)) <= F.col("tol")), a).otherwise(F.concat(a, F.array(x))))
-    lines = tops.select(*PAGE, anchors.alias("anchors"))
-    return items.join(lines, PAGE).withColumn("line_top", F.array_max(F.filter("anchors", lambda a: a <= F.col("top")))).drop("anchors")
+    far = F.coalesce(F.col("top") - F.lag("top").over(w) > F.col("tol"), F.lit(True))
+    runs = tops.withColumn("far", far.cast("int")).withColumn("run", F.sum("far").over(w)).groupBy(*PAGE, "run").agg(F.array_sort(F.collect_list("top")).alias("tops"), F.first("tol").alias("tol"))
+    first = runs.select(*PAGE, F.explode(_keep_first(F.col("tops"), lambda x, last: x - last <= F.col("tol"))).alias("top"))
+    marked = items.withColumn("first_top", F.lit(None).cast("double")).unionByName(first.withColumn("first_top", F.col("top")).withColumn("mark", F.lit(True)), allowMissingColumns=True)
+    upto = w.rangeBetween(Window.unboundedPreceding, 0)
+    return marked.withColumn("line_top", F.max("first_top").over(upto)).where("mark is null").drop("first_top", "mark")
 
 
 def line_texts(lined: DataFrame, sep: str = "") -> DataFrame:
@@ -107,7 +130,7 @@ def page_texts(glyphs: DataFrame, tol: float = 3.5) -> DataFrame:
 def word_glyphs(words: DataFrame) -> DataFrame:
     """Characters of recognised words, each with the box of its whole word."""
     each = words.select(*PAGE, F.col("seq").alias("word"), F.posexplode(F.split("text", "")).alias("k", "text"), "x0", "x1", "top", "bottom")
-    return each.where("text <> ''").select(*PAGE, (F.col("word") * 1000 + F.col("k")).cast("long").alias("seq"), "text", "x0", "x1", "top", "bottom")
+    return each.where("text <> ''").select(*PAGE, (F.col("word").cast("long") * 2**31 + F.col("k")).alias("seq"), "text", "x0", "x1", "top", "bottom")
 
 
 def gutter_edges(items: DataFrame, min_gap: float | None = None) -> DataFrame:

@@ -1,5 +1,7 @@
 """Hand-derived results of the layout, header and segmentation operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,26 @@ def test_model_json(spark):
         assert (x.table_no, x.continued, x.label_column, x.total_row) == ("1.1", True, "Kecamatan", None)
         assert x.headers[0].asDict() == {"name": "Luas", "unit": "ha", "year": "2024"} and x.rows[0]["values"] == ["1"]
     assert got[2:] == [None] * 9 and {r.i for r in a.unreadable_pages(df, "t").collect()} == set(range(2, 11))
+
+
+def test_many_items_of_one_page(spark):
+    """Runs much longer than a block of the fold, against the plain loop."""
+    rng = random.Random(3)
+    tops = [i * 2.5 + rng.random() for i in range(3000)] + [9000.0 + rng.random() for _ in range(3000)] + [None]
+    items = frame(spark, [(i, t, float(i % 7), "ab"[i % 3 // 2]) for i, t in enumerate(tops)], "seq int, top double, x0 double, text string")
+    firsts, want = [], {None: None}
+    for t in sorted(tops[:-1]):
+        if not firsts or t - firsts[-1] > 4.0:
+            firsts.append(t)
+        want[t] = firsts[-1]
+    got = y.cluster_lines(items, 4.0).collect()
+    assert len(got) == len(tops) and len(firsts) > y.BLOCK
+    assert all(r.line_top == want[r.top] for r in got)
+
+    near = frame(spark, [(i, i * 1.5, 0.0, "a") for i in range(2 * y.BLOCK + 2)], "seq int, top double, x0 double, text string")
+    assert sorted(r.seq for r in y.dedup_bold(near).collect()) == list(range(0, 2 * y.BLOCK + 2, 2))
+
+
+def test_long_recognised_words_stay_apart(spark):
+    w = frame(spark, [(i, c * 1500, 0.0, 10.0, 0.0, 9.0) for i, c in enumerate("ab")], "seq int, text string, x0 double, x1 double, top double, bottom double")
+    assert y.page_texts(y.word_glyphs(w)).first().text == "a" * 1500 + "b" * 1500
