@@ -3,7 +3,8 @@
 A text is cut into sentences, a sentence is normalised (lower case, everything but letters and digits
 one blank), and known sentences get identifiers by patterns on the normalised form, so that names,
 years and versions may vary. Sentences of licence texts are known by how they begin; others by what they
-say of a licence ("... under the terms of ...", its title, its full name), wherever in them it stands. Lines are joined: a sentence ends at a closing mark that a blank follows
+say of a licence ("... under the terms of ...", its title, its full name), wherever in them it stands. One
+that puts a thing under several licences is cut before each; what it says isn't so ("not licensed under") counts for none. Lines are joined: a sentence ends at a closing mark that a blank follows
 or at a line without letters and digits, and a line break, a colon or a semicolon ends it only where
 a known opening follows. An SPDX tag is a sentence of its own up to the end of its line, one for each
 licence of its expression. A document's identifiers in order are then matched against ordered
@@ -47,7 +48,8 @@ SENTENCES = (
     ("mit_grant", r"permission is hereby granted free of charge to any person obtaining a copy of this software"),
     ("mit_notice", r"the above copyright notice and this permission notice shall be included in "),
     ("mit_asis", r"the software is provided as is without warranty of any kind"),
-    ("isc_grant", r"permission to use copy modify and or distribute this software for any purpose "),
+    ("postgresql_grant", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("isc_grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose "),
     ("bsd_grant", r"redistribution and use in source and binary forms with or without modification are permitted"),
     ("bsd_source", r"redistributions of source code must retain the above copyright notice"),
     ("bsd_binary", r"redistributions in binary form must reproduce the above copyright notice"),
@@ -83,7 +85,10 @@ NAMES = (
     ("mit", r"(?:mit|expat)(?![a-z0-9])", None),
     ("bsd", r"(?:(?:new|modified|simplified|revised|[234] clause) )*bsd", None),
     ("isc", r"isc(?![a-z0-9])", None),
+    ("mpl10", r"(?:mpl|mozilla public licen[sc]e) ?(?:version |v ?)?1 0", r"mozilla public licen[sc]e (?:version |v ?)?1 0"),
+    ("mpl11", r"(?:mpl|mozilla public licen[sc]e) ?(?:version |v ?)?1 1", r"mozilla public licen[sc]e (?:version |v ?)?1 1"),
     ("mpl", r"mpl|mozilla public licen[sc]e", r"mozilla public licen[sc]e"),
+    ("epl10", r"(?:epl|eclipse public licen[sc]e) ?(?:version |v ?)?1 0", r"eclipse public licen[sc]e (?:version |v ?)?1 0"),
     ("epl", r"epl|eclipse public licen[sc]e", r"eclipse public licen[sc]e"),
     ("eupl", r"eupl|european union public licen[sc]e", r"european union public licen[sc]e"),
     ("cddl", r"cddl|common development and distribution licen[sc]e", r"common development and distribution licen[sc]e"),
@@ -97,11 +102,29 @@ NAMES = (
     ("cc_by_sa", r"cc by sa|creative commons attribution share ?alike", r"creative commons attribution share ?alike"),
     ("cc_by", r"cc by|creative commons attribution", r"creative commons attribution"),
     ("unlicense", r"unlicense", None),
+    ("cc0", r"cc0|creative commons zero", r"(?:cc0 1 0|creative commons zero)"),
+    ("ofl", r"(?:sil )?(?:ofl|open font licen[sc]e)", r"sil open font licen[sc]e"),
+    ("postgresql", r"postgresql licen[sc]e", None),
+    ("openssl", r"openssl licen[sc]e", None),
+    ("wtfpl", r"wtfpl|do what the f[a-z]* you want to public licen[sc]e", r"do what the f[a-z]* you want to public licen[sc]e"),
+    ("mspl", r"(?:ms pl|microsoft public licen[sc]e)", r"microsoft public licen[sc]e"),
+    ("upl", r"(?:upl|universal permissive licen[sc]e)", r"universal permissive licen[sc]e"),
 )
-_UNDER = r"(?:licensed|released|distributed|available|provided|covered|published|redistributed|used|licen[sc]e) under (?:the |a |an )?(?:terms (?:and conditions )?(?:of )?(?:the |a |an )?)?(?:gnu )?"
+_VERB = r"(?:licensed|released|distributed|available|provided|covered|published|redistributed|used|licen[sc]e)"
+_UNDER = rf"{_VERB} under (?:either |both )?(?:of )?(?:the |a |an )?(?:terms (?:and conditions )?(?:of )?(?:the |a |an )?)?(?:gnu )?"
+#: What a sentence denies: that something is, or that this is like what is, under a licence.
+DENIED = rf"(?:^| )(?:(?:not|never|no longer) (?:(?:be|been|being|yet|currently|itself|code|necessarily) )?(?:{_VERB} )?|unlike (?:[a-z0-9]+ )?(?:[a-z0-9]+ )?(?:[a-z0-9]+ )?(?:[a-z0-9]+ )?)under "
+# A further licence of a sentence that says "under" is a sentence of its own.
+_BUT = rf" but (?:instead |rather |is |are )?(?:{_VERB} )?under "
+_OR = r" (?:or|and) (?:under )?(?:the |a |an )?(?:terms of the )?(?:gnu )?((?:" + "|".join(n.replace("(?![a-z0-9])", "") for _, n, _ in NAMES) + r")(?:v[0-9]+)?\b)"
+# What is asked before the openings: the grant that ends where others state conditions.
+FIRST = (("mit0_grant", r"^permission is hereby granted free of charge to any person obtaining a copy of this software .* furnished to do so$"),)
 # Titles, which are sentences of their own.
 _TITLES = (
     ("mit_title", r"^(?:the )?mit licen[sc]e(?: mit)?$"),
+    ("mit0_title", r"^(?:the )?mit no attribution(?: licen[sc]e)?(?: mit 0)?$"),
+    ("postgresql_title", r"^(?:the )?postgresql licen[sc]e$"),
+    ("openssl_title", r"^(?:the )?openssl licen[sc]e$"),
     ("isc_title", r"^(?:the )?isc licen[sc]e$"),
     ("bsd3_title", r"^(?:the )?(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd) licen[sc]e$"),
     ("bsd2_title", r"^(?:the )?(?:bsd 2 clause|2 clause bsd|simplified bsd) licen[sc]e$"),
@@ -109,17 +132,19 @@ _TITLES = (
     ("unlicense_title", r"^(?:the )?unlicense$"),
 )
 #: What a sentence may say anywhere, by identifier.
-INSIDE = (*_TITLES, *((f"{n}_under", rf"(?:^| ){_UNDER}(?:{short})") for n, short, _ in NAMES), *((f"{n}_named", rf"(?:^| ){full}") for n, _, full in NAMES if full))
+INSIDE = (*_TITLES, ("denied", DENIED), *((f"{n}_under", rf"(?:^| ){_UNDER}(?:{short})") for n, short, _ in NAMES), *((f"{n}_named", rf"(?:^| ){full}") for n, _, full in NAMES if full))
 #: Each known sentence holds one of these, in any case.
-CUES = ("licen", r"\bunder\b", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying")
+CUES = ("licen", r"\bunder\b", "permission", "redistribution", "warrant", "copyright", "rights reserved", "public domain", "free software", "the name of", "software is", "mpl was", "cc by", "cc0", "creative commons", "applicable law", "copying", "no attribution")
 _LICENSES = {
-    "apache2": "Apache-2.0", "agpl": "AGPL", "lgpl": "LGPL", "gpl3": "GPL-3.0", "gpl2": "GPL-2.0", "gpl": "GPL", "mit": "MIT", "bsd": "BSD", "isc": "ISC", "mpl": "MPL-2.0", "epl": "EPL-2.0", "eupl": "EUPL", "cddl": "CDDL", "bsl": "BSL-1.0", "zlib": "Zlib", "artistic": "Artistic",
-    "cc_by_nc_nd": "CC-BY-NC-ND", "cc_by_nc_sa": "CC-BY-NC-SA", "cc_by_nc": "CC-BY-NC", "cc_by_nd": "CC-BY-ND", "cc_by_sa": "CC-BY-SA", "cc_by": "CC-BY", "unlicense": "Unlicense",
+    "apache2": "Apache-2.0", "agpl": "AGPL", "lgpl": "LGPL", "gpl3": "GPL-3.0", "gpl2": "GPL-2.0", "gpl": "GPL", "mit": "MIT", "bsd": "BSD", "isc": "ISC", "mpl": "MPL-2.0", "epl": "EPL-2.0", "eupl": "EUPL", "cddl": "CDDL", "bsl": "BSL-1.0", "zlib": "Zlib", "artistic": "Artistic", "mpl10": "MPL-1.0", "mpl11": "MPL-1.1", "epl10": "EPL-1.0",
+    "cc_by_nc_nd": "CC-BY-NC-ND", "cc_by_nc_sa": "CC-BY-NC-SA", "cc_by_nc": "CC-BY-NC", "cc_by_nd": "CC-BY-ND", "cc_by_sa": "CC-BY-SA", "cc_by": "CC-BY", "unlicense": "Unlicense", "cc0": "CC0", "ofl": "OFL", "postgresql": "PostgreSQL", "openssl": "OpenSSL", "wtfpl": "WTFPL", "mspl": "MS-PL", "upl": "UPL",
 }
 # Ordered rules, a licence and the identifiers it is recognised by.
 RULES = (
     ("Apache-2.0", ("apache2_header", "apache2_obtain", "apache2_asis", "apache2_limits")),
     ("Apache-2.0", ("apache2_header", "apache2_obtain")),
+    ("MIT-0", ("mit0_title", "mit0_grant", "mit_asis")),
+    ("MIT-0", ("mit0_grant", "mit_asis")),
     ("MIT", ("mit_grant", "mit_notice", "mit_asis")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse", "bsd_asis")),
     ("BSD-3-Clause", ("bsd_grant", "bsd_source", "bsd_binary", "bsd_endorse")),
@@ -138,6 +163,8 @@ RULES = (
     ("GPL", ("gpl_free",)),
     ("MIT", ("mit_header",)),
     ("MIT", ("mit_grant",)),
+    ("MIT-0", ("mit0_grant",)),
+    ("PostgreSQL", ("postgresql_grant",)),
     ("ISC", ("isc_grant",)),
     ("BSD", ("bsd_header",)),
     ("BSD", ("bsd_grant",)),
@@ -156,6 +183,9 @@ RULES = (
     ("Zlib", ("zlib_grant",)),
     ("BSL-1.0", ("boost_grant",)),
     ("MIT", ("mit_title",)),
+    ("MIT-0", ("mit0_title",)),
+    ("PostgreSQL", ("postgresql_title",)),
+    ("OpenSSL", ("openssl_title",)),
     ("ISC", ("isc_title",)),
     ("BSD-3-Clause", ("bsd3_title",)),
     ("BSD-2-Clause", ("bsd2_title",)),
@@ -181,6 +211,8 @@ SPDX = (
     ("GPL", "gpl"),
     ("ISC", "isc"),
     ("MPL-2.0", "mpl 2 0"),
+    ("MPL-1.1", "mpl 1 1"),
+    ("MPL-1.0", "mpl 1 0"),
     ("CC-BY-NC-ND", "cc by nc nd"),
     ("CC-BY-NC-SA", "cc by nc sa"),
     ("CC-BY-NC", "cc by nc"),
@@ -189,7 +221,14 @@ SPDX = (
     ("CC-BY", "cc by"),
     ("CC0", "cc0"),
     ("Unlicense", "unlicense"),
+    ("EPL-1.0", "epl 1 0"),
     ("EPL-2.0", "epl"),
+    ("OFL", "ofl"),
+    ("PostgreSQL", "postgresql"),
+    ("OpenSSL", "openssl"),
+    ("WTFPL", "wtfpl"),
+    ("MS-PL", "ms pl"),
+    ("UPL", "upl"),
     ("EUPL", "eupl"),
     ("CDDL", "cddl"),
     ("BSL-1.0", "bsl 1 0"),
@@ -206,7 +245,7 @@ def _open_end(pattern: str) -> str:
 
 _OPENINGS = tuple((name, _open_end(p)) for name, p in SENTENCES)
 #: What sentences are matched against: tags of known licences, then SENTENCES, "spdx" being any other tag.
-_KNOWN = (*((f"spdx_{name.lower()}", f"^{_SPDX}{p}(?![a-z0-9])") for name, p in SPDX), *((n, f"^{p}") for n, p in _OPENINGS[:-1]), *INSIDE, *((n, f"^{p}") for n, p in _OPENINGS[-1:]))
+_KNOWN = (*((f"spdx_{name.lower()}", f"^{_SPDX}{p}(?![a-z0-9])") for name, p in SPDX), *FIRST, *((n, f"^{p}") for n, p in _OPENINGS[:-1]), *INSIDE, *((n, f"^{p}") for n, p in _OPENINGS[-1:]))
 _ORDERED = (*((name, (f"spdx_{name.lower()}",)) for name, _ in SPDX), *RULES, ("other", ("spdx",)))
 # Marks in lowered text, which has no other capitals: C cuts, W (a wrapped line, ':' or ';') may cut.
 _TAG = r"((?:spdx[^a-z0-9\n]+)?spdx[^a-z0-9\n]+license[^a-z0-9\n]+identifier[^a-z0-9\n][^\n]*)"
@@ -217,6 +256,13 @@ _WIDE = {"[a-z0-9 ]*": "[a-z0-9 W]*", ".*": "[^C]*", " ?": "[ W]*", " ": "[ W]+"
 _SPLIT = "C|W(?=[ W]*(?:" + "|".join(re.sub(r"\[a-z0-9 \]\*|\.\*| \?| ", lambda m: _WIDE[m[0]], p) for _, p in _OPENINGS) + "))"
 
 
+def _each_license(sentence: Column) -> Column:
+    """A sentence cut before each further licence that it puts something under, unless it denies that."""
+    cut = lambda s: F.when(s.rlike(_UNDER) & ~s.rlike(DENIED), F.regexp_replace(s, _OR, "Clicensed under $1")).otherwise(s)
+    parts = F.flatten(F.transform(F.split(F.regexp_replace(sentence, _BUT, "Clicensed under "), "C"), lambda s: F.split(cut(s), "C")))
+    return F.when(sentence.contains("under ") & sentence.rlike(" (?:or|and|but) "), parts).otherwise(F.array(sentence))
+
+
 def sentences(text: Column) -> Column:
     """The normalised sentences of a text that aren't blank, in order."""
     marked = F.regexp_replace(F.regexp_replace(lower_ascii(text), _LEADER, "$1"), _TAG, "C$1C")
@@ -226,7 +272,8 @@ def sentences(text: Column) -> Column:
     known = F.transform(parts, plain)
     each = lambda s: F.transform(F.split(F.regexp_replace(s, f"^(?:spdx )?{_SPDX}", ""), " (?:or|and) (?!later)"), lambda x: F.concat(F.lit(_SPDX), x))
     tags = F.flatten(F.transform(known, lambda s: F.when(s.rlike(f"^(?:spdx )?{_SPDX}"), each(s)).otherwise(F.array(s))))
-    return F.filter(F.when(F.exists(known, lambda s: s.contains("spdx")), tags).otherwise(known), lambda s: s != "")
+    told = F.filter(F.when(F.exists(known, lambda s: s.contains("spdx")), tags).otherwise(known), lambda s: s != "")
+    return F.flatten(F.transform(told, _each_license))
 
 
 def identifier(sentence: Column) -> Column:
@@ -279,7 +326,7 @@ def op8_license_scan(spark, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     """The query in DuckDB's SQL, from the same tables of sentences and rules."""
     openings = [(n, "^" + p.replace(",?", "")) for n, p in SENTENCES]
-    case = " ".join(f"WHEN regexp_matches(s, '{p.replace('(?![a-z0-9])', '( |$)')}') THEN '{n}'" for n, p in [*openings[:-1], *INSIDE, *openings[-1:]])
+    case = " ".join(f"WHEN regexp_matches(s, '{p.replace('(?![a-z0-9])', '( |$)')}') THEN '{n}'" for n, p in [*FIRST, *openings[:-1], *INSIDE, *openings[-1:]])
     cues = "|".join(re.sub(" ", "[ ]", c) for c in CUES) + "|spdx"
     left = "';' || array_to_string(ids, ';;') || ';'"
     steps = [f"m0 AS (SELECT doc_id, ids, CASE WHEN len(ids) = 0 THEN '' ELSE {left} END AS l, []::VARCHAR[] AS found FROM seq)"]
@@ -291,10 +338,16 @@ WITH sent AS (
   SELECT doc_id, i, trim(regexp_replace(translate(p[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+', ' ', 'g')) AS s
   FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i
         FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])[\x20\x09\x0B-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS p FROM documents))
+), cut AS (
+  SELECT doc_id, i, unnest(q) AS s, unnest(range(1, len(q) + 1)) AS j FROM (
+    SELECT doc_id, i, CASE WHEN contains(s, 'under ') AND regexp_matches(s, ' (or|and|but) ')
+      THEN flatten(list_transform(string_split(regexp_replace(s, '{_BUT}', 'Clicensed under ', 'g'), 'C'), lambda p: string_split(
+        CASE WHEN regexp_matches(p, '{_UNDER}') AND NOT regexp_matches(p, '{DENIED}') THEN regexp_replace(p, '{_OR}', 'Clicensed under \1', 'g') ELSE p END, 'C')))
+      ELSE [s] END AS q FROM sent WHERE s <> '')
 ), named AS (
-  SELECT doc_id, i, CASE WHEN NOT regexp_matches(s, '{cues}') THEN NULL {case} END AS id FROM sent WHERE s <> ''
+  SELECT doc_id, i, j, CASE WHEN NOT regexp_matches(s, '{cues}') THEN NULL {case} END AS id FROM cut
 ), seq AS (
-  SELECT d.doc_id, coalesce(list(n.id ORDER BY n.i) FILTER (WHERE n.id IS NOT NULL), []) AS ids FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+  SELECT d.doc_id, coalesce(list(n.id ORDER BY n.i, n.j) FILTER (WHERE n.id IS NOT NULL), []) AS ids FROM documents d LEFT JOIN named n ON n.doc_id = d.doc_id GROUP BY d.doc_id
 ), {", ".join(steps)}
 SELECT doc_id, len(ids) AS n_known, array_to_string(ids, ',') AS sentence_ids, array_to_string(found, ',') AS licenses, found[1] AS license,
        array_to_string(list_filter(string_split_regex(l, ';+'), lambda x: x <> '' AND x <> '|'), ',') AS rest_ids

@@ -31,7 +31,7 @@ def brute(text):
     for s in re.split(r"\n|(?<=[.!?;:])[\x20\x09\x0B-\x0D]+", text or ""):
         s = re.sub("[^a-z0-9]+", " ", low(s)).strip()
         opening = [(n, "^" + p.replace(",?", "")) for n, p in lic.SENTENCES]
-        ids += [n for n, p in [*opening[:-1], *lic.INSIDE, *opening[-1:]] if re.search(p, s)][:1]
+        ids += [n for n, p in [*lic.FIRST, *opening[:-1], *lic.INSIDE, *opening[-1:]] if re.search(p, s)][:1]
     left, found = list(ids), []
     for name, seq in lic.RULES:
         i, hit = 0, False
@@ -140,6 +140,26 @@ FOUND = [
     ("Licensed under the EUPL, Version 1.2 only.", "EUPL"),
     ("This file may be redistributed under the Artistic License 2.0.", "Artistic"),
     ("The tool is licensed under the Common Development and Distribution License.", "CDDL"),
+    ("Mozilla Public License Version 1.1", "MPL-1.1"),
+    ("The contents of this file are subject to the Mozilla Public License\nVersion 1.0 (the \"License\")", "MPL-1.0"),
+    ("Eclipse Public License - v 1.0", "EPL-1.0"),
+    ("# SPDX-License-Identifier: EPL-1.0", "EPL-1.0"),
+    ("# SPDX-License-Identifier: MPL-1.1", "MPL-1.1"),
+    ("MIT No Attribution", "MIT-0"),
+    ("Creative Commons Legal Code\n\nCC0 1.0 Universal", "CC0"),
+    ("This Font Software is licensed under the SIL Open Font License, Version 1.1.", "OFL"),
+    ("PostgreSQL License", "PostgreSQL"),
+    ("Permission to use, copy, modify, and distribute this software and its documentation for any\npurpose, without fee, and without a written agreement is hereby granted", "PostgreSQL"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose\nwith or without fee is hereby granted", "ISC"),
+    ("Redistributed under the OpenSSL license.", "OpenSSL"),
+    ("DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE", "WTFPL"),
+    ("Code is released under the Microsoft Public License (Ms-PL).", "MS-PL"),
+    ("Licensed under the Universal Permissive License v 1.0", "UPL"),
+    ("The library is not licensed under the MIT license but under the Apache License 2.0.", "Apache-2.0"),
+    ("The data is not licensed under the MIT license or the GPL.", None),
+    ("This file is not licensed under the MIT license.", None),
+    ("Ours is unlike code released under the GPL.", None),
+    ("It may not be distributed under the GNU General Public License.", None),
     ("The contents are dedicated to nobody in particular; permission to enter was denied.", None),
     ("He submitted the licence application under the old rules.", None),
     ("Released under water, the admit card smelled of license.", None),
@@ -151,3 +171,19 @@ def test_texts_as_found(spark):
     got = {r.doc_id: r.licenses for r in lic.scan_licenses(docs).collect()}
     for i, (text, name) in enumerate(FOUND):
         assert (name in got[i]) if name else not got[i], (text, got[i])
+
+
+def test_each_license_of_a_sentence(spark):
+    mit0 = MIT.replace("MIT License", "MIT No Attribution").replace("to deal in the Software without restriction", "and to permit persons to whom the Software is furnished to do so").replace("The above copyright notice and this permission notice shall be included in all copies.\n\n", "")
+    texts = {
+        "Dual licensed under the MIT or GPL Version 2 licenses.": {"MIT", "GPL-2.0"},
+        "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.": {"Apache-2.0", "MIT"},
+        "It is available under the terms of the MPL 1.1, or the GNU LGPLv2 and the GPL v3.": {"MPL-1.1", "LGPL", "GPL-3.0"},
+        "Not under the GPL but under the MIT license.": {"MIT"},
+        "Released under the MIT license and contains no BSD code.": {"MIT"},
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.": {"GPL"},
+        mit0: {"MIT-0"},
+    }
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.text: set(r.licenses) for r in lic.scan_licenses(docs).collect()}
+    assert got == texts
