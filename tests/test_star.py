@@ -121,3 +121,17 @@ def test_audit_finds_faults_of_every_key(spark):
     assert found == {("publication", "pub_year"): 1, ("chapter", "chapter_no"): 1, ("stat_table", "table_no"): 1, ("indicator", "indicator_key"): 2, ("table_column", "position"): 1, ("table_column", "year"): 0, ("region", "region_kind"): 0, ("category", "category_group"): 0}
     paper = star["publication"].selectExpr("publication", "pub_year", "coverage", "'paper' AS kind", "file", "note")
     assert [(r.table, r.rule) for r in k.audit_values(star | {"publication": paper}).collect() if r.rows] == [("publication", "kind")]
+
+
+def test_a_load_sorts_no_rows_for_dimensions_and_joins_no_facts(spark):
+    """Dimensions take hash aggregates of the rows; old facts and rows meet in one window, not in a full join."""
+    rows = spark.createDataFrame(long(("1.1", "a", "i", "2025", "1"), ("1.1", "a", "i", "2025", "2"), ("1.1", "", "j", "", "3")), SCHEMA)
+    star, _ = g.load(g.empty(spark), rows, "P", 2024)
+    again, n = g.load(star, rows.selectExpr("* except (value_num)", "'7' AS value_num"), "P", 2024)
+    assert {(f.indicator_key, f.value_num) for f in again["fact"].collect()} == {("i", 7), ("j", 7)} and (n.first().new_facts, n.first().updated_facts) == (0, 3)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "FullOuter" not in plan(again["fact"])
+    for table in ("chapter", "stat_table", "indicator", "table_column"):
+        assert "HashAggregate" in plan(star[table]) and "partial_min_by" in plan(star[table]), table
+        least = [line for line in plan(star[table]).splitlines() if "partial_min(_seq" in line]
+        assert least and all("HashAggregate" in line for line in least), table
