@@ -135,3 +135,13 @@ def test_a_load_sorts_no_rows_for_dimensions_and_joins_no_facts(spark):
         assert "HashAggregate" in plan(star[table]) and "partial_min_by" in plan(star[table]), table
         least = [line for line in plan(star[table]).splitlines() if "partial_min(_seq" in line]
         assert least and all("HashAggregate" in line for line in least), table
+
+
+def test_preparing_strips_each_text_once_outside_of_one_large_method(spark):
+    """Each text is stripped as a column of its own: no array of all texts is walked for each row."""
+    odd = long(("\u00a01.1 ", " a\t", "\u3000Luas  –  Panen / b ", " 2025 ", " 1.5\n"), (" x ", "", None, "", "n.a."))
+    p = g.prepare(spark.createDataFrame(odd, SCHEMA), "P", 2024)
+    found = {r.table_no: (r.region, r.indicator_key, r.year, r.value_num, r.chapter_no) for r in p.collect()}
+    assert found["1.1"] == ("a", "luas - panen/b", 2025, 1.5, 1) and found["x"] == (None, "", None, None, None)
+    plan = p._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(array(") == 2 and "AS bare" not in plan
