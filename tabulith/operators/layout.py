@@ -76,12 +76,15 @@ def dedup_bold(glyphs: DataFrame, line: list[str] | None = None) -> DataFrame:
     """Without second prints of fake bold: glyphs like the last kept one, less than 2 away.
 
     In (top, x0) order of a page, or in x0 order of the lines that ``line`` names. The last kept glyph
-    has the text of the one before, so only runs of equal text are folded.
+    has the text of the one before, so only runs of equal text are folded. A glyph that is 2 or more behind the one
+    before it in the leading order is that far from all before, so it begins a run too.
     """
     keys = [*PAGE, *(line or [])]
     order = [F.col("x0"), F.col("seq")] if line else [F.col("top"), F.col("x0"), F.col("seq")]
     w = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.coalesce(F.lag("text").over(w) != F.col("text"), F.lit(True)).cast("int")
+    lead = "x0" if line else "top"
+    far = F.coalesce(F.col(lead) - F.lag(lead).over(w) >= 2, F.lit(False))
+    changed = (F.coalesce(F.lag("text").over(w) != F.col("text"), F.lit(True)) | far).cast("int")
     marked = glyphs.withColumn("changed", changed)
     marked = marked.withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("again", F.coalesce(F.lead("changed").over(w) == 0, F.lit(False)))
     alone = marked.where("changed = 1 and not again")

@@ -98,3 +98,13 @@ def test_many_items_of_one_page(spark):
 def test_long_recognised_words_stay_apart(spark):
     w = frame(spark, [(i, c * 1500, 0.0, 10.0, 0.0, 9.0) for i, c in enumerate("ab")], "seq int, text string, x0 double, x1 double, top double, bottom double")
     assert y.page_texts(y.word_glyphs(w)).first().text == "a" * 1500 + "b" * 1500
+
+
+def test_equal_glyphs_that_lie_apart_are_not_folded(spark, monkeypatch):
+    """Doubled letters side by side form no run, in either order: a fold that loses all it is given loses none of them."""
+    g = spark.createDataFrame([(1, 1, 1, "l", 10.0, 5.0), (1, 1, 2, "l", 14.5, 7.0), (1, 1, 3, "l", 19.0, 9.0)], "doc_id long, page_no long, seq long, text string, x0 double, top double").withColumn("line_top", F.lit(5.0))
+    near = g.unionByName(g.where("seq = 2").selectExpr("doc_id", "page_no", "4L AS seq", "text", "x0 + 0.5 AS x0", "top", "line_top"))
+    seqs = lambda df: sorted(r.seq for r in df.collect())
+    assert seqs(y.dedup_bold(near, line=["line_top"])) == seqs(y.dedup_bold(near)) == [1, 2, 3]
+    monkeypatch.setattr(y, "_keep_first", lambda items, near: F.slice(items, 1, 0))
+    assert seqs(y.dedup_bold(g, line=["line_top"])) == seqs(y.dedup_bold(g)) == [1, 2, 3]
