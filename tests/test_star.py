@@ -145,3 +145,16 @@ def test_preparing_strips_each_text_once_outside_of_one_large_method(spark):
     assert found["1.1"] == ("a", "luas - panen/b", 2025, 1.5, 1) and found["x"] == (None, "", None, None, None)
     plan = p._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("transform(array(") == 2 and "AS bare" not in plan
+
+
+def test_a_load_reduces_rows_before_it_prepares_them(spark, monkeypatch):
+    """What is written down has a row for each head, not for each row; values come from the last row of a key alone."""
+    staged = []
+    monkeypatch.setattr(g, "stage", lambda df: staged.append(df) or df)
+    rows = spark.createDataFrame(long(*[("1.1", (" a", "b")[k % 2], "i", "2025", str(k)) for k in range(40)]), SCHEMA)
+    # the last row twice under one number, and another key under that number
+    again = rows.where("_seq = 39").unionByName(rows.where("_seq = 39").selectExpr("* except (region, value_num)", "'c' AS region", "'n.a.' AS value_num"))
+    star, n = g.load(g.empty(spark), rows.unionByName(again), "P", 2024)
+    assert [df.count() for df in staged] == [2]
+    assert sorted((f.region, f.value_num, f.value_text) for f in star["fact"].collect()) == [("a", 38, "38"), ("b", 39, "39"), ("c", None, "39")]
+    assert (n.first().new_facts, n.first().updated_facts) == (3, 39) and star["table_column"].first().value_type == "numerik"
