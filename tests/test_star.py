@@ -158,3 +158,16 @@ def test_a_load_reduces_rows_before_it_prepares_them(spark, monkeypatch):
     assert [df.count() for df in staged] == [2]
     assert sorted((f.region, f.value_num, f.value_text) for f in star["fact"].collect()) == [("a", 38, "38"), ("b", 39, "39"), ("c", None, "39")]
     assert (n.first().new_facts, n.first().updated_facts) == (3, 39) and star["table_column"].first().value_type == "numerik"
+
+
+def test_counts_of_a_load_carry_no_values(spark):
+    """Keys come from hash aggregates alone, also those of facts that an earlier load made: no sort, window or join for values."""
+    rows = spark.createDataFrame(long(("1.1", "a", "i", "2025", "1"), ("1.1", " a", "i", "2025", "2"), ("1.1", "", "j", "", "3")), SCHEMA)
+    first, _ = g.upsert(g.empty(spark)["fact"], rows, "P", 2024)
+    again, n = g.upsert(first, rows.selectExpr("* except (_seq, region)", "_seq + 10 AS _seq", "concat(region, 'b') AS region"), "P", 2024)
+    plan = n._jdf.queryExecution().executedPlan().toString()
+    assert not [x for x in ("Window", "Join", "SortAggregate", "max(struct") if x in plan]
+    assert (n.first().new_facts, n.first().updated_facts) == (2, 1)
+    assert {(f.region, f.value_num) for f in again.collect()} == {("a", 2), (None, 3), ("ab", 2), ("b", 3)}
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
