@@ -97,7 +97,9 @@ def dedup_bold(glyphs: DataFrame, line: list[str] | None = None) -> DataFrame:
 
 def tolerances(glyphs: DataFrame, factor: float = 0.4) -> DataFrame:
     """Line tolerance of each page: a share of the median glyph size, 4 without sizes."""
-    return glyphs.groupBy(*PAGE).agg((F.coalesce(F.median("size"), F.lit(10.0)) * factor).alias("tol"))
+    # a page has few sizes: a hash aggregate counts them, and the median is taken of the counts
+    sizes = glyphs.groupBy(*PAGE, "size").agg(F.count("*").alias("n"))
+    return sizes.groupBy(*PAGE).agg((F.coalesce(F.percentile("size", 0.5, F.col("n")), F.lit(10.0)) * factor).alias("tol"))
 
 
 def cluster_lines(items: DataFrame, tol: DataFrame | float) -> DataFrame:
@@ -120,7 +122,7 @@ def cluster_lines(items: DataFrame, tol: DataFrame | float) -> DataFrame:
 
 def line_texts(lined: DataFrame, sep: str = "") -> DataFrame:
     """(line_top, n, text) of each line, items joined in x order."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "text"))), lambda x: x["text"])
+    texts = F.sort_array(F.collect_list(F.struct("x0", "seq", "text")))["text"]
     return lined.groupBy(*PAGE, "line_top").agg(F.count("*").alias("n"), F.array_join(texts, sep).alias("text"))
 
 

@@ -108,3 +108,23 @@ def test_equal_glyphs_that_lie_apart_are_not_folded(spark, monkeypatch):
     assert seqs(y.dedup_bold(near, line=["line_top"])) == seqs(y.dedup_bold(near)) == [1, 2, 3]
     monkeypatch.setattr(y, "_keep_first", lambda items, near: F.slice(items, 1, 0))
     assert seqs(y.dedup_bold(g, line=["line_top"])) == seqs(y.dedup_bold(g)) == [1, 2, 3]
+
+
+def test_pages_are_dealt_out_before_they_are_taken_apart(spark, tmp_path):
+    """Glyphs stay where their page is: what is dealt out by page is texts, and no glyph is moved for sizes, tops or lines."""
+    from tabulith.plans import views as v
+
+    spark.createDataFrame([(k, t, "user", "ab cd  e " * 9) for k in range(3) for t in range(2)], "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    glyphs = v.glyphs(spark, str(tmp_path))
+    lines = y.line_texts(glyphs.withColumn("line_top", F.col("top")))
+    assert lines.groupBy("doc_id", "page_no").agg(F.sum("n").alias("n")).where("n <> 55").count() == 0
+    for df in (lines, y.tolerances(glyphs)):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        assert df._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_COL") == 1
+
+
+def test_median_size_is_taken_of_counts(spark):
+    """Also without sizes, with an even number of them, and with nulls among them."""
+    sizes = [(1, 8.0), (1, 9.0), (1, 9.0), (1, 20.0), (2, None), (3, 8.0), (3, 9.0), (3, None)]
+    glyphs = spark.createDataFrame([(d, 1, x) for d, x in sizes], "doc_id long, page_no int, size double")
+    assert {r.doc_id: round(r.tol, 6) for r in y.tolerances(glyphs).collect()} == {1: 3.6, 2: 4.0, 3: 3.4}
