@@ -3,15 +3,17 @@
 Three steps, each linear in what it ships:
 
 1. *Routing.* A pair that reaches the similarity shares at least T = pct% of either set, so it shares
-   one of the n - T + 1 rarest shingles of either: those are a set's short lists, the rest its long
-   lists. Rare means few occurrences in a sketch of ``COUNTERS`` counters over all shingles of all
-   documents (bounded, so it may be broadcast); any order of shingles that all documents share keeps
-   the search exact, the counts only keep frequent passages out of the short lists. Equal sets are one
-   node, so exact copies cost nothing here. Sets on the same list make pairs, and a pair goes on if
-   sizes and histograms of shingles allow the similarity, a bound that no linked pair breaks. A list
-   of over ``PAIRS`` sets makes edges to its smallest instead, so a hot group costs one edge per set; a
-   task ends such lists itself and sends one entry on. The components of pairs and edges are groups
-   outside of which no link can be.
+   k of the n - T + k rarest shingles of either: those are a set's short lists, the rest its long
+   lists; k grows with the set (``least_shared``), for large sets share some by chance. Rare means few
+   occurrences in a sketch of ``COUNTERS`` counters over all shingles of all documents (bounded, so it
+   may be broadcast); any order of shingles that all documents share keeps the search exact, the counts
+   only keep frequent passages out of the short lists. Equal sets are one node, so exact copies cost
+   nothing here. Sets on the same list make pairs, and a pair goes on if it is on k lists, and if sizes
+   and histograms of shingles allow the similarity, bounds that no linked pair breaks. The sets of a list
+   of over ``PAIRS`` are compared in one place by sizes and histograms alone. A list of over ``LIST`` sets
+   makes edges to its smallest instead, so a hot group costs one edge per set; a task ends such lists
+   itself and sends one entry on. The components of pairs and edges are groups outside of which no link
+   can be. Histograms have more bins for larger sets: with few, all large sets look alike, and would be one group.
 2. *T-occurrence search.* Per group, one document stands for all of an equal set. The shingles' inverted
    lists are split as DivideSkip does: the longest lists are set aside, the short ones are merged, and
    sets found often enough in them are probed in the long lists. A set is kept when its overlap reaches
@@ -42,10 +44,16 @@ from .tokens import NOT_BLANK, distinct_shingles, mix, slices
 COUNTERS = 1 << 22
 #: Entries of short lists that a task holds before it sends them on.
 FLUSH = 250_000
-#: Lists of up to so many entries are taken apart into pairs, longer ones into edges to their first.
+#: Lists of up to so many entries are taken apart into pairs, longer ones are compared as a whole.
 PAIRS = 8
-#: Bins of a document's histogram of shingles.
-BINS = 128
+#: Lists of more entries make edges to their first.
+LIST = 256
+#: A set has to share one of its rarest shingles more for so many that it has.
+SHARE = 128
+#: Bins of a document's histogram of shingles, at least and at most, and shingles that one should hold.
+BINS, MOST, FILL = 128, 1 << 16, 8
+#: Slots by which texts of no group are told, a power of two: 2**20 hold a few hundred thousand sets, and what passes by chance is met by id.
+SLOTS = 1 << 20
 #: Shingles that one block of a large group holds.
 BLOCK = 1_000_000
 #: Reducers' keys for each shuffle partition.
@@ -53,10 +61,19 @@ SPREAD = 4
 _U = np.uint64
 
 
+def least_shared(n: int, pct: int) -> int:
+    """How many of the ``rarest`` shingles of a set of n, or of a larger one, two sets share that are similar enough."""
+    return min(1 + n // SHARE, -(-pct * n // 100))
+
+
 def rarest(shingles: np.ndarray, pct: int, levels: np.ndarray) -> np.ndarray:
-    """Keys of the shingles of a set that must hold one in common with any set that is similar enough."""
+    """Keys of the shingles of a set that must hold ``least_shared`` in common with any set that is similar enough.
+
+    Of two such sets, all that they share among the one's keys that end first is among the other's keys too, and
+    what stands behind its keys is less than the overlap by ``least_shared``.
+    """
     n = len(shingles)
-    k = n - -(-pct * n // 100) + 1
+    k = n - -(-pct * n // 100) + least_shared(n, pct)
     rare = levels[(mix(shingles) & _U(len(levels) - 1)).astype(np.int64)].astype(np.uint64)
     keys = (rare << _U(56)) | (shingles >> _U(8))
     return np.partition(keys, k - 1)[:k] if k < n else keys
@@ -104,7 +121,8 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shingle_levels(slim: DataFrame, size: int) -> np.ndarray:
     """How frequent shingles are, by counter: one byte for each of COUNTERS, whatever the input's size."""
-    counted = slim.select("text").mapInArrow(_count(size), "block int, at binary, n binary")
+    # a few tasks a core, whatever the input's size, for each sends a sketch of its own
+    counted = slim.select("text").coalesce(4 * slim.sparkSession.sparkContext.defaultParallelism).mapInArrow(_count(size), "block int, at binary, n binary")
     summed = counted.repartition("block").mapInArrow(_add_up, "block int, level binary")
     levels = np.zeros(COUNTERS, dtype=np.uint8)
     for r in summed.collect():  # COUNTERS bytes
@@ -122,7 +140,7 @@ def _distinct(pairs: np.ndarray) -> np.ndarray:
 
 
 def _lists(hashes: np.ndarray, nodes: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Start, length and whether it is long of each list; then hashes, nodes and levels by list and node, each node once."""
+    """Start, length and whether it is over LIST of each list; then hashes, nodes and levels by list and node, each node once."""
     order = np.lexsort((levels, nodes, hashes))
     h, v, level = hashes[order], nodes[order], levels[order]
     last = np.ones(len(h), dtype=bool)
@@ -130,7 +148,7 @@ def _lists(hashes: np.ndarray, nodes: np.ndarray, levels: np.ndarray) -> tuple[n
     h, v, level = h[last], v[last], level[last]
     start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, dtype=np.int64)
     length = np.diff(np.append(start, len(h)))
-    long = (length > PAIRS) | (np.maximum.reduceat(level, start) == _LONG) if len(h) else np.empty(0, dtype=bool)
+    long = (length > LIST) | (np.maximum.reduceat(level, start) == _LONG) if len(h) else np.empty(0, dtype=bool)
     return start, length, long, h, v, level
 
 
@@ -146,29 +164,63 @@ def _size_level(n: int) -> int:
 
 
 def _pairs(nodes: np.ndarray, levels: np.ndarray, start: np.ndarray, length: np.ndarray, pct: int) -> np.ndarray:
-    """The pairs of each list whose sizes allow the similarity; lists are short."""
+    """Pairs (a, b, lists, least) of the lists whose sizes allow the similarity: on how many they are, and on how many they have to be. Lists are short."""
     apart = int(200 * np.log(100 / pct)) + 1  # levels are rounded down
-    out = [np.empty((0, 2), dtype=np.int64)]
+    out = [np.empty((0, 3), dtype=np.int64)]
     for n in np.unique(length[length > 1]):
         at = start[length == n][:, None] + np.arange(n)
         i, j = np.triu_indices(n, 1)
         a, b = at[:, i].ravel(), at[:, j].ravel()
         near = np.abs(levels[a].astype(np.int64) - levels[b].astype(np.int64)) <= apart
-        out.append(np.stack([nodes[a[near]], nodes[b[near]]], axis=1))
-    return _distinct(np.concatenate(out))
+        a, b = a[near], b[near]
+        out.append(np.stack([np.maximum(nodes[a], nodes[b]), np.minimum(nodes[a], nodes[b]), np.minimum(levels[a], levels[b])], axis=1))
+    pairs = np.concatenate(out)
+    level, place = np.unique(pairs[:, 2], return_inverse=True)
+    # levels are rounded down, and a smaller set has to share less
+    least = np.array([least_shared(max(1, int(np.exp(x / 200))), pct) for x in level], dtype=np.int64)
+    return _added(np.stack([pairs[:, 0], pairs[:, 1], np.ones(len(pairs), dtype=np.int64), least[place]], axis=1)) if len(pairs) else np.empty((0, 4), dtype=np.int64)
+
+
+def _added(pairs: np.ndarray) -> np.ndarray:
+    """Rows (a, b, lists, least) of distinct pairs, their lists summed up."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    start = np.flatnonzero(np.concatenate([[True], (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1)]))
+    return np.concatenate([pairs[start, :2], np.add.reduceat(pairs[:, 2], start)[:, None], pairs[start, 3:]], axis=1)
 
 
 def histogram(shingles: np.ndarray) -> bytes:
-    """How many of a set's shingles fall to each of BINS, 255 at most.
+    """How many of a set's shingles fall to each of its bins, 255 at most; their number is a power of two.
 
     The bins of two sets differ, summed up, by no more than the sets do.
     """
-    return np.minimum(np.bincount(((shingles >> _U(8)) % _U(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    bins = min(max(BINS, 1 << (max(len(shingles) - 1, 0) // FILL).bit_length()), MOST)
+    return np.minimum(np.bincount(((shingles >> _U(8)) % _U(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def _folded(bins: list[bytes], size: int) -> np.ndarray:
+    """Histograms of one length as rows of ``size`` bins, as the sets would have with so few."""
+    x = np.frombuffer(b"".join(bins), dtype=np.uint8).reshape(len(bins), -1, size)
+    return np.minimum(x.sum(axis=1, dtype=np.int32), 255)
+
+
+def differences(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """By how much the bins of each two sets differ, summed up; where one has more, they are folded."""
+    p, q = (np.array([len(x) for x in c], dtype=np.int64) for c in (a, b))
+    out = np.zeros(len(a), dtype=np.int64)
+    for k, m in {*zip(p.tolist(), q.tolist(), strict=True)}:
+        at = np.flatnonzero((p == k) & (q == m))
+        for some in np.array_split(at, -(-len(at) * max(k, m) // 4_000_000)):
+            x, y = (_folded([c[i] for i in some], min(k, m)) for c in (a, b))
+            out[some] = np.abs(x - y).sum(axis=1)
+    return out
 
 
 #: Of an entry's size level: the list that the entry is on is a long one, whatever else is there.
 _LONG = 65535
-#: kind 0: a document (id, t, n, h1, h2, bins); 1: an edge (h1, other); 3: a pair that may link; 2: entries of short lists for reducer r.
+#: kind 0: a document (id, t, n, h1, h2, bins); 1: an edge (h1, other); 3: a pair (h1, other) on n lists, of t that it needs;
+#: 4: a set h1 on the list ``other`` that is to be compared; 2: entries of short lists for reducer r.
 _SQL_SCHEMA = "kind int, id long, t long, n long, h1 long, h2 long, other long, bins binary, r int, hashes binary, nodes binary, levels binary"
 _SCHEMA = pa.schema([(k, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for k, t in (c.split() for c in _SQL_SCHEMA.split(", "))])
 
@@ -191,7 +243,8 @@ def _set_hash(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def _edges(kind: int, ends: np.ndarray, reducers: int = 1) -> pa.RecordBatch:
-    return _batch(len(ends), kind=np.full(len(ends), kind, dtype=np.int32), h1=ends[:, 0], other=ends[:, 1], r=_dealt(ends[:, 0], reducers))
+    counts = {"n": ends[:, 2], "t": ends[:, 3]} if ends.shape[1] > 2 else {}
+    return _batch(len(ends), kind=np.full(len(ends), kind, dtype=np.int32), h1=ends[:, 0], other=ends[:, 1], r=_dealt(ends[:, 0], reducers), **counts)
 
 
 def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
@@ -257,7 +310,7 @@ def _scan(size: int, pct: int, reducers: int, levels) -> Callable:
 
 
 def _reduce(pct: int) -> Callable:
-    """Short lists become their pairs, long ones edges to their smallest node; other rows pass through."""
+    """Short lists become their pairs, longer ones rows for each entry, those over LIST edges to their smallest node; other rows pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[tuple[bytes, bytes, bytes]]] = {}
@@ -271,36 +324,98 @@ def _reduce(pct: int) -> Callable:
             rest = np.flatnonzero(kind != 2)
             if len(rest):
                 yield batch.take(pa.array(rest)) if len(entries) else batch
-        pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+        pairs, waiting = [np.empty((0, 4), dtype=np.int64)], 0
         while found:
             _, blobs = found.popitem()
-            start, length, long, _, nodes, level = _lists(*[np.frombuffer(b"".join(x[i] for x in blobs), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.uint16))])
+            start, length, long, hashes, nodes, level = _lists(*[np.frombuffer(b"".join(x[i] for x in blobs), dtype=t) for i, t in enumerate((np.uint64, np.int64, np.uint16))])
             star = _stars(nodes, start[long], length[long])
             if len(star):
                 yield _edges(1, star)
-            pairs.append(_pairs(nodes, level, start[~long], length[~long], pct))
+            short = ~long & (length <= PAIRS)
+            middle = np.repeat(~long & ~short, length)
+            if middle.any():
+                yield _edges(4, np.stack([nodes[middle], hashes[middle].astype(np.int64)], axis=1))
+            pairs.append(_pairs(nodes, level, start[short], length[short], pct))
             waiting += len(pairs[-1])
             if waiting > FLUSH or not found:
-                p = _distinct(np.concatenate(pairs))
-                pairs, waiting = [np.empty((0, 2), dtype=np.int64)], 0
+                p = _added(np.concatenate(pairs))
+                pairs, waiting = [np.empty((0, 4), dtype=np.int64)], 0
                 if len(p):
                     yield _edges(3, p)
 
     return run
 
 
+def _near(n: np.ndarray, m: np.ndarray, apart: np.ndarray, pct: int) -> np.ndarray:
+    """Whether sizes and the bins' differences allow the similarity."""
+    return (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (apart * (100 + pct) <= (n + m) * (100 - pct))
+
+
+def _as_stars(a: list[int], b: list[int]) -> pa.RecordBatch:
+    """What a batch of edges holds together, as stars: fewer edges, and fewer rounds after."""
+    stars = [(x, r) for x, r in local_roots(a, b).items() if x != r]
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["h1", "other"])
+
+
 def _possible(pct: int) -> Callable:
     """Edges of the pairs (h1, other) whose sizes and bins allow the similarity. Rows: h1, other, n, m, bins, bins2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "m"))
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("bins", "bins2"))
-            ok = (100 * np.minimum(n, m) >= pct * np.maximum(n, m)) & (np.abs(a - b).sum(axis=1) * (100 + pct) <= (n + m) * (100 - pct))
+            ok = _near(n, m, differences(*[batch.column(c).to_pylist() for c in ("bins", "bins2")]), pct)
             left = batch.select(["h1", "other"]).take(pa.array(np.flatnonzero(ok)))
-            # what a batch holds together is sent as stars: fewer edges, and fewer rounds after
-            stars = [(x, r) for x, r in local_roots(left.column(0).to_pylist(), left.column(1).to_pylist()).items() if x != r]
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in stars], pa.int64()), pa.array([r for _, r in stars], pa.int64())], names=["h1", "other"])
+            yield _as_stars(left.column(0).to_pylist(), left.column(1).to_pylist())
+
+    return run
+
+
+def near_on_list(n: np.ndarray, bins: list[bytes], pct: int) -> list[tuple[int, int]]:
+    """Places on a list of sets that hold together all whose sizes and bins allow the similarity."""
+    order = np.argsort(n, kind="stable")
+    n, bins = n[order], [bins[i] for i in order]
+    last = np.searchsorted(n, 100 * n // pct, side="right")
+    label, out = np.arange(len(n)), []
+    rows: dict[int, tuple[int, np.ndarray]] = {}
+    for i in range(len(n)):
+        later = np.arange(i + 1, last[i])
+        later = later[label[later] != label[i]]  # the rest are together with it already
+        if not len(later):
+            continue
+        k = len(bins[i])  # larger sets have as many bins at least
+        if k not in rows:
+            rows = {k: (i, np.concatenate([_folded([x], k) for x in bins[i:]]))}
+        at, x = rows[k]
+        for j in later[_near(n[i], n[later], np.abs(x[later - at] - x[i - at]).sum(axis=1), pct)]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((int(order[i]), int(order[j])))
+    return out
+
+
+def _compared(pct: int) -> Callable:
+    """Rows (other, h1, n, bins) sorted by other, a list -> stars (h1, other) of sets on a list that may link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own = None, []
+        a, b = [], []
+
+        def end() -> None:
+            for i, k in near_on_list(np.array([x[1] for x in own], dtype=np.int64), [x[2] for x in own], pct) if len(own) > 1 else []:
+                a.append(own[i][0])
+                b.append(own[k][0])
+
+        for batch in batches:
+            for at, *row in zip(*[batch.column(c).to_pylist() for c in ("other", "h1", "n", "bins")], strict=True):
+                if at != now:
+                    end()
+                    now, own = at, []
+                    if len(a) > FLUSH:
+                        yield _as_stars(a, b)
+                        a, b = [], []
+                own.append(row)
+        end()
+        yield _as_stars(a, b)
 
     return run
 
@@ -426,11 +541,14 @@ def _search_blocks(size: int, pct: int) -> Callable:
 def _candidates(rows: DataFrame, pct: int) -> DataFrame:
     """(node, grp) of the sets that may link with others; a set's node is its h1."""
     bins = rows.where("kind = 0 and bins is not null").select(F.col("h1").alias("k"), "n", "bins").repartition("k").distinct()
-    pairs = rows.where("kind = 3").select("h1", "other").repartition("h1").distinct()
+    pairs = rows.where("kind = 3").groupBy("h1", "other").agg(F.sum("n").alias("lists"), F.max("t").alias("least")).where("lists >= least").select("h1", "other")
     left = pairs.join(bins, pairs.h1 == bins.k).drop("k")
     both = left.join(bins.select("k", F.col("n").alias("m"), F.col("bins").alias("bins2")), F.col("other") == F.col("k"))
     near = both.select("h1", "other", "n", "m", "bins", "bins2").mapInArrow(_possible(pct), "h1 long, other long")
-    return connected_components(rows.where("kind = 1").select("h1", "other").unionByName(near), "h1", "other", starred=True).withColumnRenamed("component", "grp")
+    listed = rows.where("kind = 4").select("h1", "other")
+    listed = listed.join(bins, listed.h1 == bins.k).select("other", "h1", "n", "bins").repartition("other").sortWithinPartitions("other")
+    edges = rows.where("kind = 1").select("h1", "other").unionByName(near).unionByName(listed.mapInArrow(_compared(pct), "h1 long, other long"))
+    return connected_components(edges, "h1", "other", starred=True).withColumnRenamed("component", "grp")
 
 
 def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str) -> DataFrame:
@@ -452,7 +570,10 @@ def _row_groups(docs: DataFrame, size: int, pct: int, id_col: str, text_col: str
     dealt = reps.join(shape.select("grp", blocks.alias("g")), "grp").withColumn("b", F.pmod(F.xxhash64("h1", "h2"), F.col("g")).cast("int"))
     pairs = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     work = pairs.select("grp", F.col("id").alias("rep"), F.col("t").alias("rep_t"), "h1", "h2", "copies", "b", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"))
-    sent = slim.join(work, (slim.id == work.rep) & (slim.t == work.rep_t)).select("grp", "i", "j", "b", "rep", "h1", "h2", "copies", "text")
+    # texts of no group mostly stay where they are: they miss the slots of all that are in one, SLOTS at most
+    slot = lambda c: F.pmod(F.xxhash64(F.lit(9), c), F.lit(SLOTS)).alias("slot")
+    close = slim.join(F.broadcast(dealt.select(slot("id")).distinct()), slot(slim["id"]) == F.col("slot"), "left_semi")
+    sent = close.join(work, (close.id == work.rep) & (close.t == work.rep_t)).select("grp", "i", "j", "b", "rep", "h1", "h2", "copies", "text")
     found = stage(sent.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "rep", "h1", "h2").mapInArrow(_search_blocks(size, pct), "id long, other long, h1 long, h2 long, links long"))
 
     linked = connected_components(found.where("other is not null"), "id", "other", starred=True)

@@ -134,3 +134,60 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 150), (200, 151), (151, 160)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 150: 150, 151: 150, 160: 150, 200: 150}
+
+
+def test_large_texts_with_shared_parts_are_no_group(spark, monkeypatch):
+    """Texts in a row, each with half of the next: no two are similar, so none is to be sent to a search."""
+    rng = random.Random(5)
+    parts = [" ".join(f"p{rng.randrange(10**9)}" for _ in range(3000)) for _ in range(13)]
+    rows = [(i, parts[i] + " " + parts[i + 1]) for i in range(12)] + [(20, parts[3] + " " + parts[4] + " more")]
+    grouped, stage = [], j.stage
+
+    def seen(df):
+        out = stage(df)
+        if "grp" in out.columns and "rep" not in out.columns:
+            grouped.extend(r.id for r in out.where("grp is not null").collect())
+        return out
+
+    monkeypatch.setattr(j, "stage", seen)
+    got = j.jaccard_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80)
+    assert sorted([(r.id, r.component_id, r.n_links) for r in got.collect()]) == [(i, i, int(i == 3)) for i in range(12)] + [(20, 3, 1)]
+    assert sorted(grouped) == [3, 20]
+
+
+def test_texts_of_no_group_are_not_dealt_out(spark):
+    """Texts meet the few that are in a group by slots before they are shuffled."""
+    texts = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(40)]
+    rows = [*enumerate(texts), (100, texts[7] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    passed, taken = [], type(docs).mapInArrow
+
+    def seen(self, f, schema, *rest):
+        if "component" not in self.columns and "grp" in self.columns:
+            passed.append(self._jdf.queryExecution().optimizedPlan().toString())
+        return taken(self, f, schema, *rest)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(docs), "mapInArrow", seen)
+        got = {r.id: r.component_id for r in j.jaccard_groups(docs, 3, 90).collect()}
+    assert got == {i: i for i in range(40)} | {100: 7}
+    assert len(passed) == 1 and "LeftSemi" in passed[0]
+
+
+@pytest.mark.parametrize("pct", [50, 80, 90])
+def test_bounds_keep_every_link(pct):
+    rng = np.random.default_rng(pct)
+    levels = rng.integers(0, 40, 1 << 12).astype(np.uint8)
+    for n in (1, 2, 9, 127, 128, 129, 900, 1023, 1025, 5000):
+        base = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        sets = [np.unique(np.concatenate([base[rng.random(len(base)) < keep], rng.integers(0, 2**63, more).astype(np.uint64)])) for keep in (1, 0.97, 0.93, 0.8) for more in (0, 1, n // 12, n // 3)]
+        sets = [s for s in sets if len(s)]
+        sizes, bins = np.array([len(s) for s in sets]), [j.histogram(s) for s in sets]
+        joined = {k: r for k, r in j.local_roots(*([x[i] for x in j.near_on_list(sizes, bins, pct)] for i in (0, 1))).items()}
+        for a in range(len(sets)):
+            for b in range(a):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                assert j.differences([bins[a]], [bins[b]])[0] <= len(sets[a]) + len(sets[b]) - 2 * both
+                if 100 * both >= pct * (len(sets[a]) + len(sets[b]) - both):
+                    assert len(np.intersect1d(*[j.rarest(sets[i], pct, levels) for i in (a, b)])) >= j.least_shared(min(len(sets[a]), len(sets[b])), pct)
+                    assert joined[a] == joined[b]
